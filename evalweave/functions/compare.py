@@ -15,7 +15,7 @@ DIGITS_AND_BLANKS = r"(?U)\A[\s\x1c-\x1f0-9]*\z"
 
 
 def _set(values: Column) -> Column:
-    return F.array_sort(F.array_distinct(values))
+    return F.sort_array(F.array_distinct(values))
 
 
 def _set_text(values: Column) -> Column:
@@ -53,7 +53,7 @@ def digits_close(actual: Column, expected: Column) -> Column:
 def charset(actual: Column, expected: Column) -> Column:
     """Each output token, as a set of characters, is the token set of a line."""
     return _sets_of(text.tokens(actual), text.characters, _set_text) == _sets_of(
-        text.kept_lines(expected), text.tokens, _set_text
+        text.filled_lines(expected), text.tokens, _set_text
     )
 
 
@@ -65,16 +65,12 @@ def charset_rounded(actual: Column, expected: Column) -> Column:
 
     return actual.rlike(DIGITS_AND_BLANKS) & (
         _sets_of(text.tokens(actual), digits, _set_text)
-        == _sets_of(text.kept_lines(expected), text.tokens, _expected_numbers)
+        == _sets_of(text.filled_lines(expected), text.tokens, _expected_numbers)
     )
 
 
-def _full_lines(value: Column) -> Column:
-    return F.filter(text.kept_lines(value), lambda x: x != "")
-
-
 def lines(actual: Column, expected: Column) -> Column:
-    return _full_lines(actual) == _full_lines(expected)
+    return text.trimmed_lines(actual) == text.trimmed_lines(expected)
 
 
 def numeric(actual: Column, expected: Column) -> Column:
@@ -84,10 +80,14 @@ def numeric(actual: Column, expected: Column) -> Column:
     )
 
 
+def _line_sets(value: Column, encode) -> Column:
+    """Distinct token sets of the lines of ``text.spaced_lines``."""
+    return _sets_of(F.array_remove(F.split(value, "\n"), ""), lambda x: F.split(x, " "), encode)
+
+
 def unordered(actual: Column, expected: Column) -> Column:
-    return _sets_of(_full_lines(actual), text.tokens, _set_text) == _sets_of(
-        _full_lines(expected), text.tokens, _set_text
-    )
+    a, e = text.spaced_lines(actual), text.spaced_lines(expected)
+    return (a == e) | (_line_sets(a, _set_text) == _line_sets(e, _set_text))
 
 
 def _actual_numbers(values: Column) -> Column:
@@ -99,9 +99,8 @@ def _expected_numbers(values: Column) -> Column:
 
 
 def rounded(actual: Column, expected: Column) -> Column:
-    return _sets_of(_full_lines(actual), text.tokens, _actual_numbers) == _sets_of(
-        _full_lines(expected), text.tokens, _expected_numbers
-    )
+    a, e = text.spaced_lines(actual), text.spaced_lines(expected)
+    return _line_sets(a, _actual_numbers) == _line_sets(e, _expected_numbers)
 
 
 TIERS = {

@@ -20,7 +20,10 @@ WHITESPACE = "".join(
         0x3000,
     )
 )
-WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+_SPACE = r"\s\x1c-\x1f"
+BLANKS = rf"(?U)[{_SPACE}]++"
+_BLANKS_IN_LINE = rf"(?U)[{_SPACE}&&[^\n]]++"
+_AROUND_BREAK = rf"(?U)[{_SPACE}&&[^\n]]*+(\n)[{_SPACE}]*+|([{_SPACE}&&[^\n]]++)"
 
 # The spellings Python's float() accepts (ASCII digits).
 _DIGITS = r"[0-9](?:_?[0-9])*+"
@@ -35,25 +38,45 @@ def strip(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Whitespace-separated tokens, none empty."""
-    return F.filter(F.split(text, WHITESPACE_RUN), lambda t: t != "")
+    """Whitespace-separated tokens, none empty.
+
+    Blanks are unified first: splitting at a single character needs no pattern,
+    while ``split`` compiles one again for every row.
+    """
+    return F.array_remove(F.split(F.regexp_replace(text, BLANKS, " "), " "), "")
+
+
+def filled_lines(text: Column) -> Column:
+    """Lines that are not empty, as they are."""
+    return F.array_remove(F.split(text, "\n"), "")
 
 
 def kept_lines(text: Column) -> Column:
     """Lines that are not empty before stripping, each stripped."""
-    return F.transform(F.filter(F.split(text, "\n"), lambda x: x != ""), strip)
+    return F.transform(filled_lines(text), strip)
+
+
+def trimmed_lines(text: Column) -> Column:
+    """The text's stripped, non-empty lines, as one text.
+
+    A run of blanks is matched once, whole, with or without a line break in it.
+    """
+    return strip(F.regexp_replace(text, _AROUND_BREAK, "$1$2"))
+
+
+def spaced_lines(text: Column) -> Column:
+    """Like ``trimmed_lines`` with single spaces between tokens."""
+    return strip(F.regexp_replace(F.regexp_replace(text, _BLANKS_IN_LINE, " "), r" ?\n[ \n]*+", "\n"))
 
 
 def characters(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    return F.array_remove(F.split(text, ""), "")
 
 
 def parse_float(text: Column) -> Column:
     """The double Python's float() gives, or null where it would raise."""
-    return F.when(
-        text.rlike(FLOAT_PATTERN),
-        F.replace(text, F.lit("_"), F.lit("")).try_cast("double"),
-    )
+    bare = F.when(text.contains("_"), F.replace(text, F.lit("_"), F.lit(""))).otherwise(text)
+    return F.when(text.rlike(FLOAT_PATTERN), bare.try_cast("double"))
 
 
 def is_close(a: Column, b: Column) -> Column:
@@ -64,10 +87,8 @@ def is_close(a: Column, b: Column) -> Column:
 
 
 def all_close(left: Column, right: Column) -> Column:
-    """Equal length and every pair close."""
-    return (F.size(left) == F.size(right)) & F.forall(
-        F.zip_with(left, right, is_close), lambda ok: ok
-    )
+    """Equal length and every pair close; the shorter side is filled with nulls."""
+    return F.forall(F.zip_with(left, right, is_close), lambda ok: ok)
 
 
 def round_thousandths(x: Column) -> Column:
@@ -85,5 +106,5 @@ def round_thousandths(x: Column) -> Column:
         (part == 0.5) & ((error > 0.0) | ((error == 0.0) & (below % 2.0 != 0.0)))
     )
     # Beyond 2^43 doubles are coarser than a thousandth; adding 0 drops the sign of -0.
-    small = F.abs(x) < F.lit(float(2**43))
-    return F.when(small, (below + up.cast("double")) / 1000.0 + 0.0).otherwise(x)
+    whole = (x == F.rint(x)) | (F.abs(x) >= F.lit(float(2**43)))
+    return F.when(whole, x + 0.0).otherwise((below + up.cast("double")) / 1000.0 + 0.0)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave import schemas
+from evalweave import schemas, scratch
 from evalweave.functions import calls, compare
 from evalweave.operators import skew
 
@@ -172,9 +172,14 @@ def resolve_attempts(attempts: DataFrame, mode: str = "effective") -> DataFrame:
 
 
 def variant_fallback(statuses: DataFrame) -> DataFrame:
-    """Results of variant 2 where every test of variant 1 ended with exit code 1."""
+    """Results of variant 2 where every test of variant 1 ended with exit code 1.
+
+    The statuses are read twice, so they are written first: comparing outputs
+    again would cost more than storing its narrow result.
+    """
+    stored = scratch.write(statuses, "statuses").df
     failed = (
-        statuses.filter(F.col("variant") == 1)
+        stored.filter(F.col("variant") == 1)
         .groupBy(*GENERATION)
         .agg(F.bool_and(F.col("status") == FAILED_START).alias("failed"))
         .filter("failed")
@@ -182,7 +187,7 @@ def variant_fallback(statuses: DataFrame) -> DataFrame:
     )
     chosen = F.coalesce("chosen", F.lit(1))
     return (
-        skew.attach(statuses, failed, GENERATION, ["test_idx"], "left")
+        skew.attach(stored, failed, GENERATION, ["test_idx"], "left")
         .filter(F.col("variant") == chosen)
         .select(*GENERATION, "test_idx", "variant", "status")
     )
@@ -193,22 +198,30 @@ def expected_tests(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("task_id").agg((F.max("test_idx") + 1).alias("n_tests"))
 
 
-def _every_test(generations: DataFrame, tests: DataFrame) -> DataFrame:
-    """One row per test of each generation's task."""
-    spread = skew.attach(generations, tests, ["task_id"], ["gen_idx"])
-    return spread.withColumn("test_idx", F.explode(F.expr("sequence(0, n_tests - 1)"))).drop("n_tests")
+def _tests_from(generations: DataFrame, tests: DataFrame, first: int) -> DataFrame:
+    """One row per test of each generation's task, from position ``first`` on."""
+    spread = skew.attach(
+        generations, tests.filter(F.col("n_tests") > first), ["task_id"], ["gen_idx"]
+    )
+    return spread.withColumn(
+        "test_idx", F.explode(F.sequence(F.lit(first), F.col("n_tests") - 1))
+    ).drop("n_tests")
 
 
 def broadcast_verdict(verdicts: DataFrame, tests: DataFrame) -> DataFrame:
-    """A generation with a single verdict has it for all tests of its task."""
-    totals = verdicts.groupBy(*GENERATION).agg(
-        F.count(F.lit(1)).alias("n_verdicts"), F.max("verdict").alias("verdict")
+    """A generation with a single verdict has it for all tests of its task.
+
+    The verdict itself, at position 0, stays; only its copies are added.
+    """
+    single = (
+        verdicts.groupBy(*GENERATION)
+        .agg(F.count(F.lit(1)).alias("n_verdicts"), F.max("verdict").alias("verdict"))
+        .filter(F.col("n_verdicts") == 1)
+        .drop("n_verdicts")
     )
-    single = totals.filter(F.col("n_verdicts") == 1).select(*GENERATION, "verdict")
-    several = totals.filter(F.col("n_verdicts") > 1).select(*GENERATION)
     columns = [*GENERATION, "test_idx", "verdict"]
-    kept = skew.attach(verdicts, several, GENERATION, ["test_idx"], "left_semi")
-    return _every_test(single, tests).select(*columns).unionByName(kept.select(*columns))
+    copies = _tests_from(single, tests, 1)
+    return verdicts.select(*columns).unionByName(copies.select(*columns))
 
 
 def status_code(status: Column) -> Column:
@@ -239,7 +252,7 @@ def verdict_codes(generations: DataFrame, statuses: DataFrame, tests: DataFrame)
         *GENERATION, F.lit(0).alias("test_idx"), F.lit(schemas.COMPILE_ERROR).alias("verdict")
     )
     silent = state.filter(F.col("compiled") & ~F.col("has_result")).select(*GENERATION)
-    unanswered = _every_test(silent, tests).withColumn("verdict", F.lit(schemas.TIMEOUT))
+    unanswered = _tests_from(silent, tests, 0).withColumn("verdict", F.lit(schemas.TIMEOUT))
     answered = skew.attach(
         judged, broken.select(*GENERATION), GENERATION, ["test_idx"], "left_anti"
     )

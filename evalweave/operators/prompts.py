@@ -70,7 +70,7 @@ def full_problem(
     examples = (
         lookup.context_pairs(problems, solutions, manifest)
         .groupBy(*TARGET)
-        .agg(F.array_sort(F.collect_list(F.struct("context_pos", "input", "solution"))).alias("examples"))
+        .agg(F.sort_array(F.collect_list(F.struct("context_pos", "input", "solution"))).alias("examples"))
     )
     body = _numbered(F.col("examples"), template.full_example)
     return _with_context(problems, manifest, template, examples, template.full_header, body)
@@ -87,7 +87,7 @@ def only_solutions(
         .agg(F.min("context_pos").alias("context_pos"))
     )
     examples = once.groupBy(*TARGET).agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("context_pos", F.lit("").alias("input"), "solution"))
         ).alias("examples")
     )

@@ -41,7 +41,7 @@ def write_parsed(parsed: DataFrame, path: str) -> None:
     grouped = (
         parsed.withColumn("part", F.floor(F.col("gen_idx") / OUTPUTS_PER_LINE))
         .groupBy("task_id", "part")
-        .agg(F.array_sort(F.collect_list(line)).alias("lines"))
+        .agg(F.sort_array(F.collect_list(line)).alias("lines"))
     )
     grouped.select(
         "task_id", "part", F.col("lines.gen_idx").alias("gens"), F.col("lines.code").alias("output")
@@ -78,14 +78,14 @@ def manifest_documents(manifest: DataFrame) -> DataFrame:
     A document is bounded by the sample sizes, not by the group.
     """
     contexts = F.filter(
-        F.array_sort(F.collect_list(F.struct("context_pos", "context_id"))),
+        F.sort_array(F.collect_list(F.struct("context_pos", "context_id"))),
         lambda x: x["context_id"].isNotNull(),
     )
     per_target = manifest.groupBy("grp", "target_id", "target_pos").agg(
         F.transform(contexts, lambda x: x["context_id"]).alias("ids")
     )
     per_group = per_target.groupBy("grp").agg(
-        F.array_sort(F.collect_list(F.struct("target_pos", "target_id", "ids"))).alias("targets")
+        F.sort_array(F.collect_list(F.struct("target_pos", "target_id", "ids"))).alias("targets")
     )
     pairs = F.transform(
         "targets", lambda t: F.struct(t["target_id"].cast("string").alias("key"), t["ids"].alias("value"))
@@ -127,7 +127,7 @@ def metrics_documents(totals: DataFrame, positions: DataFrame) -> DataFrame:
     generations per test, one row per test of the task.
     """
     sums = positions.groupBy("task_id").agg(
-        F.array_sort(F.collect_list(F.struct("test_idx", "n_passed"))).alias("sums")
+        F.sort_array(F.collect_list(F.struct("test_idx", "n_passed"))).alias("sums")
     )
     task = F.create_map(F.col("task_id").cast("string"), F.col("pass_at_1"))
     k_pass = F.struct(

@@ -8,6 +8,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores where the files give fewer partitions than there are cores.
+
+    For expensive row-wise work on small tables; a large table is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return spread_out(table(spark, sf, "lineitem").select(*keys), *keys)
+
+
 def problems_docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("id"),
@@ -167,7 +181,7 @@ def pairs_lines(spark: SparkSession, sf: str) -> DataFrame:
         .when(line == 6, F.concat(part, F.lit(".0000001\n"), supp))
         .otherwise(F.concat((F.col("l_partkey") + 1).cast("string"), F.lit("\n"), supp))
     )
-    return table(spark, sf, "lineitem").select(
+    return _lines(spark, sf).select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
@@ -202,7 +216,7 @@ def calls_lines(spark: SparkSession, sf: str) -> DataFrame:
         .when(line == 6, text('"S P"'))
         .otherwise(text("[P,S]"))
     )
-    return table(spark, sf, "lineitem").select(
+    return _lines(spark, sf).select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
@@ -235,7 +249,7 @@ def samples_orders(spark: SparkSession, sf: str) -> DataFrame:
     gathered = (
         orders.join(tests, orders.o_orderkey == tests.l_orderkey)
         .groupBy("o_orderkey", "o_orderstatus")
-        .agg(F.array_sort(F.collect_list(F.struct("test_idx", given.alias("i"), wanted.alias("o")))).alias("t"))
+        .agg(F.sort_array(F.collect_list(F.struct("test_idx", given.alias("i"), wanted.alias("o")))).alias("t"))
     )
     document = F.concat(
         F.lit('{"inputs":['),
@@ -253,7 +267,7 @@ def samples_orders(spark: SparkSession, sf: str) -> DataFrame:
 def picks_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Hand-picked ids: an order's first part is the target, its other parts the contexts."""
     listed = line_tests(spark, sf).groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct("test_idx", "partkey"))).alias("t")
+        F.sort_array(F.collect_list(F.struct("test_idx", "partkey"))).alias("t")
     )
     parts = F.col("t.partkey")
     return listed.select(

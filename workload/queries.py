@@ -49,6 +49,11 @@ def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return fx.verdicts_orders(spark, sf).drop("context_type")
 
 
+def _stored_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """For queries that read the verdicts more than once."""
+    return scratch.write(_verdicts(spark, sf), "verdicts").df
+
+
 # Sources and sinks
 
 
@@ -124,7 +129,7 @@ def parsed_export(spark, sf):
 @query
 def metrics_roundtrip(spark, sf):
     path = scratch.new_path(spark, "metrics")
-    verdicts = _verdicts(spark, sf)
+    verdicts = _stored_verdicts(spark, sf)
     totals = scoring.normalized_sum(scoring.task_totals(verdicts)).withColumn(
         "pass_at_1", scoring.passk.pass_at_k(F.col("n"), F.col("c"), F.lit(1))
     )
@@ -339,7 +344,7 @@ def unreadable_samples(spark, sf):
 def normalise_io(spark, sf):
     def listed(column: str):
         entries = F.transform(F.map_entries(column), lambda e: F.concat_ws("=", e["key"], e["value"]))
-        return F.array_join(F.array_sort(entries), ",").alias(column)
+        return F.array_join(F.sort_array(entries), ",").alias(column)
 
     cases = judging.test_cases(fx.samples_orders(spark, sf))
     return judging.normalise_io(cases).select(
@@ -359,7 +364,7 @@ def variant_fallback(spark, sf):
 
 @query
 def broadcast_verdict(spark, sf):
-    verdicts = _verdicts(spark, sf)
+    verdicts = _stored_verdicts(spark, sf)
     return judging.broadcast_verdict(verdicts, judging.expected_tests(verdicts))
 
 
