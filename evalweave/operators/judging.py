@@ -177,7 +177,7 @@ def variant_fallback(statuses: DataFrame) -> DataFrame:
     The statuses are read twice, so they are written first: comparing outputs
     again would cost more than storing its narrow result.
     """
-    stored = scratch.write(statuses, "statuses").df
+    stored = scratch.store(statuses, "statuses")
     failed = (
         stored.filter(F.col("variant") == 1)
         .groupBy(*GENERATION)

@@ -3,10 +3,13 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalweave import scratch
 from evalweave.operators import skew
 
+Ids = DataFrame | scratch.Written
 
-def inputs_by_id(problems: DataFrame, ids: DataFrame) -> DataFrame:
+
+def inputs_by_id(problems: DataFrame, ids: Ids) -> DataFrame:
     """One ``input`` per wanted id; an id listed under several tags has one text.
 
     ``ids`` holds distinct ids. The text column only passes the shuffle for rows
@@ -18,11 +21,14 @@ def inputs_by_id(problems: DataFrame, ids: DataFrame) -> DataFrame:
 
 def lookup_inputs(problems: DataFrame, ids: DataFrame) -> DataFrame:
     """Text of every id, with ``found`` false for ids that do not exist."""
-    known = inputs_by_id(problems, ids).withColumn("found", F.lit(True))
-    return ids.join(known, "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    stored = scratch.write(ids, "ids")
+    known = inputs_by_id(problems, stored).withColumn("found", F.lit(True))
+    return stored.df.join(known, "id", "left").withColumn(
+        "found", F.coalesce("found", F.lit(False))
+    )
 
 
-def first_solutions(solutions: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def first_solutions(solutions: DataFrame, ids: Ids | None = None) -> DataFrame:
     """The first solution per problem, optionally for some ids only."""
     rows = solutions
     if ids is not None:
@@ -42,15 +48,28 @@ def context_ids(manifest: DataFrame) -> DataFrame:
     )
 
 
+def target_ids(manifest: DataFrame) -> DataFrame:
+    return manifest.select(F.col("target_id").alias("id")).distinct()
+
+
+def all_ids(manifest: DataFrame) -> DataFrame:
+    """Target and context ids in one pass."""
+    ids = manifest.select(F.explode(F.array("target_id", "context_id")).alias("id"))
+    return ids.filter(F.col("id").isNotNull()).distinct()
+
+
+def with_context(manifest: DataFrame, by_id: DataFrame) -> DataFrame:
+    """Manifest rows whose context is in ``by_id``, with its columns."""
+    return manifest.join(by_id.withColumnRenamed("id", "context_id"), "context_id")
+
+
 def context_members(problems: DataFrame, manifest: DataFrame) -> DataFrame:
     """The manifest's contexts that exist, with their text."""
-    texts = inputs_by_id(problems, context_ids(manifest))
-    return manifest.join(texts.withColumnRenamed("id", "context_id"), "context_id")
+    return with_context(manifest, inputs_by_id(problems, context_ids(manifest)))
 
 
 def context_pairs(problems: DataFrame, solutions: DataFrame, manifest: DataFrame) -> DataFrame:
     """Question and first solution of every context that has both."""
-    firsts = first_solutions(solutions, context_ids(manifest))
-    return context_members(problems, manifest).join(
-        firsts.withColumnRenamed("id", "context_id"), "context_id"
-    )
+    ids = scratch.write(context_ids(manifest), "context-ids")
+    members = with_context(manifest, inputs_by_id(problems, ids))
+    return with_context(members, first_solutions(solutions, ids))

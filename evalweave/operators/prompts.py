@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave import schemas
+from evalweave import schemas, scratch
 from evalweave.operators import lookup
 
 TARGET = ("grp", "target_id", "target_pos")
@@ -40,14 +40,32 @@ def _fill(wording: str, **values: Column) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def _targets(manifest: DataFrame) -> DataFrame:
-    return manifest.select(*TARGET).distinct()
+@dataclass(frozen=True)
+class Texts:
+    """The texts a manifest needs: ``inputs`` (id, input), ``solutions`` (id, solution)."""
+
+    inputs: DataFrame
+    solutions: DataFrame | None = None
 
 
-def _questions(problems: DataFrame, manifest: DataFrame, template: Template) -> DataFrame:
-    targets = _targets(manifest)
-    texts = lookup.inputs_by_id(problems, targets.select(F.col("target_id").alias("id")).distinct())
-    return targets.join(texts.withColumnRenamed("id", "target_id"), "target_id").select(
+def gather(problems: DataFrame, manifest: DataFrame, solutions: DataFrame | None = None) -> Texts:
+    """Fetch the texts of all ids in the manifest, scanning each table once.
+
+    Without ``solutions`` only the targets are fetched. What is kept is bounded
+    by the manifest; it is stored, as several joins read it.
+    """
+    if solutions is None:
+        return Texts(lookup.inputs_by_id(problems, lookup.target_ids(manifest)))
+    ids = scratch.write(lookup.all_ids(manifest), "ids")
+    return Texts(
+        scratch.store(lookup.inputs_by_id(problems, ids), "inputs"),
+        scratch.store(lookup.first_solutions(solutions, ids), "solutions"),
+    )
+
+
+def _questions(texts: Texts, manifest: DataFrame, template: Template) -> DataFrame:
+    targets = manifest.select(*TARGET).distinct()
+    return targets.join(texts.inputs.withColumnRenamed("id", "target_id"), "target_id").select(
         *TARGET, _fill(template.task, question=F.col("input")).alias("task_text")
     )
 
@@ -59,44 +77,34 @@ def _numbered(examples: Column, wording: str) -> Column:
     return F.array_join(F.transform(examples, line), "")
 
 
-def no_context(problems: DataFrame, manifest: DataFrame, template: Template = Template()) -> DataFrame:
-    return _questions(problems, manifest, template).withColumnRenamed("task_text", "prompt")
+def no_context(texts: Texts, manifest: DataFrame, template: Template = Template()) -> DataFrame:
+    return _questions(texts, manifest, template).withColumnRenamed("task_text", "prompt")
 
 
-def full_problem(
-    problems: DataFrame, solutions: DataFrame, manifest: DataFrame, template: Template = Template()
-) -> DataFrame:
+def full_problem(texts: Texts, manifest: DataFrame, template: Template = Template()) -> DataFrame:
     """Question and solution of each context, numbered from 0, before the task."""
-    examples = (
-        lookup.context_pairs(problems, solutions, manifest)
-        .groupBy(*TARGET)
-        .agg(F.sort_array(F.collect_list(F.struct("context_pos", "input", "solution"))).alias("examples"))
-    )
+    pairs = lookup.with_context(lookup.with_context(manifest, texts.inputs), texts.solutions)
+    example = F.struct("context_pos", "input", "solution")
+    examples = pairs.groupBy(*TARGET).agg(F.sort_array(F.collect_list(example)).alias("examples"))
     body = _numbered(F.col("examples"), template.full_example)
-    return _with_context(problems, manifest, template, examples, template.full_header, body)
+    return _with_context(texts, manifest, template, examples, template.full_header, body)
 
 
-def only_solutions(
-    problems: DataFrame, solutions: DataFrame, manifest: DataFrame, template: Template = Template()
-) -> DataFrame:
+def only_solutions(texts: Texts, manifest: DataFrame, template: Template = Template()) -> DataFrame:
     """Solutions of the contexts before the task; equal solutions appear once."""
-    firsts = lookup.first_solutions(solutions, lookup.context_ids(manifest))
     once = (
-        manifest.join(firsts.withColumnRenamed("id", "context_id"), "context_id")
+        lookup.with_context(manifest, texts.solutions)
         .groupBy(*TARGET, "solution")
         .agg(F.min("context_pos").alias("context_pos"))
     )
-    examples = once.groupBy(*TARGET).agg(
-        F.sort_array(
-            F.collect_list(F.struct("context_pos", F.lit("").alias("input"), "solution"))
-        ).alias("examples")
-    )
+    example = F.struct("context_pos", F.lit("").alias("input"), "solution")
+    examples = once.groupBy(*TARGET).agg(F.sort_array(F.collect_list(example)).alias("examples"))
     body = _numbered(F.col("examples"), template.solutions_example)
-    return _with_context(problems, manifest, template, examples, template.solutions_header, body)
+    return _with_context(texts, manifest, template, examples, template.solutions_header, body)
 
 
 def _with_context(
-    problems: DataFrame,
+    texts: Texts,
     manifest: DataFrame,
     template: Template,
     examples: DataFrame,
@@ -107,23 +115,22 @@ def _with_context(
     written = examples.select(*TARGET, body.alias("body"))
     head = _fill(header, group=F.col("grp"))
     return (
-        _questions(problems, manifest, template)
+        _questions(texts, manifest, template)
         .join(written, list(TARGET), "left")
         .select(*TARGET, F.concat(head, F.coalesce("body", F.lit("")), "task_text").alias("prompt"))
     )
 
 
+TREATMENTS = {
+    schemas.NO_CONTEXT: no_context,
+    schemas.FULL_PROBLEM: full_problem,
+    schemas.ONLY_SOLUTIONS: only_solutions,
+}
+
+
 def assemble(
-    treatment: str,
-    problems: DataFrame,
-    solutions: DataFrame,
-    manifest: DataFrame,
-    template: Template = Template(),
+    treatment: str, texts: Texts, manifest: DataFrame, template: Template = Template()
 ) -> DataFrame:
-    if treatment == schemas.NO_CONTEXT:
-        return no_context(problems, manifest, template)
-    if treatment == schemas.FULL_PROBLEM:
-        return full_problem(problems, solutions, manifest, template)
-    if treatment == schemas.ONLY_SOLUTIONS:
-        return only_solutions(problems, solutions, manifest, template)
-    raise ValueError(f"unknown treatment {treatment!r}")
+    if treatment not in TREATMENTS:
+        raise ValueError(f"unknown treatment {treatment!r}")
+    return TREATMENTS[treatment](texts, manifest, template)

@@ -93,7 +93,7 @@ def _candidates(
 
 def sample_contexts(
     candidates: DataFrame,
-    targets: DataFrame,
+    targets: DataFrame | scratch.Written,
     group_col: str,
     fixed: Mapping[str, object],
     n_contexts: int,
@@ -104,7 +104,7 @@ def sample_contexts(
     ``candidates`` may be another split than the targets came from. Draws of
     different targets are independent.
     """
-    pairs = _candidates(candidates, targets.select("grp", "target_id", "target_pos"), group_col, fixed, [])
+    pairs = _candidates(candidates, targets, group_col, fixed, [])
     order = [_draw(seed, "target_id", "context_id"), F.col("context_id")]
     return skew.top_n(pairs, TARGET_KEY, order, n_contexts, "context_pos").select(
         "grp", "target_id", "target_pos", "context_id", "context_pos"

@@ -2,6 +2,7 @@
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def manifest(
     ``candidates`` is the split contexts come from, if not the targets' own. A
     target with no candidate keeps one row without a context.
     """
-    chosen = scratch.write(targets(problems, design), "targets").df
+    chosen = scratch.write(targets(problems, design).drop("short"), "targets")
     contexts = sampling.sample_contexts(
         problems if candidates is None else candidates,
         chosen,
@@ -54,8 +55,7 @@ def manifest(
         design.n_contexts,
         design.seed,
     ).drop("target_pos")
-    joined = chosen.drop("short").join(contexts, list(sampling.TARGET_KEY), "left")
-    return scratch.write(joined, "manifest").df
+    return scratch.store(chosen.df.join(contexts, list(sampling.TARGET_KEY), "left"), "manifest")
 
 
 def all_prompts(
@@ -66,16 +66,12 @@ def all_prompts(
     treatments: Sequence[str] = schemas.TREATMENTS,
 ) -> DataFrame:
     """The prompt of every run: one row per target and treatment."""
+    texts = prompts.gather(problems, manifest_rows, solutions)
     parts = [
-        prompts.assemble(t, problems, solutions, manifest_rows, template).withColumn(
-            "context_type", F.lit(t)
-        )
+        prompts.assemble(t, texts, manifest_rows, template).withColumn("context_type", F.lit(t))
         for t in treatments
     ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    return reduce(DataFrame.unionByName, parts)
 
 
 def requests(
@@ -109,7 +105,7 @@ class Metrics:
 
 
 def evaluate(verdicts: DataFrame, ks: Sequence[int] = (1, 10, 100)) -> Metrics:
-    totals = scratch.write(scoring.task_totals(verdicts), "totals").df
+    totals = scratch.store(scoring.task_totals(verdicts), "totals")
     return Metrics(
         detail=scoring.pass_at_k_detail(totals, ks),
         pass_at_k=scoring.pass_at_k(totals, ks),

@@ -37,20 +37,21 @@ class Written:
     bytes: int
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once, for plans that read it more than once."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write(df: DataFrame, name: str) -> Written:
-    """Write ``df`` once and measure it in the same job."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    """Store ``df`` and measure it in the same job."""
     seen = Observation()
-    (
-        df.observe(
-            seen,
-            F.count(F.lit(1)).alias("rows"),
-            F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes"),
-        )
-        .write.parquet(path)
+    measured = df.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes"),
     )
+    stored = store(measured, name)
     size = seen.get
-    return Written(
-        spark.read.schema(df.schema).parquet(path), size["rows"], size["bytes"] or 0
-    )
+    return Written(stored, size["rows"], size["bytes"] or 0)

@@ -51,7 +51,7 @@ def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stored_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """For queries that read the verdicts more than once."""
-    return scratch.write(_verdicts(spark, sf), "verdicts").df
+    return scratch.store(_verdicts(spark, sf), "verdicts")
 
 
 # Sources and sinks
@@ -247,7 +247,7 @@ def sample_targets_by_difficulty(spark, sf):
 @query
 def sample_contexts(spark, sf):
     problems = fx.problems_parts(spark, sf)
-    chosen = scratch.write(experiment.targets(problems, PARTS), "targets").df
+    chosen = experiment.targets(problems, PARTS).drop("short")
     return sampling.sample_contexts(
         problems, chosen, PARTS.group_col, PARTS.fixed, PARTS.n_contexts, PARTS.seed
     )
@@ -259,7 +259,7 @@ def sample_contexts_cross(spark, sf):
     docs = fx.problems_docs(spark, sf)
     labelled = fx.table(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct()
     test, train = docs.join(labelled, "id", "left_semi"), docs.join(labelled, "id", "left_anti")
-    chosen = experiment.targets(test, DOCS)
+    chosen = experiment.targets(test, DOCS).drop("short")
     return sampling.sample_contexts(
         train, chosen, DOCS.group_col, DOCS.fixed, DOCS.n_contexts, DOCS.seed
     )
@@ -279,21 +279,22 @@ def context_cosine(spark, sf):
 
 @query
 def prompts_no_context(spark, sf):
-    return prompts.no_context(fx.problems_docs(spark, sf), _docs_manifest(spark, sf))
+    manifest = _docs_manifest(spark, sf)
+    return prompts.no_context(prompts.gather(fx.problems_docs(spark, sf), manifest), manifest)
 
 
 @query
 def prompts_full_problem(spark, sf):
-    return prompts.full_problem(
-        fx.problems_docs(spark, sf), fx.solutions_docs(spark, sf), _docs_manifest(spark, sf)
-    )
+    manifest = _docs_manifest(spark, sf)
+    texts = prompts.gather(fx.problems_docs(spark, sf), manifest, fx.solutions_docs(spark, sf))
+    return prompts.full_problem(texts, manifest)
 
 
 @query
 def prompts_only_solutions(spark, sf):
-    return prompts.only_solutions(
-        fx.problems_docs(spark, sf), fx.solutions_docs(spark, sf), _docs_manifest(spark, sf)
-    )
+    manifest = _docs_manifest(spark, sf)
+    texts = prompts.gather(fx.problems_docs(spark, sf), manifest, fx.solutions_docs(spark, sf))
+    return prompts.only_solutions(texts, manifest)
 
 
 @query
