@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import text
 
-DIGITS_AND_BLANKS = r"(?U)\A[\s\x1c-\x1f0-9]*\z"
+# Cheap tests that rule a tier out before any array is built.
+DIGITS_AND_BLANKS = r"(?U)\A[\s\x1c-\x1f0-9]*+\z"
+NUMBERS_AND_BLANKS = r"(?Ui)\A[\s\x1c-\x1f0-9.e+_infaty-]*+\z"
+TWO_CHARACTERS = r"(?U)[^\s\x1c-\x1f]{2}"
 
 
 def _set(values: Column) -> Column:
@@ -51,9 +54,13 @@ def digits_close(actual: Column, expected: Column) -> Column:
 
 
 def charset(actual: Column, expected: Column) -> Column:
-    """Each output token, as a set of characters, is the token set of a line."""
-    return _sets_of(text.tokens(actual), text.characters, _set_text) == _sets_of(
-        text.filled_lines(expected), text.tokens, _set_text
+    """Each output token, as a set of characters, is the token set of a line.
+
+    So no expected token may be longer than one character.
+    """
+    return ~expected.rlike(TWO_CHARACTERS) & (
+        _sets_of(text.tokens(actual), text.characters, _set_text)
+        == _sets_of(text.filled_lines(expected), text.tokens, _set_text)
     )
 
 
@@ -63,9 +70,13 @@ def charset_rounded(actual: Column, expected: Column) -> Column:
     def digits(token: Column) -> Column:
         return F.transform(text.characters(token), lambda c: F.concat(c, F.lit(".0")))
 
-    return actual.rlike(DIGITS_AND_BLANKS) & (
-        _sets_of(text.tokens(actual), digits, _set_text)
-        == _sets_of(text.filled_lines(expected), text.tokens, _expected_numbers)
+    return (
+        actual.rlike(DIGITS_AND_BLANKS)
+        & expected.rlike(NUMBERS_AND_BLANKS)
+        & (
+            _sets_of(text.tokens(actual), digits, _set_text)
+            == _sets_of(text.filled_lines(expected), text.tokens, _expected_numbers)
+        )
     )
 
 
@@ -73,8 +84,12 @@ def lines(actual: Column, expected: Column) -> Column:
     return text.trimmed_lines(actual) == text.trimmed_lines(expected)
 
 
+def _both_numeric(actual: Column, expected: Column) -> Column:
+    return actual.rlike(NUMBERS_AND_BLANKS) & expected.rlike(NUMBERS_AND_BLANKS)
+
+
 def numeric(actual: Column, expected: Column) -> Column:
-    return text.all_close(
+    return _both_numeric(actual, expected) & text.all_close(
         F.transform(text.tokens(actual), text.parse_float),
         F.transform(text.tokens(expected), text.parse_float),
     )
@@ -100,7 +115,9 @@ def _expected_numbers(values: Column) -> Column:
 
 def rounded(actual: Column, expected: Column) -> Column:
     a, e = text.spaced_lines(actual), text.spaced_lines(expected)
-    return _line_sets(a, _actual_numbers) == _line_sets(e, _expected_numbers)
+    return _both_numeric(actual, expected) & (
+        _line_sets(a, _actual_numbers) == _line_sets(e, _expected_numbers)
+    )
 
 
 TIERS = {

@@ -78,23 +78,21 @@ def unreadable_samples(samples: DataFrame) -> DataFrame:
     )
 
 
-def _stdin_text(json: Column) -> Column:
+def _stdin_text(value: Column, listed: Column) -> Column:
     """A string as it is, a list of strings joined by newline, else null."""
-    value = F.try_parse_json(json)
-    listed = F.try_variant_get(value, "$", "array<variant>")
     strings = F.transform(listed, lambda v: F.try_variant_get(v, "$", "string"))
-    whole = F.when(
-        F.forall(listed, lambda v: F.schema_of_variant(v) == "STRING"),
-        F.array_join(strings, "\n"),
-    )
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).when(
-        listed.isNotNull(), whole
-    )
+    only_strings = F.forall(listed, lambda v: F.schema_of_variant(v) == "STRING")
+    return F.when(
+        F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")
+    ).when(only_strings, F.array_join(strings, "\n"))
+
 
+def _object(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, path, "map<string,variant>")
 
-def _int_keyed(value: Column) -> Column:
-    """A JSON object as a map with integer keys; null if a key is no integer."""
-    entries = F.try_variant_get(value, "$", "map<string,variant>")
+
+def _int_keyed(entries: Column) -> Column:
+    """The map with integer keys; null if a key is no integer or two are equal."""
     keys = F.transform(F.map_keys(entries), lambda k: k.try_cast("bigint"))
     usable = F.forall(keys, lambda k: k.isNotNull()) & (F.size(F.array_distinct(keys)) == F.size(keys))
     texts = F.transform(F.map_values(entries), lambda v: F.to_json(v))
@@ -108,20 +106,33 @@ def normalise_io(tests: DataFrame) -> DataFrame:
     JSON object, or a list starting with one, also get the integer-keyed map that
     object stands for (``input_map``, ``expected_map``).
     """
+    kept = ("id", "test_idx", "test_type", "fn_name", "input", "expected")
     is_stdin = F.col("test_type") == STANDARD_INPUT
-    first_input = F.try_variant_get(F.try_parse_json("input"), "$[0]", "variant")
-    expected = F.try_parse_json("expected")
-    first_expected = F.try_variant_get(expected, "$[0]", "variant")
-    expected_map = F.coalesce(_int_keyed(expected), _int_keyed(first_expected))
-    return tests.select(
+    given, wanted = F.col("given"), F.col("wanted")
+    # Each value is parsed in a step of its own, as later steps use it repeatedly.
+    parsed = tests.select(
+        *kept, F.try_parse_json("input").alias("given"), F.try_parse_json("expected").alias("wanted")
+    )
+    opened = parsed.select(
+        *kept,
+        "given",
+        "wanted",
+        F.when(is_stdin, F.try_variant_get(given, "$", "array<variant>")).alias("given_list"),
+        F.when(is_stdin, F.try_variant_get(wanted, "$", "array<variant>")).alias("wanted_list"),
+        F.when(~is_stdin, _object(given, "$[0]")).alias("given_entries"),
+        F.when(~is_stdin, F.coalesce(_object(wanted, "$"), _object(wanted, "$[0]"))).alias("wanted_entries"),
+    )
+    return opened.select(
         "id",
         "test_idx",
         "test_type",
         "fn_name",
-        F.when(is_stdin, _stdin_text(F.col("input"))).otherwise(F.col("input")).alias("input"),
-        F.when(is_stdin, _stdin_text(F.col("expected"))).otherwise(F.col("expected")).alias("expected"),
-        F.when(~is_stdin, _int_keyed(first_input)).alias("input_map"),
-        F.when(~is_stdin, expected_map).alias("expected_map"),
+        F.when(is_stdin, _stdin_text(given, F.col("given_list"))).otherwise(F.col("input")).alias("input"),
+        F.when(is_stdin, _stdin_text(wanted, F.col("wanted_list")))
+        .otherwise(F.col("expected"))
+        .alias("expected"),
+        _int_keyed(F.col("given_entries")).alias("input_map"),
+        _int_keyed(F.col("wanted_entries")).alias("expected_map"),
     )
 
 

@@ -15,7 +15,7 @@ def inputs_by_id(problems: DataFrame, ids: Ids) -> DataFrame:
     ``ids`` holds distinct ids. The text column only passes the shuffle for rows
     whose id is wanted.
     """
-    wanted = skew.attach(problems.select("id", "tags", "input"), ids, ["id"], ["tags"], "left_semi")
+    wanted = skew.attach(problems.select("id", "tags", "input"), ids, ["id"], how="left_semi")
     return wanted.groupBy("id").agg(F.min_by("input", F.coalesce("tags", F.lit(""))).alias("input"))
 
 

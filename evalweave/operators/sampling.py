@@ -136,7 +136,7 @@ def nearest_contexts(
         F.col("length").alias("target_length"),
     )
     picked = targets.select("grp", "target_id", "target_pos")
-    with_vectors = skew.attach(chosen, picked, TARGET_KEY, ["target_id"])
+    with_vectors = skew.attach(chosen, picked, TARGET_KEY)
     pairs = _candidates(rows, with_vectors, group_col, {}, ["vector", "length"])
     product = vectors.dot(F.col("vector"), F.col("target_vector"))
     lengths = F.col("length") * F.col("target_length")

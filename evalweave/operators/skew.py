@@ -9,12 +9,20 @@ from evalweave import scratch
 
 # A table is sent to every executor only if its measured size is below this.
 BROADCAST_BYTES = 32 * 1024 * 1024
+# Otherwise it is copied once per salt, up to this much in all.
+COPIES_BYTES = 64 * 1024**3
 MAX_SALTS = 256
 _SALT = "_salt"
 
 
-def salts(spark: SparkSession) -> int:
-    return min(MAX_SALTS, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def salts(spark: SparkSession, table_bytes: int = 0) -> int:
+    """Salts to use: as many as shuffle partitions, fewer for a large table.
+
+    Two are enough to keep later steps from relying on the join's partitioning,
+    which is what lets adaptive execution split a skewed partition.
+    """
+    most = min(MAX_SALTS, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(2, min(most, COPIES_BYTES // max(1, table_bytes)))
 
 
 def salt_of(count: int, *columns: str) -> Column:
@@ -26,7 +34,7 @@ def attach(
     big: DataFrame,
     per_key: DataFrame | scratch.Written,
     on: Sequence[str],
-    spread: Sequence[str],
+    spread: Sequence[str] = (),
     how: str = "inner",
 ) -> DataFrame:
     """Join ``big`` to a table with few rows per key (inner, left, left_semi or left_anti).
@@ -34,12 +42,15 @@ def attach(
     ``per_key`` is written to shared storage, which measures it. A small one is
     broadcast, so ``big`` is not shuffled. Otherwise both sides are salted by
     ``spread``, columns of ``big`` that vary within a key: a key holding a third
-    of all rows then becomes many shuffle partitions instead of one.
+    of all rows then becomes many shuffle partitions instead of one. Without
+    ``spread``, for keys that are nearly unique in ``big``, the join is plain.
     """
     table = per_key if isinstance(per_key, scratch.Written) else scratch.write(per_key, "keys")
     if table.bytes <= BROADCAST_BYTES:
         return big.join(F.broadcast(table.df), list(on), how)
-    count = salts(big.sparkSession)
+    if not spread:
+        return big.join(table.df, list(on), how)
+    count = salts(big.sparkSession, table.bytes)
     copies = table.df.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     return (
         big.withColumn(_SALT, salt_of(count, *spread))

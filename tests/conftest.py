@@ -24,8 +24,14 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture
-def salted(monkeypatch):
-    """No table is small enough to broadcast."""
+def salted(spark, monkeypatch):
+    """No table is small enough to broadcast, not even for Spark itself."""
     from evalweave.operators import skew
 
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
     monkeypatch.setattr(skew, "BROADCAST_BYTES", -1)
+    for name in settings:
+        spark.conf.set(name, "-1")
+    yield
+    for name in settings:
+        spark.conf.unset(name)

@@ -201,3 +201,11 @@ def test_written_size(spark):
     assert written.rows == 10 and written.bytes == 10 * len('{"id":0}')
     assert written.df.count() == 10
     assert scratch.write(spark.range(0), "nothing").bytes == 0
+    none = spark.range(10).groupBy("id").count().filter("count > 5")
+    assert scratch.write(none.join(spark.range(5), "id"), "nothing").rows == 0
+
+
+def test_salts_shrink_with_the_copied_table(spark):
+    assert skew.salts(spark) == 8
+    assert skew.salts(spark, skew.COPIES_BYTES // 5) == 5
+    assert skew.salts(spark, skew.COPIES_BYTES * 10) == 2

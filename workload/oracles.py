@@ -282,6 +282,40 @@ def _manifest_json() -> str:
         group by grp"""
 
 
+_VERDICT_CODES = """
+    select task_id, gen_idx, test_idx, case status when 'passed' then 1 when 'false' then 0
+      when 'timeout' then -1 else -3 end as verdict
+    from resolved join orders on o_orderkey = gen_idx where o_orderpriority <> '5-LOW'
+    union all
+    select o_custkey, o_orderkey, 0, -2 from orders where o_orderpriority = '5-LOW'
+    union all
+    select o_custkey, o_orderkey, i, -1
+    from orders join (select task_id, unnest(range(n_tests)) as i from task_tests) x on x.task_id = o_custkey
+    where o_orderpriority <> '5-LOW' and o_orderkey not in (select l_orderkey from lineitem)"""
+VIEWS["coded"] = _VERDICT_CODES
+
+_PROMPTS = {
+    "no_context": "select grp, target_id, target_pos, task as prompt from tasks",
+    "full_problem": """
+        select t.grp, t.target_id, t.target_pos,
+          'Topic: ' || t.grp || '. Solved tasks come first.' || chr(10)
+          || string_agg('Task ' || i || ':' || chr(10) || input || chr(10) || 'Program ' || i || ':' || chr(10)
+               || solution || chr(10), '' order by i) || any_value(task) as prompt
+        from tasks t join (select *, row_number() over (partition by grp, target_id order by context_pos) - 1 as i
+                           from context_rows) c on c.grp = t.grp and c.target_id = t.target_id
+        group by t.grp, t.target_id, t.target_pos""",
+    "only_solutions": """
+        select t.grp, t.target_id, t.target_pos,
+          'Topic: ' || t.grp || '. Programs for similar tasks come first.' || chr(10)
+          || string_agg('Program ' || i || ':' || chr(10) || solution || chr(10), '' order by i)
+          || any_value(task) as prompt
+        from tasks t join (
+          select grp, target_id, solution, row_number() over (partition by grp, target_id order by first_pos) - 1 as i
+          from (select grp, target_id, solution, min(context_pos) as first_pos from context_rows group by all)) c
+        on c.grp = t.grp and c.target_id = t.target_id
+        group by t.grp, t.target_id, t.target_pos""",
+}
+
 ORACLES = {
     "scan_problems": "select * from problems_docs",
     "scan_arrow_ipc": "select * from part",
@@ -358,25 +392,10 @@ ORACLES = {
         select grp, target_id, target_pos, context_id, cosine, cast(pos - 1 as integer) as context_pos
         from (select *, row_number() over (partition by grp, target_id order by cosine desc, context_id) as pos
               from scored) where pos <= 4""",
-    "prompts_no_context": "select grp, target_id, target_pos, task as prompt from tasks",
-    "prompts_full_problem": """
-        select t.grp, t.target_id, t.target_pos,
-          'Topic: ' || t.grp || '. Solved tasks come first.' || chr(10)
-          || string_agg('Task ' || i || ':' || chr(10) || input || chr(10) || 'Program ' || i || ':' || chr(10)
-               || solution || chr(10), '' order by i) || any_value(task) as prompt
-        from tasks t join (select *, row_number() over (partition by grp, target_id order by context_pos) - 1 as i
-                           from context_rows) c on c.grp = t.grp and c.target_id = t.target_id
-        group by t.grp, t.target_id, t.target_pos""",
-    "prompts_only_solutions": """
-        select t.grp, t.target_id, t.target_pos,
-          'Topic: ' || t.grp || '. Programs for similar tasks come first.' || chr(10)
-          || string_agg('Program ' || i || ':' || chr(10) || solution || chr(10), '' order by i)
-          || any_value(task) as prompt
-        from tasks t join (
-          select grp, target_id, solution, row_number() over (partition by grp, target_id order by first_pos) - 1 as i
-          from (select grp, target_id, solution, min(context_pos) as first_pos from context_rows group by all)) c
-        on c.grp = t.grp and c.target_id = t.target_id
-        group by t.grp, t.target_id, t.target_pos""",
+    **{f"prompts_{name}": text for name, text in _PROMPTS.items()},
+    "prompts_by_run": " union all ".join(
+        f"select *, '{name}' as context_type from ({text})" for name, text in _PROMPTS.items()
+    ),
     "run_grid": _grid("parts", "run_index between 0 and 75"),
     "run_grid_by_difficulty": _grid("by_lang", "run_index >= 0 and run_index < 45"),
     "generation_requests": _requests(60, 25),
@@ -405,16 +424,14 @@ ORACLES = {
         union all
         select task_id, gen_idx, test_idx, verdict from verdicts
         where gen_idx in (select gen_idx from verdicts group by gen_idx having count(*) > 1)""",
-    "verdict_codes": """
-        select task_id, gen_idx, test_idx, case status when 'passed' then 1 when 'false' then 0
-          when 'timeout' then -1 else -3 end as verdict
-        from resolved join orders on o_orderkey = gen_idx where o_orderpriority <> '5-LOW'
-        union all
-        select o_custkey, o_orderkey, 0, -2 from orders where o_orderpriority = '5-LOW'
-        union all
-        select o_custkey, o_orderkey, i, -1
-        from orders join (select task_id, unnest(range(n_tests)) as i from task_tests) x on x.task_id = o_custkey
-        where o_orderpriority <> '5-LOW' and o_orderkey not in (select l_orderkey from lineitem)""",
+    "verdict_codes": "select * from coded",
+    "scores_from_attempts": """
+        select task_id, count(*) as n, count(*) filter (where ok) as c,
+          round(sum(hits) / (count(*) * max(len)), 9) as total,
+          round(count(*) filter (where ok) / count(*), 9) as pass_at_1
+        from (select task_id, gen_idx, min(verdict) > 0 as ok, count(*) filter (where verdict = 1) as hits,
+                max(test_idx) + 1 as len from coded group by all)
+        group by task_id""",
     "compare_exact": _tier("exact"),
     "compare_digits_close": _tier("digits_close"),
     "compare_charset": _tier("charset"),

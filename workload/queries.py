@@ -297,6 +297,12 @@ def prompts_only_solutions(spark, sf):
     return prompts.only_solutions(texts, manifest)
 
 
+@query
+def prompts_by_run(spark, sf):
+    problems, solutions = fx.problems_docs(spark, sf), fx.solutions_docs(spark, sf)
+    return experiment.all_prompts(problems, solutions, _docs_manifest(spark, sf))
+
+
 @query
 def run_grid(spark, sf):
     chosen = experiment.targets(fx.problems_parts(spark, sf), PARTS)
@@ -375,6 +381,15 @@ def verdict_codes(spark, sf):
     return experiment.judge(fx.generations_orders(spark, sf), fx.attempts_lines(spark, sf), tests)
 
 
+@query
+def scores_from_attempts(spark, sf):
+    """The whole evaluation: attempts, verdicts, per-task scores."""
+    scored = experiment.evaluate(verdict_codes(spark, sf), ks=[1]).normalized_sum
+    estimate = scoring.passk.pass_at_k(F.col("n"), F.col("c"), F.lit(1))
+    scores = scored.withColumn("pass_at_1", estimate).drop("hits", "max_tests")
+    return _rounded(scores, "pass_at_1", "total")
+
+
 def _compare(tier: str) -> Query:
     def build(spark, sf):
         return fx.pairs_lines(spark, sf).withColumn(
