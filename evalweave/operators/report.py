@@ -53,15 +53,15 @@ def stage_durations(clock: DataFrame) -> DataFrame:
     ``clock``: run_id, stage, ts. The total is taken from the stages' bounds.
     """
     stages = clock.groupBy("run_id", "stage").agg(F.min("ts").alias("begin"), F.max("ts").alias("end"))
-    whole = (
-        stages.groupBy("run_id")
-        .agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-        .withColumn("stage", F.lit("total"))
+    run, stage = F.col("run_id"), F.col("stage")
+    bounds = stages.groupingSets([[run, stage], [run]], run, stage).agg(
+        F.min("begin").alias("begin"), F.max("end").alias("end"), F.grouping("stage").alias("whole")
     )
     # An interval, as timestamps may come with or without time zone.
     elapsed = (F.col("end") - F.col("begin")).cast("interval second")
     seconds = elapsed.cast("decimal(18,6)").cast("double")
-    return stages.unionByName(whole).select("run_id", "stage", seconds.alias("seconds"))
+    name = F.when(F.col("whole") == 1, "total").otherwise(stage)
+    return bounds.select("run_id", name.alias("stage"), seconds.alias("seconds"))
 
 
 def run_name(parts: Sequence[str] = ("task_id", "context_type", "grp")) -> Column:

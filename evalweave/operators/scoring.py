@@ -57,6 +57,21 @@ def task_totals(verdicts: DataFrame, by: Sequence[str] = TASK) -> DataFrame:
     )
 
 
+def vector_totals(results: DataFrame, by: Sequence[str] = TASK) -> DataFrame:
+    """``task_totals`` of rows that hold a generation's whole ``verdicts`` array.
+
+    Nothing has to be brought together per generation, so one aggregate, combined
+    before its only shuffle, is enough. Works on streams too.
+    """
+    passed = F.filter("verdicts", lambda v: v == schemas.PASSED)
+    return results.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.forall("verdicts", lambda v: v > 0)).alias("c"),
+        F.sum(F.size(passed).cast("long")).alias("hits"),
+        F.max(F.size("verdicts")).alias("max_tests"),
+    )
+
+
 def _with_k(totals: DataFrame, ks: Sequence[int]) -> DataFrame:
     if not ks or min(ks) < 1:
         raise ValueError("every k must be at least 1")
@@ -68,7 +83,11 @@ def _estimate() -> Column:
 
 
 def pass_at_k_detail(totals: DataFrame, ks: Sequence[int]) -> DataFrame:
-    """pass@k per task, for each k that every task has enough generations for."""
+    """pass@k per task, for each k that every task has enough generations for.
+
+    ``totals`` is read twice, for the smallest n and for the rows: store it first
+    if it is expensive.
+    """
     fewest = totals.agg(F.min("n")).scalar()
     return _with_k(totals, ks).filter(F.col("k") <= fewest).withColumn("pass_at_k", _estimate())
 

@@ -22,13 +22,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 def live_scores(results: DataFrame) -> DataFrame:
     """pass@1 and normalised sum per task; works on streams and on tables."""
-    passed = F.filter("verdicts", lambda v: v == 1)
-    totals = results.groupBy("task_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.forall("verdicts", lambda v: v > 0)).alias("c"),
-        F.sum(F.size(passed).cast("long")).alias("hits"),
-        F.max(F.size("verdicts")).alias("max_tests"),
-    )
+    totals = scoring.vector_totals(results)
     return totals.select(
         "task_id",
         "n",

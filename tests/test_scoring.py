@@ -19,10 +19,21 @@ CASES = [
 
 
 @pytest.fixture(scope="module")
-def verdicts(spark):
+def vectors(spark):
     rows = [(t, g, v) for t, case in enumerate(CASES) for g, v in enumerate(case[0])]
-    df = spark.createDataFrame(rows, "task_id bigint, gen_idx bigint, verdicts array<int>")
-    return scoring.explode_results(df)
+    return spark.createDataFrame(rows, "task_id bigint, gen_idx bigint, verdicts array<int>")
+
+
+@pytest.fixture(scope="module")
+def verdicts(vectors):
+    return scoring.explode_results(vectors)
+
+
+def test_vectors_score_like_rows(vectors, verdicts):
+    def rows(df):
+        return sorted(map(tuple, df.collect()))
+
+    assert rows(scoring.vector_totals(vectors)) == rows(scoring.task_totals(verdicts))
 
 
 def test_hand_written_scores(verdicts):
