@@ -220,14 +220,15 @@ def _tests_from(generations: DataFrame, tests: DataFrame, first: int) -> DataFra
 
 
 def broadcast_verdict(verdicts: DataFrame, tests: DataFrame) -> DataFrame:
-    """A generation with a single verdict has it for all tests of its task.
+    """A judged generation with a single verdict has it for all tests of its task.
 
-    The verdict itself, at position 0, stays; only its copies are added.
+    The verdict itself, at position 0, stays; only its copies are added. The single
+    verdict of a program that did not compile is not copied.
     """
     single = (
         verdicts.groupBy(*GENERATION)
         .agg(F.count(F.lit(1)).alias("n_verdicts"), F.max("verdict").alias("verdict"))
-        .filter(F.col("n_verdicts") == 1)
+        .filter((F.col("n_verdicts") == 1) & (F.col("verdict") != schemas.COMPILE_ERROR))
         .drop("n_verdicts")
     )
     columns = [*GENERATION, "test_idx", "verdict"]

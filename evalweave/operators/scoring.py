@@ -26,6 +26,16 @@ def explode_results(results: DataFrame) -> DataFrame:
     )
 
 
+def collect_results(verdicts: DataFrame, by: Sequence[str] = TASK) -> DataFrame:
+    """One row per generation with its ``verdicts`` array, the inverse of ``explode_results``.
+
+    For exports: an array is as long as the problem has tests.
+    """
+    cell = F.when(F.col("test_idx").isNotNull(), F.struct("test_idx", "verdict"))
+    cells = verdicts.groupBy(*by, "gen_idx").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    return cells.select(*by, "gen_idx", F.col("cells.verdict").alias("verdicts"))
+
+
 def _passed() -> Column:
     return F.col("verdict") == schemas.PASSED
 

@@ -15,7 +15,8 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -25,6 +26,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import LongType, StringType, StructType
 
+from evalweave.operators import skew
+
 # Workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -214,6 +217,33 @@ def read_arrow(
     return reader.load(path)
 
 
+def number_rows(df: DataFrame, column: str = "id") -> DataFrame:
+    """Rows of ``read_arrow(position=True)`` numbered from 0 over all files in name order.
+
+    For data sets whose ids are row positions. Only row counts per record batch
+    are added up, within each file and then over one row per file.
+    """
+    batch = F.shiftright(FILE_POS, 32).alias("_batch")
+    batches = df.groupBy(FILE_NAME, batch).agg(F.count(F.lit(1)).alias("_rows"))
+    within = Window.partitionBy(FILE_NAME).orderBy("_batch").rowsBetween(Window.unboundedPreceding, -1)
+    files = batches.groupBy(FILE_NAME).agg(F.sum("_rows").alias("_size"))
+    over_files = Window.orderBy(FILE_NAME).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    starts = batches.select(
+        FILE_NAME, "_batch", F.coalesce(F.sum("_rows").over(within), zero).alias("_in_file")
+    ).join(
+        files.select(FILE_NAME, F.coalesce(F.sum("_size").over(over_files), zero).alias("_before")),
+        FILE_NAME,
+    )
+    first = starts.select(FILE_NAME, "_batch", (F.col("_before") + F.col("_in_file")).alias("_first"))
+    row = F.col(FILE_POS).bitwiseAND(F.lit((1 << 32) - 1))
+    return (
+        skew.attach(df.withColumn("_batch", batch), first, [FILE_NAME, "_batch"])
+        .withColumn(column, F.col("_first") + row)
+        .drop("_batch", "_first", FILE_NAME, FILE_POS)
+    )
+
+
 def write_arrow(df: DataFrame, path: str) -> None:
     df.sparkSession.dataSource.register(ArrowIpc)
     df.write.format("arrow_ipc").mode("append").save(path)

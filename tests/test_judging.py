@@ -75,7 +75,7 @@ def test_verdicts_of_unjudged_generations(spark):
 
 def test_broadcast_verdict(spark):
     verdicts = spark.createDataFrame(
-        [(1, 1, 0, 1), (1, 2, 0, 0), (1, 2, 1, 1), (2, 3, 0, -2)],
+        [(1, 1, 0, 1), (1, 2, 0, 0), (1, 2, 1, 1), (1, 4, 0, -2), (2, 3, 0, -3)],
         "task_id bigint, gen_idx bigint, test_idx int, verdict int",
     )
     tests = spark.createDataFrame([(1, 3), (2, 1)], "task_id bigint, n_tests int")
@@ -86,7 +86,8 @@ def test_broadcast_verdict(spark):
         (1, 2, 1),
         (2, 0, 0),
         (2, 1, 1),
-        (3, 0, -2),
+        (3, 0, -3),
+        (4, 0, -2),
     ]
 
 

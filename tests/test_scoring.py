@@ -36,6 +36,10 @@ def test_vectors_score_like_rows(vectors, verdicts):
     assert rows(scoring.vector_totals(vectors)) == rows(scoring.task_totals(verdicts))
 
 
+def test_vectors_come_back(vectors, verdicts):
+    assert sorted(map(tuple, scoring.collect_results(verdicts).collect())) == sorted(map(tuple, vectors.collect()))
+
+
 def test_hand_written_scores(verdicts):
     totals = scoring.task_totals(verdicts)
     detail = scoring.pass_at_k_detail(totals, [1, 2, 3]).collect()

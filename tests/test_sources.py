@@ -43,6 +43,17 @@ def test_arrow_file_is_read_in_ranges(spark, tmp_path, monkeypatch):
     assert [r.id for r in rows] == list(range(1000))
 
 
+def test_row_numbers_over_files(spark, tmp_path):
+    table = _table(100)
+    _write_file(tmp_path / "a.arrow", table.slice(0, 33), 10)
+    _write_file(tmp_path / "b.arrow", table.slice(33, 1), 10)
+    _write_file(tmp_path / "c.arrow", table.slice(34), 7)
+    df = arrow_ipc.read_arrow(spark, str(tmp_path), position=True).withColumnRenamed("id", "value")
+    numbered = arrow_ipc.number_rows(df)
+    assert numbered.columns == ["value", "solution", "unused", "id"]
+    assert all(r.id == r.value for r in numbered.collect())
+
+
 def test_first_solution_of_an_arrow_file(spark, tmp_path):
     table = pa.table({"id": [2, 1, 2, 1], "solution": ["a", "b", "c", "d"]})
     _write_file(tmp_path / "a.arrow", table, 1)

@@ -289,7 +289,7 @@ _VERDICT_CODES = """
     union all
     select o_custkey, o_orderkey, 0, -2 from orders where o_orderpriority = '5-LOW'
     union all
-    select o_custkey, o_orderkey, i, -1
+    select o_custkey, o_orderkey, cast(i as integer), -1
     from orders join (select task_id, unnest(range(n_tests)) as i from task_tests) x on x.task_id = o_custkey
     where o_orderpriority <> '5-LOW' and o_orderkey not in (select l_orderkey from lineitem)"""
 VIEWS["coded"] = _VERDICT_CODES
@@ -418,12 +418,13 @@ ORACLES = {
     "resolve_attempts": "select * from statuses",
     "variant_fallback": "select * from resolved",
     "broadcast_verdict": """
-        select v.task_id, v.gen_idx, x.i as test_idx, v.verdict
-        from (select task_id, gen_idx, max(verdict) as verdict from verdicts group by all having count(*) = 1) v
+        select v.task_id, v.gen_idx, cast(x.i as integer) as test_idx, v.verdict
+        from (select task_id, gen_idx, max(verdict) as verdict from verdicts group by all
+              having count(*) = 1 and max(verdict) <> -2) v
         join (select task_id, unnest(range(n_tests)) as i from task_tests) x on x.task_id = v.task_id
         union all
-        select task_id, gen_idx, test_idx, verdict from verdicts
-        where gen_idx in (select gen_idx from verdicts group by gen_idx having count(*) > 1)""",
+        select task_id, gen_idx, test_idx, verdict from verdicts where gen_idx in (
+          select gen_idx from verdicts group by gen_idx having count(*) > 1 or max(verdict) = -2)""",
     "verdict_codes": "select * from coded",
     "scores_from_attempts": """
         select task_id, count(*) as n, count(*) filter (where ok) as c,
@@ -462,6 +463,9 @@ ORACLES = {
             else false end as matched
         from (select *, cast(l_partkey as string) as p, cast(l_suppkey as string) as s from lineitem)""",
     "generation_correct": "select * from gens",
+    "results_by_generation": """
+        select task_id, gen_idx, '[' || string_agg(cast(verdict as string), ',' order by test_idx) || ']' as verdicts
+        from verdicts group by all""",
     "pass_at_k_detail": _detail("event_totals"),
     "pass_at_k_detail_orders": _detail("totals"),
     "pass_at_k": f"""

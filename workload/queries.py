@@ -425,6 +425,12 @@ def generation_correct(spark, sf):
     return scoring.generation_correct(_verdicts(spark, sf))
 
 
+@query
+def results_by_generation(spark, sf):
+    vectors = scoring.collect_results(_verdicts(spark, sf))
+    return vectors.withColumn("verdicts", F.to_json("verdicts"))
+
+
 @query
 def pass_at_k_detail(spark, sf):
     totals = scratch.store(scoring.task_totals(fx.events_gens(spark, sf)), "totals")
