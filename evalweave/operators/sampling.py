@@ -4,6 +4,7 @@ Manifests are long tables: ``(grp, target_id, target_pos)`` for targets and
 ``(grp, target_id, target_pos, context_id, context_pos)`` with contexts.
 """
 
+import dataclasses
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,11 @@ from evalweave.operators import skew
 
 TARGET_KEY = ("grp", "target_id")
 
+# From this group size on, draws that cannot be among the first are dropped unsorted.
+LARGE_GROUP = 100_000
+# Above every hexadecimal digit.
+_NO_BOUND = "g"
+
 
 def _members(problems: DataFrame, group_col: str, fixed: Mapping[str, object]) -> DataFrame:
     rows = problems
@@ -28,6 +34,46 @@ def _draw(seed: int, *ids: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids]))
 
 
+def _bound(size: Column, n: int) -> Column:
+    """A draw that about 2n + 50 of ``size`` uniform draws stay below."""
+    wanted = 2 * n + 50
+    scaled = F.floor(F.lit(wanted * 2.0**48) / size).cast("bigint")
+    return F.when(size <= wanted, _NO_BOUND).otherwise(F.lower(F.lpad(F.hex(scaled), 12, "0")))
+
+
+def _first_draws(
+    rows: DataFrame,
+    owners: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    n: int,
+    position: str,
+) -> DataFrame:
+    """``skew.top_n`` of rows with their ``draw`` and ``bound``, sorting only small draws.
+
+    ``owners`` has one row per key with its bound. A key that kept fewer than n
+    rows below a bound is ranked again without it, so the result is exact however
+    the draws fall; with bounds as generous as these that hardly ever happens.
+    """
+    columns = [F.col(c) for c in order]
+    below = rows.filter(F.col("draw") < F.col("bound"))
+    kept = scratch.store(skew.top_n(below, key, columns, n, position), "drawn")
+    counts = kept.groupBy(*key).agg(F.count(F.lit(1)).alias("n_kept"))
+    lacking = (
+        owners.filter(F.col("bound") != _NO_BOUND)
+        .join(counts, list(key), "left")
+        .filter(F.coalesce("n_kept", F.lit(0)) < n)
+        .select(*key)
+    )
+    again = scratch.write(lacking, "lacking")
+    if again.rows == 0:
+        return kept
+    whole = skew.attach(rows, again, key, [order[-1]], "left_semi")
+    return kept.join(again.df, list(key), "left_anti").unionByName(
+        skew.top_n(whole, key, columns, n, position)
+    )
+
+
 def eligible_groups(
     problems: DataFrame, group_col: str, fixed: Mapping[str, object], min_count: int
 ) -> DataFrame:
@@ -59,16 +105,26 @@ def sample_targets(
 ) -> DataFrame:
     """``n_targets`` problems of every eligible group, drawn without replacement.
 
-    The draw comes first, so the join with the group counts only sees
-    ``n_targets`` rows per group. ``short`` marks groups smaller than asked for.
+    ``n_problems`` is the group's size; ``short`` marks groups smaller than asked for.
     """
+    groups = scratch.write(
+        eligible_groups(problems, group_col, fixed, min_count), "groups", largest="n_problems"
+    )
     ids = _members(problems, group_col, fixed).filter(F.col("id").isNotNull()).select("grp", "id")
-    drawn = skew.top_n(ids, ["grp"], [_draw(seed, "id"), F.col("id")], n_targets, "target_pos")
-    counts = eligible_groups(problems, group_col, fixed, min_count)
-    return drawn.join(counts, "grp").select(
+    rows = ids.withColumn("draw", _draw(seed, "id"))
+    if groups.largest < LARGE_GROUP:
+        # The draw comes first, so the join only sees n_targets rows per group.
+        first = skew.top_n(rows, ["grp"], [F.col("draw"), F.col("id")], n_targets, "target_pos")
+        drawn = first.join(groups.df, "grp")
+    else:
+        owners = groups.df.withColumn("bound", _bound(F.col("n_problems"), n_targets))
+        bounded = skew.attach(rows, dataclasses.replace(groups, df=owners), ["grp"], ["id"])
+        drawn = _first_draws(bounded, owners, ["grp"], ["draw", "id"], n_targets, "target_pos")
+    return drawn.select(
         "grp",
         F.col("id").alias("target_id"),
         "target_pos",
+        "n_problems",
         (F.col("n_problems") < n_targets).alias("short"),
     )
 
@@ -102,13 +158,26 @@ def sample_contexts(
     """``n_contexts`` other problems of the target's group for every target.
 
     ``candidates`` may be another split than the targets came from. Draws of
-    different targets are independent.
+    different targets are independent. If the targets carry ``n_problems``, large
+    groups are drawn from without sorting them.
     """
-    pairs = _candidates(candidates, targets, group_col, fixed, [])
-    order = [_draw(seed, "target_id", "context_id"), F.col("context_id")]
-    return skew.top_n(pairs, TARGET_KEY, order, n_contexts, "context_pos").select(
-        "grp", "target_id", "target_pos", "context_id", "context_pos"
-    )
+    sized = "n_problems" in (targets.df if isinstance(targets, scratch.Written) else targets).columns
+    if not isinstance(targets, scratch.Written):
+        targets = scratch.write(targets, "targets", largest="n_problems" if sized else None)
+    largest = targets.largest
+    if sized and not largest:
+        largest = targets.df.agg(F.max("n_problems")).first()[0] or 0
+    order = ["draw", "context_id"]
+    draw = _draw(seed, "target_id", "context_id")
+    result = ("grp", "target_id", "target_pos", "context_id", "context_pos")
+    if largest < LARGE_GROUP:
+        pairs = _candidates(candidates, targets, group_col, fixed, []).withColumn("draw", draw)
+        columns = [F.col(c) for c in order]
+        return skew.top_n(pairs, TARGET_KEY, columns, n_contexts, "context_pos").select(*result)
+    owners = targets.df.withColumn("bound", _bound(F.col("n_problems"), n_contexts))
+    bounded = dataclasses.replace(targets, df=owners)
+    pairs = _candidates(candidates, bounded, group_col, fixed, []).withColumn("draw", draw)
+    return _first_draws(pairs, owners, TARGET_KEY, order, n_contexts, "context_pos").select(*result)
 
 
 def nearest_contexts(

@@ -46,7 +46,9 @@ def manifest(
     ``candidates`` is the split contexts come from, if not the targets' own. A
     target with no candidate keeps one row without a context.
     """
-    chosen = scratch.write(targets(problems, design).drop("short"), "targets")
+    chosen = scratch.write(
+        targets(problems, design).drop("short"), "targets", largest="n_problems"
+    )
     contexts = sampling.sample_contexts(
         problems if candidates is None else candidates,
         chosen,
@@ -55,7 +57,8 @@ def manifest(
         design.n_contexts,
         design.seed,
     ).drop("target_pos")
-    return scratch.store(chosen.df.join(contexts, list(sampling.TARGET_KEY), "left"), "manifest")
+    rows = chosen.df.drop("n_problems").join(contexts, list(sampling.TARGET_KEY), "left")
+    return scratch.store(rows, "manifest")
 
 
 def all_prompts(

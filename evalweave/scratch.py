@@ -35,6 +35,7 @@ class Written:
     df: DataFrame
     rows: int
     bytes: int
+    largest: int = 0
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -44,14 +45,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write(df: DataFrame, name: str) -> Written:
-    """Store ``df`` and measure it in the same job."""
+def write(df: DataFrame, name: str, largest: str | None = None) -> Written:
+    """Store ``df`` and measure it in the same job, also column ``largest``'s maximum."""
     seen = Observation()
+    maximum = F.lit(0) if largest is None else F.col(largest)
     measured = df.observe(
         seen,
         F.count(F.lit(1)).alias("rows"),
         F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes"),
+        F.max(maximum).alias("largest"),
     )
     stored = store(measured, name)
     size = seen.get
-    return Written(stored, size["rows"], size["bytes"] or 0)
+    return Written(stored, size["rows"], size["bytes"] or 0, size["largest"] or 0)

@@ -67,6 +67,33 @@ def test_salted_joins_give_the_same(problems, salted):
     assert salted_rows == _rows(experiment.manifest(problems, DESIGN))
 
 
+@pytest.mark.parametrize("wanted", ["enough", "too few"])
+def test_bounded_draws_give_the_same(problems, monkeypatch, wanted):
+    """Large groups are drawn from below a bound; too low a bound is made good."""
+    plain = _rows(experiment.manifest(problems, DESIGN))
+    monkeypatch.setattr(sampling, "LARGE_GROUP", 1)
+    used = []
+
+    def bound(size, n):
+        low = F.when(size <= 5, sampling._NO_BOUND).otherwise("05")
+        used.append(n)
+        return real(size, n) if wanted == "enough" else low
+
+    real = sampling._bound
+    monkeypatch.setattr(sampling, "_bound", bound)
+    assert _rows(experiment.manifest(problems, DESIGN)) == plain
+    assert used == [3, 4]
+
+
+def test_bound_lets_enough_through(spark):
+    sizes = spark.createDataFrame([(n,) for n in (10, 58, 59, 1000, 10**9, 10**13)], "size bigint")
+    got = {r.size: r.b for r in sizes.select("size", sampling._bound(F.col("size"), 4).alias("b")).collect()}
+    assert got[10] == got[58] == sampling._NO_BOUND
+    for size in (59, 1000, 10**9, 10**13):
+        assert len(got[size]) == 12
+        assert int(got[size], 16) / 2**48 == pytest.approx(58 / size, rel=0.01)
+
+
 def test_short_groups_are_marked(problems):
     wide = experiment.by_topic("MEDIUM", n_targets=6, min_count=4)
     targets = experiment.targets(problems, wide)

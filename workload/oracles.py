@@ -178,7 +178,7 @@ for _name, (_view, _group, _fixed, _least) in DESIGNS.items():
         select grp, count(id) as n_problems from members_{_name} group by grp
         having count(id) >= {_least}"""
     VIEWS[f"targets_{_name}"] = f"""
-        select grp, id as target_id, target_pos, n_problems < 5 as short
+        select grp, id as target_id, target_pos, n_problems, n_problems < 5 as short
         from (select grp, id, cast(row_number() over (partition by grp order by md5('42:' || id), id) - 1
                 as integer) as target_pos from members_{_name})
         join groups_{_name} using (grp) where target_pos < 5"""
