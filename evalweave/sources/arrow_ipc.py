@@ -37,7 +37,12 @@ FILE_POS = "file_pos"
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    """The file system of a path as Spark writes it, and the path within it."""
+    if path.startswith("s3a://"):
+        path = "s3://" + path[len("s3a://") :]
+    elif "://" not in path:
+        path = "file://" + path.removeprefix("file:")
+    return pafs.FileSystem.from_uri(path)
 
 
 def _is_file_format(fs: pafs.FileSystem, path: str) -> bool:

@@ -1,17 +1,37 @@
 """Parquet tables with declared schemas, and the append-only run log."""
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from evalweave import schemas
 
 
-def read_problems(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.PROBLEMS).parquet(path)
+def _read(
+    spark: SparkSession, path: str, schema: StructType, names: Mapping[str, str] | None
+) -> DataFrame:
+    """Scan with the declared types; ``names`` maps our columns to the file's.
+
+    Renaming in the scan's projection keeps pruning and pushed filters.
+    """
+    stored = dict(names or {})
+    fields = [StructField(stored.get(f.name, f.name), f.dataType) for f in schema]
+    rows = spark.read.schema(StructType(fields)).parquet(path)
+    return rows.select(*[F.col(stored.get(n, n)).alias(n) for n in schema.names])
+
+
+def read_problems(
+    spark: SparkSession, path: str, names: Mapping[str, str] | None = None
+) -> DataFrame:
+    return _read(spark, path, schemas.PROBLEMS, names)
 
 
-def read_solutions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.SOLUTIONS).parquet(path)
+def read_solutions(
+    spark: SparkSession, path: str, names: Mapping[str, str] | None = None
+) -> DataFrame:
+    return _read(spark, path, schemas.SOLUTIONS, names)
 
 
 def read_tests(spark: SparkSession, path: str, problem_id: int | None = None) -> DataFrame:
@@ -20,8 +40,10 @@ def read_tests(spark: SparkSession, path: str, problem_id: int | None = None) ->
     return tests if problem_id is None else tests.filter(F.col("id") == problem_id)
 
 
-def read_raw_samples(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RAW_SAMPLES).parquet(path)
+def read_raw_samples(
+    spark: SparkSession, path: str, names: Mapping[str, str] | None = None
+) -> DataFrame:
+    return _read(spark, path, schemas.RAW_SAMPLES, names)
 
 
 def append_runs(runs: DataFrame, path: str) -> DataFrame:

@@ -43,8 +43,8 @@ def test_large_tables_are_not_broadcast(spark, salted):
 
 
 def test_only_needed_columns_are_read(spark):
-    plan = QUERIES["pass_at_k"](spark, SMALL)._jdf.queryExecution().toString()
-    assert "ReadSchema: struct<event_type:string" not in plan or "props" not in plan
-    targets = QUERIES["sample_targets"](spark, SMALL)._jdf.queryExecution().toString()
-    assert "p_name" not in targets.split("== Physical Plan ==")[1]
+    scores = _plan(QUERIES["pass_at_k"](spark, SMALL))
+    assert "props" not in scores and "value" not in scores.split("Location")[0].split("FileScan")[-1]
+    targets = _plan(QUERIES["sample_targets"](spark, SMALL))
+    assert "p_name" not in targets
     assert "PushedFilters: [IsNotNull(p_type), EqualTo(p_type,MEDIUM)" in targets

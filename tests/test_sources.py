@@ -71,6 +71,13 @@ def test_arrow_round_trip(spark, tmp_path):
     assert not [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
 
 
+@pytest.mark.parametrize("prefix", ["", "file:", "file://"])
+def test_arrow_paths(spark, tmp_path, prefix):
+    path = prefix + str(tmp_path / "out")
+    arrow_ipc.write_arrow(spark.range(5), path)
+    assert arrow_ipc.read_arrow(spark, path).count() == 5
+
+
 def test_missing_arrow_folder(spark, tmp_path):
     with pytest.raises(Exception, match="nothing-here"):
         arrow_ipc.read_arrow(spark, str(tmp_path / "nothing-here")).collect()
@@ -135,6 +142,13 @@ def test_point_filter_reaches_the_scan(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(id), EqualTo(id,2)]" in df._jdf.queryExecution().toString()
 
 
+def test_renamed_columns_are_pruned_and_pushed(spark):
+    names = {"id": "doc_id", "difficulty": "lang", "tags": "source", "input": "text"}
+    df = tables.read_problems(spark, "/root/testdata/sf0.001/documents.parquet", names)
+    plan = df.filter("difficulty = 'en'").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lang,en)" in plan and "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
+
+
 def test_runs_are_appended(spark, tmp_path):
     path = str(tmp_path / "runs")
     one = spark.range(1)

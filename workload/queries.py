@@ -59,9 +59,8 @@ def _stored_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scan_problems(spark, sf):
-    path = scratch.new_path(spark, "problems")
-    fx.problems_docs(spark, sf).write.parquet(path)
-    return tables.read_problems(spark, path)
+    names = {"id": "doc_id", "difficulty": "lang", "tags": "source", "input": "text"}
+    return tables.read_problems(spark, f"{sf}/documents.parquet", names)
 
 
 @query
