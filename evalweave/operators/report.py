@@ -68,5 +68,27 @@ def run_name(parts: Sequence[str] = ("task_id", "context_type", "grp")) -> Colum
     return F.concat_ws("_", *[F.col(p).cast("string") for p in parts])
 
 
-def run_log(results: DataFrame) -> DataFrame:
-    return results.withColumn("run_name", run_name())
+def run_log(
+    results: DataFrame,
+    durations: DataFrame | None = None,
+    stages: Sequence[str] = (),
+    grid: DataFrame | None = None,
+) -> DataFrame:
+    """Results as logged: with the run's name, seconds per stage and index in the grid.
+
+    ``durations`` is from ``stage_durations`` with the task as run_id; ``grid`` from
+    the run grid. All three have one row per run or task when they are joined.
+    """
+    logged = results.withColumn("run_name", run_name())
+    if durations is not None:
+        wide = (
+            durations.groupBy(F.col("run_id").alias("task_id"))
+            .pivot("stage", list(stages))
+            .agg(F.max("seconds"))
+        )
+        named = wide.withColumnsRenamed({s: f"{s}_seconds" for s in stages})
+        logged = logged.join(named, "task_id", "left")
+    if grid is not None:
+        index = grid.select("context_type", "grp", F.col("target_id").alias("task_id"), "run_index")
+        logged = logged.join(index, ["context_type", "grp", "task_id"], "left")
+    return logged

@@ -129,3 +129,15 @@ def test_durations_with_any_timestamp(spark, kind):
     )
     got = {r.stage: r.seconds for r in report.stage_durations(clock).collect()}
     assert got == {"parse": 1.25, "judge": 172800.0, "total": 172802.0}
+
+
+def test_run_log(spark):
+    results = spark.createDataFrame(
+        [("g", "no_context", 1, 0.2, 0.1), ("g", "full_problem", 1, 0.5, 0.1)],
+        "grp string, context_type string, task_id bigint, pass_at_1 double, normalized_sum double",
+    )
+    durations = spark.createDataFrame([(1, "parsing", 2.5), (1, "total", 4.0)], "run_id bigint, stage string, seconds double")
+    grid = spark.createDataFrame([("no_context", "g", 1, 0), ("full_problem", "g", 1, 7)], "context_type string, grp string, target_id bigint, run_index bigint")
+    rows = report.run_log(results, durations, ["parsing", "evaluation", "total"], grid).collect()
+    got = {r.run_name: (r.parsing_seconds, r.evaluation_seconds, r.total_seconds, r.run_index) for r in rows}
+    assert got == {"1_no_context_g": (2.5, None, 4.0, 0), "1_full_problem_g": (2.5, None, 4.0, 7)}

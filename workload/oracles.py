@@ -333,7 +333,14 @@ ORACLES = {
         select task_id, round(c / n, 9) as pass_at_1, max_tests as n_tests,
           round(hits / (n * max_tests), 9) as total from totals""",
     "run_log": f"""
-        select {_ROUND_RUN}, task_id || '_' || context_type || '_' || grp as run_name from run_scores""",
+        select {_ROUND_RUN}, task_id || '_' || context_type || '_' || grp as run_name,
+          view_seconds, click_seconds, total_seconds
+        from run_scores left join (
+          select user_id,
+            (epoch_us(max(ts) filter (where event_type = 'view')) - epoch_us(min(ts) filter (where event_type = 'view'))) / 1e6 as view_seconds,
+            (epoch_us(max(ts) filter (where event_type = 'click')) - epoch_us(min(ts) filter (where event_type = 'click'))) / 1e6 as click_seconds,
+            (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as total_seconds
+          from events group by user_id) on user_id = task_id""",
     "filter_difficulty": "select * from problems_parts where difficulty = 'MEDIUM'",
     "lookup_input": """
         select p_partkey as id, input, d.id is not null as found
