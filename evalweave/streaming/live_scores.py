@@ -47,3 +47,11 @@ def start(results: DataFrame, checkpoint: str, log_path: str) -> StreamingQuery:
         .trigger(availableNow=True)
         .start()
     )
+
+
+def latest_scores(spark: SparkSession, log_path: str) -> DataFrame:
+    """Each task's scores after the last trigger that touched it."""
+    log = spark.read.parquet(log_path)
+    scores = [c for c in log.columns if c not in ("task_id", "trigger")]
+    newest = F.max_by(F.struct(*scores), "trigger").alias("newest")
+    return log.groupBy("task_id").agg(newest).select("task_id", "newest.*")

@@ -185,6 +185,8 @@ def test_live_scores(spark, tmp_path):
             latest[r.task_id].normalized_sum,
         )
     assert latest[1].normalized_sum == pytest.approx(3 / 6)
+    now = {r.task_id: r.n for r in live_scores.latest_scores(spark, log).collect()}
+    assert now == {1: 3, 2: 1, 3: 1}
 
 
 def test_shared_folder_is_the_clusters(spark):

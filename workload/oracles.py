@@ -483,6 +483,9 @@ ORACLES = {
         select task_id, test_idx, count(*) filter (where verdict = 1) as n_passed from verdicts group by all""",
     "normalized_sum": """
         select task_id, n, max_tests, hits, round(hits / (n * max_tests), 9) as total from totals""",
+    "live_scores": """
+        select task_id, n, c, round(c / n, 9) as pass_at_1, round(hits / (n * max_tests), 9) as normalized_sum
+        from totals""",
     "verdict_histogram": """
         select verdict, count(*) as n_tests, case verdict when 1 then 'passed' when 0 then 'false'
           when -1 then 'timeout' when -2 then 'compile_error' else 'runtime_error' end as status

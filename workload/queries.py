@@ -19,6 +19,7 @@ from evalweave.operators import (
 )
 from evalweave.plans import experiment
 from evalweave.sources import arrow_ipc, documents, tables
+from evalweave.streaming import live_scores as live
 from workload import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -460,6 +461,15 @@ def normalized_sum(spark, sf):
     return _rounded(scored.select("task_id", "n", "max_tests", "hits", "total"), "total")
 
 
+@query
+def live_scores(spark, sf):
+    """The same scores from a stream of judged generations, run until it is used up."""
+    arrived, log, state = (scratch.new_path(spark, n) for n in ("arrived", "live-log", "live-state"))
+    scoring.collect_results(_verdicts(spark, sf)).write.parquet(arrived)
+    live.start(live.read_results(spark, arrived), state, log).awaitTermination()
+    return _rounded(live.latest_scores(spark, log), "pass_at_1", "normalized_sum")
+
+
 @query
 def verdict_histogram(spark, sf):
     return scoring.verdict_histogram(_verdicts(spark, sf))
