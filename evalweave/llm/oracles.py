@@ -35,8 +35,8 @@ def _judged(documents: str) -> str:
         select n, i from (select n, i, count(*) over (partition by n, k) as times from spots) where times > 1
     ),
     covered as (
-        select n, count(distinct at) as repeated
-        from (select n, unnest([i, i + 1, i + 2]) as at from twice) group by n
+        select n, count(distinct spot) as repeated
+        from (select n, unnest([i, i + 1, i + 2]) as spot from twice) group by n
     ),
     lines as (
         select n, list_filter(string_split(txt, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) as l from numbered
@@ -47,7 +47,7 @@ def _judged(documents: str) -> str:
     counted as (
         select d.*,
             cast(len(w) as bigint) as n_words,
-            cast(length(list_reduce(list_prepend('', w), lambda x, y: x || y)) as bigint) as word_chars,
+            cast(coalesce(length(array_to_string(w, '')), 0) as bigint) as word_chars,
             cast(length(txt) - length(regexp_replace(txt, '{quality.SYMBOL_CLASS}', '', 'g')) as bigint) as n_symbols,
             cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines,
             cast(coalesce(repeated, 0) as bigint) as n_repeat_words,

@@ -172,9 +172,13 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, without their failing and empty lines; ``n_chars`` is counted anew."""
-    found = judged(docs).filter("kept")
+    # A filter on computed columns alone would be pushed below them, with a copy of all
+    # that they are computed from; one that reads a row number stays where it is.
+    numbered = judged(docs).select("*", F.monotonically_increasing_id().alias("number"))
+    found = numbered.filter("kept and number >= 0")
     renewed = {
         "text": F.col("cleaned").cast(docs.schema["text"].dataType),
-        **({"n_chars": F.char_length("cleaned").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}),
     }
+    if "n_chars" in docs.columns:
+        renewed["n_chars"] = F.char_length("cleaned").cast(docs.schema["n_chars"].dataType)
     return found.select(*[renewed.get(name, F.col("row")[name]).alias(name) for name in docs.columns])

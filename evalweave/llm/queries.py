@@ -1,9 +1,8 @@
 """The registered queries of this subpackage, each over its whole table."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from evalweave.llm import bpe, quality, simhash
+from evalweave.llm import bpe, decontamination, lines, quality, simhash
 
 # A rank file every executor can read, and the pattern that goes with it.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -19,6 +18,10 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.digests(table(spark, sf, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
@@ -31,8 +34,14 @@ def op6_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), *tokenizer())
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
