@@ -156,7 +156,10 @@ def forest(members: np.ndarray, visitors: np.ndarray, most: int) -> tuple[np.nda
 
 
 def _routed(blocks: DataFrame, nodes: list, most: int) -> DataFrame:
-    """``(block, fp, member)``: each fingerprint in its block and in later ones it may match."""
+    """``(block, member, fps)``: fingerprints for their block and for later ones they may match.
+
+    ``fps`` packs all that a batch has for a block, eight bytes each.
+    """
     numbers = np.array([n["block"] for n in nodes], dtype=np.int64)
     ones = bits.as_unsigned(np.array([n["ones"] for n in nodes], dtype=np.int64))
     some = bits.as_unsigned(np.array([n["some"] for n in nodes], dtype=np.int64))
@@ -167,21 +170,23 @@ def _routed(blocks: DataFrame, nodes: list, most: int) -> DataFrame:
         for batch in batches:
             fps = bits.as_unsigned(batch["fp"].to_numpy())
             own = batch["block"].to_numpy()
+            sent = []
             for start in range(0, len(fps), SEARCHED):
-                some_fps, some_own = fps[start : start + SEARCHED], own[start : start + SEARCHED]
-                who, leaf = upper.search(some_fps, most)
-                to = numbers[leaf]
-                ahead = to >= some_own[who]
-                who, to = who[ahead], to[ahead]
-                yield pd.DataFrame(
-                    {
-                        "block": to.astype(np.int32),
-                        "fp": bits.as_signed(some_fps[who]),
-                        "member": to == some_own[who],
-                    }
-                )
-
-    return blocks.mapInPandas(work, "block int, fp long, member boolean")
+                who, leaf = upper.search(fps[start : start + SEARCHED], most)
+                who, to = who + start, numbers[leaf]
+                ahead = to >= own[who]
+                sent.append((who[ahead], to[ahead]))
+            if not sent:
+                continue
+            who, to = (np.concatenate(x) for x in zip(*sent))
+            member = to == own[who]
+            order = np.lexsort((member, to))
+            who, to, member = who[order], to[order], member[order]
+            cuts = np.flatnonzero(np.diff(to * 2 + member, prepend=-1))
+            packed = [part.tobytes() for part in np.split(fps[who].astype("<u8"), cuts[1:])]
+            yield pd.DataFrame({"block": to[cuts].astype(np.int32), "member": member[cuts], "fps": packed})
+
+    return blocks.mapInPandas(work, "block int, member boolean, fps binary")
 
 
 def links(fps: DataFrame, rows: int, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -199,8 +204,11 @@ def links(fps: DataFrame, rows: int, max_bits: int = MAX_BITS, block_rows: int =
         return blocks.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
 
     def block_links(group: pd.DataFrame) -> pd.DataFrame:
-        fp, member = bits.as_unsigned(group["fp"].to_numpy()), group["member"].to_numpy()
-        a, b = forest(fp[member], fp[~member], max_bits)
+        def unpacked(rows: pd.Series) -> np.ndarray:
+            return np.frombuffer(b"".join(rows), dtype="<u8").astype(np.uint64)
+
+        member = group["member"].to_numpy()
+        a, b = forest(unpacked(group["fps"][member]), unpacked(group["fps"][~member]), max_bits)
         return pd.DataFrame({"a": bits.as_signed(a), "b": bits.as_signed(b)})
 
     return _routed(blocks, nodes, max_bits).groupBy("block").applyInPandas(block_links, "a long, b long")
