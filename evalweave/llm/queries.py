@@ -1,11 +1,14 @@
 """The registered queries of this subpackage, each over its whole table."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evalweave.llm import bpe, decontamination, lines, quality, simhash
+from evalweave.llm import bpe, decontamination, extraction, lines, lm, pii, quality, simhash, toxicity, warc
 
 # A rank file every executor can read, and the pattern that goes with it.
 RANKS = "byte_bpe_50k.tiktoken"
+# For these tables only: a real corpus takes its key from a secret store.
+PSEUDONYM_KEY = "public test key"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,6 +21,11 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
+def op1_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    scored = lm.score(table(spark, sf, "documents"))
+    return scored.withColumn("score", F.round("score", 4)).withColumn("mean_score", F.round("mean_score", 6))
+
+
 def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.digests(table(spark, sf, "documents"))
 
@@ -26,6 +34,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.digests(table(spark, sf, "documents"))
 
@@ -34,14 +46,78 @@ def op6_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), *tokenizer())
 
 
+def op7_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf, "documents"), PSEUDONYM_KEY)
+
+
+def op8_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return extraction.extract(pages, extraction.train(pages))
+
+
+def captures(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each page as a full response and as a later visit answered "not modified".
+
+    A visit spells the URL its own way and comes up to six laps after the page's
+    capture, some before it; one in nine has an etag of another version.
+    """
+    page = F.col("page_id")
+    body = F.md5(F.coalesce("html", F.lit("")))
+    etag = F.concat(F.lit('"'), body, F.lit('"'))
+    response = F.create_map(
+        F.lit("etag"), etag,
+        F.lit("date"), (page * 10).cast("string"),
+        F.lit("content-type"), F.lit("text/html"),
+        F.lit("content-length"), F.octet_length("html").cast("string"),
+    )
+    visit_time = page * 10 + (page % 7 - 1) * 5000 + 5
+    visit = F.create_map(
+        F.lit("etag"), F.when(page % 9 == 4, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), etag)),
+        F.lit("date"), visit_time.cast("string"),
+        F.lit("content-length"), F.lit("0"),
+    )
+    spelled = F.concat(
+        F.regexp_extract("url", r"^([a-z]+://)", 1),
+        F.upper(F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)),
+        F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^#]*)", 1),
+        F.lit("#again"),
+    )
+    responses = pages.select(
+        (page * 2).alias("record_id"), "url", (page * 10).alias("captured_at"),
+        response.alias("headers"), body.alias("digest"),
+    )
+    revisits = pages.select(
+        (page * 2 + 1).alias("record_id"), spelled.alias("url"), visit_time.alias("captured_at"),
+        visit.alias("headers"), F.lit(None).cast("string").alias("digest"),
+    )
+    return responses, revisits
+
+
+def op9_warc_revisits(spark: SparkSession, sf: str) -> DataFrame:
+    resolved = warc.resolve(*captures(table(spark, sf, "pages")))
+    names = ["etag", "date", "content-type", "content-length"]
+    return resolved.select(
+        "revisit_id", "url", "response_id", "status", "digest",
+        *[F.col("headers")[name].alias(name.replace("-", "_")) for name in names],
+    )
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
 QUERIES = {
-    "op2_line_dedup": op2_line_dedup,
-    "op3_simhash_near_dedup": op3_simhash_near_dedup,
-    "op5_quality_rules": op5_quality_rules,
-    "op6_byte_bpe": op6_byte_bpe,
-    "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    query.__name__: query
+    for query in (
+        op1_lm_scoring,
+        op2_line_dedup,
+        op3_simhash_near_dedup,
+        op4_toxicity,
+        op5_quality_rules,
+        op6_byte_bpe,
+        op7_pii,
+        op8_html_extraction,
+        op9_warc_revisits,
+        op10_benchmark_decontamination,
+    )
 }
