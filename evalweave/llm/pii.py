@@ -91,14 +91,13 @@ def _card(f: Feistel, text: str) -> str | None:
     return _refilled(text, payload + str(luhn_digit(payload)))
 
 
-def _phone(f: Feistel, text: str) -> str | None:
+def _phone(f: Feistel, text: str) -> str:
     digits = _digits_of(text)
     country, area, rest = digits[:-10], digits[-10:-7], digits[-7:]
-    if area[0] in "01":
-        return None
-    # The area code's first digit stays within 2 to 9.
-    number = f.permuted("phone", 8 * 10**9, (int(area) - 200) * 10**7 + int(rest))
-    return _refilled(text, country + str(number + 200 * 10**7))
+    # An area code that begins with 2 to 9 goes on doing so, and one with 0 or 1 too.
+    low, size = (200 * 10**7, 8 * 10**9) if area[0] > "1" else (0, 2 * 10**9)
+    number = low + f.permuted("phone", size, int(area + rest) - low)
+    return _refilled(text, country + str(number).zfill(10))
 
 
 def _ssn(f: Feistel, text: str) -> str | None:
