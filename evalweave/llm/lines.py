@@ -16,7 +16,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,7 +29,9 @@ MAX_BITS = 3
 SIMILAR_PERCENT = 80
 # Word hashes remembered by a task.
 REMEMBERED = 1_000_000
-# Lines of one key compared at a time.
+# Letters of lines hashed at a time.
+HASHED_LETTERS = 2_000_000
+# Keys with more lines than this are compared line by line.
 COMPARED = 1024
 _BETWEEN = re.compile(r"[\W_]+")
 _DIGITS = re.compile(r"\d+")
@@ -93,14 +94,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for batch in batches:
-            doc_ids, numbers, lines = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for number, line in enumerate((text or "").split("\n")):
-                    if line and not line.isspace():
-                        doc_ids.append(doc_id)
-                        numbers.append(number)
-                        lines.append(normalise(line))
+        doc_ids, numbers, lines, size = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
             hashes = np.fromiter((xxhash.xxh64_intdigest(x.encode()) for x in lines), np.uint64, len(lines))
             columns = [
                 pa.array(doc_ids, pa.int64()),
@@ -108,7 +104,20 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 pa.array(bits.as_signed(hashes)),
                 pa.array(_simhashes(lines, words)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "line", "simhash"])
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "line", "simhash"])
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for number, line in enumerate((text.as_py() or "").split("\n")):
+                    if line and not line.isspace():
+                        doc_ids.append(doc_id)
+                        numbers.append(number)
+                        lines.append(normalise(line))
+                        size += len(line)
+                if size >= HASHED_LETTERS:
+                    yield flush()
+                    doc_ids, numbers, lines, size = [], [], [], 0
+        yield flush()
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(work, "doc_id long, line_no int, line long, simhash long")
@@ -157,23 +166,63 @@ def _bits_apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _cross_pairs(
+    key: np.ndarray, root: np.ndarray, line: np.ndarray, sim: np.ndarray, max_bits: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of one key, different roots and near simhashes; rows are sorted by key."""
+    first, second = [], []
+    starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+    sizes = np.diff(np.append(starts, len(key)))
+
+    def near(i: np.ndarray, j: np.ndarray) -> None:
+        apart = (root[i] != root[j]) & (np.bitwise_count(sim[i] ^ sim[j]) <= max_bits)
+        first.append(line[i[apart]])
+        second.append(line[j[apart]])
+
+    # Small keys together: each row with the row ``step`` places on, while the key lasts.
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(key))
+    small = np.flatnonzero(np.repeat(sizes, sizes) <= COMPARED)
+    for step in range(1, COMPARED):
+        small = small[left[small] > step]
+        if not len(small):
+            break
+        near(small, small + step)
+    # Large keys: what is outside the largest group of lines with all that comes after it.
+    for start, size in zip(starts[sizes > COMPARED].tolist(), sizes[sizes > COMPARED].tolist()):
+        rows = np.arange(start, start + size)
+        found, counts = np.unique(root[rows], return_counts=True)
+        largest = root[rows] == found[counts.argmax()]
+        rows = np.concatenate([rows[~largest], rows[largest]])
+        for place in range(int((~largest).sum())):
+            rest = rows[place + 1 :]
+            near(np.full(len(rest), rows[place]), rest)
+    nothing = np.zeros(0, np.int64)
+    return np.concatenate([nothing, *first]), np.concatenate([nothing, *second])
+
+
 def _across(shared: DataFrame, max_bits: int) -> DataFrame:
     """Pairs ``(a, b)`` of lines of one key within ``max_bits`` but in different groups."""
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        sim, line, root = (group[c].to_numpy() for c in ("simhash", "line", "root"))
-        first, second = [], []
-        for start in range(0, len(line), COMPARED):
-            near = np.bitwise_count(sim[start : start + COMPARED, None] ^ sim[None, :]) <= max_bits
-            near &= root[start : start + COMPARED, None] < root[None, :]
-            i, j = np.nonzero(near)
-            first.append(line[i + start])
-            second.append(line[j])
-        return pd.DataFrame({"a": np.concatenate(first), "b": np.concatenate(second)})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4  # rows of the key that the last batch ended with
+
+        def paired(columns: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = _cross_pairs(*columns, max_bits)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            columns = [np.concatenate([h, np.asarray(batch.column(i))]) for i, h in enumerate(held)]
+            if len(columns[0]):
+                cut = int(np.searchsorted(columns[0], columns[0][-1]))
+                held = [c[cut:] for c in columns]
+                yield paired([c[:cut] for c in columns])
+        yield paired(held)
 
     mixed = shared.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    some = shared.join(mixed.filter("low < high").select("key"), "key")
-    return some.groupBy("key").applyInPandas(pairs, "a long, b long").distinct()
+    some = shared.join(mixed.filter("low < high").select("key"), "key").select("key", "root", "line", "simhash")
+    sorted_rows = some.repartition("key").sortWithinPartitions("key")
+    pairs = sorted_rows.mapInArrow(work, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
