@@ -23,7 +23,7 @@ ORDER = 2
 BACKOFF = 0.4
 # N-grams of two words or more count as unseen below this.
 MIN_COUNT = 2
-CHUNK_BYTES = 24 * 1024 * 1024
+CHUNK_BYTES = 8 * 1024 * 1024
 # Text whose n-grams one range of hashes gets, about.
 RANGE_BYTES = 16 * 1024 * 1024
 # Word hashes remembered by a task.
@@ -131,7 +131,7 @@ def _requests(chunks: DataFrame, order: int, ranges: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 _, grams, before = _grams(row, order, words)
                 for n, (hashes, _, counts) in enumerate(_distinct(grams, before)):
                     cuts = _cuts(hashes, ranges)
@@ -246,7 +246,7 @@ def _length(chunks: DataFrame) -> int:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 joined = zstandard.decompress(row["texts"]) if row["size"] else b""
                 at, words = 0, 0
                 for length in np.frombuffer(row["lengths"], np.int64).tolist():
