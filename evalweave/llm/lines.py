@@ -123,40 +123,75 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, line_no int, line long, simhash long")
 
 
-def _shared_keys(classes: DataFrame, masks: list[int]) -> DataFrame:
-    """Rows ``(key, line, simhash, head, head_simhash)`` of keys with two lines or more.
+def _steps(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places with equal keys, for keys of at most ``COMPARED`` rows; sorted keys."""
+    starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+    sizes = np.diff(np.append(starts, len(key)))
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(key))
+    small = np.flatnonzero(np.repeat(sizes, sizes) <= COMPARED)
+    for step in range(1, COMPARED):
+        small = small[left[small] > step]
+        if not len(small):
+            break
+        yield small, small + step
+
+
+def _met(key: np.ndarray, line: np.ndarray, sim: np.ndarray, max_bits: int) -> list[np.ndarray]:
+    """Of whole keys, the rows that have another within ``max_bits``, with the first of them.
 
-    ``head`` is the first line of the key. Rows arrive sorted by key, so one pass
-    finds the shared ones whatever the size of a key.
+    All rows of a key with more than ``COMPARED`` rows count as such.
+    """
+    starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+    sizes = np.diff(np.append(starts, len(key)))
+    met = np.repeat(sizes, sizes) > COMPARED
+    for i, j in _steps(key):
+        near = np.bitwise_count(sim[i] ^ sim[j]) <= max_bits
+        met[i[near]] = met[j[near]] = True
+    key, line, sim = key[met], line[met], sim[met]
+    first = np.diff(key, prepend=key[:1] - 1) != 0
+    at = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+    return [key, line, sim, line[at], sim[at]]
+
+
+def _shared_keys(classes: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
+    """Rows ``(key, line, simhash, head, head_simhash)`` of lines that meet another on a key.
+
+    ``head`` is the first such line of the key. Rows arrive sorted by key, so one pass
+    finds them; a key with more than ``COMPARED`` lines is passed through, not held.
     """
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("simhash").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
     rows = classes.select(F.explode(keys).alias("key"), "line", "simhash")
     names = ["key", "line", "simhash", "head", "head_simhash"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = None  # first row of the key that the last batch ended with
-        alone = False  # whether that row has not been given out yet
+        held = [np.zeros(0, np.int64)] * 3  # the last key's rows so far
+        passing = None  # first row of a key that is passed through
+
+        def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+        def all_of(columns: list[np.ndarray]) -> pa.RecordBatch:
+            n = len(columns[0])
+            return out([*columns, np.full(n, passing[1]), np.full(n, passing[2])])
+
         for batch in batches:
-            if not batch.num_rows:
+            columns = [np.asarray(batch.column(i)) for i in range(3)]
+            if passing is not None and len(columns[0]):
+                n = int(np.searchsorted(columns[0], passing[0], side="right"))
+                yield all_of([c[:n] for c in columns])
+                columns = [c[n:] for c in columns]
+                passing = passing if not len(columns[0]) else None
+            columns = [np.concatenate(pair) for pair in zip(held, columns)]
+            if not len(columns[0]):
                 continue
-            key, line, sim = (np.asarray(batch.column(i)) for i in range(3))
-            goes_on = head is not None and key[0] == head[0]
-            starts = np.concatenate([[not goes_on], key[1:] != key[:-1]])
-            at = np.maximum.accumulate(np.where(starts, np.arange(len(key)), -1))
-            heads, head_sims = line[at], sim[at]
-            if goes_on:
-                heads[at < 0], head_sims[at < 0] = head[1], head[2]
-            shared = ~starts | np.concatenate([~starts[1:], [False]])
-            columns = [c[shared] for c in (key, line, sim, heads, head_sims)]
-            if goes_on and alone:
-                first = (*head, head[1], head[2])
-                columns = [np.concatenate([[v], c]) for v, c in zip(first, columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-            last = at[-1]
-            if last >= 0:
-                head, alone = (key[last], line[last], sim[last]), not shared[last]
-            else:
-                alone = False
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            yield out(_met(*[c[:cut] for c in columns], max_bits))
+            held = [c[cut:] for c in columns]
+            if len(held[0]) > COMPARED:
+                passing = tuple(c[0] for c in held)
+                yield all_of(held)
+                held = [c[:0] for c in held]
+        yield out(_met(*held, max_bits))
 
     sorted_rows = rows.repartition("key").sortWithinPartitions("key", "line")
     return sorted_rows.mapInArrow(work, ", ".join(f"{name} long" for name in names))
@@ -179,14 +214,9 @@ def _cross_pairs(
         first.append(line[i[apart]])
         second.append(line[j[apart]])
 
-    # Small keys together: each row with the row ``step`` places on, while the key lasts.
-    left = np.repeat(starts + sizes, sizes) - np.arange(len(key))
-    small = np.flatnonzero(np.repeat(sizes, sizes) <= COMPARED)
-    for step in range(1, COMPARED):
-        small = small[left[small] > step]
-        if not len(small):
-            break
-        near(small, small + step)
+    # Small keys together: each row with the rows after it, while the key lasts.
+    for i, j in _steps(key):
+        near(i, j)
     # Large keys: what is outside the largest group of lines with all that comes after it.
     for start, size in zip(starts[sizes > COMPARED].tolist(), sizes[sizes > COMPARED].tolist()):
         rows = np.arange(start, start + size)
@@ -282,7 +312,7 @@ def removed_lines(docs: DataFrame, max_bits: int = MAX_BITS, percent: int = SIMI
         "classes",
     )
     masks = key_masks(key_blocks(classes.rows, max_bits), max_bits)
-    shared = scratch.store(_shared_keys(classes.df, masks), "keys")
+    shared = scratch.store(_shared_keys(classes.df, masks, max_bits), "keys")
     heads = (
         shared.filter((F.col("line") != F.col("head")) & (_bits_apart("simhash", "head_simhash") <= max_bits))
         .select(F.col("line").alias("a"), F.col("head").alias("b"))
