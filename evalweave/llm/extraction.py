@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page's block elements are the variables, each content or not. Tag, names in class
-and id, length of text, share of linked text and sentence marks give each node its
+and id from there to the root, length of text, share of linked text and sentence marks give each node its
 own evidence; a potential on every edge ties a child to its parent. Messages go up
 the tree and down again, which gives each block's exact marginal. All potentials
 are counts over labelled pages.
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 TRAIN_PAGES = 2000
 # Weight of what is assumed of a feature before any page is counted.
 PRIOR = 4.0
-# Longest group of labels brought to the driver is the features' table: a few hundred rows.
 
 # Elements without an end, with raw text, without any text, and inline.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,18 +64,22 @@ _MARKS = re.compile(r"[.!?…。]")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "texts", "linked", "length", "marks")
+    __slots__ = ("tag", "names", "parent", "inside", "linked", "length", "marks")
 
-    def __init__(self, tag: str, names: frozenset, parent: int):
+    def __init__(self, tag: str, names: frozenset, parent: int, inside: str):
+        """``inside``: what the nearest name or tag that says anything says, upwards from here."""
         self.tag, self.names, self.parent = tag, names, parent
-        self.children: list[int] = []
-        self.texts: list[str] = []
+        if names & OTHER_NAMES or tag in OTHER_TAGS:
+            inside = "other"
+        elif tag in CONTENT_TAGS or names & CONTENT_NAMES and inside == "none":
+            inside = "content"
+        self.inside = inside
         self.linked = self.length = self.marks = 0
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The block elements of a page, parents first, and its blocks of text in page order."""
-    nodes = [Node("", frozenset(), -1)]
+    nodes = [Node("", frozenset(), -1, "none")]
     open_ = [0]
     blocks: list[tuple[int, str]] = []
     pending: list[str] = []
@@ -136,8 +139,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 names = {part.lower() for part in _PARTS.findall(found)}
                 if match[3] and _HIDDEN.search(match[3]):
                     names.add("hidden")
-                nodes.append(Node(tag, frozenset(names), open_[-1]))
-                nodes[open_[-1]].children.append(len(nodes) - 1)
+                nodes.append(Node(tag, frozenset(names), open_[-1], nodes[open_[-1]].inside))
                 open_.append(len(nodes) - 1)
                 links = 0
     said(page[at:])
@@ -146,12 +148,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
 
 def features(node: Node) -> tuple[str, ...]:
-    names = "other" if node.names & OTHER_NAMES else "content" if node.names & CONTENT_NAMES else "none"
     linked = "none" if not node.linked else "some" if 2 * node.linked < node.length else "most"
     length = "none" if not node.length else "short" if node.length < 40 else "long"
     return (
         f"tag {node.tag}",
-        f"names {names}",
+        f"inside {node.inside}",
         f"links {linked}",
         f"length {length}",
         f"marks {'yes' if node.marks else 'no'}",
@@ -182,8 +183,8 @@ def _assumed(feature: str) -> float:
     kind, _, value = feature.partition(" ")
     if kind == "tag":
         return 0.97 if value in CONTENT_TAGS else 0.02 if value in OTHER_TAGS else 0.5
-    if kind == "names":
-        return {"other": 0.01, "content": 0.8}.get(value, 0.5)
+    if kind == "inside":
+        return {"other": 0.01, "content": 0.9}.get(value, 0.3)
     return {"links most": 0.2, "marks yes": 0.6, "length long": 0.6}.get(feature, 0.5)
 
 
@@ -232,7 +233,7 @@ class Model:
             total = above[0] + above[1]
             inward[parent] = (above[0] / total, above[1] / total)
         belief = list(inward)
-        belief[0] = (1.0, 0.0) if not nodes[0].texts else inward[0]
+        belief[0] = (1.0, 0.0)  # the page itself is no content
         for i in range(1, len(nodes)):
             off, on = belief[nodes[i].parent]
             off, on = off / max(up[i][0], 1e-300), on / max(up[i][1], 1e-300)  # without this child's word
