@@ -1,8 +1,10 @@
 """The driver's tables seen as problems, solutions, generations and verdicts."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalweave.operators import skew
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -65,24 +67,26 @@ def generations_conv(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_tests(spark: SparkSession, sf: str) -> DataFrame:
-    """One recorded test per (order, line number), numbered from 0 within an order.
+    """One recorded test per row of ``lineitem``, numbered from 0 within its order.
 
-    Repeated lines are merged first, so an order has at most as many rows as
-    there are line numbers and the numbering never sees a large group. All merged
-    values are numbers, which keeps the aggregate a hash aggregate.
+    The number is the row's place among all rows less that of the order's first row,
+    so an order with many rows is no single group.
     """
-    merged = (
-        table(spark, sf, "lineitem")
-        .groupBy("l_orderkey", "l_linenumber")
-        .agg(
-            F.min("l_partkey").alias("partkey"),
-            F.min("l_suppkey").alias("suppkey"),
-            F.min("l_quantity").alias("quantity"),
-            F.min(F.ascii("l_returnflag")).alias("flag"),
-        )
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("l_partkey").alias("partkey"),
+        F.col("l_suppkey").alias("suppkey"),
+        F.col("l_quantity").alias("quantity"),
+        F.ascii("l_returnflag").alias("flag"),
+    )
+    placed = skew.global_index(rows, rows.columns, "place").df
+    first = placed.groupBy("l_orderkey").agg(F.min("place").alias("first"))
+    return (
+        placed.join(first, "l_orderkey")
+        .withColumn("test_idx", (F.col("place") - F.col("first")).cast("int"))
+        .drop("place", "first")
     )
-    in_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    return merged.withColumn("test_idx", F.row_number().over(in_order) - 1)
 
 
 def _verdict(quantity: Column) -> Column:

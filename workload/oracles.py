@@ -30,10 +30,11 @@ VIEWS = {
             lambda b: regexp_replace(b, '^\\s+|\\s+$', '', 'g')), chr(10)) as code
         from generations_conv""",
     "line_tests": """
-        select l_orderkey, l_linenumber, min(l_partkey) as partkey, min(l_suppkey) as suppkey,
-          min(l_quantity) as quantity, min(l_returnflag) as flag,
-          cast(row_number() over (partition by l_orderkey order by l_linenumber) - 1 as integer) as test_idx
-        from lineitem group by l_orderkey, l_linenumber""",
+        select l_orderkey, l_linenumber, l_partkey as partkey, l_suppkey as suppkey,
+          l_quantity as quantity, l_returnflag as flag,
+          cast(row_number() over (partition by l_orderkey
+            order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) - 1 as integer) as test_idx
+        from lineitem""",
     "runs": """
         select o_custkey as task_id, o_orderkey as gen_idx,
           case o_orderstatus when 'P' then 'no_context' when 'O' then 'full_problem'
