@@ -7,15 +7,28 @@ from pyspark.sql import functions as F
 _PIECE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++'
 # Where a spelling may differ from the plain one.
 _UNUSUAL = r"[0-9][.eE]|-0"
-_EXACT_INTEGERS = 1e15
+# Whole numbers below this have a decimal that holds them; longer ones are read as floats.
+_DECIMALS = 1e38
+_LIMB = 2.0**53
+
+
+def _whole(value: Column) -> Column:
+    """The digits of a whole double, exactly, from its parts below powers of 2**53."""
+    low = value % _LIMB
+    rest = (value - low) / _LIMB
+    middle = rest % _LIMB
+    high = (rest - middle) / _LIMB
+    unit = F.lit(int(_LIMB)).cast("decimal(16,0)")
+    parts = [part.cast("long").cast("decimal(38,0)") for part in (high, middle, low)]
+    return ((parts[0] * unit + parts[1]) * unit + parts[2]).cast("string")
 
 
 def _plain_number(piece: Column) -> Column:
     value = piece.try_cast("double")
-    whole = (value == F.floor(value)) & (F.abs(value) < _EXACT_INTEGERS)
+    whole = (value == F.rint(value)) & (F.abs(value) < _DECIMALS)
     return (
         F.when(piece.rlike(r"\A-?[0-9]+\z"), F.when(piece == "-0", F.lit("0")).otherwise(piece))
-        .when(whole, value.cast("long").cast("string"))
+        .when(whole, _whole(value))
         .otherwise(value.cast("string"))
     )
 
@@ -23,7 +36,7 @@ def _plain_number(piece: Column) -> Column:
 def canonical(value: Column, booleans_as_numbers: bool = False) -> Column:
     """One spelling per JSON value (a variant): sorted keys, no blanks, numbers by value.
 
-    ``1``, ``1.0`` and ``1e0`` agree. With ``booleans_as_numbers`` so do ``true``
+    ``1``, ``1.0`` and ``1e0`` agree, at any size up to 38 digits. With ``booleans_as_numbers`` so do ``true``
     and ``1``.
     """
     ordered = F.to_json(value)

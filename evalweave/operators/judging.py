@@ -1,4 +1,10 @@
-"""From recorded attempts to verdicts, one row per (task, generation, test)."""
+"""From recorded attempts to verdicts, one row per (task, generation, test).
+
+``by`` names the columns that a run is told apart by: the task alone, or also its
+treatment and group. Generations are numbered within a run.
+"""
+
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -6,8 +12,7 @@ from pyspark.sql import functions as F
 from evalweave import schemas, scratch
 from evalweave.functions import calls, compare
 from evalweave.operators import skew
-
-GENERATION = ("task_id", "gen_idx")
+from evalweave.operators.scoring import TASK
 
 # Statuses of one judged test.
 STATUS_PASSED = "passed"
@@ -143,19 +148,27 @@ def compare_calls(results: DataFrame, mode: str = "strict") -> DataFrame:
     )
 
 
-def resolve_attempts(attempts: DataFrame, mode: str = "effective") -> DataFrame:
+def resolve_attempts(
+    attempts: DataFrame, mode: str = "effective", by: Sequence[str] = TASK
+) -> DataFrame:
     """The status of every test from its up to three recorded attempts.
 
-    ``attempts``: task_id, gen_idx, variant, test_idx, attempt (1..3), exit_code,
-    timed_out, launch_error, stdout, expected. Outputs are compared before the
-    shuffle, so texts stay where they were read and only flags are exchanged.
+    ``attempts``: the columns of ``by``, gen_idx, variant, test_idx, attempt (1..3),
+    exit_code, timed_out, launch_error, stdout, expected and, if some problems are
+    call-based, test_type. Outputs are compared before the shuffle, so texts stay
+    where they were read and only flags are exchanged.
     """
     a = F.col
+    key = [*by, "gen_idx"]
+    same = compare.outputs_match(a("stdout"), a("expected"), mode)
+    if "test_type" in attempts.columns:
+        called = calls.calls_match(a("stdout"), a("expected"), mode)
+        same = F.when(a("test_type") == CALL_BASED, called).otherwise(same)
     finished = ~a("timed_out") & ~a("launch_error")
     succeeded = finished & (a("exit_code") == 0)
-    matched = F.when(succeeded, compare.outputs_match(a("stdout"), a("expected"), mode))
+    matched = F.when(succeeded, same)
     flags = attempts.select(
-        *GENERATION,
+        *key,
         "variant",
         "test_idx",
         "attempt",
@@ -166,7 +179,7 @@ def resolve_attempts(attempts: DataFrame, mode: str = "effective") -> DataFrame:
         F.when(finished, a("attempt")).alias("finished_attempt"),
         a("exit_code"),
     )
-    resolved = flags.groupBy(*GENERATION, "variant", "test_idx").agg(
+    resolved = flags.groupBy(*key, "variant", "test_idx").agg(
         F.bool_or("first_timed_out").alias("timed_out"),
         F.bool_or("first_not_launched").alias("not_launched"),
         F.min_by("matched", "good_attempt").alias("matched"),
@@ -179,28 +192,33 @@ def resolve_attempts(attempts: DataFrame, mode: str = "effective") -> DataFrame:
         .when(~F.col("matched"), STATUS_FALSE)
         .otherwise(F.concat(F.lit(RETURN_CODE), F.col("last_code").cast("string")))
     )
-    return resolved.select(*GENERATION, "variant", "test_idx", status.alias("status"))
+    return resolved.select(*key, "variant", "test_idx", status.alias("status"))
 
 
-def variant_fallback(statuses: DataFrame) -> DataFrame:
+def variant_fallback(statuses: DataFrame, by: Sequence[str] = TASK) -> DataFrame:
     """Results of variant 2 where every test of variant 1 ended with exit code 1.
 
+    Where variant 2 was not recorded, those of variant 1 stay.
     The statuses are read twice, so they are written first: comparing outputs
     again would cost more than storing its narrow result.
     """
+    key = [*by, "gen_idx"]
     stored = scratch.store(statuses, "statuses")
+    failed_start = F.when(F.col("variant") == 1, F.col("status") == FAILED_START)
     failed = (
-        stored.filter(F.col("variant") == 1)
-        .groupBy(*GENERATION)
-        .agg(F.bool_and(F.col("status") == FAILED_START).alias("failed"))
-        .filter("failed")
-        .select(*GENERATION, F.lit(2).alias("chosen"))
+        stored.groupBy(*key)
+        .agg(
+            F.coalesce(F.bool_and(failed_start), F.lit(True)).alias("failed"),
+            F.bool_or(F.col("variant") == 2).alias("has_other"),
+        )
+        .filter("failed and has_other")
+        .select(*key, F.lit(2).alias("chosen"))
     )
     chosen = F.coalesce("chosen", F.lit(1))
     return (
-        skew.attach(stored, failed, GENERATION, ["test_idx"], "left")
+        skew.attach(stored, failed, key, ["test_idx"], "left")
         .filter(F.col("variant") == chosen)
-        .select(*GENERATION, "test_idx", "variant", "status")
+        .select(*key, "test_idx", "variant", "status")
     )
 
 
@@ -209,30 +227,36 @@ def expected_tests(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("task_id").agg((F.max("test_idx") + 1).alias("n_tests"))
 
 
-def _tests_from(generations: DataFrame, tests: DataFrame, first: int) -> DataFrame:
-    """One row per test of each generation's task, from position ``first`` on."""
-    spread = skew.attach(
-        generations, tests.filter(F.col("n_tests") > first), ["task_id"], ["gen_idx"]
+def tests_per_task(cases: DataFrame) -> DataFrame:
+    """``(task_id, n_tests, test_type)`` as the problems have them, from ``test_cases``."""
+    return cases.groupBy(F.col("id").alias("task_id")).agg(
+        (F.max("test_idx") + 1).alias("n_tests"), F.min("test_type").alias("test_type")
     )
-    return spread.withColumn(
-        "test_idx", F.explode(F.sequence(F.lit(first), F.col("n_tests") - 1))
-    ).drop("n_tests")
 
 
-def broadcast_verdict(verdicts: DataFrame, tests: DataFrame) -> DataFrame:
+def broadcast_verdict(
+    verdicts: DataFrame, tests: DataFrame, by: Sequence[str] = TASK
+) -> DataFrame:
     """A judged generation with a single verdict has it for all tests of its task.
 
     The verdict itself, at position 0, stays; only its copies are added. The single
-    verdict of a program that did not compile is not copied.
+    verdict of a program that did not compile is not copied. If ``tests`` has
+    test_type, only verdicts of call-based tasks are.
     """
+    key = [*by, "gen_idx"]
+    if "test_type" in tests.columns:
+        tests = tests.filter(F.col("test_type") == CALL_BASED)
     single = (
-        verdicts.groupBy(*GENERATION)
+        verdicts.groupBy(*key)
         .agg(F.count(F.lit(1)).alias("n_verdicts"), F.max("verdict").alias("verdict"))
         .filter((F.col("n_verdicts") == 1) & (F.col("verdict") != schemas.COMPILE_ERROR))
         .drop("n_verdicts")
     )
-    columns = [*GENERATION, "test_idx", "verdict"]
-    copies = _tests_from(single, tests, 1)
+    columns = [*key, "test_idx", "verdict"]
+    counts = tests.filter(F.col("n_tests") > 1).select("task_id", "n_tests")
+    copies = skew.attach(single, counts, ["task_id"], ["gen_idx"]).withColumn(
+        "test_idx", F.explode(F.sequence(F.lit(1), F.col("n_tests") - 1))
+    )
     return verdicts.select(*columns).unionByName(copies.select(*columns))
 
 
@@ -245,29 +269,33 @@ def status_code(status: Column) -> Column:
     )
 
 
-def verdict_codes(generations: DataFrame, statuses: DataFrame, tests: DataFrame) -> DataFrame:
+def verdict_codes(
+    generations: DataFrame, statuses: DataFrame, tests: DataFrame, by: Sequence[str] = TASK
+) -> DataFrame:
     """Verdicts of every generation, whether or not its program could be judged.
 
-    ``generations``: task_id, gen_idx, compiled. One that does not compile gets
-    the single verdict -2; one without any result gets -1 for each test of its
-    task, taken from ``tests`` (task_id, n_tests).
+    ``generations``: the columns of ``by``, gen_idx, compiled. One that does not
+    compile gets the single verdict -2; one without any result gets -1 for each test
+    of its task, taken from ``tests`` (task_id, n_tests), and one -1 if the task has
+    no tests there.
     """
-    columns = [*GENERATION, "test_idx", "verdict"]
-    judged = statuses.select(
-        *GENERATION, "test_idx", status_code(F.col("status")).alias("verdict")
-    )
-    results = judged.groupBy(*GENERATION).agg(F.lit(True).alias("has_result"))
-    state = generations.join(results, list(GENERATION), "left").withColumn(
+    key = [*by, "gen_idx"]
+    columns = [*key, "test_idx", "verdict"]
+    judged = statuses.select(*key, "test_idx", status_code(F.col("status")).alias("verdict"))
+    results = judged.groupBy(*key).agg(F.lit(True).alias("has_result"))
+    state = generations.join(results, key, "left").withColumn(
         "has_result", F.coalesce("has_result", F.lit(False))
     )
     broken = state.filter(~F.col("compiled")).select(
-        *GENERATION, F.lit(0).alias("test_idx"), F.lit(schemas.COMPILE_ERROR).alias("verdict")
+        *key, F.lit(0).alias("test_idx"), F.lit(schemas.COMPILE_ERROR).alias("verdict")
     )
-    silent = state.filter(F.col("compiled") & ~F.col("has_result")).select(*GENERATION)
-    unanswered = _tests_from(silent, tests, 0).withColumn("verdict", F.lit(schemas.TIMEOUT))
-    answered = skew.attach(
-        judged, broken.select(*GENERATION), GENERATION, ["test_idx"], "left_anti"
+    silent = state.filter(F.col("compiled") & ~F.col("has_result")).select(*key)
+    counted = skew.attach(silent, tests.select("task_id", "n_tests"), ["task_id"], ["gen_idx"], "left")
+    last = F.greatest(F.coalesce("n_tests", F.lit(1)), F.lit(1)) - 1
+    unanswered = counted.select(
+        *key, F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("test_idx"), F.lit(schemas.TIMEOUT).alias("verdict")
     )
+    answered = skew.attach(judged, broken.select(*key), key, ["test_idx"], "left_anti")
     return (
         answered.select(*columns)
         .unionByName(broken.select(*columns))

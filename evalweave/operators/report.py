@@ -10,38 +10,53 @@ from evalweave.functions import passk
 from evalweave.operators import scoring
 
 RUN = ("context_type", "task_id")
+RUN_IN_GROUP = ("grp", *RUN)
 
 
-def run_results(verdicts: DataFrame, groups: DataFrame) -> DataFrame:
+def run_results(verdicts: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One row per run: pass@1, normalised sum, treatment and the task's group.
 
-    ``groups`` maps task_id to grp. Scores are aggregated before the join, so it
-    meets one row per run.
+    Verdicts carry the run's ``grp``, so that a task may be in several groups.
+    For verdicts without it, ``groups`` maps task_id to grp; scores are aggregated
+    before that join, which meets one row per run.
     """
-    totals = scoring.task_totals(verdicts, RUN)
-    scored = totals.select(
-        *RUN,
+    run = RUN_IN_GROUP if groups is None else RUN
+    scored = scoring.task_totals(verdicts, run).select(
+        *run,
         passk.pass_at_k(F.col("n"), F.col("c"), F.lit(1)).alias("pass_at_1"),
         scoring.normalized_sum_value().alias("normalized_sum"),
     )
-    return scored.join(groups, "task_id").select("grp", *RUN, "pass_at_1", "normalized_sum")
+    if groups is not None:
+        scored = scored.join(groups, "task_id")
+    return scored.select(*RUN_IN_GROUP, "pass_at_1", "normalized_sum")
 
 
-def context_delta(results: DataFrame, base: str = schemas.NO_CONTEXT) -> DataFrame:
-    """Mean scores per group and treatment, and their difference from ``base``."""
+def context_delta(
+    results: DataFrame,
+    base: str = schemas.NO_CONTEXT,
+    treatments: Sequence[str] = schemas.TREATMENTS,
+) -> DataFrame:
+    """Mean scores per group and treatment, and their difference from ``base``.
+
+    A row of any other treatment than ``treatments`` fails the job.
+    """
     scores = ("pass_at_1", "normalized_sum")
+    treatment = F.col("context_type")
+    unknown = F.raise_error(F.concat(F.lit("unknown treatment "), F.coalesce(treatment, F.lit("null"))))
+    checked = F.when(treatment.isin(*treatments), treatment).otherwise(unknown.cast("string"))
     wide = (
-        results.groupBy("grp")
-        .pivot("context_type", list(schemas.TREATMENTS))
+        results.withColumn("context_type", checked)
+        .groupBy("grp")
+        .pivot("context_type", list(treatments))
         .agg(*[F.avg(s).alias(s) for s in scores])
     )
     columns: list[Column] = [F.col("grp")]
-    for treatment in schemas.TREATMENTS:
-        columns += [F.col(f"{treatment}_{s}") for s in scores]
-    for treatment in schemas.TREATMENTS:
-        if treatment != base:
+    for name in treatments:
+        columns += [F.col(f"{name}_{s}") for s in scores]
+    for name in treatments:
+        if name != base:
             columns += [
-                (F.col(f"{treatment}_{s}") - F.col(f"{base}_{s}")).alias(f"delta_{treatment}_{s}")
+                (F.col(f"{name}_{s}") - F.col(f"{base}_{s}")).alias(f"delta_{name}_{s}")
                 for s in scores
             ]
     return wide.select(*columns)

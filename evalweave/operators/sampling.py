@@ -77,11 +77,14 @@ def _first_draws(
 def eligible_groups(
     problems: DataFrame, group_col: str, fixed: Mapping[str, object], min_count: int
 ) -> DataFrame:
-    """Groups with at least ``min_count`` problems among the fixed ones."""
+    """Groups with at least ``min_count`` problems among the fixed ones.
+
+    A problem whose id is repeated counts once.
+    """
     return (
         _members(problems, group_col, fixed)
         .groupBy("grp")
-        .agg(F.count("id").alias("n_problems"))
+        .agg(F.count_distinct("id").alias("n_problems"))
         .filter(F.col("n_problems") >= min_count)
     )
 
@@ -111,7 +114,7 @@ def sample_targets(
         eligible_groups(problems, group_col, fixed, min_count), "groups", largest="n_problems"
     )
     ids = _members(problems, group_col, fixed).filter(F.col("id").isNotNull()).select("grp", "id")
-    rows = ids.withColumn("draw", _draw(seed, "id"))
+    rows = ids.distinct().withColumn("draw", _draw(seed, "id"))
     if groups.largest < LARGE_GROUP:
         # The draw comes first, so the join only sees n_targets rows per group.
         first = skew.top_n(rows, ["grp"], [F.col("draw"), F.col("id")], n_targets, "target_pos")
@@ -142,6 +145,8 @@ def _candidates(
         .filter(F.col("id").isNotNull())
         .select("grp", F.col("id").alias("context_id"), *columns)
     )
+    # Equal ids have equal draws: without this, all rows of one would be drawn together.
+    rows = rows.dropDuplicates(["grp", "context_id"])
     return skew.attach(rows, targets, ["grp"], ["context_id"]).filter(
         F.col("context_id") != F.col("target_id")
     )

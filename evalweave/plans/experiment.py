@@ -92,11 +92,18 @@ def requests(
 
 
 def judge(
-    generations: DataFrame, attempts: DataFrame, tests: DataFrame, mode: str = "effective"
+    generations: DataFrame,
+    attempts: DataFrame,
+    tests: DataFrame,
+    mode: str = "effective",
+    by: Sequence[str] = scoring.TASK,
 ) -> DataFrame:
-    """Verdicts from recorded attempts. ``generations`` marks which ones compiled."""
-    statuses = judging.variant_fallback(judging.resolve_attempts(attempts, mode))
-    return judging.verdict_codes(generations, statuses, tests)
+    """Verdicts from recorded attempts. ``generations`` marks which ones compiled.
+
+    ``by`` names the columns of a run, as ``report.RUN_IN_GROUP`` for experiments.
+    """
+    statuses = judging.variant_fallback(judging.resolve_attempts(attempts, mode, by), by)
+    return judging.verdict_codes(generations, statuses, tests, by)
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from evalweave.operators import generations, judging
+from evalweave.operators import generations, judging, report
 from evalweave.plans import experiment
 
 ATTEMPTS = (
@@ -181,3 +181,62 @@ def test_pairing(spark):
     known = spark.createDataFrame([(1,), (3,)], "id bigint")
     got = {r.task_id: (r.n_generations, r.n_samples, r.status) for r in generations.pairing_report(made, known).collect()}
     assert got == {1: (2, 1, "paired"), 2: (1, 0, "no_sample"), 3: (0, 1, "no_generation")}
+
+
+def test_unrecorded_variant_and_tasks_without_tests(spark):
+    """A variant that was not recorded is not chosen; every generation has a verdict."""
+    rows = [(1, 1, 1, t, 1, 1, False, False, "", "7") for t in range(2)]
+    gens = spark.createDataFrame(
+        [(1, 1, True), (2, 1, True)], "task_id bigint, gen_idx bigint, compiled boolean"
+    )
+    tests = spark.createDataFrame([(1, 2)], "task_id bigint, n_tests int")
+    verdicts = experiment.judge(gens, spark.createDataFrame(rows, ATTEMPTS), tests)
+    assert sorted((r.task_id, r.test_idx, r.verdict) for r in verdicts.collect()) == [
+        (1, 0, -3),
+        (1, 1, -3),
+        (2, 0, -1),
+    ]
+
+
+def test_runs_are_told_apart(spark):
+    """The same task and generation under two treatments and in two groups."""
+    runs = [("no_context", "a", "7"), ("full_problem", "a", "8"), ("full_problem", "b", "7")]
+    attempts = spark.createDataFrame(
+        [(t, g, 1, 1, 1, 0, 1, 0, False, False, out, "7") for t, g, out in runs],
+        f"context_type string, grp string, {ATTEMPTS}",
+    )
+    gens = attempts.selectExpr("context_type", "grp", "task_id", "gen_idx", "true as compiled")
+    tests = judging.expected_tests(attempts)
+    verdicts = experiment.judge(gens, attempts, tests, "strict", report.RUN_IN_GROUP)
+    got = {(r.context_type, r.grp): r.pass_at_1 for r in report.run_results(verdicts).collect()}
+    assert got == {("no_context", "a"): 1.0, ("full_problem", "a"): 0.0, ("full_problem", "b"): 1.0}
+
+
+CALLS = [
+    ("[1, 2]", "[1,2]", True),
+    ("2.0", "[2]", True),
+    ("1e15", "1000000000000000", True),
+    ("1e20", "100000000000000000000", True),
+    ("9007199254740993", "9007199254740992.0", False),
+    ("-1e22", "-10000000000000000000000", True),
+    ("-0.0", "0", True),
+    ("1e23", "100000000000000000000000", False),
+    ("1e23", "99999999999999991611392", True),
+    ("0.5", "5e-1", True),
+]
+
+
+def test_call_based_tests_are_compared_as_values(spark):
+    rows = [(1, 1, 1, t, 1, 0, False, False, *pair, "call_based") for t, (*pair, _) in enumerate(CALLS)]
+    attempts = spark.createDataFrame(rows, f"{ATTEMPTS}, test_type string")
+    got = {r.test_idx: r.status for r in judging.resolve_attempts(attempts, "strict").collect()}
+    assert [got[i] for i in range(len(CALLS))] == ["passed" if same else "false" for *_, same in CALLS]
+
+
+def test_only_call_based_verdicts_are_copied(spark, samples):
+    verdicts = spark.createDataFrame(
+        [(1, 1, 0, 1), (2, 1, 0, 1)], "task_id bigint, gen_idx bigint, test_idx int, verdict int"
+    )
+    tests = judging.tests_per_task(judging.test_cases(samples))
+    got = judging.broadcast_verdict(verdicts, tests).collect()
+    assert sorted((r.task_id, r.test_idx) for r in got) == [(1, 0), (2, 0), (2, 1)]

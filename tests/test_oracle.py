@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__
-from workload import check
+from workload import check, oracles, queries
 
-QUERIES = __spark_entry__.queries()
-ORACLES = __spark_entry__.oracle_sql()
+QUERIES = queries.QUERIES
+ORACLES = oracles.ORACLES
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -31,6 +31,7 @@ CHECKED = [
     "context_members",
     "context_pairs",
     "eligible_problems",
+    "experiment_end_to_end",
     "load_generation_last_wins",
     "lookup_input",
     "prompts_full_problem",

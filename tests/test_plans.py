@@ -2,9 +2,9 @@
 
 import pytest
 
-import __spark_entry__
+from workload import queries
 
-QUERIES = __spark_entry__.queries()
+QUERIES = queries.QUERIES
 SMALL = "/root/testdata/sf0.001"
 
 

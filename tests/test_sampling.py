@@ -236,3 +236,16 @@ def test_salts_shrink_with_the_copied_table(spark):
     assert skew.salts(spark) == 8
     assert skew.salts(spark, skew.COPIES_BYTES // 5) == 5
     assert skew.salts(spark, skew.COPIES_BYTES * 10) == 2
+
+
+def test_repeated_ids_are_drawn_once(spark):
+    """Each id listed twice; the group has six problems."""
+    rows = [(i, "g") for i in range(1, 7)] * 2
+    problems = spark.createDataFrame(rows, "id bigint, tags string")
+    chosen = sampling.sample_targets(problems, "tags", {}, 6, 4, 42)
+    targets = [r.target_id for r in chosen.collect()]
+    assert len(targets) == len(set(targets)) == 4
+    assert sampling.eligible_groups(problems, "tags", {}, 7).count() == 0
+    contexts = sampling.sample_contexts(problems, chosen, "tags", {}, 4, 42).collect()
+    pairs = [(r.target_id, r.context_id) for r in contexts]
+    assert len(pairs) == len(set(pairs)) == 16

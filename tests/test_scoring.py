@@ -141,3 +141,14 @@ def test_run_log(spark):
     rows = report.run_log(results, durations, ["parsing", "evaluation", "total"], grid).collect()
     got = {r.run_name: (r.parsing_seconds, r.evaluation_seconds, r.total_seconds, r.run_index) for r in rows}
     assert got == {"1_no_context_g": (2.5, None, 4.0, 0), "1_full_problem_g": (2.5, None, 4.0, 7)}
+
+
+def test_unknown_treatment_fails(spark):
+    results = spark.createDataFrame(
+        [("g", "other", 1, 1.0, 1.0)],
+        "grp string, context_type string, task_id bigint, pass_at_1 double, normalized_sum double",
+    )
+    with pytest.raises(Exception, match="unknown treatment other"):
+        report.context_delta(results).collect()
+    row = report.context_delta(results, "other", ["other"]).first()
+    assert row.other_pass_at_1 == 1.0

@@ -3,8 +3,12 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalweave import schemas
 from evalweave.operators import skew
 
+# The stages that ``events`` logs.
+STAGES = ("view", "click", "signup", "error", "purchase")
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -134,13 +138,15 @@ def events_gens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def attempts_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Three attempts per test under two program variants; the second always runs."""
+    """Three attempts per test under two program variants; the second runs, but not for
+    every tenth order."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     tests = line_tests(spark, sf)
     base = (
         orders.join(tests, orders.o_orderkey == tests.l_orderkey)
         .withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
         .withColumn("variant", F.explode(F.array(F.lit(1), F.lit(2))))
+        .filter((F.col("variant") == 1) | (F.col("o_orderkey") % 10 != 3))
     )
     first = F.when(F.col("flag") == ord("R"), 0).when(F.col("flag") == ord("A"), 1).otherwise(2)
     code = (
@@ -172,6 +178,30 @@ def generations_orders(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _treated(runs: DataFrame) -> DataFrame:
+    """Every generation under each treatment, by the same number; odd ones in another group."""
+    return runs.withColumns({
+        "context_type": F.explode(F.array(*[F.lit(t) for t in schemas.TREATMENTS])),
+        "grp": F.when(F.col("gen_idx") % 2 == 0, "even").otherwise("odd"),
+    })
+
+
+def treated_generations(spark: SparkSession, sf: str) -> DataFrame:
+    return _treated(generations_orders(spark, sf))
+
+
+def treated_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """First attempts; whole problems as context mend most outputs, solutions alone spoil all."""
+    first = attempts_lines(spark, sf).filter("variant = 1 and attempt = 1")
+    mended = (F.col("context_type") == schemas.FULL_PROBLEM) & (F.col("gen_idx") % 3 != 0)
+    stdout = (
+        F.when(F.col("context_type") == schemas.ONLY_SOLUTIONS, "none")
+        .when(mended, F.col("expected"))
+        .otherwise(F.col("stdout"))
+    )
+    return _treated(first).withColumn("stdout", stdout)
+
+
 def pairs_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Expected and actual output; the line number selects the deviation."""
     part, supp = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")

@@ -81,7 +81,8 @@ VIEWS = {
           attempt = 1 and partkey % 97 = 0 as launch_error,
           (partkey + attempt) % 4 = suppkey % 4 as same
         from orders join line_tests on l_orderkey = o_orderkey
-        cross join (select unnest([1, 2, 3]) as attempt) cross join (select unnest([1, 2]) as variant)""",
+        cross join (select unnest([1, 2, 3]) as attempt) cross join (select unnest([1, 2]) as variant)
+        where variant = 1 or o_orderkey % 10 <> 3""",
     "statuses": """
         select task_id, gen_idx, variant, test_idx,
           case when bool_or(timed_out) then 'timeout'
@@ -95,7 +96,8 @@ VIEWS = {
         select s.task_id, s.gen_idx, s.test_idx, s.variant, s.status
         from statuses s join (
           select task_id, gen_idx,
-            case when bool_and(status = 'returncode:1') filter (where variant = 1) then 2 else 1 end as v
+            case when bool_and(status = 'returncode:1') filter (where variant = 1) and bool_or(variant = 2)
+              then 2 else 1 end as v
           from statuses group by all) w
         on s.task_id = w.task_id and s.gen_idx = w.gen_idx and s.variant = w.v""",
     "task_tests": "select task_id, max(test_idx) + 1 as n_tests from verdicts group by task_id",
@@ -258,7 +260,7 @@ def _tier(column: str) -> str:
 _ROUND_RUN = "grp, context_type, task_id, round(pass_at_1, 9) as pass_at_1, round(normalized_sum, 9) as normalized_sum"
 
 
-def _delta() -> str:
+def _delta(scores_view: str = "run_scores") -> str:
     mean = "avg({s}) filter (where context_type = '{t}')"
     names = ("no_context", "full_problem", "only_solutions")
     scores = ("pass_at_1", "normalized_sum")
@@ -269,7 +271,7 @@ def _delta() -> str:
         for t in names[1:]
         for s in scores
     ]
-    return f"select grp, {', '.join(columns)} from run_scores group by grp"
+    return f"select grp, {', '.join(columns)} from {scores_view} group by grp"
 
 
 def _manifest_json() -> str:
@@ -295,6 +297,39 @@ _VERDICT_CODES = """
     where o_orderpriority <> '5-LOW' and o_orderkey not in (select l_orderkey from lineitem)"""
 VIEWS["coded"] = _VERDICT_CODES
 
+VIEWS["treatments"] = "select unnest(['no_context', 'full_problem', 'only_solutions']) as context_type"
+VIEWS["treated"] = """
+    select task_id, gen_idx, test_idx, context_type,
+      case when timed_out then -1 when launch_error or exit_code <> 0 then -3
+        when context_type = 'only_solutions' then 0
+        when same or (context_type = 'full_problem' and gen_idx % 3 <> 0) then 1 else 0 end as verdict
+    from attempts cross join treatments where variant = 1 and attempt = 1"""
+VIEWS["treated_codes"] = """
+    select t.* from treated t join orders on o_orderkey = gen_idx where o_orderpriority <> '5-LOW'
+    union all
+    select o_custkey, o_orderkey, 0, context_type, -2 from orders cross join treatments
+    where o_orderpriority = '5-LOW'
+    union all
+    select o_custkey, o_orderkey, cast(unnest(range(coalesce(n, 1))) as integer), context_type, -1
+    from orders cross join treatments
+    left join (select task_id, max(test_idx) + 1 as n from attempts group by task_id) on task_id = o_custkey
+    where o_orderpriority <> '5-LOW' and o_orderkey not in (select l_orderkey from lineitem)"""
+VIEWS["treated_scores"] = """
+    select grp, context_type, task_id, count(*) filter (where ok) / count(*) as pass_at_1,
+      sum(hits) / (count(*) * max(len)) as normalized_sum
+    from (select if(gen_idx % 2 = 0, 'even', 'odd') as grp, context_type, task_id, gen_idx,
+            min(verdict) > 0 as ok, count(*) filter (where verdict = 1) as hits, count(*) as len
+          from treated_codes group by all)
+    group by all"""
+
+_STAGES = ("view", "click", "signup", "error", "purchase")
+
+
+def _stage_seconds(stage: str) -> str:
+    of = f"filter (where event_type = '{stage}')"
+    return f"(epoch_us(max(ts) {of}) - epoch_us(min(ts) {of})) / 1e6 as {stage}_seconds,"
+
+
 _PROMPTS = {
     "no_context": "select grp, target_id, target_pos, task as prompt from tasks",
     "full_problem": """
@@ -335,11 +370,10 @@ ORACLES = {
           round(hits / (n * max_tests), 9) as total from totals""",
     "run_log": f"""
         select {_ROUND_RUN}, task_id || '_' || context_type || '_' || grp as run_name,
-          view_seconds, click_seconds, total_seconds
+          {", ".join(f"{stage}_seconds" for stage in _STAGES)}, total_seconds
         from run_scores left join (
           select user_id,
-            (epoch_us(max(ts) filter (where event_type = 'view')) - epoch_us(min(ts) filter (where event_type = 'view'))) / 1e6 as view_seconds,
-            (epoch_us(max(ts) filter (where event_type = 'click')) - epoch_us(min(ts) filter (where event_type = 'click'))) / 1e6 as click_seconds,
+            {" ".join(map(_stage_seconds, _STAGES))}
             (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as total_seconds
           from events group by user_id) on user_id = task_id""",
     "filter_difficulty": "select * from problems_parts where difficulty = 'MEDIUM'",
@@ -441,6 +475,7 @@ ORACLES = {
         from (select task_id, gen_idx, min(verdict) > 0 as ok, count(*) filter (where verdict = 1) as hits,
                 max(test_idx) + 1 as len from coded group by all)
         group by task_id""",
+    "experiment_end_to_end": _delta("treated_scores"),
     "compare_exact": _tier("exact"),
     "compare_digits_close": _tier("digits_close"),
     "compare_charset": _tier("charset"),

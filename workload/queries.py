@@ -142,7 +142,7 @@ def metrics_roundtrip(spark, sf):
 def run_log(spark, sf):
     path = scratch.new_path(spark, "runs")
     durations = report.stage_durations(fx.stage_clock(spark, sf))
-    log = report.run_log(_run_results(spark, sf), durations, ["view", "click", "total"])
+    log = report.run_log(_run_results(spark, sf), durations, [*fx.STAGES, "total"])
     return _rounded(tables.append_runs(log, path), "pass_at_1", "normalized_sum")
 
 
@@ -389,6 +389,21 @@ def scores_from_attempts(spark, sf):
     return _rounded(scores, "pass_at_1", "total")
 
 
+@query
+def experiment_end_to_end(spark, sf):
+    """From attempts under three treatments to their differences; tasks are in two groups."""
+    attempts = fx.treated_attempts(spark, sf)
+    verdicts = experiment.judge(
+        fx.treated_generations(spark, sf),
+        attempts,
+        judging.expected_tests(attempts),
+        "strict",
+        report.RUN_IN_GROUP,
+    )
+    delta = report.context_delta(report.run_results(verdicts))
+    return _rounded(delta, *[c for c in delta.columns if c != "grp"])
+
+
 def _compare(tier: str) -> Query:
     def build(spark, sf):
         return fx.pairs_lines(spark, sf).withColumn(
