@@ -1,6 +1,6 @@
 """DuckDB statements for the queries that SQL can express."""
 
-from evalweave.llm import quality
+from evalweave.llm import quality, warc
 
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
@@ -76,4 +76,55 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
 from verdicts
 """
 
-ORACLES = {"op5_quality_rules": OP5}
+
+
+def _canonical(url: str) -> str:
+    """``warc.canonical_url`` as a CTE body: ``url`` of each row of a table, renewed."""
+    origin = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*"
+    return f"""
+    select * exclude (plain, head, rest),
+        regexp_replace(regexp_replace(head, '^(http://[^:]*):80$', '\\1'), '^(https://[^:]*):443$', '\\1')
+        || regexp_replace(regexp_replace(rest, '\\?.*$', ''), '/+$', '')
+        || coalesce(nullif('?' || array_to_string(list_sort(list_filter(
+               string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'),
+               lambda x: x <> '' and not regexp_matches(x, '^({warc.TRACKING})='))), '&'), '?'), '') as url
+    from (select *, lower(regexp_extract(plain, '{origin}')) as head, regexp_replace(plain, '{origin}', '') as rest
+          from (select * exclude (url), regexp_replace(url, '#.*$', '') as plain from {url}))"""
+
+
+OP9 = f"""
+with visited as (
+    select page_id * 2 + 1 as revisit_id, page_id * 10 + (page_id % 7 - 1) * 5000 + 5 as moment,
+        case when page_id % 9 = 4 then '"other"' else 'W/"' || md5(coalesce(html, '')) || '"' end as etag,
+        regexp_extract(url, '^([a-z]+://)', 1) || upper(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))
+            || regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) || '#again' as url
+    from pages
+),
+fetched as (
+    select page_id * 2 as response_id, page_id * 10 as moment, md5(coalesce(html, '')) as body,
+        cast(strlen(html) as varchar) as bytes, url
+    from pages
+),
+visits as ({_canonical("visited")}),
+responses as (
+    select url, moment, max(response_id) as response_id, arg_max(body, (response_id, body)) as body,
+        arg_max(bytes, (response_id, body)) as bytes
+    from ({_canonical("fetched")}) where url is not null and moment is not null group by url, moment
+),
+matched as (
+    select v.revisit_id, v.url, v.moment, v.etag, r.response_id, r.body, r.bytes,
+        case when r.response_id is null then '{warc.NO_RESPONSE}'
+            when regexp_replace(v.etag, '^W/', '') = '"' || r.body || '"' then '{warc.RESOLVED}'
+            else '{warc.MISMATCH}' end as status
+    from visits v asof left join responses r on v.url = r.url and v.moment > r.moment
+)
+select revisit_id, url, response_id, status,
+    case when status = 'resolved' then body end as digest,
+    case when status = 'resolved' then etag end as etag,
+    case when status = 'resolved' then cast(moment as varchar) end as date,
+    case when status = 'resolved' then 'text/html' end as content_type,
+    case when status = 'resolved' then bytes end as content_length
+from matched
+"""
+
+ORACLES = {"op5_quality_rules": OP5, "op9_warc_revisits": OP9}

@@ -19,12 +19,15 @@ from evalweave.llm import (
     extraction,
     lines,
     lm,
+    oracles,
     pii,
     quality,
+    queries,
     simhash,
     toxicity,
     warc,
 )
+from workload import check
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, line int, fp long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -433,3 +436,11 @@ def test_pipeline_stages(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == set(range(6))
     assert all(r.n_tokens > 0 for r in got)
+
+
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_equals_sql(spark, name, sf):
+    folder = f"/root/testdata/{sf}"
+    got = queries.QUERIES[name](spark, folder)
+    assert check.compare(got, check.connect(folder), oracles.ORACLES[name]) is None
