@@ -4,10 +4,15 @@ Large tables are exchanged as JSON lines, which split. The per-task array files
 of single runs are read too, one file per row.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave import schemas
+from evalweave.functions import passk
+
+KS = (1, 10, 100)
 
 # Outputs per line of the parsed export: a hot task becomes many lines.
 OUTPUTS_PER_LINE = 1000
@@ -120,19 +125,26 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def metrics_documents(totals: DataFrame, positions: DataFrame) -> DataFrame:
-    """The metrics document of each task: pass@1 with detail, sums per test, total.
+def metrics_documents(
+    totals: DataFrame, positions: DataFrame, ks: Sequence[int] = KS
+) -> DataFrame:
+    """The metrics document of each task: pass@k with detail, sums per test, total.
 
-    ``totals`` has task_id, pass_at_1 and total; ``positions`` the passed
-    generations per test, one row per test of the task.
+    ``totals`` has task_id, n, c and total; ``positions`` the passed generations
+    per test, one row per test of the task. A k above the task's n is left out.
     """
+    scores = {k: F.when(F.col("n") >= k, passk.pass_at_k(F.col("n"), F.col("c"), F.lit(k))) for k in ks}
     sums = positions.groupBy("task_id").agg(
         F.sort_array(F.collect_list(F.struct("test_idx", "n_passed"))).alias("sums")
     )
-    task = F.create_map(F.col("task_id").cast("string"), F.col("pass_at_1"))
+    task = F.col("task_id").cast("string")
+    detail = [
+        F.when(score.isNotNull(), F.create_map(task, score)).alias(f"pass@{k}")
+        for k, score in scores.items()
+    ]
     k_pass = F.struct(
-        F.col("pass_at_1").alias("pass@1"),
-        F.struct(task.alias("pass@1")).alias("detail"),
+        *[score.alias(f"pass@{k}") for k, score in scores.items()],
+        F.struct(*detail).alias("detail"),
     )
     normalized = F.struct(
         F.transform("sums", lambda x: x["n_passed"]).alias("tests"), F.col("total")
@@ -149,17 +161,18 @@ def write_metrics(documents: DataFrame, path: str) -> None:
     documents.write.json(path)
 
 
-def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """pass@1 and total of every stored metrics document."""
+def read_metrics(spark: SparkSession, path: str, ks: Sequence[int] = KS) -> DataFrame:
+    """pass@k, null where it was left out, and total of every stored metrics document."""
+    scores = ", ".join(f"`pass@{k}`:double" for k in ks)
     lines = spark.read.schema("task_id bigint, metrics string").option("mode", "FAILFAST").json(path)
     value = F.from_json(
         "metrics",
-        "k_pass struct<`pass@1`:double>, normalized_sum struct<tests:array<bigint>,total:double>",
+        f"k_pass struct<{scores}>, normalized_sum struct<tests:array<bigint>,total:double>",
         {"mode": "FAILFAST"},
     )
     return lines.select("task_id", value.alias("m")).select(
         "task_id",
-        F.col("m.k_pass.`pass@1`").alias("pass_at_1"),
+        *[F.col(f"m.k_pass.`pass@{k}`").alias(f"pass_at_{k}") for k in ks],
         F.size("m.normalized_sum.tests").alias("n_tests"),
         F.col("m.normalized_sum.total").alias("total"),
     )

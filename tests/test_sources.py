@@ -125,13 +125,15 @@ def test_manifest_documents(spark, tmp_path):
 
 
 def test_metrics_documents(spark):
-    totals = spark.createDataFrame([(3, 0.5, 0.25)], "task_id bigint, pass_at_1 double, total double")
+    totals = spark.createDataFrame([(3, 2, 1, 0.25)], "task_id bigint, n bigint, c bigint, total double")
     positions = spark.createDataFrame([(3, 1, 0), (3, 0, 2)], "task_id bigint, test_idx int, n_passed bigint")
     doc = json.loads(documents.metrics_documents(totals, positions).first().metrics)
     assert doc == {
         "k_pass": {"pass@1": 0.5, "detail": {"pass@1": {"3": 0.5}}},
         "normalized_sum": {"tests": [2, 0], "total": 0.25},
     }
+    every = json.loads(documents.metrics_documents(totals, positions, [1, 2, 3]).first().metrics)
+    assert every["k_pass"] == {"pass@1": 0.5, "pass@2": 1.0, "detail": {"pass@1": {"3": 0.5}, "pass@2": {"3": 1.0}}}
 
 
 def test_point_filter_reaches_the_scan(spark, tmp_path):

@@ -227,6 +227,15 @@ _PRODUCT = """
          else 1.0 - coalesce(list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - k / i)), 1.0) end"""
 
 
+def _pass_columns(*ks: int) -> str:
+    """pass@k as columns, null for more generations than the task has."""
+    import re
+
+    return ", ".join(
+        f"case when n >= {k} then round({re.sub(r'\bk\b', str(k), _PRODUCT)}, 9) end as pass_at_{k}" for k in ks
+    )
+
+
 def _detail(totals: str) -> str:
     return f"""
         select task_id, n, c, k, round({_PRODUCT}, 9) as pass_at_k from {totals} join ks
@@ -365,8 +374,8 @@ ORACLES = {
     "manifest_export": _manifest_json(),
     "manifest_roundtrip": "select * from contexts_by_lang",
     "parsed_export": "select * from parsed_conv",
-    "metrics_roundtrip": """
-        select task_id, round(c / n, 9) as pass_at_1, max_tests as n_tests,
+    "metrics_roundtrip": f"""
+        select task_id, {_pass_columns(1, 10, 100)}, max_tests as n_tests,
           round(hits / (n * max_tests), 9) as total from totals""",
     "run_log": f"""
         select {_ROUND_RUN}, task_id || '_' || context_type || '_' || grp as run_name,

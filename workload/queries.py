@@ -130,12 +130,11 @@ def parsed_export(spark, sf):
 def metrics_roundtrip(spark, sf):
     path = scratch.new_path(spark, "metrics")
     verdicts = _stored_verdicts(spark, sf)
-    totals = scoring.normalized_sum(scoring.task_totals(verdicts)).withColumn(
-        "pass_at_1", scoring.passk.pass_at_k(F.col("n"), F.col("c"), F.lit(1))
-    )
+    totals = scoring.normalized_sum(scoring.task_totals(verdicts))
     positions = scoring.tests_passed_by_position(verdicts)
     documents.write_metrics(documents.metrics_documents(totals, positions), path)
-    return _rounded(documents.read_metrics(spark, path), "pass_at_1", "total")
+    scores = [f"pass_at_{k}" for k in documents.KS]
+    return _rounded(documents.read_metrics(spark, path), *scores, "total")
 
 
 @query
