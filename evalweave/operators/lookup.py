@@ -12,8 +12,8 @@ Ids = DataFrame | scratch.Written
 def inputs_by_id(problems: DataFrame, ids: Ids) -> DataFrame:
     """One ``input`` per wanted id; an id listed under several tags has one text.
 
-    ``ids`` holds distinct ids. The text column only passes the shuffle for rows
-    whose id is wanted.
+    ``ids`` holds distinct ids. Up to the broadcast bound of ids only wanted texts
+    are shuffled; beyond it the join shuffles the texts of the table.
     """
     wanted = skew.attach(problems.select("id", "tags", "input"), ids, ["id"], how="left_semi")
     return wanted.groupBy("id").agg(F.min_by("input", F.coalesce("tags", F.lit(""))).alias("input"))

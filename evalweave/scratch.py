@@ -8,10 +8,13 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SETTING = "spark.checkpoint.dir"
+# What a value of a fixed width counts as, the widest decimals included.
+FIXED_BYTES = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,14 +48,27 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value: texts and arrays of numbers by length, other nested values as JSON."""
+    column, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        return F.greatest(F.coalesce(F.size(column), F.lit(0)), F.lit(0)) * FIXED_BYTES
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.octet_length(F.to_json(F.struct(column)))
+    return F.lit(FIXED_BYTES)
+
+
 def write(df: DataFrame, name: str, largest: str | None = None) -> Written:
     """Store ``df`` and measure it in the same job, also column ``largest``'s maximum."""
     seen = Observation()
     maximum = F.lit(0) if largest is None else F.col(largest)
+    width = sum((_width(field).cast("long") for field in df.schema), F.lit(0).cast("long"))
     measured = df.observe(
         seen,
         F.count(F.lit(1)).alias("rows"),
-        F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes"),
+        F.sum(width).alias("bytes"),
         F.max(maximum).alias("largest"),
     )
     stored = store(measured, name)

@@ -77,17 +77,17 @@ def read_parsed_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def manifest_documents(manifest: DataFrame) -> DataFrame:
-    """One document per group: its target ids and each target's context ids.
+def _targets(manifest: DataFrame) -> DataFrame:
+    """Per group, ``targets`` in order and ``contexts``, the ids of each by target.
 
-    A document is bounded by the sample sizes, not by the group.
+    A row is as long as the manifest's sample of the group.
     """
-    contexts = F.filter(
+    found = F.filter(
         F.sort_array(F.collect_list(F.struct("context_pos", "context_id"))),
         lambda x: x["context_id"].isNotNull(),
     )
     per_target = manifest.groupBy("grp", "target_id", "target_pos").agg(
-        F.transform(contexts, lambda x: x["context_id"]).alias("ids")
+        F.transform(found, lambda x: x["context_id"]).alias("ids")
     )
     per_group = per_target.groupBy("grp").agg(
         F.sort_array(F.collect_list(F.struct("target_pos", "target_id", "ids"))).alias("targets")
@@ -97,15 +97,24 @@ def manifest_documents(manifest: DataFrame) -> DataFrame:
     )
     return per_group.select(
         "grp",
-        F.to_json(
-            F.struct(
-                F.transform("targets", lambda t: t["target_id"]).alias("input_ids"),
-                F.map_from_entries(pairs).alias("context_ids"),
-            )
-        ).alias("document"),
+        F.transform("targets", lambda t: t["target_id"]).alias("targets"),
+        F.map_from_entries(pairs).alias("contexts"),
     )
 
 
+def _with_contexts(targets: DataFrame, by_target: str) -> DataFrame:
+    ids = F.try_element_at(by_target, F.col("target_id").cast("string"))
+    return targets.select(
+        "grp", "target_id", "target_pos", F.posexplode_outer(ids).alias("context_pos", "context_id")
+    )
+
+
+def manifest_documents(manifest: DataFrame) -> DataFrame:
+    """One document per group: its target ids and each target's context ids."""
+    document = F.struct(F.col("targets").alias("input_ids"), F.col("contexts").alias("context_ids"))
+    return _targets(manifest).select("grp", F.to_json(document).alias("document"))
+
+
 def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest_documents(manifest).write.json(path)
 
@@ -119,10 +128,38 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     targets = lines.select("grp", document.alias("d")).select(
         "grp", F.posexplode("d.input_ids").alias("target_pos", "target_id"), "d.context_ids"
     )
-    ids = F.try_element_at("context_ids", F.col("target_id").cast("string"))
-    return targets.select(
-        "grp", "target_id", "target_pos", F.posexplode_outer(ids).alias("context_pos", "context_id")
-    )
+    return _with_contexts(targets, "context_ids")
+
+
+def write_manifest_files(manifest: DataFrame, path: str, nested: bool) -> None:
+    """JSON lines of one group each: ``input_ids`` by group, ``context_ids`` by target.
+
+    With ``nested`` the targets' contexts are listed under their group as well. A
+    group must have a name.
+    """
+    contexts = F.create_map("grp", "contexts") if nested else F.col("contexts")
+    document = F.struct(F.create_map("grp", "targets").alias("input_ids"), contexts.alias("context_ids"))
+    _targets(manifest).select(F.to_json(document).alias("value")).write.text(path)
+
+
+def read_manifest_files(
+    spark: SparkSession, path: str, nested: bool, whole: bool = False
+) -> DataFrame:
+    """Long manifest rows from documents with ``input_ids`` by group.
+
+    ``context_ids`` are by group and target if ``nested``, else by target. With
+    ``whole`` each file is one document of many lines, else each line is one.
+    """
+    kind = "map<string,array<bigint>>"
+    contexts = f"map<string,{kind}>" if nested else kind
+    document = F.from_json("value", f"input_ids {kind}, context_ids {contexts}", {"mode": "FAILFAST"})
+    rows = spark.read.text(path, wholetext=whole).select(document.alias("d"))
+    groups = rows.select(F.explode("d.input_ids").alias("grp", "ids"), "d.context_ids")
+    by_target = F.try_element_at("context_ids", F.col("grp")) if nested else F.col("context_ids")
+    targets = groups.select(
+        "grp", F.posexplode("ids").alias("target_pos", "target_id"), by_target.alias("by_target")
+    )
+    return _with_contexts(targets, "by_target")
 
 
 def metrics_documents(

@@ -124,6 +124,29 @@ def test_manifest_documents(spark, tmp_path):
     assert sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
 
 
+@pytest.mark.parametrize("nested", [True, False])
+def test_manifest_files(spark, tmp_path, nested):
+    by_group = {"g": {"5": [8, 9], "4": []}, "h": {"1": [2]}}
+    contexts = by_group if nested else {k: v for group in by_group.values() for k, v in group.items()}
+    document = {"input_ids": {"g": [5, 4], "h": [1]}, "context_ids": contexts}
+    (tmp_path / "whole.json").write_text(json.dumps(document, indent=4))
+    rows = documents.read_manifest_files(spark, str(tmp_path / "whole.json"), nested, whole=True)
+    want = [("g", 4, 1, None, None), ("g", 5, 0, 0, 8), ("g", 5, 0, 1, 9), ("h", 1, 0, 0, 2)]
+    assert sorted(map(tuple, rows.collect()), key=repr) == want
+    documents.write_manifest_files(rows, str(tmp_path / "lines"), nested)
+    again = documents.read_manifest_files(spark, str(tmp_path / "lines"), nested)
+    assert sorted(map(tuple, again.collect()), key=repr) == want
+
+
+def test_sizes_are_measured_by_schema(spark):
+    df = spark.sql("select id, repeat('x', 100) as t, array(1, 2) as a, struct(id as b) as s from range(10)")
+    written = scratch.write(df, "sized", largest="id")
+    assert (written.rows, written.largest) == (10, 9)
+    assert written.bytes == 10 * (16 + 100 + 32 + len('{"s":{"b":0}}'))
+    nothing = scratch.write(df.limit(0), "sized")
+    assert (nothing.rows, nothing.bytes) == (0, 0)
+
+
 def test_metrics_documents(spark):
     totals = spark.createDataFrame([(3, 2, 1, 0.25)], "task_id bigint, n bigint, c bigint, total double")
     positions = spark.createDataFrame([(3, 1, 0), (3, 0, 2)], "task_id bigint, test_idx int, n_passed bigint")

@@ -9,6 +9,9 @@ from evalweave.operators import skew
 # The stages that ``events`` logs.
 STAGES = ("view", "click", "signup", "error", "purchase")
 
+# The problem whose tests are looked up alone.
+ONE_PROBLEM = 1
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")

@@ -366,6 +366,8 @@ ORACLES = {
     "scan_arrow_ipc": "select * from part",
     "scan_solutions": "select * from solutions_docs",
     "scan_tests": "select id, test_idx, input, expected from cases",
+    "scan_tests_one_id": "select id, test_idx, input, expected from cases where id = 1",
+    "raw_samples": "select id, input_output from documents_json",
     "read_generations": "select * from generations_conv",
     "load_generation_last_wins": """
         select conv_id as task_id, turn as gen_idx, text as code from conversations c
@@ -373,6 +375,8 @@ ORACLES = {
                                       where d.conv_id = c.conv_id)""",
     "manifest_export": _manifest_json(),
     "manifest_roundtrip": "select * from contexts_by_lang",
+    "manifest_files_nested": "select * from contexts_parts",
+    "manifest_files_flat": "select * from contexts_by_lang",
     "parsed_export": "select * from parsed_conv",
     "metrics_roundtrip": f"""
         select task_id, {_pass_columns(1, 10, 100)}, max_tests as n_tests,
@@ -515,6 +519,7 @@ ORACLES = {
             else false end as matched
         from (select *, cast(l_partkey as string) as p, cast(l_suppkey as string) as s from lineitem)""",
     "generation_correct": "select * from gens",
+    "explode_results": "select * from verdicts",
     "results_by_generation": """
         select task_id, gen_idx, '[' || string_agg(cast(verdict as string), ',' order by test_idx) || ']' as verdicts
         from verdicts group by all""",

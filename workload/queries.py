@@ -78,12 +78,30 @@ def scan_solutions(spark, sf):
     return tables.read_solutions(spark, path)
 
 
-@query
-def scan_tests(spark, sf):
+def _tests_path(spark: SparkSession, sf: str) -> str:
     path = scratch.new_path(spark, "tests")
     cases = judging.test_cases(fx.samples_orders(spark, sf))
     cases.select("id", "test_idx", "input", "expected").write.parquet(path)
-    return tables.read_tests(spark, path)
+    return path
+
+
+@query
+def scan_tests(spark, sf):
+    return tables.read_tests(spark, _tests_path(spark, sf))
+
+
+@query
+def scan_tests_one_id(spark, sf):
+    """The tests of one problem: the filter is the feature."""
+    return tables.read_tests(spark, _tests_path(spark, sf), fx.ONE_PROBLEM)
+
+
+@query
+def raw_samples(spark, sf):
+    path = scratch.new_path(spark, "samples")
+    stored = {"id": "problem", "input_output": "sample"}
+    fx.samples_orders(spark, sf).withColumnsRenamed(stored).write.parquet(path)
+    return tables.read_raw_samples(spark, path, stored)
 
 
 @query
@@ -119,6 +137,22 @@ def manifest_roundtrip(spark, sf):
     return documents.read_manifest(spark, path)
 
 
+@query
+def manifest_files_nested(spark, sf):
+    path = scratch.new_path(spark, "manifest-nested")
+    manifest = experiment.manifest(fx.problems_parts(spark, sf), PARTS)
+    documents.write_manifest_files(manifest, path, nested=True)
+    return documents.read_manifest_files(spark, path, nested=True)
+
+
+@query
+def manifest_files_flat(spark, sf):
+    path = scratch.new_path(spark, "manifest-flat")
+    manifest = experiment.manifest(fx.problems_docs(spark, sf), DOCS_BY_LANG)
+    documents.write_manifest_files(manifest, path, nested=False)
+    return documents.read_manifest_files(spark, path, nested=False)
+
+
 @query
 def parsed_export(spark, sf):
     path = scratch.new_path(spark, "parsed")
@@ -444,6 +478,11 @@ def results_by_generation(spark, sf):
     return vectors.withColumn("verdicts", F.to_json("verdicts"))
 
 
+@query
+def explode_results(spark, sf):
+    return scoring.explode_results(scoring.collect_results(_verdicts(spark, sf)))
+
+
 @query
 def pass_at_k_detail(spark, sf):
     totals = scratch.store(scoring.task_totals(fx.events_gens(spark, sf)), "totals")
