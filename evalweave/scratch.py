@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SETTING = "spark.checkpoint.dir"
-# What a value of a fixed width counts as, the widest decimals included.
-FIXED_BYTES = 16
+# Width of a number, date or flag in a row; decimals of over 18 digits take two.
+FIXED_BYTES = 8
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,7 +57,8 @@ def _width(field: T.StructField) -> Column:
         return F.greatest(F.coalesce(F.size(column), F.lit(0)), F.lit(0)) * FIXED_BYTES
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         return F.octet_length(F.to_json(F.struct(column)))
-    return F.lit(FIXED_BYTES)
+    wide = isinstance(kind, T.DecimalType) and kind.precision > 18
+    return F.lit(2 * FIXED_BYTES if wide else FIXED_BYTES)
 
 
 def write(df: DataFrame, name: str, largest: str | None = None) -> Written:

@@ -142,7 +142,7 @@ def test_sizes_are_measured_by_schema(spark):
     df = spark.sql("select id, repeat('x', 100) as t, array(1, 2) as a, struct(id as b) as s from range(10)")
     written = scratch.write(df, "sized", largest="id")
     assert (written.rows, written.largest) == (10, 9)
-    assert written.bytes == 10 * (16 + 100 + 32 + len('{"s":{"b":0}}'))
+    assert written.bytes == 10 * (8 + 100 + 16 + len('{"s":{"b":0}}'))
     nothing = scratch.write(df.limit(0), "sized")
     assert (nothing.rows, nothing.bytes) == (0, 0)
 
