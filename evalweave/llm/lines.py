@@ -6,9 +6,11 @@ that many of their blocks, so each choice of the other blocks is a key to join o
 Pairs are verified by edit similarity, and of each connected group one occurrence
 stays, the first by document and line.
 
-A key shared by many lines is not spelled out in pairs. First every line is paired
-with the first line of its key only; pairs are then made between lines that this
-left in different groups, so no link that matters is lost.
+Keys are made of fingerprints, not lines, and lines join them afterwards. Of a key,
+the fingerprints connected within ``MAX_BITS`` are kept together under one name, so
+groups met on many keys are one. Such a group is not spelled out in pairs. First every
+line is paired with the first line of its group only; pairs are then made between lines
+that this left in different groups, so no link that matters is lost.
 """
 
 import itertools
@@ -25,12 +27,18 @@ from evalweave import scratch
 from evalweave.llm import bits, components, edit
 from evalweave.operators import skew
 
-MAX_BITS = 3
+MAX_BITS = 6
 SIMILAR_PERCENT = 80
+# Letters of a feature.
+GRAM = 4
+# Lines that may share a key by chance.
+BY_CHANCE = 64
 # Word hashes remembered by a task.
 REMEMBERED = 1_000_000
 # Letters of lines hashed at a time.
 HASHED_LETTERS = 2_000_000
+# Lines whose features are made at a time.
+LOT = 500
 # Keys with more lines than this are compared line by line.
 COMPARED = 1024
 _BETWEEN = re.compile(r"[\W_]+")
@@ -49,7 +57,7 @@ def key_blocks(lines: int, max_bits: int = MAX_BITS) -> int:
     More blocks give longer keys and more of them; the links found are the same.
     """
     for blocks in range(max_bits + 2, max_bits + 5):
-        if lines <= 1 << (64 * (blocks - max_bits) // blocks - 1):
+        if lines <= BY_CHANCE << (64 * (blocks - max_bits) // blocks):
             return blocks
     return max_bits + 4
 
@@ -70,20 +78,31 @@ class _Words(dict):
         return value
 
 
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
 def _simhashes(lines: list[str], words: _Words) -> np.ndarray:
-    """SimHash of words and word pairs, the last word paired with the line's end."""
+    """SimHash of words and of the ``GRAM`` letters from each letter on, past the line's end."""
     split = [line.split(" ") for line in lines]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    flat = np.fromiter(
-        (words[w] for line in split for w in line), np.uint64, int(sizes.sum())
-    )
-    after = np.concatenate([flat[1:], np.zeros(1, np.uint64)])[: len(flat)]
-    after[np.cumsum(sizes) - 1] = 0
-    both = flat * np.uint64(0x9E3779B97F4A7C15) + after
-    both = (both ^ (both >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    both ^= both >> np.uint64(32)
-    features = np.stack([flat, both], axis=1).reshape(-1)
-    return bits.as_signed(bits.majorities(features, 2 * sizes))
+    n_words = np.fromiter(map(len, split), np.int64, len(split))
+    n_letters = np.fromiter(map(len, lines), np.int64, len(lines))
+    flat = np.fromiter((words[w] for line in split for w in line), np.uint64, int(n_words.sum()))
+    ends = "\0" * (GRAM - 1)
+    points = np.frombuffer("".join(line + ends for line in lines).encode("utf-32-le"), "<u4").astype(np.uint64)
+    starts = np.zeros(max(0, len(points) - GRAM + 1), np.uint64)
+    for i in range(GRAM):
+        starts = starts * np.uint64(0x9E3779B97F4A7C15) + points[i : len(points) - GRAM + 1 + i]
+    line_of = np.repeat(np.arange(len(lines)), n_letters)
+    grams = _mixed(starts[np.arange(len(line_of)) + line_of * (GRAM - 1)])
+    sizes = n_words + n_letters
+    features = np.empty(int(sizes.sum()), np.uint64)
+    word_of = np.repeat(np.arange(len(lines)), n_words)
+    features[np.arange(len(flat)) + np.cumsum(n_letters)[word_of]] = flat
+    features[np.arange(len(grams)) + (np.cumsum(n_words) - n_words)[line_of]] = grams
+    return bits.as_signed(bits.majorities(features, sizes))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -102,7 +121,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 pa.array(doc_ids, pa.int64()),
                 pa.array(numbers, pa.int32()),
                 pa.array(bits.as_signed(hashes)),
-                pa.array(_simhashes(lines, words)),
+                pa.array(np.concatenate([_simhashes(lines[i : i + LOT], words) for i in range(0, len(lines) or 1, LOT)])),
             ]
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "line", "simhash"])
 
@@ -136,46 +155,61 @@ def _steps(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield small, small + step
 
 
-def _met(key: np.ndarray, line: np.ndarray, sim: np.ndarray, max_bits: int) -> list[np.ndarray]:
-    """Of whole keys, the rows that have another within ``max_bits``, with the first of them.
+def _met(key: np.ndarray, sim: np.ndarray, max_bits: int) -> list[np.ndarray]:
+    """Of whole keys, the rows that have another within ``max_bits``, with the first of
+    the rows they are connected to; ``key`` is then a hash of all these.
 
-    All rows of a key with more than ``COMPARED`` rows count as such.
+    Keys with more than ``COMPARED`` rows stay as they are, all rows of each together.
     """
     starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
     sizes = np.diff(np.append(starts, len(key)))
-    met = np.repeat(sizes, sizes) > COMPARED
+    large = np.repeat(sizes, sizes) > COMPARED
+    met = large.copy()
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, j in _steps(key):
         near = np.bitwise_count(sim[i] ^ sim[j]) <= max_bits
-        met[i[near]] = met[j[near]] = True
-    key, line, sim = key[met], line[met], sim[met]
-    first = np.diff(key, prepend=key[:1] - 1) != 0
-    at = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-    return [key, line, sim, line[at], sim[at]]
+        first.append(i[near])
+        second.append(j[near])
+    i, j = np.concatenate(first), np.concatenate(second)
+    met[i] = met[j] = True
+    at = np.where(large, np.repeat(starts, sizes), np.arange(len(key)))
+    while True:
+        before = at.copy()
+        least = np.minimum(at[i], at[j])
+        np.minimum.at(at, i, least)
+        np.minimum.at(at, j, least)
+        at = at[at]
+        if np.array_equal(at, before):
+            break
+    names = np.zeros(len(key), np.uint64)
+    np.add.at(names, at[met], _mixed(bits.as_unsigned(sim[met])))
+    names = np.where(large, key, bits.as_signed(names[at]))
+    return [names[met], sim[met], sim[at][met]]
 
 
-def _shared_keys(classes: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
-    """Rows ``(key, line, simhash, head, head_simhash)`` of lines that meet another on a key.
+def _shared_keys(sims: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
+    """Rows ``(key, simhash, head_simhash)`` of fingerprints that meet another on a key.
 
-    ``head`` is the first such line of the key. Rows arrive sorted by key, so one pass
-    finds them; a key with more than ``COMPARED`` lines is passed through, not held.
+    ``head_simhash`` is the first such one of the key. Rows arrive sorted by key, so one
+    pass finds them; a key with more than ``COMPARED`` rows is passed through, not held.
     """
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("simhash").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    rows = classes.select(F.explode(keys).alias("key"), "line", "simhash")
-    names = ["key", "line", "simhash", "head", "head_simhash"]
+    place = F.explode(F.array(*[F.lit(i).cast("short") for i in range(len(masks))]))
+    masked = F.col("simhash").bitwiseAND(F.get(F.array(*map(F.lit, masks)), F.col("place")))
+    key = F.xxhash64("place", masked)
+    names = ["key", "simhash", "head_simhash"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3  # the last key's rows so far
+        held = [np.zeros(0, np.int64)] * 2  # the last key's rows so far
         passing = None  # first row of a key that is passed through
 
         def out(columns: list[np.ndarray]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
         def all_of(columns: list[np.ndarray]) -> pa.RecordBatch:
-            n = len(columns[0])
-            return out([*columns, np.full(n, passing[1]), np.full(n, passing[2])])
+            return out([*columns, np.full(len(columns[0]), passing[1])])
 
         for batch in batches:
-            columns = [np.asarray(batch.column(i)) for i in range(3)]
+            columns = [np.asarray(batch.column(i)) for i in range(2)]
             if passing is not None and len(columns[0]):
                 n = int(np.searchsorted(columns[0], passing[0], side="right"))
                 yield all_of([c[:n] for c in columns])
@@ -193,8 +227,10 @@ def _shared_keys(classes: DataFrame, masks: list[int], max_bits: int) -> DataFra
                 held = [c[:0] for c in held]
         yield out(_met(*held, max_bits))
 
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "line")
-    return sorted_rows.mapInArrow(work, ", ".join(f"{name} long" for name in names))
+    # Only place and fingerprint are sent; the key is made again where they arrive.
+    rows = sims.select(place.alias("place"), "simhash").repartition(key)
+    sorted_rows = rows.select(key.alias("key"), "simhash").sortWithinPartitions("key", "simhash")
+    return sorted_rows.mapInArrow(work, ", ".join(f"{name} long" for name in names)).distinct()
 
 
 def _bits_apart(a: str, b: str) -> Column:
@@ -312,12 +348,19 @@ def removed_lines(docs: DataFrame, max_bits: int = MAX_BITS, percent: int = SIMI
         "classes",
     )
     masks = key_masks(key_blocks(classes.rows, max_bits), max_bits)
-    shared = scratch.store(_shared_keys(classes.df, masks, max_bits), "keys")
-    heads = (
-        shared.filter((F.col("line") != F.col("head")) & (_bits_apart("simhash", "head_simhash") <= max_bits))
-        .select(F.col("line").alias("a"), F.col("head").alias("b"))
-        .distinct()
+    sims = scratch.store(
+        classes.df.groupBy("simhash").agg(F.min("line").alias("rep"), F.count(F.lit(1)).alias("lines")), "simhashes"
+    )
+    shared = scratch.store(_shared_keys(sims.select("simhash"), masks, max_bits), "keys")
+    near = shared.filter((F.col("simhash") != F.col("head_simhash")) & (_bits_apart("simhash", "head_simhash") <= max_bits))
+    reps = sims.select(F.col("simhash").alias("head_simhash"), F.col("rep").alias("b"))
+    across = near.select("simhash", "head_simhash").distinct().join(sims, "simhash").join(reps, "head_simhash")
+    many = sims.filter("lines > 1").select("simhash", "rep")
+    heads = across.select(F.col("rep").alias("a"), "b").unionAll(
+        classes.df.join(many, "simhash").filter("line != rep").select(F.col("line").alias("a"), F.col("rep").alias("b"))
     )
+    keys = shared.select("key", "simhash").unionAll(many.select(F.xxhash64("simhash").alias("key"), "simhash"))
+    shared = classes.df.select("line", "simhash").join(keys, "simhash")
     near = scratch.store(_verified(heads, classes.df, docs, percent), "links")
     roots = _roots(near)
     grouped = shared.join(roots, F.col("line") == F.col("node"), "left").select(
