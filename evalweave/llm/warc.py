@@ -103,7 +103,9 @@ def resolve(responses: DataFrame, revisits: DataFrame, slices: int = SLICES) ->
         F.col("headers").alias("new"),
         F.col("digest").alias("new_digest"),
     )
-    kept = full.groupBy("url", key.alias("key")).agg(F.max_by(F.struct("headers", "digest"), "digest").alias("old"))
+    # A null would not count as a greatest digest, and its headers would be lost.
+    last = F.max_by(F.struct("headers", "digest"), F.coalesce("digest", F.lit("")))
+    kept = full.groupBy("url", key.alias("key")).agg(last.alias("old"))
     joined = placed.join(kept, ["url", "key"], "left")
     return joined.select("revisit_id", "url", F.col("key.record_id").alias("response_id"), *_merged())
 
