@@ -22,7 +22,7 @@ LAST_DAY = date(2099, 12, 31).toordinal()
 
 _EMAIL = re.compile(r"([A-Za-z0-9._%+-]+)(@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})")
 _NUMBER = re.compile(
-    r"""(?<![\w.])(?:
+    r"""(?<!\w)(?<!\d\.)(?:
     (?P<ymd>(?:19|20)\d\d-\d\d-\d\d)
     |(?P<dmy>\d\d?[./]\d\d?[./](?:19|20)\d\d)
     |(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)
@@ -30,7 +30,7 @@ _NUMBER = re.compile(
     |(?P<card>\d{13,19}|\d{4}([ -])\d{4}\6\d{4}\6\d{1,7}|\d{4}([ -])\d{6}\7\d{5})
     |(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)\ ?|\d{3}[ .-])\d{3}[ .-]\d{4})
     |(?P<iban>[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}|(?:\ [A-Z0-9]{4}){3,7}(?:\ [A-Z0-9]{1,3})?))
-    )(?!\w)""",
+    )(?(ymd)(?!(?!T\d)\w)|(?(dmy)(?!(?!T\d)\w)|(?!\w)))""",
     re.VERBOSE,
 )
 
