@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import bpe, decontamination, extraction, lines, lm, pii, quality, simhash, toxicity, warc
+from evalweave.llm import bpe, decontamination, extraction, lines, lm, pii, quality, runs, simhash, toxicity, warc
 
 # A rank file every executor can read, and the pattern that goes with it.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -106,6 +106,32 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def repeating(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` with every tenth text, by the hash of its id, made periodic.
+
+    Its n words from word a = g % n on, where g is a tenth of the hash, give way to repeats
+    of the p = 1 + (n - a) div (3 + g % 8) words that begin there.
+    """
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, first, period = F.size("words"), F.col("first"), F.col("period")
+    numbers = F.sequence(F.lit(0), n - 1)
+    spread = F.transform(
+        numbers, lambda i: F.get("words", F.when(i < first, i).otherwise(first + (i - first) % period))
+    )
+    return (
+        docs.select("doc_id", "text", hashed.alias("hash"))
+        .withColumn("words", F.when(F.col("hash") % 10 == 0, words))
+        .withColumn("first", (F.expr("hash div 10") % n).cast("int"))
+        .withColumn("period", F.expr("1 + (size(words) - first) div (3 + hash div 10 % 8)").cast("int"))
+        .select("doc_id", F.when(n > 0, F.array_join(spread, " ")).otherwise(F.col("text")).alias("text"))
+    )
+
+
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.digests(repeating(table(spark, sf, "documents")))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -119,5 +145,6 @@ QUERIES = {
         op8_html_extraction,
         op9_warc_revisits,
         op10_benchmark_decontamination,
+        op11_periodic_runs,
     )
 }
