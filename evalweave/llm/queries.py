@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import bpe, decontamination, extraction, lines, lm, pii, quality, runs, simhash, toxicity, warc
+from evalweave.llm import alignment, bpe, decontamination, extraction, jaccard, lines, lm, pii, quality, runs, simhash, toxicity, warc
 
 # A rank file every executor can read, and the pattern that goes with it.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -21,6 +21,12 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
+def tokenizer_pair() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     scored = lm.score(table(spark, sf, "documents"))
     return scored.withColumn("score", F.round("score", 4)).withColumn("mean_score", F.round("mean_score", 6))
@@ -132,6 +138,14 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.digests(repeating(table(spark, sf, "documents")))
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.connected(table(spark, sf, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.agreement(table(spark, sf, "documents"), *tokenizer_pair())
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -146,5 +160,7 @@ QUERIES = {
         op9_warc_revisits,
         op10_benchmark_decontamination,
         op11_periodic_runs,
+        op12_ngram_jaccard_join,
+        op13_token_alignment,
     )
 }
