@@ -10,7 +10,9 @@ The order is by counts in a table of hash buckets of fixed size, over all docume
 common n-grams stand out of it at any corpus size, and any order gives the same links.
 """
 
+import re
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave import scratch
-from evalweave.llm import components, runs
+from evalweave.llm import components
 from evalweave.operators import skew
 
 SHINGLE_WORDS = 3
@@ -29,48 +31,103 @@ PERCENT = 90
 SKETCH_BITS = 20
 # Rounds that compare a block's documents with one of them before the rest is compared.
 STAR_ROUNDS = 2
-# Words remembered by a task.
-REMEMBERED = 1_000_000
+# Bytes of text hashed at a time.
+BUFFER_BYTES = 1 << 18
 LANES = 16
 _HIGH = np.uint64(64 - SKETCH_BITS)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _LOW = np.uint64((1 << SKETCH_BITS) - 1)
-_FIRST = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Words(dict):
-    """Word to its 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def _mixed(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(32))) * _SECOND
     return values ^ (values >> np.uint64(29))
 
 
-def shingles(text: bytes, known: dict[bytes, int], size: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the n-grams of ``text``, lower-cased in A-Z.
+_BLANK = b" \t\n\r\x0b\x0c"
+_SPACES = np.isin(np.arange(256), list(_BLANK))
+# A word's hash is the sum of its letters' numbers, each times a power by its place.
+_LETTERS = np.array([xxhash.xxh64_intdigest(bytes([b]).lower()) for b in range(256)], dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+
+
+@cache
+def _powers(base: int) -> np.ndarray:
+    powers = np.full(BUFFER_BYTES + 2, base, dtype=np.uint64)
+    powers[0] = 1
+    return np.multiply.accumulate(powers)
+
+
+def _buffers(text: bytes) -> Iterator[bytes]:
+    """``text`` cut at white space into parts of at most ``BUFFER_BYTES``, but for longer words."""
+    begin = 0
+    while len(text) - begin > BUFFER_BYTES:
+        spaces = np.flatnonzero(_SPACES[np.frombuffer(text, np.uint8, BUFFER_BYTES, begin)])
+        if len(spaces):
+            end = begin + int(spaces[-1]) + 1
+        else:
+            following = _SPACE.search(text, begin)
+            end = following.end() if following else len(text)
+        yield text[begin:end].strip(_BLANK)
+        begin = end
+    yield text[begin:].strip(_BLANK)
+
+
+def _hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of ``texts`` in order, A-Z lower-cased, and how many each text has.
+
+    Together the texts fit a buffer, or they are one longer word.
+    """
+    whole = b"\n".join(texts) + b"\n"
+    if len(whole) > BUFFER_BYTES + 1:
+        return np.array([xxhash.xxh64_intdigest(texts[0].lower())], np.uint64), np.ones(1, np.int64)
+    letters = np.frombuffer(whole, np.uint8)
+    space = _SPACES[letters]
+    edges = np.diff(space, prepend=True)
+    edges = np.flatnonzero(edges)
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTERS[letters] * _powers(_BASE)[: len(letters)])))
+    hashes = (sums[ends] - sums[starts]) * _powers(pow(_BASE, -1, 1 << 64))[starts]
+    text_ends = np.cumsum([len(t) + 1 for t in texts])
+    return _mixed(hashes), np.diff(np.searchsorted(starts, text_ends), prepend=0)
+
+
+def _words(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_hashed_words`` of some texts at a time; a text longer than a buffer comes alone."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) >= BUFFER_BYTES:
+            yield _hashed_words(held)
+            held, size = [], 0
+        if len(text) >= BUFFER_BYTES:
+            parts = np.concatenate([_hashed_words([part])[0] for part in _buffers(text)])
+            yield parts, np.array([len(parts)])
+        else:
+            held.append(text)
+            size += len(text) + 1
+    if held:
+        yield _hashed_words(held)
+
+
+def shingles(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its n-grams, lower-cased in A-Z.
 
     With fewer than ``size`` words there is one, of all words; without words none.
     """
-    parts = [
-        np.fromiter(map(known.__getitem__, part), np.uint64, len(part))
-        for part in runs.pieces(text.lower())  # of bytes: A-Z only
-    ]
-    words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    if not len(words):
-        return words
-    length = min(size, len(words))
-    count = len(words) - length + 1
-    hashes = np.full(count, length, dtype=np.uint64)
-    for i in range(length):
-        hashes = _mixed(hashes * _FIRST + words[i : i + count])
-    return np.unique(hashes)
+    for words, counts in _words(texts):
+        grams = {}
+        for length in {min(size, n) for n in counts.tolist()} - {0}:
+            many = len(words) - length + 1
+            hashes = np.full(many, length, dtype=np.uint64)
+            for i in range(length):
+                hashes = _mixed(hashes * np.uint64(_BASE) + words[i : i + many])
+            grams[length] = hashes
+        begin = 0
+        for n in counts.tolist():
+            length = min(size, n)
+            yield np.unique(grams[length][begin : begin + n - length + 1]) if n else words[:0]
+            begin += n
 
 
 def _hashed(docs: DataFrame, size: int, work, schema: str) -> DataFrame:
@@ -80,11 +137,10 @@ def _hashed(docs: DataFrame, size: int, work, schema: str) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        known = _Words()
         for batch in batches:
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                grams = shingles(text.as_py() or b"", known, size)
+            for doc_id, grams in zip(batch.column(0).to_pylist(), shingles(texts, size)):
                 doc = xxhash.xxh3_64_intdigest(grams.tobytes()) if len(grams) else None
                 out.append((doc_id, None if doc is None else doc - (1 << 63), grams))
             yield out
@@ -120,8 +176,9 @@ def members(docs: DataFrame, size: int = SHINGLE_WORDS) -> tuple[DataFrame, Data
     def work(batches: Iterator[list]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(1 << SKETCH_BITS, dtype=np.int64), set()
         for rows in batches:
-            for _, _, grams in _fresh(rows, seen):
-                np.add.at(sketch, (grams & _LOW).astype(np.int64), 1)
+            fresh = [grams & _LOW for _, _, grams in _fresh(rows, seen)]
+            if fresh:
+                sketch += np.bincount(np.concatenate(fresh).astype(np.int64), minlength=len(sketch))
             if rows:
                 ids, sets, grams = zip(*rows)
                 yield _batch((ids, sets, [len(g) for g in grams], *[[None] * len(rows)] * 2), schema)
@@ -211,7 +268,8 @@ def _apart(x: Column, y: Column) -> Column:
     """Sum over eight counters of how far apart they are, at the least."""
     total = F.lit(0)
     for lane in range(8):
-        gap = (F.shiftrightunsigned(x, 8 * lane) - F.shiftrightunsigned(y, 8 * lane)).bitwiseAND(F.lit(255))
+        of_x, of_y = (F.shiftrightunsigned(c, 8 * lane).bitwiseAND(F.lit(255)) for c in (x, y))
+        gap = F.abs(of_x - of_y)
         total = total + F.least(gap, 256 - gap)
     return total
 
