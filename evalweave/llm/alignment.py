@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -30,7 +29,16 @@ PIECE_CHARS = 1 << 16
 # Bytes of text whose matrices are multiplied together, and whose pairs share a table.
 BATCH_BYTES = 1 << 18
 CHUNK_BYTES = 1 << 22
+# Encoded parts of texts that a task remembers, and their longest.
+REMEMBERED = 400_000
+REMEMBERED_LENGTH = 64
 _CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")
+# Letters that every version of Unicode from 10 on files alike.
+_SETTLED = regex.compile(
+    r"[\t-\r\x20-\x7e\u00a0-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u2010-\u2027\u2030-\u205e"
+    r"\u3001-\u3015\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
+)
+_SPACED = regex.compile(" +[^ ]*")
 
 
 @dataclass(frozen=True)
@@ -69,10 +77,39 @@ def product_size(left: Csr, right: Csr) -> np.ndarray:
     return np.diff(right.starts)[left.columns]
 
 
+class _Encoded(dict):
+    """Part of a text to its token ids, as 32-bit little-endian bytes."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, part: str) -> bytes:
+        packed = np.array(self.encode(part), dtype="<i4").tobytes()
+        if len(part) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[part] = packed
+        return packed
+
+
+class _Bytes:
+    """The bytes of every token, one after the other."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.sizes = np.array([len(x) for x in tokens])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[ids]
+        skipped = np.cumsum(sizes) - sizes
+        return self.flat[np.arange(int(sizes.sum())) + np.repeat(self.starts[ids] - skipped, sizes)]
+
+
 class Pair:
     """Two tokenizers and the bytes of their tokens, loaded once per worker."""
 
-    def __init__(self, byte_level: str, pieces: str):
+    def __init__(self, byte_level: str, pieces: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -91,10 +128,12 @@ class Pair:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(shown)
         ]
-        self.a_sizes = np.array([len(x) for x in self.a_bytes])
-        self.b_sizes = np.array([len(x) for x in self.b_bytes])
+        self.a_table, self.b_table = _Bytes(self.a_bytes), _Bytes(self.b_bytes)
         # A token with a space inside could cross a cut.
         self.cuts = not any("▁" in p.lstrip("▁") for p in shown)
+        self.a_parts = _Encoded(lambda part: self.a.encode(part, add_special_tokens=False).ids)
+        self.b_parts = _Encoded(lambda part: self.b.encode(part[1:], out_type=int))
+        self.split = regex.compile(pattern).findall
         # What an id is in the list of groups, followed by what stands after it.
         self.names = [f"{i}{end}" for i in range(len(self.a_bytes)) for end in (",", "|")]
         self.b_from = len(self.names)
@@ -112,9 +151,23 @@ class Pair:
         return [*out, text[begin:]]
 
 
+    def encode_a(self, text: str) -> bytes:
+        """Ids of a space and ``text``: part by part where the pattern cuts it as the tokenizer does."""
+        text = " " + text
+        if _SETTLED.fullmatch(text):
+            return b"".join(map(self.a_parts.__getitem__, self.split(text)))
+        return np.array(self.a.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
+
+    def encode_b(self, text: str) -> bytes:
+        """Ids of ``text``, to which the tokenizer adds a space: tokens begin at spaces or have none."""
+        if self.cuts and not text.endswith(" "):
+            return b"".join(map(self.b_parts.__getitem__, _SPACED.findall(" " + text)))
+        return np.array(self.b.encode(text, out_type=int), dtype="<i4").tobytes()
+
+
 @cache
-def tokenizers(byte_level: str, pieces: str) -> Pair:
-    return Pair(byte_level, pieces)
+def tokenizers(byte_level: str, pieces: str, pattern: str) -> Pair:
+    return Pair(byte_level, pieces, pattern)
 
 
 @dataclass(frozen=True)
@@ -134,25 +187,33 @@ class Aligned:
     links: tuple[np.ndarray, np.ndarray, np.ndarray]  # a, b, bytes shared
 
 
-def _flat(lists: list[list[int]], good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter((len(x) if ok else 0 for x, ok in zip(lists, good)), np.int64, len(lists))
-    ids = np.fromiter((i for x, ok in zip(lists, good) if ok for i in x), np.int64, int(sizes.sum()))
-    return ids, np.repeat(np.arange(len(lists)), sizes)
+def _same(found: np.ndarray, lengths: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+    """Which pieces are the bytes ``found``, of which each has ``lengths``."""
+    want = np.array([len(p) for p in pieces])
+    if np.array_equal(lengths, want) and np.array_equal(found, np.frombuffer(b"".join(pieces), np.uint8)):
+        return np.ones(len(pieces), dtype=bool)
+    ends = np.cumsum(lengths)
+    return np.array([found[e - n : e].tobytes() == p for e, n, p in zip(ends, lengths, pieces)], dtype=bool)
+
+
+def _flat(packed: list[bytes], table: _Bytes, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all pieces, the piece of each, and which pieces the ids give back."""
+    ids = np.frombuffer(b"".join(packed), "<i4").astype(np.int64)
+    piece = np.repeat(np.arange(len(packed)), [len(x) // 4 for x in packed])
+    lengths = np.bincount(piece, table.sizes[ids], minlength=len(packed)).astype(np.int64)
+    return ids, piece, _same(table.joined(ids), lengths, pieces)
 
 
 def align(pair: Pair, pieces: list[str]) -> Aligned:
     """Align non-empty ``pieces``, by themselves and all at once."""
-    a_lists = [x.ids for x in pair.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
-    b_lists = pair.b.encode(pieces, out_type=int, num_threads=1)
-    good = []
-    for piece, a, b in zip(pieces, a_lists, b_lists):
-        want = b" " + piece.encode()
-        same = b"".join(map(pair.a_bytes.__getitem__, a)) == want
-        good.append(same and b"".join(map(pair.b_bytes.__getitem__, b)) == want)
-    good = np.array(good, dtype=bool)
-    a_ids, a_piece = _flat(a_lists, good)
-    b_ids, b_piece = _flat(b_lists, good)
-    a_ends, b_ends = np.cumsum(pair.a_sizes[a_ids]), np.cumsum(pair.b_sizes[b_ids])
+    spaced = [b" " + p.encode() for p in pieces]
+    a_ids, a_piece, a_good = _flat(list(map(pair.encode_a, pieces)), pair.a_table, spaced)
+    b_ids, b_piece, b_good = _flat(list(map(pair.encode_b, pieces)), pair.b_table, spaced)
+    good = a_good & b_good
+    if not good.all():
+        a_ids, a_piece = a_ids[good[a_piece]], a_piece[good[a_piece]]
+        b_ids, b_piece = b_ids[good[b_piece]], b_piece[good[b_piece]]
+    a_ends, b_ends = np.cumsum(pair.a_table.sizes[a_ids]), np.cumsum(pair.b_table.sizes[b_ids])
     size = int(a_ends[-1]) if len(a_ends) else 0
     everything = np.arange(size)
     a = Csr(np.concatenate(([0], a_ends)), everything, size)
@@ -283,11 +344,11 @@ def _chunk_rows(chunk: int, documents: list[_Document]) -> list[pa.RecordBatch]:
     return out
 
 
-def _linked(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
+def _linked(docs: DataFrame, *paths: str) -> DataFrame:
     """Documents and their chunks' lists of id pairs, in one written table."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = tokenizers(byte_level, pieces)
+        pair = tokenizers(*paths)
         chunk = TaskContext.get().partitionId() << 32
         documents, queue, held, queued = [], [], 0, 0
         for batch in batches:
@@ -326,11 +387,11 @@ def pair_counts(lists: DataFrame, b_size: int) -> DataFrame:
     )
 
 
-def agreement(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
+def agreement(docs: DataFrame, byte_level: str, pieces: str, pattern: str) -> DataFrame:
     """How the tokens of two tokenizers align in every row of ``docs(doc_id, text)``.
 
-    ``byte_level`` (A) encodes a space and the text, ``pieces`` (B) the text, both as plain
-    text. Per row: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum,
+    ``byte_level`` (A), whose texts ``pattern`` cuts, encodes a space and the text, ``pieces`` (B)
+    the text, both as plain text. Per row: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum,
     groups_sha256`` and ``n_group_links``, the pairs that share a group.
 
     Texts that are null, empty, or that B does not give back byte for byte, have no tokens:
@@ -339,13 +400,13 @@ def agreement(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     in pieces; one without a space between two letters is one piece. Other columns are
     not read; no rows give no rows.
     """
-    table = _linked(docs, byte_level, pieces)
+    table = _linked(docs, byte_level, pieces, pattern)
     documents = table.filter("n_a is not null").drop("pairs", "docs")
     lists = table.filter("pairs is not null").select(
         "chunk", F.posexplode(F.arrays_zip("pairs", "docs")).alias("slot", "entry")
     )
     lists = lists.select(F.col("chunk").alias("lot"), "slot", F.col("entry.pairs").alias("pair"), F.col("entry.docs").alias("docs"))
-    size = len(tokenizers(byte_level, pieces).b_bytes)
+    size = len(tokenizers(byte_level, pieces, pattern).b_bytes)
     answered = skew.attach(lists, pair_counts(lists, size), ["pair"], ["lot"]).select(
         "lot", "slot", "count", "best"
     )
@@ -376,7 +437,7 @@ def agreement(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     )
 
 
-def spans(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
+def spans(docs: DataFrame, *paths: str) -> DataFrame:
     """The alignment itself, for every piece of every row of ``docs(doc_id, text)``.
 
     ``(doc_id, piece, a_ids, a_ends, b_ids, b_ends, group_ends, link_a, link_b, shared,
@@ -388,7 +449,7 @@ def spans(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *((x, pa.list_(pa.int64())) for x in names)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = tokenizers(byte_level, pieces)
+        pair = tokenizers(*paths)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 parts = pair.pieces(text.as_py() or "")

@@ -21,10 +21,11 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
-def tokenizer_pair() -> tuple[str, str]:
+def tokenizer_pair() -> tuple[str, str, str]:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    names = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+    return *map(public_tokenizers.path, names), public_tokenizers.PATTERN
 
 
 def op1_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:

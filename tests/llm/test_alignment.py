@@ -98,6 +98,17 @@ def test_pieces_encode_as_the_whole(monkeypatch):
     assert [sum((tokens(pair, p)[side] for p in parts), []) for side in (0, 1)] == list(whole)
 
 
+def test_parts_encode_as_the_whole(spark):
+    """Remembered parts give the ids that both tokenizers give the whole text."""
+    pair = alignment.tokenizers(*PATHS)
+    rows = queries.table(spark, "/root/testdata/sf0.001", "documents").select("text").collect()
+    for text in [*(t for _, t in TEXTS), *(r.text for r in rows)]:
+        if text:
+            got = [np.frombuffer(x, "<i4").tolist() for x in (pair.encode_a(text), pair.encode_b(text))]
+            assert got[0] == pair.a.encode(" " + text, add_special_tokens=False).ids
+            assert got[1] == pair.b.encode(text, out_type=int)
+
+
 def test_a_text_of_many_pieces_counts_once(spark, monkeypatch):
     text = (LETTERS + " ") * 3000
     assert len(alignment.tokenizers(*PATHS).pieces(text)) > 1
