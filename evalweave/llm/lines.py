@@ -1,16 +1,14 @@
 """Fuzzy line deduplication.
 
-Lines are normalised and hashed; equal ones are one class. SimHashes of classes
-meet on pigeonhole blocks: fingerprints within ``MAX_BITS`` bits agree on all but
-that many of their blocks, so each choice of the other blocks is a key to join on.
-Pairs are verified by edit similarity, and of each connected group one occurrence
-stays, the first by document and line.
-
-Keys are made of fingerprints, not lines, and lines join them afterwards. Of a key,
-the fingerprints connected within ``MAX_BITS`` are kept together under one name, so
-groups met on many keys are one. Such a group is not spelled out in pairs. First every
-line is paired with the first line of its group only; pairs are then made between lines
-that this left in different groups, so no link that matters is lost.
+Lines are normalised and hashed; equal ones are one class. The SimHash of a class is made
+of blocks: the line is cut into segments at words that its own content chooses, and each
+segment gives one block, so a change spoils only the blocks around it. Lines meet on
+pigeonhole keys, a choice of blocks that agree. Pairs are verified by edit similarity,
+and of each connected group one occurrence stays, the first by document and line.
+
+A large group of near lines is not spelled out in pairs. Every line of a key is first
+compared with the key's first line only; then pairs are made between lines of a key that
+this left in different groups, so no link that matters is lost.
 """
 
 import itertools
@@ -27,47 +25,34 @@ from evalweave import scratch
 from evalweave.llm import bits, components, edit
 from evalweave.operators import skew
 
-MAX_BITS = 6
+# Segments of a line, and how many of their blocks a key is made of.
+SEGMENTS = 6
+AGREEING = 2
 SIMILAR_PERCENT = 80
-# Letters of a feature.
-GRAM = 4
-# Lines that may share a key by chance.
-BY_CHANCE = 64
+# Lines of fewer words are cut between letters.
+WORDS = 5
 # Word hashes remembered by a task.
 REMEMBERED = 1_000_000
-# Letters of lines hashed at a time.
+# Letters of lines hashed at a time, and of lines cut at a time.
 HASHED_LETTERS = 2_000_000
-# Lines whose features are made at a time.
-LOT = 500
-# Keys with more lines than this are compared line by line.
-COMPARED = 1024
-_BETWEEN = re.compile(r"[\W_]+")
+LOT_LETTERS = 200_000
+# Classes that letters are counted in.
+LANES = 16
+_BETWEEN = re.compile(r"(?:[^\w\n]|_)+")
 _DIGITS = re.compile(r"\d+")
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def normalise(line: str) -> str:
     """Lower-case words with single spaces; numbers become 0. A line without a letter
     or digit stays as it is but for the spaces around it."""
-    return _DIGITS.sub("0", _BETWEEN.sub(" ", line.lower()).strip()) or line.strip()
+    return _words_of(line).strip() or line.strip()
 
 
-def key_blocks(lines: int, max_bits: int = MAX_BITS) -> int:
-    """Blocks to cut fingerprints into, so that by chance few of ``lines`` share a key.
-
-    More blocks give longer keys and more of them; the links found are the same.
-    """
-    for blocks in range(max_bits + 2, max_bits + 5):
-        if lines <= BY_CHANCE << (64 * (blocks - max_bits) // blocks):
-            return blocks
-    return max_bits + 4
-
-
-def key_masks(blocks: int, max_bits: int = MAX_BITS) -> list[int]:
-    """One mask for each choice of blocks that must agree, as signed longs."""
-    cuts = [i * 64 // blocks for i in range(blocks + 1)]
-    parts = [(1 << b) - (1 << a) for a, b in itertools.pairwise(cuts)]
-    masks = [sum(chosen) for chosen in itertools.combinations(parts, blocks - max_bits)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def _words_of(text: str) -> str:
+    """``text`` in lower case, one space for all that is no word, 0 for numbers, lines as they are."""
+    return _DIGITS.sub("0", _BETWEEN.sub(" ", text.lower()))
 
 
 class _Words(dict):
@@ -84,223 +69,195 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def _simhashes(lines: list[str], words: _Words) -> np.ndarray:
-    """SimHash of words and of the ``GRAM`` letters from each letter on, past the line's end."""
+def _units(lines: list[str], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all lines, or of the letters of those with few; units per line;
+    and hashes that choose the cuts, of a letter with the next."""
     split = [line.split(" ") for line in lines]
-    n_words = np.fromiter(map(len, split), np.int64, len(split))
-    n_letters = np.fromiter(map(len, lines), np.int64, len(lines))
-    flat = np.fromiter((words[w] for line in split for w in line), np.uint64, int(n_words.sum()))
-    ends = "\0" * (GRAM - 1)
-    points = np.frombuffer("".join(line + ends for line in lines).encode("utf-32-le"), "<u4").astype(np.uint64)
-    starts = np.zeros(max(0, len(points) - GRAM + 1), np.uint64)
-    for i in range(GRAM):
-        starts = starts * np.uint64(0x9E3779B97F4A7C15) + points[i : len(points) - GRAM + 1 + i]
-    line_of = np.repeat(np.arange(len(lines)), n_letters)
-    grams = _mixed(starts[np.arange(len(line_of)) + line_of * (GRAM - 1)])
-    sizes = n_words + n_letters
-    features = np.empty(int(sizes.sum()), np.uint64)
-    word_of = np.repeat(np.arange(len(lines)), n_words)
-    features[np.arange(len(flat)) + np.cumsum(n_letters)[word_of]] = flat
-    features[np.arange(len(grams)) + (np.cumsum(n_words) - n_words)[line_of]] = grams
-    return bits.as_signed(bits.majorities(features, sizes))
-
-
-def occurrences(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, line, simhash)`` for each line with a visible character.
-
-    ``line`` is a 64-bit hash of the normalised line.
+    parts = [s if len(s) >= WORDS else line for s, line in zip(split, lines)]
+    counts = np.fromiter(map(len, parts), np.int64, len(parts))
+    by_word = np.fromiter((isinstance(p, list) for p in parts), bool, len(parts))
+    is_word = np.repeat(by_word, counts)
+    units = np.empty(int(counts.sum()), dtype=np.uint64)
+    flat = (words[w] for p in parts if isinstance(p, list) for w in p)
+    units[is_word] = np.fromiter(flat, np.uint64, int(is_word.sum()))
+    letters = "".join(p for p in parts if isinstance(p, str))
+    units[~is_word] = _mixed(np.frombuffer(letters.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1))
+    following = np.append(units[1:], np.uint64(0))
+    following[np.cumsum(counts)[counts > 0] - 1] = 0
+    choosing = np.where(is_word, _mixed(units), _mixed(units + following * np.uint64(3)))
+    return units, counts, choosing
+
+
+def _cuts(counts: np.ndarray, choosing: np.ndarray, segments: int) -> np.ndarray:
+    """Where each line is cut, a row of ``segments + 1`` places: around every place that would make
+    equal parts, before the unit with the smallest hash."""
+    n = counts[:, None]
+    at = np.arange(1, segments) * n / segments
+    reach = n / (2 * segments)
+    begin = np.maximum(0, np.ceil(at - reach)).astype(np.int64)
+    end = np.minimum(n, np.floor(at + reach).astype(np.int64) + 1)
+    first = (np.cumsum(counts) - counts)[:, None]
+    place = np.arange(len(choosing)) - np.repeat(first[:, 0], counts)
+    ranked = np.append((choosing & ~_LOW) | place.astype(np.uint64), np.uint64(0))
+    windows = np.stack([first + begin, first + end], axis=2).reshape(-1)
+    least = np.minimum.reduceat(ranked, windows)[::2].reshape(begin.shape) if len(windows) else begin
+    chosen = np.where(begin < end, (least.astype(np.uint64) & _LOW).astype(np.int64), np.rint(at).astype(np.int64))
+    rows = np.concatenate([np.zeros_like(n), np.minimum(chosen, n), n], axis=1)
+    return np.maximum.accumulate(rows, axis=1)
+
+
+def blocks(lines: list[str], words: _Words, segments: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHash of each segment in 32 bits, one row a line, and whether the segment is empty."""
+    units, counts, choosing = _units(lines, words)
+    sizes = np.diff(_cuts(counts, choosing, segments), axis=1)
+    found = bits.majorities(units, sizes.reshape(-1)) & _LOW
+    return found.astype(np.uint32).view(np.int32).reshape(sizes.shape), sizes == 0
+
+
+def _lanes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often letters of each of sixteen classes occur, modulo 256, in two longs."""
+    letters = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
+    lane = (letters * np.uint32(2654435761)) >> np.uint32(28)
+    line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    counts = np.bincount(line * LANES + lane, minlength=LANES * len(lines))
+    both = counts.astype(np.uint8).reshape(-1, LANES).view("<i8")
+    return both[:, 0], both[:, 1]
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """``docs`` as ``row``, with ``doc``, by which its lines are known: a hash of id and text.
+
+    Rows that agree in both are one document, whose lines stay or go alike.
+    """
+    row = docs.select(F.struct("*").alias("row"))
+    text, doc_id = F.col("row.text").cast("string"), F.col("row.doc_id").cast("long")
+    return row.select("row", doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(F.lit(1), doc_id, text).alias("doc"))
+
+
+def occurrences(docs: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """``(doc, doc_id, line_no, line, size, near, far, blocks)`` for each line with a visible character.
+
+    ``line`` is a 64-bit hash of the normalised line, ``size`` its letters, ``near`` and ``far`` their
+    counts by class; ``blocks`` is null where a segment is empty.
     """
+    names = ["doc", "doc_id", "line_no", "line", "size", "near", "far", "blocks"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        doc_ids, numbers, lines, size = [], [], [], 0
+        docs, doc_ids, numbers, lines, size = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             hashes = np.fromiter((xxhash.xxh64_intdigest(x.encode()) for x in lines), np.uint64, len(lines))
+            sizes = np.fromiter(map(len, lines), np.int32, len(lines))
+            lot = np.cumsum(sizes, dtype=np.int64) // LOT_LETTERS
+            ends = np.flatnonzero(np.diff(lot, append=-1)) + 1
+            parts = [blocks(lines[a:b], words, segments) for a, b in zip([0, *ends], ends)]
+            values = np.concatenate([p[0] for p in parts] or [np.zeros((0, segments), np.int32)])
+            empty = np.concatenate([p[1] for p in parts] or [np.zeros((0, segments), bool)])
+            offsets = np.arange(len(lines) + 1, dtype=np.int32) * segments
             columns = [
-                pa.array(doc_ids, pa.int64()),
-                pa.array(numbers, pa.int32()),
-                pa.array(bits.as_signed(hashes)),
-                pa.array(np.concatenate([_simhashes(lines[i : i + LOT], words) for i in range(0, len(lines) or 1, LOT)])),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "line", "simhash"])
+                pa.array(docs, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(numbers, pa.int32()),
+                pa.array(bits.as_signed(hashes)), pa.array(sizes), *map(pa.array, _lanes(lines)),
+                pa.ListArray.from_arrays(offsets, pa.array(values.reshape(-1), mask=empty.reshape(-1))),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for number, line in enumerate((text.as_py() or "").split("\n")):
+            for doc, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                text = text.as_py() or ""
+                plain = text.split("\n")
+                for number, (line, spelled) in enumerate(zip(plain, _words_of(text).split("\n"))):
                     if line and not line.isspace():
+                        docs.append(doc)
                         doc_ids.append(doc_id)
                         numbers.append(number)
-                        lines.append(normalise(line))
+                        lines.append(spelled.strip() or line.strip())
                         size += len(line)
                 if size >= HASHED_LETTERS:
                     yield flush()
-                    doc_ids, numbers, lines, size = [], [], [], 0
+                    docs, doc_ids, numbers, lines, size = [], [], [], [], 0
         yield flush()
 
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(work, "doc_id long, line_no int, line long, simhash long")
+    rows = _identified(docs).select("doc", "doc_id", "text")
+    return rows.mapInArrow(
+        work,
+        "doc long, doc_id long, line_no int, line long, size int, near long, far long, blocks array<int>",
+    )
 
 
-def _steps(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places with equal keys, for keys of at most ``COMPARED`` rows; sorted keys."""
-    starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
-    sizes = np.diff(np.append(starts, len(key)))
-    left = np.repeat(starts + sizes, sizes) - np.arange(len(key))
-    small = np.flatnonzero(np.repeat(sizes, sizes) <= COMPARED)
-    for step in range(1, COMPARED):
-        small = small[left[small] > step]
-        if not len(small):
-            break
-        yield small, small + step
+def _keyed(classes: DataFrame, segments: int, agreeing: int) -> DataFrame:
+    """Each class once per choice of ``agreeing`` blocks, as ``key``, none of them empty."""
+    choices = itertools.combinations(range(segments), agreeing)
+    keys = [
+        F.when(
+            F.forall(F.array(*[F.get("blocks", F.lit(i)) for i in chosen]), lambda b: b.isNotNull()),
+            F.xxhash64(F.lit(place), *[F.get("blocks", F.lit(i)) for i in chosen]),
+        )
+        for place, chosen in enumerate(choices)
+    ]
+    rows = classes.select("no", "size", "near", "far", F.explode(F.array(*keys)).alias("key"))
+    return rows.filter("key is not null")
 
 
-def _met(key: np.ndarray, sim: np.ndarray, max_bits: int) -> list[np.ndarray]:
-    """Of whole keys, the rows that have another within ``max_bits``, with the first of
-    the rows they are connected to; ``key`` is then a hash of all these.
+def _apart(x: Column, y: Column) -> Column:
+    """Sum over eight counters of how far apart they are, at the least."""
+    total = F.lit(0)
+    for lane in range(8):
+        of_x, of_y = (F.shiftrightunsigned(c, 8 * lane).bitwiseAND(F.lit(255)) for c in (x, y))
+        gap = F.abs(of_x - of_y)
+        total = total + F.least(gap, 256 - gap)
+    return total
 
-    Keys with more than ``COMPARED`` rows stay as they are, all rows of each together.
-    """
-    starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
-    sizes = np.diff(np.append(starts, len(key)))
-    large = np.repeat(sizes, sizes) > COMPARED
-    met = large.copy()
-    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, j in _steps(key):
-        near = np.bitwise_count(sim[i] ^ sim[j]) <= max_bits
-        first.append(i[near])
-        second.append(j[near])
-    i, j = np.concatenate(first), np.concatenate(second)
-    met[i] = met[j] = True
-    at = np.where(large, np.repeat(starts, sizes), np.arange(len(key)))
-    while True:
-        before = at.copy()
-        least = np.minimum(at[i], at[j])
-        np.minimum.at(at, i, least)
-        np.minimum.at(at, j, least)
-        at = at[at]
-        if np.array_equal(at, before):
-            break
-    names = np.zeros(len(key), np.uint64)
-    np.add.at(names, at[met], _mixed(bits.as_unsigned(sim[met])))
-    names = np.where(large, key, bits.as_signed(names[at]))
-    return [names[met], sim[met], sim[at][met]]
-
-
-def _shared_keys(sims: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
-    """Rows ``(key, simhash, head_simhash)`` of fingerprints that meet another on a key.
-
-    ``head_simhash`` is the first such one of the key. Rows arrive sorted by key, so one
-    pass finds them; a key with more than ``COMPARED`` rows is passed through, not held.
-    """
-    place = F.explode(F.array(*[F.lit(i).cast("short") for i in range(len(masks))]))
-    masked = F.col("simhash").bitwiseAND(F.get(F.array(*map(F.lit, masks)), F.col("place")))
-    key = F.xxhash64("place", masked)
-    names = ["key", "simhash", "head_simhash"]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 2  # the last key's rows so far
-        passing = None  # first row of a key that is passed through
+def may_be_alike(percent: int) -> Column:
+    """Whether the sizes and letters of ``x`` and ``y`` leave so many edits: one changes two counts."""
+    longer = F.greatest("x.size", "y.size")
+    budget = F.floor(longer * (100 - percent) / 100)
+    letters = _apart(F.col("x.near"), F.col("y.near")) + _apart(F.col("x.far"), F.col("y.far"))
+    return (longer - F.least("x.size", "y.size") <= budget) & (letters <= 2 * budget)
 
-        def out(columns: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-        def all_of(columns: list[np.ndarray]) -> pa.RecordBatch:
-            return out([*columns, np.full(len(columns[0]), passing[1])])
+def _met(classes: DataFrame, segments: int, agreeing: int) -> DataFrame:
+    """The rows of ``_keyed`` whose key another class has, with the key's ``first`` class.
 
-        for batch in batches:
-            columns = [np.asarray(batch.column(i)) for i in range(2)]
-            if passing is not None and len(columns[0]):
-                n = int(np.searchsorted(columns[0], passing[0], side="right"))
-                yield all_of([c[:n] for c in columns])
-                columns = [c[n:] for c in columns]
-                passing = passing if not len(columns[0]) else None
-            columns = [np.concatenate(pair) for pair in zip(held, columns)]
-            if not len(columns[0]):
-                continue
-            cut = int(np.searchsorted(columns[0], columns[0][-1]))
-            yield out(_met(*[c[:cut] for c in columns], max_bits))
-            held = [c[cut:] for c in columns]
-            if len(held[0]) > COMPARED:
-                passing = tuple(c[0] for c in held)
-                yield all_of(held)
-                held = [c[:0] for c in held]
-        yield out(_met(*held, max_bits))
-
-    # Only place and fingerprint are sent; the key is made again where they arrive.
-    rows = sims.select(place.alias("place"), "simhash").repartition(key)
-    sorted_rows = rows.select(key.alias("key"), "simhash").sortWithinPartitions("key", "simhash")
-    return sorted_rows.mapInArrow(work, ", ".join(f"{name} long" for name in names)).distinct()
-
-
-def _bits_apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
-def _cross_pairs(
-    key: np.ndarray, root: np.ndarray, line: np.ndarray, sim: np.ndarray, max_bits: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Lines of one key, different roots and near simhashes; rows are sorted by key."""
-    first, second = [], []
-    starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
-    sizes = np.diff(np.append(starts, len(key)))
-
-    def near(i: np.ndarray, j: np.ndarray) -> None:
-        apart = (root[i] != root[j]) & (np.bitwise_count(sim[i] ^ sim[j]) <= max_bits)
-        first.append(line[i[apart]])
-        second.append(line[j[apart]])
-
-    # Small keys together: each row with the rows after it, while the key lasts.
-    for i, j in _steps(key):
-        near(i, j)
-    # Large keys: what is outside the largest group of lines with all that comes after it.
-    for start, size in zip(starts[sizes > COMPARED].tolist(), sizes[sizes > COMPARED].tolist()):
-        rows = np.arange(start, start + size)
-        found, counts = np.unique(root[rows], return_counts=True)
-        largest = root[rows] == found[counts.argmax()]
-        rows = np.concatenate([rows[~largest], rows[largest]])
-        for place in range(int((~largest).sum())):
-            rest = rows[place + 1 :]
-            near(np.full(len(rest), rows[place]), rest)
-    nothing = np.zeros(0, np.int64)
-    return np.concatenate([nothing, *first]), np.concatenate([nothing, *second])
-
-
-def _across(shared: DataFrame, max_bits: int) -> DataFrame:
-    """Pairs ``(a, b)`` of lines of one key within ``max_bits`` but in different groups."""
+    Keys are counted before rows meet, so one of very many classes is never in one task.
+    """
+    rows = _keyed(classes, segments, agreeing)
+    shared = rows.groupBy("key").agg(F.min("no").alias("first"), F.count(F.lit(1)).alias("rows"))
+    met = skew.attach(rows, shared.filter("rows > 1").select("key", "first"), ["key"], ["no"])
+    return scratch.store(met, "keys")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4  # rows of the key that the last batch ended with
 
-        def paired(columns: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = _cross_pairs(*columns, max_bits)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+def _first_pairs(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of every class with the first one of each of its keys."""
+    asked = met.filter("no <> first").select("no", "first").distinct().alias("p")
+    held = classes.select("no", "size", "near", "far")
+    both = asked.join(held.alias("x"), F.col("p.no") == F.col("x.no"))
+    both = both.join(held.alias("y"), F.col("p.first") == F.col("y.no"))
+    return both.filter(may_be_alike(percent)).select(F.col("p.no").alias("a"), F.col("p.first").alias("b"))
 
-        for batch in batches:
-            columns = [np.concatenate([h, np.asarray(batch.column(i))]) for i, h in enumerate(held)]
-            if len(columns[0]):
-                cut = int(np.searchsorted(columns[0], columns[0][-1]))
-                held = [c[cut:] for c in columns]
-                yield paired([c[:cut] for c in columns])
-        yield paired(held)
 
-    mixed = shared.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    some = shared.join(mixed.filter("low < high").select("key"), "key").select("key", "root", "line", "simhash")
-    sorted_rows = some.repartition("key").sortWithinPartitions("key")
-    pairs = sorted_rows.mapInArrow(work, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _across(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of classes of one key that are still in different groups."""
+    placed = skew.attach(met, roots.withColumnRenamed("node", "no"), ["no"], ["key"], "left")
+    placed = placed.withColumn("root", F.coalesce("root", "no"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    rows = skew.attach(placed, mixed.filter("low <> high").select("key"), ["key"], ["no"], "left_semi")
+    rows = scratch.store(rows, "mixed")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.no") < F.col("y.no")) & (F.col("x.root") != F.col("y.root"))
+    pairs = rows.alias("x").join(rows.alias("y"), meet & may_be_alike(percent))
+    return pairs.select(F.col("x.no").alias("a"), F.col("y.no").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The ``pairs(a, b)`` whose normalised lines are similar; texts are read for these lines only."""
     pairs = scratch.store(pairs, "pairs")
-    lines = pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b")).distinct()
+    wanted = pairs.select(F.col("a").alias("no")).unionAll(pairs.select("b")).distinct()
     places = (
-        classes.join(lines, "line")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("line_no", "line")).alias("wanted"))  # lines of one document
+        classes.join(wanted, "no")
+        .groupBy("doc")
+        .agg(F.collect_list(F.struct("line_no", "no")).alias("wanted"))  # lines of one document
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,15 +265,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = text.split("\n")
                 for place in wanted:
-                    if place["line_no"] < len(parts):
-                        ids.append(place["line"])
-                        spelled.append(normalise(parts[place["line_no"]]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(spelled, pa.string())], ["line", "spelled"]
-            )
-
-    spelled = skew.attach(texts, places, ["doc_id"]).select("text", "wanted")
-    spelled = spelled.mapInArrow(spell, "line long, spelled string").dropDuplicates(["line"])
+                    ids.append(place["no"])
+                    spelled.append(normalise(parts[place["line_no"]]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spelled, pa.string())], ["no", "spelled"])
+
+    texts = skew.attach(_identified(docs).select("doc", "text"), places, ["doc"]).select("text", "wanted")
+    spelled = texts.mapInArrow(spell, "no long, spelled string").dropDuplicates(["no"])
     spelled = scratch.store(spelled, "spelled")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,77 +279,68 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
             near = pa.array([edit.alike(a, b, percent) for a, b in rows], pa.bool_())
             yield batch.select([0, 1]).filter(near)
 
-    left = spelled.select(F.col("line").alias("a"), F.col("spelled").alias("text_a"))
-    right = spelled.select(F.col("line").alias("b"), F.col("spelled").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    left = spelled.select(F.col("no").alias("a"), F.col("spelled").alias("text_a"))
+    right = spelled.select(F.col("no").alias("b"), F.col("spelled").alias("text_b"))
+    # A line that many are compared with is sent to them, or copied.
+    held = skew.attach(pairs, left, ["a"], ["b"])
+    both = skew.attach(held, right, ["b"], ["a"]).select("a", "b", "text_a", "text_b")
     return both.mapInArrow(similar, "a long, b long")
 
 
-def _roots(edges: DataFrame) -> DataFrame:
-    found = components.connected(edges)
-    return found.unionAll(found.select(F.col("root").alias("node"), "root").distinct())
-
+def removed_lines(
+    docs: DataFrame, segments: int = SEGMENTS, agreeing: int = AGREEING, percent: int = SIMILAR_PERCENT
+) -> DataFrame:
+    """``(doc, line_no)`` of each line that repeats, or nearly repeats, a line kept elsewhere.
 
-def removed_lines(docs: DataFrame, max_bits: int = MAX_BITS, percent: int = SIMILAR_PERCENT) -> DataFrame:
-    """``(doc_id, line_no)`` of each line that repeats, or nearly repeats, a line kept elsewhere."""
-    found = scratch.store(occurrences(docs), "lines")
-    classes = scratch.write(
-        found.groupBy("line").agg(
-            F.min(F.struct("doc_id", "line_no")).alias("first"),
-            F.min("simhash").alias("simhash"),
-            F.count(F.lit(1)).alias("n"),
-        ).select("line", "simhash", "n", "first.doc_id", "first.line_no"),
-        "classes",
-    )
-    masks = key_masks(key_blocks(classes.rows, max_bits), max_bits)
-    sims = scratch.store(
-        classes.df.groupBy("simhash").agg(F.min("line").alias("rep"), F.count(F.lit(1)).alias("lines")), "simhashes"
-    )
-    shared = scratch.store(_shared_keys(sims.select("simhash"), masks, max_bits), "keys")
-    near = shared.filter((F.col("simhash") != F.col("head_simhash")) & (_bits_apart("simhash", "head_simhash") <= max_bits))
-    reps = sims.select(F.col("simhash").alias("head_simhash"), F.col("rep").alias("b"))
-    across = near.select("simhash", "head_simhash").distinct().join(sims, "simhash").join(reps, "head_simhash")
-    many = sims.filter("lines > 1").select("simhash", "rep")
-    heads = across.select(F.col("rep").alias("a"), "b").unionAll(
-        classes.df.join(many, "simhash").filter("line != rep").select(F.col("line").alias("a"), F.col("rep").alias("b"))
-    )
-    keys = shared.select("key", "simhash").unionAll(many.select(F.xxhash64("simhash").alias("key"), "simhash"))
-    shared = classes.df.select("line", "simhash").join(keys, "simhash")
-    near = scratch.store(_verified(heads, classes.df, docs, percent), "links")
-    roots = _roots(near)
-    grouped = shared.join(roots, F.col("line") == F.col("node"), "left").select(
-        "key", "line", "simhash", F.coalesce("root", "line").alias("root")
+    ``doc`` is the hash by which ``_identified`` knows a row. Lines connected through others go too.
+    """
+    found = scratch.store(occurrences(docs, segments), "lines")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "doc", "line_no")
+    classes = found.groupBy("line").agg(
+        F.min(place).alias("place"),
+        F.count(F.lit(1)).alias("n"),
+        *[F.any_value(name).alias(name) for name in ("size", "near", "far", "blocks")],
     )
-    across = _verified(_across(grouped, max_bits), classes.df, docs, percent)
-    roots = _roots(scratch.store(near.unionAll(across), "links"))
-    grouped = classes.df.join(roots, F.col("line") == F.col("node"), "left").filter("n > 1 or root is not null")
-    grouped = scratch.store(
-        grouped.select("line", F.coalesce("root", "line").alias("root"), F.struct("doc_id", "line_no").alias("first")),
-        "groups",
+    numbered = classes.select(
+        F.monotonically_increasing_id().alias("no"), "line", "n", "size", "near", "far", "blocks",
+        "place.unnamed", "place.doc_id", "place.doc", "place.line_no",
+    )
+    classes = scratch.store(numbered, "classes")
+    # Shorter lines have only equal ones, as no edit is left even to a longer line.
+    long_enough = classes.filter((F.col("size") + 1) * (100 - percent) >= 100)
+    met = _met(long_enough, segments, agreeing)
+    near = scratch.store(_verified(_first_pairs(met, classes, percent), classes, docs, percent), "links")
+    across = _verified(_across(met, components.connected(near), percent), classes, docs, percent)
+    roots = components.connected(scratch.store(near.unionAll(across), "links"))
+    roots = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    grouped = classes.join(roots.withColumnRenamed("node", "no"), "no", "left").filter("n > 1 or root is not null")
+    grouped = grouped.select(
+        "line", F.coalesce("root", "no").alias("root"), F.struct("unnamed", "doc_id", "doc", "line_no").alias("place")
     )
-    kept = grouped.groupBy("root").agg(F.min("first").alias("kept"))
-    repeated = grouped.join(kept, "root").select("line", "kept")
-    return (
-        found.join(repeated, "line")
-        .filter(F.struct("doc_id", "line_no") != F.col("kept"))
-        .select("doc_id", "line_no")
+    grouped = scratch.store(grouped, "groups")
+    kept = grouped.groupBy("root").agg(F.min("place").alias("kept"))
+    repeated = grouped.join(kept, "root").select(
+        "line", F.col("kept.doc").alias("kept_doc"), F.col("kept.line_no").alias("kept_no")
     )
+    gone = (F.col("doc") != F.col("kept_doc")) | (F.col("line_no") != F.col("kept_no"))
+    rows = found.select("doc", "line_no", "line")
+    return skew.attach(rows, repeated, ["line"], ["doc", "line_no"]).filter(gone).select("doc", "line_no")
 
 
 def deduplicate(
-    docs: DataFrame, max_bits: int = MAX_BITS, percent: int = SIMILAR_PERCENT
+    docs: DataFrame, segments: int = SEGMENTS, agreeing: int = AGREEING, percent: int = SIMILAR_PERCENT
 ) -> DataFrame:
     """Each row of ``docs`` as ``row``, with ``cleaned`` text, ``n_lines`` and ``n_removed``.
 
-    Lines without a visible character are kept and never counted. A null text has
-    no lines and stays null. Rows with one doc_id repeated keep and lose the same
-    line numbers; rows without a doc_id are left as they are and take no part.
-    Other columns, of any name, ride along in ``row``. An empty table gives no rows.
+    Lines without a visible character are kept and never counted. A null text has no lines and
+    stays null; empty and very long texts are treated as any other. Rows that agree in id and text
+    keep and lose the same lines; rows that share only their id are different documents. Rows without a
+    doc_id take part and come after all others: of equal lines, the one of the smallest id stays, then of
+    the smallest number. Other columns, of any name, ride along in ``row``. No rows give no rows.
     """
-    removed = removed_lines(docs, max_bits, percent)
-    gone = removed.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))  # lines of one document
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    rows = rows.join(gone, "doc_id", "left").select(
+    removed = removed_lines(docs, segments, agreeing, percent)
+    gone = removed.groupBy("doc").agg(F.collect_set("line_no").alias("gone"))  # lines of one document
+    rows = skew.attach(_identified(docs).select("row", "doc"), gone, ["doc"], how="left").select(
         "row", F.split(F.col("row.text").cast("string"), "\n").alias("lines"), "gone"
     )
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import re
 import struct
@@ -214,30 +215,35 @@ def test_bpe_is_what_the_library_gives(docs, empty):
     )
 
 
-def test_lines(docs, empty, spark, monkeypatch):
+def line_keys(line):
+    """The pairs of segments' blocks that a line is looked up by."""
+    values, missing = lines.blocks([line], lines._Words())
+    full = [(i, v) for i, (v, m) in enumerate(zip(values[0].tolist(), missing[0].tolist())) if not m]
+    return set(itertools.combinations(full, lines.AGREEING))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_lines(docs, empty, broadcast, request):
+    if not broadcast:
+        request.getfixturevalue("salted")
+    texts = set(TEXTS)
     occurrences = [
-        (i, k, lines.normalise(x))
-        for i, t in TEXTS
-        if i is not None
+        ((i is None, i or 0, t, k), lines.normalise(x))
+        for i, t in texts
         for k, x in enumerate((t or "").split("\n"))
         if x and not x.isspace()
     ]
-    distinct = sorted({x for *_, x in occurrences})
-    sims = dict(zip(distinct, lines._simhashes(distinct, lines._Words()).tolist()))
-    root = groups(
-        distinct,
-        lambda a, b: (sims[a] ^ sims[b]) % (1 << 64) and ((sims[a] ^ sims[b]) % (1 << 64)).bit_count() <= 3
-        and edit.alike(a, b, 80)
-        or sims[a] == sims[b] and edit.alike(a, b, 80),
-    )
+    distinct = sorted({x for _, x in occurrences})
+    keys = {x: line_keys(x) for x in distinct}
+    root = groups(distinct, lambda a, b: keys[a] & keys[b] and edit.alike(a, b, 80))
     first = {}
-    for i, k, x in occurrences:
-        first[root[x]] = min((i, k), first.get(root[x], (i, k)))
-    want = {(i, k) for i, k, x in occurrences if first[root[x]] != (i, k)}
-    for compared in (1, 1024):
-        monkeypatch.setattr(lines, "COMPARED", compared)
-        got = lines.removed_lines(docs).collect()
-        assert {tuple(r) for r in got} == want
+    for place, x in occurrences:
+        first[root[x]] = min(place, first.get(root[x], place), key=lambda p: (p[0], p[1], p[3]))
+    want = collections.Counter()
+    for place, x in occurrences:
+        want[place[2]] += first[root[x]] != place
+    found = lines.deduplicate(docs).collect()
+    assert {r.row.text: r.n_removed for r in found} == {t: want[t] for _, t in texts}
     cleaned = {r.row.doc_id: r for r in lines.deduplicate(docs.filter("doc_id = 2 or doc_id = 1")).collect()}
     assert cleaned[2].cleaned == prose(3, 60) and cleaned[1].n_removed == 0
     assert lines.digests(empty).count() == 0
@@ -245,6 +251,27 @@ def test_lines(docs, empty, spark, monkeypatch):
     assert lines.digests(docs).count() == len(TEXTS)
 
 
+def test_lines_of_one_id_and_of_none(spark):
+    """Rows that share an id are told apart; rows without one lose lines as well."""
+    line = prose(31, 20)
+    rows = [(1, line + "\n" + prose(32, 20)), (1, prose(33, 20) + "\n" + line), (None, line), (None, prose(34, 20))]
+    found = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = {r.row.text: r.n_removed for r in found}
+    assert sum(removed[t] for _, t in rows[:2]) == 1 and removed[line] == 1 and removed[rows[3][1]] == 0
+
+
+def test_large_groups_of_near_lines(spark):
+    """Two large groups of lines that differ in a word or two: one line of each stays."""
+    bases = [prose(41, 30).split(), prose(42, 30).split()]
+    rows = []
+    for i in range(200):
+        copy = list(bases[i % 2])
+        copy[(i // 2) % 30] = "changed" + chr(97 + i % 26)
+        rows.append((i, " ".join(copy)))
+    found = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.row.doc_id for r in found if not r.n_removed} == {0, 1}
+
+
 def test_decontamination(docs, empty, spark, monkeypatch):
     item = prose(50, 25)
     changed = item.replace(item[30], "#", 1).replace(item[40:43], "")
