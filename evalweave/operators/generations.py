@@ -1,10 +1,13 @@
 """Recorded generations: code extraction, line census, pairing."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions import text
 from evalweave.operators import skew
+from evalweave.operators.scoring import TASK
 
 # The fence around code, and the marks of import lines.
 FENCED_CODE = r"(?s)```python(.*?)```"
@@ -18,10 +21,9 @@ def extract_code(generated: Column) -> Column:
     return F.array_join(F.transform(blocks, text.strip), "\n")
 
 
-def parse_generations(generations: DataFrame) -> DataFrame:
-    return generations.select(
-        "task_id", "gen_idx", extract_code(F.col("generated_text")).alias("code")
-    )
+def parse_generations(generations: DataFrame, by: Sequence[str] = TASK) -> DataFrame:
+    """The code of every generation. ``by`` names the columns of a run, such as its treatment."""
+    return generations.select(*by, "gen_idx", extract_code(F.col("generated_text")).alias("code"))
 
 
 def last_entry_per_task(entries: DataFrame) -> DataFrame:

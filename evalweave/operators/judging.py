@@ -5,8 +5,9 @@ treatment and group. Generations are numbered within a run.
 """
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalweave import schemas, scratch
@@ -20,7 +21,8 @@ STATUS_FALSE = "false"
 STATUS_TIMEOUT = "timeout"
 STATUS_RUNTIME = "runtime_error"
 RETURN_CODE = "returncode:"
-FAILED_START = RETURN_CODE + "1"
+FAILED_START_CODE = 1
+FAILED_START = f"{RETURN_CODE}{FAILED_START_CODE}"
 
 # How a problem's tests are run.
 CALL_BASED = "call_based"
@@ -71,15 +73,20 @@ test_cases.__test__ = False
 
 def unreadable_samples(samples: DataFrame) -> DataFrame:
     """Samples no test can be taken from, with the reason."""
-    reason = (
-        F.when(F.try_parse_json("input_output").isNull(), "bad_json")
-        .when(F.col("doc.inputs").isNull(), "no_inputs")
-        .otherwise("missing_outputs")
-    )
     return (
         _opened(samples)
         .filter(~_is_complete())
-        .select("id", "input_output", reason.alias("reason"))
+        .select("id", "input_output", _reason().alias("reason"))
+    )
+
+
+def _reason() -> Column:
+    """What is wrong with an opened sample; null where nothing is."""
+    return (
+        F.when(_is_complete(), None)
+        .when(F.try_parse_json("input_output").isNull(), "bad_json")
+        .when(F.col("doc.inputs").isNull(), "no_inputs")
+        .otherwise("missing_outputs")
     )
 
 
@@ -104,6 +111,9 @@ def _int_keyed(entries: Column) -> Column:
     return F.when(usable, F.map_from_arrays(keys, texts))
 
 
+_CASE = ("id", "test_idx", "test_type", "fn_name", "input", "expected")
+
+
 def normalise_io(tests: DataFrame) -> DataFrame:
     """Tests with their values in the form they are run and compared.
 
@@ -111,33 +121,85 @@ def normalise_io(tests: DataFrame) -> DataFrame:
     JSON object, or a list starting with one, also get the integer-keyed map that
     object stands for (``input_map``, ``expected_map``).
     """
-    kept = ("id", "test_idx", "test_type", "fn_name", "input", "expected")
-    is_stdin = F.col("test_type") == STANDARD_INPUT
-    given, wanted = F.col("given"), F.col("wanted")
     # Each value is parsed in a step of its own, as later steps use it repeatedly.
     parsed = tests.select(
-        *kept, F.try_parse_json("input").alias("given"), F.try_parse_json("expected").alias("wanted")
+        *_CASE, F.try_parse_json("input").alias("given"), F.try_parse_json("expected").alias("wanted")
     )
+    return _normalised(parsed).select(*_CASE, "input_map", "expected_map")
+
+
+def _normalised(parsed: DataFrame) -> DataFrame:
+    """``normalise_io`` of rows with the variants ``given`` and ``wanted``; other columns stay."""
+    is_stdin = F.col("test_type") == STANDARD_INPUT
+    given, wanted = F.col("given"), F.col("wanted")
     opened = parsed.select(
-        *kept,
-        "given",
-        "wanted",
+        "*",
         F.when(is_stdin, F.try_variant_get(given, "$", "array<variant>")).alias("given_list"),
         F.when(is_stdin, F.try_variant_get(wanted, "$", "array<variant>")).alias("wanted_list"),
         F.when(~is_stdin, _object(given, "$[0]")).alias("given_entries"),
         F.when(~is_stdin, F.coalesce(_object(wanted, "$"), _object(wanted, "$[0]"))).alias("wanted_entries"),
     )
-    return opened.select(
+    return opened.withColumns({
+        "input": F.when(is_stdin, _stdin_text(given, F.col("given_list"))).otherwise(F.col("input")),
+        "expected": F.when(is_stdin, _stdin_text(wanted, F.col("wanted_list"))).otherwise(F.col("expected")),
+        "input_map": _int_keyed(F.col("given_entries")),
+        "expected_map": _int_keyed(F.col("wanted_entries")),
+    }).drop("given", "wanted", "given_list", "wanted_list", "given_entries", "wanted_entries")
+
+
+@dataclass(frozen=True)
+class Staged:
+    """Samples after their one parse: ``tests`` as of ``normalise_io``, what none can be taken from as
+    ``quarantine`` (id, test_idx, input_output, reason), and ``sizes`` as of ``tests_per_task``."""
+
+    tests: DataFrame
+    quarantine: DataFrame
+    sizes: DataFrame
+
+
+def stage_samples(samples: DataFrame) -> Staged:
+    """Parse every sample once and write its tests and what is wrong with it to one table.
+
+    The table is partitioned by outcome, so reading one does not read the other. Besides whole samples
+    (``test_idx`` null, with the reasons of ``unreadable_samples``), tests on standard input whose
+    input or output is neither a text nor a list of texts are quarantined as ``not_text``, with
+    their values; they count among their problem's tests.
+    """
+    pairs = F.arrays_zip("doc.inputs", "doc.outputs")
+    kind = F.when(F.col("doc.fn_name").isNull(), STANDARD_INPUT).otherwise(CALL_BASED)
+    rows = _opened(samples).select(
         "id",
-        "test_idx",
-        "test_type",
-        "fn_name",
-        F.when(is_stdin, _stdin_text(given, F.col("given_list"))).otherwise(F.col("input")).alias("input"),
-        F.when(is_stdin, _stdin_text(wanted, F.col("wanted_list")))
-        .otherwise(F.col("expected"))
-        .alias("expected"),
-        _int_keyed(F.col("given_entries")).alias("input_map"),
-        _int_keyed(F.col("wanted_entries")).alias("expected_map"),
+        F.when(~_is_complete(), F.col("input_output")).alias("input_output"),
+        _reason().alias("wrong"),
+        kind.alias("test_type"),
+        F.col("doc.fn_name").alias("fn_name"),
+        F.size("doc.inputs").alias("n_tests"),
+        F.posexplode_outer(F.when(_is_complete(), pairs)).alias("test_idx", "test"),
+    )
+    # Spare outputs have no test; a complete sample without inputs has neither.
+    rows = rows.filter(F.col("wrong").isNotNull() | (F.col("test_idx") < F.col("n_tests")))
+    cases = _normalised(
+        rows.select(
+            "id", "test_idx", "test_type", "fn_name", "wrong", "input_output",
+            F.to_json("test.inputs").alias("input"), F.to_json("test.outputs").alias("expected"),
+            F.to_json("test").alias("values"), F.col("test.inputs").alias("given"), F.col("test.outputs").alias("wanted"),
+        )
+    )
+    no_text = F.col("input").isNull() | F.col("expected").isNull()
+    reason = F.coalesce("wrong", F.when(no_text, "not_text"))
+    staged = cases.select(
+        *_CASE, "input_map", "expected_map",
+        F.when(reason.isNotNull(), F.coalesce("input_output", "values")).alias("input_output"),
+        reason.alias("reason"),
+        F.when(reason.isNull(), "tests").otherwise("quarantine").alias("outcome"),
+    )
+    path = scratch.new_path(samples.sparkSession, "staged")
+    staged.write.partitionBy("outcome").parquet(path)
+    table = samples.sparkSession.read.schema(staged.schema).parquet(path)
+    return Staged(
+        tests=table.filter("outcome = 'tests'").select(*_CASE, "input_map", "expected_map"),
+        quarantine=table.filter("outcome = 'quarantine'").select("id", "test_idx", "input_output", "reason"),
+        sizes=tests_per_task(table.filter("test_idx is not null")),
     )
 
 
@@ -148,8 +210,18 @@ def compare_calls(results: DataFrame, mode: str = "strict") -> DataFrame:
     )
 
 
+def output_matches(attempts: DataFrame, mode: str) -> Column:
+    """Whether an attempt's output is the expected one; one that was not recorded is not."""
+    stdout, expected = F.col("stdout"), F.col("expected")
+    same = compare.outputs_match(stdout, expected, mode)
+    if "test_type" in attempts.columns:
+        called = calls.calls_match(stdout, expected, mode)
+        same = F.when(F.col("test_type") == CALL_BASED, called).otherwise(same)
+    return F.coalesce(same, F.lit(False))
+
+
 def resolve_attempts(
-    attempts: DataFrame, mode: str = "effective", by: Sequence[str] = TASK
+    attempts: DataFrame, mode: str = "strict", by: Sequence[str] = TASK
 ) -> DataFrame:
     """The status of every test from its up to three recorded attempts.
 
@@ -160,10 +232,7 @@ def resolve_attempts(
     """
     a = F.col
     key = [*by, "gen_idx"]
-    same = compare.outputs_match(a("stdout"), a("expected"), mode)
-    if "test_type" in attempts.columns:
-        called = calls.calls_match(a("stdout"), a("expected"), mode)
-        same = F.when(a("test_type") == CALL_BASED, called).otherwise(same)
+    same = output_matches(attempts, mode)
     finished = ~a("timed_out") & ~a("launch_error")
     succeeded = finished & (a("exit_code") == 0)
     matched = F.when(succeeded, same)
@@ -198,27 +267,18 @@ def resolve_attempts(
 def variant_fallback(statuses: DataFrame, by: Sequence[str] = TASK) -> DataFrame:
     """Results of variant 2 where every test of variant 1 ended with exit code 1.
 
-    Where variant 2 was not recorded, those of variant 1 stay.
-    The statuses are read twice, so they are written first: comparing outputs
-    again would cost more than storing its narrow result.
+    Where variant 2 was not recorded, those of variant 1 stay. A generation's statuses
+    meet in one exchange; to judge whole runs, ``outcomes`` decides on fewer rows.
     """
-    key = [*by, "gen_idx"]
-    stored = scratch.store(statuses, "statuses")
+    generation = Window.partitionBy(*by, "gen_idx")
     failed_start = F.when(F.col("variant") == 1, F.col("status") == FAILED_START)
-    failed = (
-        stored.groupBy(*key)
-        .agg(
-            F.coalesce(F.bool_and(failed_start), F.lit(True)).alias("failed"),
-            F.bool_or(F.col("variant") == 2).alias("has_other"),
-        )
-        .filter("failed and has_other")
-        .select(*key, F.lit(2).alias("chosen"))
-    )
-    chosen = F.coalesce("chosen", F.lit(1))
+    failed = F.coalesce(F.bool_and(failed_start).over(generation), F.lit(True))
+    has_other = F.bool_or(F.col("variant") == 2).over(generation)
+    chosen = F.when(failed & has_other, 2).otherwise(1)
     return (
-        skew.attach(stored, failed, key, ["test_idx"], "left")
-        .filter(F.col("variant") == chosen)
-        .select(*key, "test_idx", "variant", "status")
+        statuses.withColumn("chosen", chosen)
+        .filter(F.col("variant") == F.col("chosen"))
+        .select(*by, "gen_idx", "test_idx", "variant", "status")
     )
 
 
@@ -258,46 +318,3 @@ def broadcast_verdict(
         "test_idx", F.explode(F.sequence(F.lit(1), F.col("n_tests") - 1))
     )
     return verdicts.select(*columns).unionByName(copies.select(*columns))
-
-
-def status_code(status: Column) -> Column:
-    return (
-        F.when(status == STATUS_PASSED, schemas.PASSED)
-        .when(status == STATUS_FALSE, schemas.FALSE)
-        .when(status == STATUS_TIMEOUT, schemas.TIMEOUT)
-        .otherwise(schemas.RUNTIME_ERROR)
-    )
-
-
-def verdict_codes(
-    generations: DataFrame, statuses: DataFrame, tests: DataFrame, by: Sequence[str] = TASK
-) -> DataFrame:
-    """Verdicts of every generation, whether or not its program could be judged.
-
-    ``generations``: the columns of ``by``, gen_idx, compiled. One that does not
-    compile gets the single verdict -2; one without any result gets -1 for each test
-    of its task, taken from ``tests`` (task_id, n_tests), and one -1 if the task has
-    no tests there.
-    """
-    key = [*by, "gen_idx"]
-    columns = [*key, "test_idx", "verdict"]
-    judged = statuses.select(*key, "test_idx", status_code(F.col("status")).alias("verdict"))
-    results = judged.groupBy(*key).agg(F.lit(True).alias("has_result"))
-    state = generations.join(results, key, "left").withColumn(
-        "has_result", F.coalesce("has_result", F.lit(False))
-    )
-    broken = state.filter(~F.col("compiled")).select(
-        *key, F.lit(0).alias("test_idx"), F.lit(schemas.COMPILE_ERROR).alias("verdict")
-    )
-    silent = state.filter(F.col("compiled") & ~F.col("has_result")).select(*key)
-    counted = skew.attach(silent, tests.select("task_id", "n_tests"), ["task_id"], ["gen_idx"], "left")
-    last = F.greatest(F.coalesce("n_tests", F.lit(1)), F.lit(1)) - 1
-    unanswered = counted.select(
-        *key, F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("test_idx"), F.lit(schemas.TIMEOUT).alias("verdict")
-    )
-    answered = skew.attach(judged, broken.select(*key), key, ["test_idx"], "left_anti")
-    return (
-        answered.select(*columns)
-        .unionByName(broken.select(*columns))
-        .unionByName(unanswered.select(*columns))
-    )

@@ -42,10 +42,14 @@ def _fill(wording: str, **values: Column) -> Column:
 
 @dataclass(frozen=True)
 class Texts:
-    """The texts a manifest needs: ``inputs`` (id, input), ``solutions`` (id, solution)."""
+    """The texts a manifest needs: ``inputs`` (id, input), ``solutions`` (id, solution).
+
+    ``hot`` lists the contexts that very many targets have.
+    """
 
     inputs: DataFrame
     solutions: DataFrame | None = None
+    hot: scratch.Written | None = None
 
 
 def gather(problems: DataFrame, manifest: DataFrame, solutions: DataFrame | None = None) -> Texts:
@@ -60,6 +64,7 @@ def gather(problems: DataFrame, manifest: DataFrame, solutions: DataFrame | None
     return Texts(
         scratch.store(lookup.inputs_by_id(problems, ids), "inputs"),
         scratch.store(lookup.first_solutions(solutions, ids), "solutions"),
+        lookup.hot_contexts(manifest),
     )
 
 
@@ -83,7 +88,7 @@ def no_context(texts: Texts, manifest: DataFrame, template: Template = Template(
 
 def full_problem(texts: Texts, manifest: DataFrame, template: Template = Template()) -> DataFrame:
     """Question and solution of each context, numbered from 0, before the task."""
-    pairs = lookup.with_context(lookup.with_context(manifest, texts.inputs), texts.solutions)
+    pairs = lookup.with_context(lookup.with_context(manifest, texts.inputs, texts.hot), texts.solutions, texts.hot)
     example = F.struct("context_pos", "input", "solution")
     examples = pairs.groupBy(*TARGET).agg(F.sort_array(F.collect_list(example)).alias("examples"))
     body = _numbered(F.col("examples"), template.full_example)
@@ -93,7 +98,7 @@ def full_problem(texts: Texts, manifest: DataFrame, template: Template = Templat
 def only_solutions(texts: Texts, manifest: DataFrame, template: Template = Template()) -> DataFrame:
     """Solutions of the contexts before the task; equal solutions appear once."""
     once = (
-        lookup.with_context(manifest, texts.solutions)
+        lookup.with_context(manifest, texts.solutions, texts.hot)
         .groupBy(*TARGET, "solution")
         .agg(F.min("context_pos").alias("context_pos"))
     )

@@ -21,14 +21,19 @@ def run_results(verdicts: DataFrame, groups: DataFrame | None = None) -> DataFra
     before that join, which meets one row per run.
     """
     run = RUN_IN_GROUP if groups is None else RUN
-    scored = scoring.task_totals(verdicts, run).select(
+    scored = results_of(scoring.task_totals(verdicts, run), run)
+    if groups is not None:
+        scored = scored.join(groups, "task_id")
+    return scored.select(*RUN_IN_GROUP, "pass_at_1", "normalized_sum")
+
+
+def results_of(totals: DataFrame, run: Sequence[str] = RUN_IN_GROUP) -> DataFrame:
+    """``run_results`` from the totals of every run."""
+    return totals.select(
         *run,
         passk.pass_at_k(F.col("n"), F.col("c"), F.lit(1)).alias("pass_at_1"),
         scoring.normalized_sum_value().alias("normalized_sum"),
     )
-    if groups is not None:
-        scored = scored.join(groups, "task_id")
-    return scored.select(*RUN_IN_GROUP, "pass_at_1", "normalized_sum")
 
 
 def context_delta(
@@ -62,21 +67,22 @@ def context_delta(
     return wide.select(*columns)
 
 
-def stage_durations(clock: DataFrame) -> DataFrame:
-    """Seconds per (run, stage), and per run with stage ``total``.
+def stage_durations(clock: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Seconds per run and stage, and per run with stage ``total``.
 
-    ``clock``: run_id, stage, ts. The total is taken from the stages' bounds.
+    ``clock``: the columns of ``by``, which tell runs apart, stage and ts. The total is taken
+    from the stages' bounds.
     """
-    stages = clock.groupBy("run_id", "stage").agg(F.min("ts").alias("begin"), F.max("ts").alias("end"))
-    run, stage = F.col("run_id"), F.col("stage")
-    bounds = stages.groupingSets([[run, stage], [run]], run, stage).agg(
+    stages = clock.groupBy(*by, "stage").agg(F.min("ts").alias("begin"), F.max("ts").alias("end"))
+    run, stage = [F.col(c) for c in by], F.col("stage")
+    bounds = stages.groupingSets([[*run, stage], run], *run, stage).agg(
         F.min("begin").alias("begin"), F.max("end").alias("end"), F.grouping("stage").alias("whole")
     )
     # An interval, as timestamps may come with or without time zone.
     elapsed = (F.col("end") - F.col("begin")).cast("interval second")
     seconds = elapsed.cast("decimal(18,6)").cast("double")
     name = F.when(F.col("whole") == 1, "total").otherwise(stage)
-    return bounds.select("run_id", name.alias("stage"), seconds.alias("seconds"))
+    return bounds.select(*by, name.alias("stage"), seconds.alias("seconds"))
 
 
 def run_name(parts: Sequence[str] = ("task_id", "context_type", "grp")) -> Column:
@@ -91,18 +97,18 @@ def run_log(
 ) -> DataFrame:
     """Results as logged: with the run's name, seconds per stage and index in the grid.
 
-    ``durations`` is from ``stage_durations`` with the task as run_id; ``grid`` from
-    the run grid. All three have one row per run or task when they are joined.
+    ``durations`` is from ``stage_durations``, by the columns of a run, or with the task as
+    run_id where a task has one run only; ``grid`` from the run grid. All three have one row
+    per run when they are joined.
     """
     logged = results.withColumn("run_name", run_name())
     if durations is not None:
-        wide = (
-            durations.groupBy(F.col("run_id").alias("task_id"))
-            .pivot("stage", list(stages))
-            .agg(F.max("seconds"))
-        )
+        if "run_id" in durations.columns:
+            durations = durations.withColumnRenamed("run_id", "task_id")
+        run = [c for c in durations.columns if c not in ("stage", "seconds")]
+        wide = durations.groupBy(*run).pivot("stage", list(stages)).agg(F.max("seconds"))
         named = wide.withColumnsRenamed({s: f"{s}_seconds" for s in stages})
-        logged = logged.join(named, "task_id", "left")
+        logged = logged.join(named, run, "left")
     if grid is not None:
         index = grid.select("context_type", "grp", F.col("target_id").alias("task_id"), "run_index")
         logged = logged.join(index, ["context_type", "grp", "task_id"], "left")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evalweave import schemas
 from evalweave.functions import passk
+from evalweave.operators import skew
 
 TASK = ("task_id",)
 
@@ -92,24 +93,29 @@ def _estimate() -> Column:
     return passk.pass_at_k(F.col("n"), F.col("c"), F.col("k"))
 
 
-def pass_at_k_detail(totals: DataFrame, ks: Sequence[int]) -> DataFrame:
+def pass_at_k_detail(totals: DataFrame, ks: Sequence[int], within: Sequence[str] = ()) -> DataFrame:
     """pass@k per task, for each k that every task has enough generations for.
 
-    ``totals`` is read twice, for the smallest n and for the rows: store it first
-    if it is expensive.
+    The tasks that count are those that agree in the columns ``within``, such as the
+    treatment. ``totals`` is read twice, for the smallest n and for the rows: store it
+    first if it is expensive.
     """
-    fewest = totals.agg(F.min("n")).scalar()
-    return _with_k(totals, ks).filter(F.col("k") <= fewest).withColumn("pass_at_k", _estimate())
+    if not within:
+        fewest = totals.agg(F.min("n")).scalar()
+        return _with_k(totals, ks).filter(F.col("k") <= fewest).withColumn("pass_at_k", _estimate())
+    least = totals.groupBy(*within).agg(F.min("n").alias("fewest"))
+    rows = skew.attach(totals, least, within, ["task_id"])
+    return _with_k(rows, ks).filter("k <= fewest").drop("fewest").withColumn("pass_at_k", _estimate())
 
 
-def pass_at_k(totals: DataFrame, ks: Sequence[int]) -> DataFrame:
-    """Mean pass@k over tasks, for the same k as ``pass_at_k_detail``."""
+def pass_at_k(totals: DataFrame, ks: Sequence[int], within: Sequence[str] = ()) -> DataFrame:
+    """Mean pass@k over tasks, for the same k as ``pass_at_k_detail``, per value of ``within``."""
     return (
         _with_k(totals, ks)
-        .groupBy("k")
+        .groupBy(*within, "k")
         .agg(F.avg(_estimate()).alias("pass_at_k"), F.min("n").alias("fewest"))
         .filter(F.col("k") <= F.col("fewest"))
-        .select("k", "pass_at_k")
+        .select(*within, "k", "pass_at_k")
     )
 
 

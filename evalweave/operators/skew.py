@@ -12,7 +12,12 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 # Otherwise it is copied once per salt, up to this much in all.
 COPIES_BYTES = 64 * 1024**3
 MAX_SALTS = 256
-_SALT = "_salt"
+# A filter of wanted keys has so many bits, as powers of two.
+MIN_FILTER_BITS = 16
+MAX_FILTER_BITS = 27
+# Rows that one copy of a wide row serves.
+HOT_ROWS = 100_000
+_SALT, _COPIES, _WORD, _PLACE, _BITS = "_salt", "_copies", "_word", "_place", "_bits"
 
 
 def salts(spark: SparkSession, table_bytes: int = 0) -> int:
@@ -59,12 +64,81 @@ def attach(
     )
 
 
+def _bits(rows: int) -> int:
+    """Bits of a filter for so many keys, as a power of two: sixteen for each, up to the bound."""
+    return max(MIN_FILTER_BITS, min(MAX_FILTER_BITS, (16 * rows).bit_length()))
+
+
+def sift(big: DataFrame, keys: scratch.Written, on: Sequence[str]) -> DataFrame:
+    """``big`` without most rows whose key is not in ``keys``, dropped where they are read.
+
+    A bitmap over hashes of the keys goes to every task, in words of 64 bits: at most
+    ``2 ** MAX_FILTER_BITS`` bits, 16 bytes for each word that has any, so 32 MB. It loses no wanted row and
+    lets a few others pass, ever more beyond its bound; a join after it is exact.
+    """
+    bits = _bits(keys.rows)
+
+    def places(df: DataFrame) -> DataFrame:
+        place = F.shiftrightunsigned(F.xxhash64(*on), 64 - bits)
+        return df.withColumn(_WORD, F.shiftrightunsigned(place, 6)).withColumn(
+            _PLACE, place.bitwiseAND(F.lit(63)).cast("int")
+        )
+
+    bit = F.expr(f"shiftleft(1L, {_PLACE})")
+    words = places(keys.df.select(*on)).groupBy(_WORD).agg(F.bit_or(bit).alias(_BITS))
+    found = places(big).join(F.broadcast(words), _WORD)
+    return found.filter(F.getbit(_BITS, F.col(_PLACE)) == 1).select(*big.columns)
+
+
+def fetch(big: DataFrame, keys: DataFrame | scratch.Written, on: Sequence[str]) -> DataFrame:
+    """The rows of ``big`` whose key is in ``keys``, which has distinct keys and nothing else.
+
+    For wide rows, such as texts: however many keys there are, ``big`` is sifted below
+    the exchange. A small table of keys is broadcast, and nothing is exchanged.
+    """
+    table = keys if isinstance(keys, scratch.Written) else scratch.write(keys, "keys")
+    if table.bytes > BROADCAST_BYTES:
+        big = sift(big, table, on)
+    # An inner join, as the optimizer moves a semi join below the sifting one.
+    return attach(big, table, on).select(*big.columns)
+
+
+def hot_keys(big: DataFrame, on: Sequence[str]) -> scratch.Written:
+    """The keys of more than ``HOT_ROWS`` rows, with the copies that a row for each should have.
+
+    There is at most one for every ``HOT_ROWS`` rows.
+    """
+    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > HOT_ROWS)
+    return scratch.write(counts.select(*on, F.ceil(F.col("_rows") / HOT_ROWS).cast("int").alias(_COPIES)), "hot")
+
+
+def spread(
+    big: DataFrame, per_key: DataFrame, on: Sequence[str], by: Sequence[str], hot: scratch.Written | None = None
+) -> DataFrame:
+    """Join ``big`` to wide rows, one per key, copying only those that many rows ask for.
+
+    The row of a key in ``hot`` (``hot_keys`` of ``big``, if not given) is copied, and the
+    rows of ``big`` are dealt among the copies by the columns ``by``.
+    """
+    hot = hot_keys(big, on) if hot is None else hot
+    if hot.rows == 0:
+        return big.join(per_key, list(on))
+    dealt = attach(big, hot, on, by, "left")
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col(_COPIES)), F.lit(0)).cast("int")
+    numbers = F.sequence(F.lit(0), F.coalesce(_COPIES, F.lit(1)) - 1)
+    copied = attach(per_key, hot, on, how="left").withColumn(_SALT, F.explode(numbers)).drop(_COPIES)
+    return dealt.withColumn(_SALT, salt).drop(_COPIES).join(copied, [*on, _SALT]).drop(_SALT)
+
+
 def top_n(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, position: str
 ) -> DataFrame:
     """The first ``n`` rows of each group, numbered from 0 in ``position``.
 
-    Spark limits each map partition to n rows per group before the shuffle while
+    Rows that are equal in ``order`` are one: they have one position and one of them
+    is kept, so repeats are removed after the limit instead of by a shuffle below it.
+
+    Spark limits each map partition to n ranks per group before the shuffle while
     n is below its threshold. Above it the limit is applied twice, first within
     salted slices of a group.
     """
@@ -75,15 +149,16 @@ def top_n(
         salted = df.withColumn(_SALT, salt_of(count, *[c for c in df.columns if c not in group]))
         slices = Window.partitionBy(*group, _SALT).orderBy(*order)
         df = (
-            salted.withColumn(position, F.row_number().over(slices))
+            salted.withColumn(position, F.dense_rank().over(slices))
             .filter(F.col(position) <= n)
             .drop(position, _SALT)
         )
     ranked = Window.partitionBy(*group).orderBy(*order)
     return (
-        df.withColumn(position, F.row_number().over(ranked))
+        df.withColumn(position, F.dense_rank().over(ranked))
         .filter(F.col(position) <= n)
         .withColumn(position, F.col(position) - 1)
+        .dropDuplicates([*group, position])
     )
 
 

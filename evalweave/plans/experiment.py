@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalweave import schemas, scratch
-from evalweave.operators import grid, judging, prompts, sampling, scoring
+from evalweave.operators import grid, judging, outcomes, prompts, sampling, scoring, skew
 from evalweave.operators.prompts import Template
 
 
@@ -91,19 +91,49 @@ def requests(
     return grid.generation_requests(runs, n_generations, batch_size)
 
 
+def judged(
+    generations: DataFrame,
+    attempts: DataFrame,
+    tests: DataFrame,
+    mode: str = "strict",
+    by: Sequence[str] = scoring.TASK,
+) -> DataFrame:
+    """Recorded attempts as one row per generation, see ``operators.outcomes``.
+
+    ``generations`` marks which ones compiled. ``by`` names the columns of a run, as
+    ``report.RUN_IN_GROUP`` for experiments.
+    """
+    return outcomes.settled(outcomes.by_generation(generations, attempts, mode, by), tests, by)
+
+
 def judge(
     generations: DataFrame,
     attempts: DataFrame,
     tests: DataFrame,
-    mode: str = "effective",
+    mode: str = "strict",
     by: Sequence[str] = scoring.TASK,
 ) -> DataFrame:
-    """Verdicts from recorded attempts. ``generations`` marks which ones compiled.
+    """Verdicts from recorded attempts, one row per test; arguments as for ``judged``."""
+    return outcomes.verdicts(judged(generations, attempts, tests, mode, by), by)
 
-    ``by`` names the columns of a run, as ``report.RUN_IN_GROUP`` for experiments.
+
+def judge_problems(
+    samples: DataFrame,
+    generations: DataFrame,
+    attempts: DataFrame,
+    mode: str = "strict",
+    by: Sequence[str] = scoring.TASK,
+) -> DataFrame:
+    """``judged`` from the problems themselves: expected outputs, kinds and numbers of tests.
+
+    ``samples`` has ``id`` and ``input_output``. ``attempts`` brings no expected output: it is
+    the normalised one of its test. Attempts at a test that no readable sample has match nothing;
+    a call-based generation with a single verdict has it for all tests of its problem.
     """
-    statuses = judging.variant_fallback(judging.resolve_attempts(attempts, mode, by), by)
-    return judging.verdict_codes(generations, statuses, tests, by)
+    staged = judging.stage_samples(samples)
+    expected = staged.tests.select(F.col("id").alias("task_id"), "test_idx", "test_type", "expected")
+    told = skew.attach(attempts.drop("expected", "test_type"), expected, ["task_id", "test_idx"], ["gen_idx"], "left")
+    return judged(generations, told, staged.sizes, mode, by)
 
 
 @dataclass(frozen=True)
@@ -114,11 +144,31 @@ class Metrics:
     by_position: DataFrame
 
 
-def evaluate(verdicts: DataFrame, ks: Sequence[int] = (1, 10, 100)) -> Metrics:
-    totals = scratch.store(scoring.task_totals(verdicts), "totals")
+def _metrics(totals: DataFrame, verdicts: DataFrame, ks: Sequence[int], by: Sequence[str]) -> Metrics:
+    stored = scratch.store(totals, "totals")
+    within = [c for c in by if c not in scoring.TASK]
     return Metrics(
-        detail=scoring.pass_at_k_detail(totals, ks),
-        pass_at_k=scoring.pass_at_k(totals, ks),
-        normalized_sum=scoring.normalized_sum(totals),
-        by_position=scoring.tests_passed_by_position(verdicts),
+        detail=scoring.pass_at_k_detail(stored, ks, within),
+        pass_at_k=scoring.pass_at_k(stored, ks, within),
+        normalized_sum=scoring.normalized_sum(stored),
+        by_position=scoring.tests_passed_by_position(verdicts, by),
     )
+
+
+def evaluate(
+    verdicts: DataFrame, ks: Sequence[int] = (1, 10, 100), by: Sequence[str] = scoring.TASK
+) -> Metrics:
+    """The metrics of every run. ``by`` names its columns, ``task_id`` among them.
+
+    pass@k is averaged over the tasks that agree in the other columns: with
+    ``report.RUN_IN_GROUP``, per group and treatment. Verdicts of several runs need the
+    columns that tell them apart, or they count as one.
+    """
+    return _metrics(scoring.task_totals(verdicts, by), verdicts, ks, by)
+
+
+def evaluate_judged(
+    rows: DataFrame, ks: Sequence[int] = (1, 10, 100), by: Sequence[str] = scoring.TASK
+) -> Metrics:
+    """``evaluate`` of generations as ``judged`` gives them: scores without a row per test."""
+    return _metrics(outcomes.task_totals(rows, by), outcomes.verdicts(rows, by), ks, by)

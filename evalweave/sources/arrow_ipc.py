@@ -4,14 +4,21 @@
 read in ranges of record batches, a stream whole. Only the columns of the given
 schema are taken from each batch. With option ``position`` the rows also carry
 ``file_name`` and ``file_pos``, so that "first row of the file" has a meaning.
+
+Files written here hold the least and greatest value of each column and batch beside
+their schema. A filter on the rows then skips the batches that no row of it can be in;
+Spark applies it again to what is read. Footers are read by the tasks that need them.
 """
 
+import json
 import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
 from pyspark import cloudpickle
@@ -21,7 +28,17 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
     InputPartition,
+    IsNotNull,
+    IsNull,
+    LessThan,
+    LessThanOrEqual,
+    StringStartsWith,
     WriterCommitMessage,
 )
 from pyspark.sql.types import LongType, StringType, StructType
@@ -32,8 +49,14 @@ from evalweave.operators import skew
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPLIT_BYTES = 128 * 1024 * 1024
+# Bytes of batches that a written file holds at most, and a writing task in memory.
+FILE_BYTES = 64 * 1024 * 1024
+# Texts longer than this have no statistics.
+STATED_LETTERS = 64
 FILE_NAME = "file_name"
 FILE_POS = "file_pos"
+_STATISTICS = b"evalweave.statistics"
+_PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -64,55 +87,149 @@ def _data_files(path: str) -> list[pafs.FileInfo]:
     return sorted(files, key=lambda f: f.path)
 
 
+def _bounds(column: pa.Array) -> tuple | None:
+    """Least and greatest value as JSON can hold them; None where there are none to rely on."""
+    kind = column.type
+    if pa.types.is_date32(kind):
+        column, kind = column.cast(pa.int32()), pa.int32()
+    if pa.types.is_integer(kind):
+        found = pc.min_max(column).as_py()
+    elif pa.types.is_string(kind):
+        found = pc.min_max(column).as_py()
+        if any(v is not None and len(v) > STATED_LETTERS for v in found.values()):
+            return None
+    elif pa.types.is_floating(kind):
+        # Not-a-number is above all numbers in Spark, and in no order here.
+        if pc.any(pc.is_nan(column)).as_py():
+            return None
+        found = pc.min_max(column).as_py()
+    else:
+        return None
+    return found["min"], found["max"]
+
+
+def statistics(batch: pa.RecordBatch) -> dict[str, list]:
+    """Per column ``[least, greatest, nulls, rows]``, the first two null if not known."""
+    out = {}
+    for name, column in zip(batch.schema.names, batch.columns):
+        bounds = _bounds(column)
+        if bounds is not None:
+            out[name] = [*bounds, column.null_count, batch.num_rows]
+    return out
+
+
+def _plain(value):
+    """A filter's value as the statistics hold it."""
+    import datetime
+
+    if isinstance(value, datetime.date) and not isinstance(value, datetime.datetime):
+        return (value - datetime.date(1970, 1, 1)).days
+    return value
+
+
+def may_hold(known: dict[str, list], wanted: Filter) -> bool:
+    """Whether a batch of these statistics can have a row that passes the filter."""
+    name = ".".join(getattr(wanted, "attribute", ()))
+    if name not in known:
+        return True
+    least, greatest, nulls, rows = known[name]
+    if isinstance(wanted, IsNull):
+        return nulls > 0
+    if isinstance(wanted, IsNotNull):
+        return nulls < rows
+    value = getattr(wanted, "value", None)
+    values = [_plain(v) for v in value] if isinstance(wanted, In) else [_plain(value)]
+    kind = str if isinstance(least, str) else (int, float)
+    if not isinstance(wanted, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, StringStartsWith)):
+        return True
+    if nulls == rows:
+        return False
+    if any(not isinstance(v, kind) or isinstance(v, bool) for v in values):
+        return True
+    if isinstance(wanted, (EqualTo, In)):
+        return any(least <= v <= greatest for v in values)
+    (limit,) = values
+    if isinstance(wanted, StringStartsWith):
+        return least[: len(limit)] <= limit <= greatest or greatest.startswith(limit)
+    return {
+        GreaterThan: greatest > limit,
+        GreaterThanOrEqual: greatest >= limit,
+        LessThan: least < limit,
+        LessThanOrEqual: least <= limit,
+    }[type(wanted)]
+
+
 @dataclass
-class BatchRange(InputPartition):
-    """Record batches [begin, end) of one file; end None means all."""
+class FilePart:
+    """One of ``parts`` equal shares of a file's record batches."""
 
     path: str
-    begin: int
-    end: int | None
+    part: int
+    parts: int
+
+
+@dataclass
+class FileParts(InputPartition):
+    files: list[FilePart]
 
 
 class ArrowIpcReader(DataSourceReader):
     def __init__(self, path: str, schema: StructType):
         self.path = path
         self.names = schema.names
+        self.filters: list[Filter] = []
 
-    def partitions(self) -> list[BatchRange]:
-        """Small files unopened; large ones cut at record batches by their footer."""
-        fs, _ = _open(self.path)
-        ranges: list[BatchRange] = []
+    def pushFilters(self, filters: list[Filter]) -> list[Filter]:
+        """All are applied again to the rows; here they rule out record batches."""
+        self.filters = list(filters)
+        return self.filters
+
+    def partitions(self) -> list[FileParts]:
+        """Shares of large files, small files together, by size alone: no file is opened."""
+        plans: list[FileParts] = []
+        held, size = [], 0
         for f in _data_files(self.path):
-            if f.size <= SPLIT_BYTES or not _is_file_format(fs, f.path):
-                ranges.append(BatchRange(f.path, 0, None))
+            parts = -(-f.size // SPLIT_BYTES)
+            if parts > 1:
+                plans += [FileParts([FilePart(f.path, i, parts)]) for i in range(parts)]
                 continue
-            with fs.open_input_file(f.path) as source:
-                batches = ipc.open_file(source).num_record_batches
-            step = max(1, batches * SPLIT_BYTES // f.size)
-            ranges += [
-                BatchRange(f.path, b, min(b + step, batches)) for b in range(0, batches, step)
-            ]
-        return ranges or [BatchRange("", 0, 0)]
-
-    def read(self, partition: BatchRange) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+            if held and size + f.size > SPLIT_BYTES:
+                plans.append(FileParts(held))
+                held, size = [], 0
+            held.append(FilePart(f.path, 0, 1))
+            size += f.size
+        return [*plans, FileParts(held)] if held or not plans else plans
+
+    def read(self, partition: FileParts) -> Iterator[pa.RecordBatch]:
         fs, _ = _open(self.path)
         # Without a schema the file's own columns are read; see ArrowIpc.schema.
         plain = [n for n in self.names if n not in (FILE_NAME, FILE_POS)]
-        if _is_file_format(fs, partition.path):
-            with fs.open_input_file(partition.path) as source:
-                reader = ipc.open_file(source)
-                wanted = [reader.schema.get_field_index(n) for n in plain]
-                options = ipc.IpcReadOptions(included_fields=sorted(wanted))
-                reader = ipc.open_file(source, options=options)
-                end = reader.num_record_batches if partition.end is None else partition.end
-                for i in range(partition.begin, end):
-                    yield self._shape(reader.get_batch(i), plain, partition.path, i)
-        else:
-            with fs.open_input_stream(partition.path) as source:
-                for i, batch in enumerate(ipc.open_stream(source)):
-                    yield self._shape(batch, plain, partition.path, i)
+        for share in partition.files:
+            if _is_file_format(fs, share.path):
+                yield from self._read_file(fs, share, plain)
+            elif share.part == 0:
+                with fs.open_input_stream(share.path) as source:
+                    for i, batch in enumerate(ipc.open_stream(source)):
+                        yield self._shape(batch, plain, share.path, i)
+
+    def _read_file(self, fs: pafs.FileSystem, share: FilePart, plain: list[str]) -> Iterator[pa.RecordBatch]:
+        with fs.open_input_file(share.path) as source:
+            reader = ipc.open_file(source)
+            wanted = [reader.schema.get_field_index(n) for n in plain]
+            places = self.wanted_batches(reader, share)
+            options = ipc.IpcReadOptions(included_fields=sorted(wanted))
+            reader = ipc.open_file(source, options=options)
+            for i in places:
+                yield self._shape(reader.get_batch(i), plain, share.path, i)
+
+    def wanted_batches(self, reader: ipc.RecordBatchFileReader, share: FilePart) -> list[int]:
+        """The share's record batches that can have a row for all filters."""
+        n = reader.num_record_batches
+        places = range(n * share.part // share.parts, n * (share.part + 1) // share.parts)
+        known = json.loads((reader.schema.metadata or {}).get(_STATISTICS, b"[]"))
+        if len(known) != n:
+            return list(places)
+        return [i for i in places if all(may_hold(known[i], f) for f in self.filters)]
 
     def _shape(self, batch: pa.RecordBatch, plain: list[str], path: str, i: int) -> pa.RecordBatch:
         columns = {n: batch.column(batch.schema.get_field_index(n)) for n in plain}
@@ -120,20 +237,21 @@ class ArrowIpcReader(DataSourceReader):
             columns[FILE_NAME] = pa.array([path] * batch.num_rows, pa.string())
         if FILE_POS in self.names:
             first = i << 32
-            columns[FILE_POS] = pa.array(range(first, first + batch.num_rows), pa.int64())
+            columns[FILE_POS] = pa.array(np.arange(first, first + batch.num_rows))
         return pa.RecordBatch.from_arrays([columns[n] for n in self.names], self.names)
 
 
 @dataclass
-class WrittenFile(WriterCommitMessage):
-    staged: str
-    final: str
+class WrittenFiles(WriterCommitMessage):
+    """Staged files of a task and the names they get."""
+
+    files: list[tuple[str, str]]
 
 
 class ArrowIpcWriter(DataSourceArrowWriter):
-    """Each task stages one file; committing the job renames the staged files.
+    """Each task stages files of at most ``FILE_BYTES``; committing the job renames them.
 
-    A task that is run again stages another file, which the commit ignores.
+    A task that is run again stages other files, which the commit ignores.
     """
 
     def __init__(self, path: str, overwrite: bool):
@@ -144,41 +262,48 @@ class ArrowIpcWriter(DataSourceArrowWriter):
         self.path = path
         self.job = uuid.uuid4().hex
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenFile:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenFiles:
         from pyspark import TaskContext
 
         fs, root = _open(self.path)
         context = TaskContext.get()
         task = context.partitionId() if context else 0
-        staged = f"{root}/_staged-{uuid.uuid4().hex}"
-        rows = 0
-        writer = None
-        with fs.open_output_stream(staged) as sink:
-            for batch in iterator:
-                if writer is None:
-                    writer = ipc.new_file(sink, batch.schema)
-                writer.write_batch(batch)
-                rows += batch.num_rows
-            if writer is not None:
-                writer.close()
-        final = f"{root}/part-{task:05d}-{self.job}.arrow" if rows else ""
-        return WrittenFile(staged, final)
-
-    def commit(self, messages: list[WrittenFile | None]) -> None:
-        fs, _ = _open(self.path)
-        for m in messages:
-            if m is None:
+        files: list[tuple[str, str]] = []
+
+        def stage(batches: list[pa.RecordBatch]) -> None:
+            known = json.dumps([statistics(b) for b in batches]).encode()
+            schema = batches[0].schema
+            schema = schema.with_metadata({**(schema.metadata or {}), _STATISTICS: known})
+            staged = f"{root}/_staged-{uuid.uuid4().hex}"
+            with fs.open_output_stream(staged) as sink, ipc.new_file(sink, schema) as writer:
+                for batch in batches:
+                    writer.write_batch(batch.replace_schema_metadata(schema.metadata))
+            files.append((staged, f"{root}/part-{task:05d}-{len(files):05d}-{self.job}.arrow"))
+
+        held, size = [], 0
+        for batch in iterator:
+            if not batch.num_rows:
                 continue
-            if m.final:
-                fs.move(m.staged, m.final)
-            else:
-                fs.delete_file(m.staged)
+            if held and size + batch.nbytes > FILE_BYTES:
+                stage(held)
+                held, size = [], 0
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            stage(held)
+        return WrittenFiles(files)
+
+    def commit(self, messages: list[WrittenFiles | None]) -> None:
+        fs, _ = _open(self.path)
+        for message in filter(None, messages):
+            for staged, final in message.files:
+                fs.move(staged, final)
 
-    def abort(self, messages: list[WrittenFile | None]) -> None:
+    def abort(self, messages: list[WrittenFiles | None]) -> None:
         fs, _ = _open(self.path)
-        for m in messages:
-            if m is not None:
-                fs.delete_file(m.staged)
+        for message in filter(None, messages):
+            for staged, _ in message.files:
+                fs.delete_file(staged)
 
 
 class ArrowIpc(DataSource):
@@ -187,7 +312,7 @@ class ArrowIpc(DataSource):
         return "arrow_ipc"
 
     def schema(self) -> StructType:
-        """The schema of the first file, plus the position columns if asked for."""
+        """The schema of the first file, from its first bytes, plus the position columns if asked for."""
         from pyspark.sql.pandas.types import from_arrow_schema
 
         path = self.options["path"]
@@ -195,12 +320,11 @@ class ArrowIpc(DataSource):
         if not files:
             raise FileNotFoundError(f"no Arrow files in {path}")
         fs, _ = _open(path)
-        if _is_file_format(fs, files[0].path):
-            with fs.open_input_file(files[0].path) as source:
-                found = from_arrow_schema(ipc.open_file(source).schema)
-        else:
-            with fs.open_input_stream(files[0].path) as source:
-                found = from_arrow_schema(ipc.open_stream(source).schema)
+        with fs.open_input_stream(files[0].path) as source:
+            # A file is a stream between a mark of 8 bytes and a footer.
+            if _is_file_format(fs, files[0].path):
+                source.read(8)
+            found = from_arrow_schema(ipc.open_stream(source).schema)
         if self.options.get("position", "false").lower() == "true":
             found = found.add(FILE_NAME, StringType()).add(FILE_POS, LongType())
         return found
@@ -216,6 +340,7 @@ def read_arrow(
     spark: SparkSession, path: str, schema: StructType | str | None = None, position: bool = False
 ) -> DataFrame:
     spark.dataSource.register(ArrowIpc)
+    spark.conf.set(_PUSHDOWN, "true")
     reader = spark.read.format("arrow_ipc").option("position", str(position).lower())
     if schema is not None:
         reader = reader.schema(schema)

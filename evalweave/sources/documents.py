@@ -1,16 +1,18 @@
 """JSON documents: generations, parsed code, manifests, metrics.
 
-Large tables are exchanged as JSON lines, which split. The per-task array files
-of single runs are read too, one file per row.
+Large tables are exchanged as JSON lines, which split. The documents of single runs, an array
+file per task and one document per manifest, are written and read too, one file per row.
 """
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave import schemas
 from evalweave.functions import passk
+from evalweave.operators import skew
+from evalweave.sources import json_files
 
 KS = (1, 10, 100)
 
@@ -37,6 +39,42 @@ def read_generation_files(spark: SparkSession, path: str) -> DataFrame:
     ).select("task_id", F.col("gen_idx").cast("bigint").alias("gen_idx"), "entry.generated_text")
 
 
+def _empty() -> Column:
+    return F.array().cast("array<string>")
+
+
+def write_generation_files(generations: DataFrame, path: str) -> None:
+    """A file per task, named by its id: an array of ``generated_text`` objects by ``gen_idx``."""
+    values = generations.select(
+        F.concat(F.col("task_id").cast("string"), F.lit("_inference.json")).alias("file"),
+        F.lit("").alias("head"),
+        F.lit("").alias("tail"),
+        _empty().alias("path"),
+        F.to_json(F.struct("generated_text"), {"ignoreNullFields": "false"}).alias("value"),
+        "gen_idx",
+    )
+    json_files.write(values, path, ["gen_idx"])
+
+
+def write_parsed_files(parsed: DataFrame, path: str) -> None:
+    """A file per task with one entry, ``[{"task_id", "output": [code]}]``, code by ``gen_idx``."""
+    task = F.col("task_id").cast("string")
+    values = parsed.select(
+        F.concat(task, F.lit("_parsing.json")).alias("file"),
+        F.concat(F.lit('[{"task_id":'), task, F.lit(',"output":')).alias("head"),
+        F.lit("}]").alias("tail"),
+        _empty().alias("path"),
+        _json_text(F.col("code")).alias("value"),
+        "gen_idx",
+    )
+    json_files.write(values, path, ["gen_idx"])
+
+
+def _json_text(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+
+
 def write_parsed(parsed: DataFrame, path: str) -> None:
     """Lines ``{"task_id", "part", "gens", "output"}`` with bounded lists.
 
@@ -142,6 +180,29 @@ def write_manifest_files(manifest: DataFrame, path: str, nested: bool) -> None:
     _targets(manifest).select(F.to_json(document).alias("value")).write.text(path)
 
 
+def write_manifest_document(manifest: DataFrame, path: str, nested: bool, name: str = "partition.json") -> None:
+    """One document for the whole manifest, as ``read_manifest_files(whole=True)`` reads it.
+
+    ``input_ids`` lists the targets of each group, ``context_ids`` the contexts by group and target
+    if ``nested``, else by target: a target in two groups then needs ``nested``. Groups and
+    targets come in their order; no group is held in a row.
+    """
+    target = F.col("target_id").cast("string")
+    contexts = F.array(F.lit("context_ids"), *([F.col("grp")] if nested else []), target)
+    targets = manifest.select(
+        F.lit(0).alias("part"), "grp", "target_pos", F.lit(0).alias("context_pos"),
+        F.array(F.lit("input_ids"), F.col("grp")).alias("path"), target.alias("value"),
+    ).distinct()
+    values = targets.unionByName(
+        manifest.select(
+            F.lit(1).alias("part"), "grp", "target_pos", "context_pos",
+            contexts.alias("path"), F.col("context_id").cast("string").alias("value"),
+        )
+    )
+    nothing = {"file": F.lit(name), "head": F.lit(""), "tail": F.lit("")}
+    json_files.write(values.withColumns(nothing), path, ["part", "grp", "target_pos", "context_pos"])
+
+
 def read_manifest_files(
     spark: SparkSession, path: str, nested: bool, whole: bool = False
 ) -> DataFrame:
@@ -194,6 +255,46 @@ def metrics_documents(
     )
 
 
+def write_metrics_files(totals: DataFrame, positions: DataFrame, results: DataFrame, path: str, ks: Sequence[int] = KS) -> None:
+    """A file per task: its metrics document with ``results``, the verdicts of every generation.
+
+    ``totals`` and ``positions`` are as for ``metrics_documents``; ``results`` has ``task_id``,
+    ``gen_idx`` and the array ``verdicts``. A task's metrics travel with its first generation only.
+    """
+    first = results.groupBy("task_id").agg(F.min("gen_idx").alias("gen_idx"))
+    documents = metrics_documents(totals, positions, ks).join(first, "task_id")
+    rows = skew.attach(results, documents, ["task_id", "gen_idx"], how="left")
+    task = F.col("task_id").cast("string")
+    opened = F.regexp_replace("metrics", r"\}$", ',"results":')
+    values = rows.select(
+        F.concat(task, F.lit("_metrics.json")).alias("file"),
+        F.coalesce(opened, F.lit("")).alias("head"),
+        F.lit("}").alias("tail"),
+        F.array(task).alias("path"),
+        F.to_json("verdicts").alias("value"),
+        "gen_idx",
+    )
+    json_files.write(values, path, ["gen_idx"])
+
+
+def read_metrics_files(spark: SparkSession, path: str, ks: Sequence[int] = KS) -> DataFrame:
+    """pass@k, total and the verdicts of every generation, by its place, from one document per file."""
+    scores = ", ".join(f"`pass@{k}`:double" for k in ks)
+    value = F.from_json(
+        "value",
+        f"k_pass struct<{scores}>, normalized_sum struct<total:double>, results map<string,array<array<int>>>",
+        {"mode": "FAILFAST"},
+    )
+    documents = spark.read.text(path, wholetext=True).select(value.alias("m"))
+    tasks = documents.select("m", F.explode("m.results").alias("task_id", "results"))
+    return tasks.select(
+        F.col("task_id").cast("bigint").alias("task_id"),
+        *[F.col(f"m.k_pass.`pass@{k}`").alias(f"pass_at_{k}") for k in ks],
+        F.col("m.normalized_sum.total").alias("total"),
+        F.posexplode("results").alias("gen_pos", "verdicts"),
+    )
+
+
 def write_metrics(documents: DataFrame, path: str) -> None:
     documents.write.json(path)
 

@@ -1,12 +1,14 @@
-"""Parquet tables with declared schemas, and the append-only run log."""
+"""Parquet tables with declared schemas, stored verdicts, and the run log."""
 
-from collections.abc import Mapping
+import hashlib
+from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from evalweave import schemas
+from evalweave import schemas, scratch
 
 
 def _read(
@@ -52,6 +54,74 @@ def append_runs(runs: DataFrame, path: str) -> DataFrame:
     return runs.sparkSession.read.schema(runs.schema).parquet(path)
 
 
-def write_verdicts(verdicts: DataFrame, path: str) -> None:
-    """Store verdicts by treatment, so that a report on one prunes the others."""
-    verdicts.write.partitionBy("context_type").parquet(path)
+# Parts of the run log; logging some runs rewrites the parts they are in.
+LOG_PARTS = 64
+_PART = "run_part"
+
+
+def log_runs(runs: DataFrame, path: str, key: Sequence[str]) -> DataFrame:
+    """Log runs, each in place of what was logged for its ``key`` before, and return the log.
+
+    The log is cut into ``LOG_PARTS`` by a hash of the key. Only the parts of the new runs are
+    written again, all at once, so logging a run twice, or again after a failure, leaves one row.
+    """
+    spark = runs.sparkSession
+    parted = runs.withColumn(_PART, F.pmod(F.xxhash64(*key), F.lit(LOG_PARTS)).cast("int"))
+    fresh = scratch.store(parted, "logged")
+    schema = fresh.schema
+    touched = [r[0] for r in fresh.select(_PART).distinct().collect()]  # LOG_PARTS rows at most
+    if _exists(spark, path):
+        old = spark.read.schema(schema).parquet(path).filter(F.col(_PART).isin(touched))
+        kept = old.join(fresh.select(*key).distinct(), list(key), "left_anti").select(fresh.columns)
+        fresh = scratch.store(fresh.unionByName(kept), "merged")
+    writer = fresh.repartition(_PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(_PART).parquet(path)
+    return spark.read.schema(schema).parquet(path).drop(_PART)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there, as Spark's own readers see it."""
+    try:
+        return bool(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").head(1))
+    except AnalysisException:
+        return False
+
+
+def write_verdicts(
+    verdicts: DataFrame, path: str, by: Sequence[str] = (), buckets: int | None = None
+) -> None:
+    """Store verdicts by treatment, so that a report on one prunes the others.
+
+    With ``by``, the columns of a run, they are stored for ``read_verdicts`` in ``buckets`` of one
+    generation's verdicts together, sorted.
+    """
+    if not by:
+        verdicts.write.partitionBy("context_type").parquet(path)
+        return
+    key = [*by, "gen_idx"]
+    count = buckets or int(verdicts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    name = _table(path)
+    dealt = verdicts.repartition(count, *key)
+    writer = dealt.write.format("parquet").bucketBy(count, *key).sortBy(*key).option("path", path)
+    writer.saveAsTable(name)
+
+
+def _table(path: str) -> str:
+    """A catalog name for the table of a path."""
+    return "verdicts_" + hashlib.md5(path.encode()).hexdigest()
+
+
+def read_verdicts(spark: SparkSession, path: str, schema: StructType, by: Sequence[str], buckets: int) -> DataFrame:
+    """Verdicts as ``write_verdicts`` stored them with ``by``: aggregated per generation without a shuffle.
+
+    A session that did not write them enters the table in its catalog first.
+    """
+    name, key = _table(path), [*by, "gen_idx"]
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        listed = ", ".join(f"`{k}`" for k in key)
+        spark.sql(
+            f"create table {name} ({columns}) using parquet clustered by ({listed}) sorted by ({listed}) "
+            f"into {buckets} buckets location '{path}'"
+        )
+    return spark.table(name)

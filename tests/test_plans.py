@@ -30,6 +30,7 @@ def test_no_products_and_no_python(spark, name):
 # Aggregates over all rows into one, and the offsets of sorted partitions.
 ONE_ROW = {
     "n_eligible_tags",
+    "n_tags_sketch",
     "pass_at_k_detail",
     "pass_at_k_detail_orders",
     "run_grid",

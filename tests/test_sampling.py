@@ -2,8 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalweave import scratch
-from evalweave.operators import grid, lookup, prompts, sampling, skew
+from evalweave.operators import grid, lookup, nearest, prompts, sampling, skew
 from evalweave.plans import experiment
+from workload import fixtures as fx
 
 
 @pytest.fixture(scope="module")
@@ -249,3 +250,198 @@ def test_repeated_ids_are_drawn_once(spark):
     contexts = sampling.sample_contexts(problems, chosen, "tags", {}, 4, 42).collect()
     pairs = [(r.target_id, r.context_id) for r in contexts]
     assert len(pairs) == len(set(pairs)) == 16
+
+
+def test_distinct_inputs_with_repeated_rows(spark):
+    rows = [(1, "d", "a", "x"), (1, "d", "b", "x"), (2, "d", "a", "x"), (3, "d", "a", "y"), (3, "d", "a", "y"),
+            (4, "d", "a", None), (5, "d", None, None), (6, "d", "a", ""), (None, None, None, "z"), (None, None, None, "z")]
+    problems = spark.createDataFrame(rows, "id bigint, difficulty string, tags string, input string")
+    got = [r.input for r in lookup.distinct_inputs(problems).collect()]
+    assert sorted(got, key=repr) == sorted(["x", "y", None, "", "z"], key=repr)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_not_exchanged_to_tell_them_apart(spark):
+    rows = [(i, "d", "a", f"text {i % 50}") for i in range(200)]
+    problems = spark.createDataFrame(rows, "id bigint, difficulty string, tags string, input string")
+    found = lookup.distinct_inputs(problems)
+    assert found.count() == 50
+    assert "Exchange hashpartitioning" not in _plan(found)
+
+
+def test_wanted_texts_are_sifted_below_the_exchange(spark, salted):
+    """Beyond the broadcast bound: no sorted aggregate, and a filter of the ids under each exchange of texts."""
+    problems = spark.createDataFrame(
+        [(i, "d", "t", f"text {i}") for i in range(3000)], "id bigint, difficulty string, tags string, input string"
+    )
+    solutions = spark.createDataFrame(
+        [(i, k, f"solution {i} {k}") for i in range(1000) for k in (2, 0, 1)], "id bigint, sol_idx int, solution string"
+    )
+    ids = spark.range(0, 100, 7).toDF("id")
+    texts = lookup.inputs_by_id(problems, ids)
+    firsts = lookup.first_solutions(solutions, ids)
+    for found, column in ((texts, "input"), (firsts, "solution")):
+        plan = _plan(found)
+        assert "SortAggregate" not in plan
+        lines = plan.split("\n")
+        scans = [i for i, line in enumerate(lines) if "Scan ExistingRDD" in line and column in line]
+        assert scans
+        for scan in scans:
+            # The nearest exchange above each scan of the texts has the filter below it.
+            above = next(i for i in range(scan, -1, -1) if "Exchange hashpartitioning" in lines[i])
+            assert any("getbit" in line for line in lines[above:scan]) or column not in lines[above + 1]
+    assert {r.id: r.input for r in texts.collect()} == {i: f"text {i}" for i in range(0, 100, 7)}
+    assert {r.id: r.solution for r in firsts.collect()} == {i: f"solution {i} 0" for i in range(0, 100, 7)}
+
+
+def test_sift_keeps_all_wanted_and_few_others(spark):
+    rows = spark.range(200_000).select("id", F.lit("text").alias("t"))
+    keys = scratch.write(spark.range(0, 200_000, 40).toDF("id"), "keys")
+    kept = {r.id for r in skew.sift(rows, keys, ["id"]).collect()}
+    wanted = set(range(0, 200_000, 40))
+    assert wanted <= kept and len(kept - wanted) < 0.1 * 200_000
+
+
+def test_sift_of_nothing(spark):
+    keys = scratch.write(spark.range(0).toDF("id"), "keys")
+    assert skew.sift(spark.range(10).toDF("id"), keys, ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("rows", [100_000, 30])
+def test_hot_rows_are_spread_over_copies(spark, monkeypatch, rows):
+    monkeypatch.setattr(skew, "HOT_ROWS", rows)
+    big = spark.range(200).select(F.when(F.col("id") < 150, 1).otherwise(F.col("id")).alias("k"), "id")
+    texts = spark.range(1, 190).select(F.col("id").alias("k"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    got = sorted((r.k, r.id, r.text) for r in skew.spread(big, texts, ["k"], ["id"]).collect())
+    assert got == sorted((1 if i < 150 else i, i, f"t{1 if i < 150 else i}") for i in range(190))
+
+
+def test_repeated_ids_are_one_place(spark):
+    """Repeats of an id are removed after the limit, and nothing is exchanged below it."""
+    rows = [("d", f"g{i % 2}", i // 2 % 40) for i in range(400)]
+    problems = spark.createDataFrame([(k, d, g, "x") for d, g, k in rows], "id bigint, difficulty string, tags string, input string")
+    got = sampling.sample_targets(problems, "tags", {}, 6, 5, 42)
+    drawn = {}
+    for r in got.collect():
+        drawn.setdefault(r.grp, []).append((r.target_pos, r.target_id, r.n_problems))
+    assert all(sorted(p for p, *_ in found) == list(range(5)) for found in drawn.values())
+    assert all(len({t for _, t, _ in found}) == 5 and {n for *_, n in found} == {40} for found in drawn.values())
+    below = _plan(got).split("WindowGroupLimit")[-1]
+    assert "Exchange hashpartitioning" not in below
+
+
+def test_merged_draws_equal_one_draw(spark):
+    problems = spark.createDataFrame(
+        [(i, "d", f"g{i % 7 % 4}", "x") for i in range(500)], "id bigint, difficulty string, tags string, input string"
+    )
+    splits = [problems.filter(F.col("id") % 3 == k) for k in range(3)]
+    draws = [sampling.bottom_draws(s, "tags", {"difficulty": "d"}, 10, 7) for s in splits]
+    for n in (3, 10):
+        want = sampling.sample_targets(problems, "tags", {"difficulty": "d"}, 6, n, 7)
+        got = sampling.merged_targets(draws, 6, n)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_sketches_of_splits_that_share_ids(spark):
+    """Within the stated error of the exact number, whatever the splits have in common."""
+    problems = spark.createDataFrame(
+        [(i, "d", "large" if i % 5 else "small", "x") for i in range(60_000)],
+        "id bigint, difficulty string, tags string, input string",
+    )
+    splits = [problems.filter("id < 40000"), problems.filter("id >= 20000"), problems.filter("id < 100")]
+    sketches = [sampling.group_sketches(s, "tags", {}) for s in splits]
+    exact = {r.tags: r.n for r in problems.groupBy("tags").agg(F.count_distinct("id").alias("n")).collect()}
+    for r in sampling.merged_sizes(sketches).collect():
+        assert abs(r.n_problems - exact[r.grp]) <= 0.05 * exact[r.grp]
+    assert sampling.n_groups_sketch(sketches, 20_000).first().n_tags == 1
+    assert sampling.n_groups_sketch(sketches, 6).first().n_tags == 2
+
+
+VECTORS = "id bigint, label string, embedding array<float>"
+
+
+def _vectors(n, size=16, seed=3):
+    import numpy as np
+
+    random = np.random.default_rng(seed)
+    centres = random.normal(size=(12, size))
+    rows = [(i, "ab"[i % 2], (centres[i % 12] + 0.4 * random.normal(size=size)).tolist()) for i in range(n)]
+    rows += [(n, "a", [0.0] * size), (n + 1, "a", None), (n + 2, "b", [1.0] * (size - 1)), (n + 3, "b", [])]
+    rows += [(3, "b", rows[9][2])]  # another vector of an id
+    return rows
+
+
+def _nearest(rows, grp, target, k):
+    """By comparing with every other id of the group, an id by its nearest vector."""
+    import numpy as np
+
+    vector = np.array(next(r[2] for r in rows if r[0] == target), dtype=np.float32).astype(float)
+    found = {}
+    for i, label, other in rows:
+        if label == grp and i != target:
+            other = np.array(other or [], dtype=np.float32).astype(float)
+            usable = len(other) == len(vector) and np.linalg.norm(other) > 0 and np.linalg.norm(vector) > 0
+            value = round(float(other @ vector / np.linalg.norm(other) / np.linalg.norm(vector)), 6) if usable else None
+            if i not in found or value is not None and (found[i] is None or value > found[i]):
+                found[i] = value
+    ranked = sorted(found, key=lambda i: (found[i] is None, -(found[i] or 0), i))
+    return [(i, found[i]) for i in ranked[:k]]
+
+
+@pytest.fixture(scope="module")
+def vector_rows():
+    return _vectors(600)
+
+
+TARGETS = [("a", 0, 0), ("a", 10, 1), ("b", 5, 0), ("b", 7, 1), ("a", 600, 2)]
+
+
+@pytest.mark.parametrize("way", ["batches", "blocks", "index", "index of one list"])
+def test_nearest_contexts_every_way(spark, vector_rows, monkeypatch, request, way):
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 64)
+    if way == "blocks":
+        request.getfixturevalue("salted")
+    df = spark.createDataFrame(vector_rows, VECTORS).repartition(3)
+    targets = spark.createDataFrame(TARGETS, "grp string, target_id bigint, target_pos int")
+    for k in (4, 305):
+        if way.startswith("index"):
+            index = nearest.fit(df, 1 if way.endswith("list") else 12, 2)
+            got = nearest.indexed_contexts(df, targets, "label", k, index)
+        else:
+            got = sampling.nearest_contexts(df, targets, "label", k)
+        by_target = {}
+        for r in got.orderBy("context_pos").collect():
+            by_target.setdefault((r.grp, r.target_id, r.target_pos), []).append((r.context_id, r.cosine))
+        assert by_target == {(g, t, p): _nearest(vector_rows, g, t, k) for g, t, p in TARGETS}
+
+
+def test_recall_of_the_probed_lists(spark):
+    """Without the second look: recall at 4 against the exact contexts, and every id is in a list."""
+    rows = fx.vectors(spark, "/root/testdata/sf0.1")
+    targets = sampling.sample_targets(rows, "label", {}, 6, 5, 42)
+    index = nearest.fit(rows, lists=64, probes=44)
+    exact = {(r.target_id, r.context_id) for r in sampling.nearest_contexts(rows, targets, "label", 4).collect()}
+    probed = nearest.indexed_contexts(rows, targets, "label", 4, index, exact=False).collect()
+    found = {(r.target_id, r.context_id) for r in probed}
+    assert len(exact & found) >= 0.9 * len(exact) > 0
+    assert nearest._placed(rows.withColumnRenamed("label", "grp"), index).filter("list >= 0").count() == rows.count()
+
+
+def test_lists_that_cannot_be_near_are_not_read(spark, vector_rows):
+    """Where vectors lie in clusters, the second look reads few of the other lists."""
+    import numpy as np
+
+    rows = [r for r in vector_rows if r[2] and len(r[2]) == 16]
+    index = nearest.fit(spark.createDataFrame(rows, VECTORS), 12, 2)
+    unit = np.array([r[2] for r in rows]) / np.linalg.norm([r[2] for r in rows], axis=1)[:, None].clip(1e-9)
+    assert index.centroids.shape == (12, 16) and (unit @ index.centroids.T).max(axis=1).mean() > 0.8
+
+
+def test_fit_of_nothing(spark):
+    empty = spark.createDataFrame([], VECTORS)
+    index = nearest.fit(empty, 4, 1)
+    targets = spark.createDataFrame([], "grp string, target_id bigint, target_pos int")
+    assert nearest.indexed_contexts(empty, targets, "label", 4, index).count() == 0

@@ -4,10 +4,11 @@ import pyarrow as pa
 import pyarrow.ipc as ipc
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evalweave import scratch
-from evalweave.operators import generations, lookup
-from evalweave.sources import arrow_ipc, documents, tables
+from evalweave.operators import generations, lookup, scoring
+from evalweave.sources import arrow_ipc, documents, json_files, tables
 from evalweave.streaming import live_scores
 
 
@@ -216,3 +217,131 @@ def test_live_scores(spark, tmp_path):
 
 def test_shared_folder_is_the_clusters(spark):
     assert scratch.new_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_text_between_values():
+    steps = [None, ("a", "x"), ("a", "x"), ("a", "y"), ("b", "x", "1"), ("b", "x", "2"), ("c",), None]
+    texts = [json_files.between(p, q) for p, q in zip(steps, steps[1:])]
+    document = "".join(t + (str(i) if q else "") for i, (t, q) in enumerate(zip(texts, steps[1:])))
+    assert json.loads(document) == {"a": {"x": [0, 1], "y": [2]}, "b": {"x": {"1": [3], "2": [4]}}, "c": [5]}
+    assert json_files.between(None, ()) + "1" + json_files.between((), ()) + "2" + json_files.between((), None) == "[1,2]"
+    with pytest.raises(ValueError):
+        json_files.between(("a",), ("a", "b"))
+
+
+def test_a_hot_task_is_one_file_of_many_tasks(spark, tmp_path):
+    """A task with most generations is written in parts, which the commit joins in order."""
+    sizes = {1: 3, 2: 4000, 3: 1, 4: 2, 5: 1}
+    rows = [(t, i, f'"{t}"\n\\ é {i}') for t, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "task_id bigint, gen_idx bigint, generated_text string").repartition(5)
+    path = tmp_path / "generations"
+    documents.write_generation_files(df, str(path))
+    files = {int(p.name.split("_")[0]): json.loads(p.read_text()) for p in path.glob("*.json")}
+    assert files == {t: [{"generated_text": r[2]} for r in rows if r[0] == t] for t in sizes}
+    assert {p.name for p in path.iterdir()} == {f"{t}_inference.json" for t in sizes}
+    assert sorted(map(tuple, documents.read_generation_files(spark, str(path)).collect())) == sorted(rows)
+    parsed = df.withColumnRenamed("generated_text", "code")
+    documents.write_parsed_files(parsed, str(tmp_path / "parsed"))
+    entries = documents.read_parsed_files(spark, str(tmp_path / "parsed"))
+    assert sorted(map(tuple, generations.last_entry_per_task(entries).collect())) == sorted(rows)
+
+
+@pytest.mark.parametrize("nested", [True, False])
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_one_manifest_document(spark, tmp_path, nested, parts):
+    rows = [(g, 10 * k + t, t, c, 100 + c) for k, g in enumerate("ghij") for t in range(5) for c in range(4)]
+    rows += [('a "b"', 99, 0, None, None)]
+    manifest = spark.createDataFrame(
+        rows, "grp string, target_id bigint, target_pos int, context_pos int, context_id bigint"
+    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    documents.write_manifest_document(manifest, str(tmp_path), nested)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    document = json.loads((tmp_path / "partition.json").read_text())
+    assert document["input_ids"]["h"] == [10, 11, 12, 13, 14] and document["input_ids"]['a "b"'] == [99]
+    of_target = document["context_ids"]["h"] if nested else document["context_ids"]
+    assert of_target["12"] == [100, 101, 102, 103]
+    back = documents.read_manifest_files(spark, str(tmp_path), nested, whole=True).select(*manifest.columns)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_metrics_files_hold_the_results(spark, tmp_path):
+    verdicts = spark.createDataFrame(
+        [(7, 0, 0, 1), (7, 0, 1, 0), (7, 1, 0, 1), (7, 1, 1, 1), (9, 0, 0, -2)],
+        "task_id bigint, gen_idx bigint, test_idx int, verdict int",
+    )
+    totals = scoring.normalized_sum(scoring.task_totals(verdicts))
+    positions = scoring.tests_passed_by_position(verdicts)
+    documents.write_metrics_files(totals, positions, scoring.collect_results(verdicts), str(tmp_path), [1])
+    assert json.loads((tmp_path / "7_metrics.json").read_text()) == {
+        "k_pass": {"pass@1": 0.5, "detail": {"pass@1": {"7": 0.5}}},
+        "normalized_sum": {"tests": [2, 1], "total": 0.75},
+        "results": {"7": [[1, 0], [1, 1]]},
+    }
+    back = documents.read_metrics_files(spark, str(tmp_path), [1])
+    assert sorted((r.task_id, r.gen_pos, r.pass_at_1, r.verdicts) for r in back.collect()) == [
+        (7, 0, 0.5, [1, 0]), (7, 1, 0.5, [1, 1]), (9, 0, 0.0, [-2])
+    ]
+
+
+def test_a_failed_job_leaves_no_file(spark, tmp_path):
+    bad = spark.range(10).select(
+        F.lit("x.json").alias("file"), F.lit("").alias("head"), F.lit("").alias("tail"),
+        F.when(F.col("id") < 5, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("path"),
+        F.col("id").cast("string").alias("value"), "id",
+    )
+    with pytest.raises(Exception, match="cannot be in one document"):
+        json_files.write(bad.coalesce(1), str(tmp_path), ["id"])
+    assert not list(tmp_path.glob("*.json"))
+
+
+def _batches(spark, path, condition):
+    """Record batches that a filtered read takes, of all there are."""
+    schema = StructType.fromDDL("id bigint, name string, x double, day date")
+    reader = arrow_ipc.ArrowIpcReader(path, schema)
+    reader.pushFilters(condition)
+    plans = reader.partitions()
+    rows = [b for plan in plans for b in reader.read(plan)]
+    return len(rows), sorted(v for b in rows for v in b.column(0).to_pylist())
+
+
+def test_batches_that_no_row_can_be_in_are_skipped(spark, tmp_path, monkeypatch):
+    import datetime
+
+    from pyspark.sql import datasource as ds
+
+    monkeypatch.setattr(arrow_ipc, "SPLIT_BYTES", 4096)
+    monkeypatch.setattr(arrow_ipc, "FILE_BYTES", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    df = spark.range(100).select(
+        "id", F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("name"),
+        F.when(F.col("id") < 50, F.col("id") / 2).alias("x"),
+        F.date_add(F.lit(datetime.date(2024, 1, 1)), F.col("id").cast("int")).alias("day"),
+    )
+    path = str(tmp_path / "out")
+    arrow_ipc.write_arrow(df.coalesce(1), path)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(list((tmp_path / "out").iterdir())) > 1
+    for condition, batches in [
+        ([], 10), ([ds.EqualTo(("id",), 42)], 1), ([ds.GreaterThan(("id",), 69)], 3), ([ds.LessThanOrEqual(("id",), 10)], 2),
+        ([ds.In(("id",), (5, 95, 500))], 2), ([ds.EqualTo(("name",), "n042")], 1), ([ds.StringStartsWith(("name",), "n04")], 1),
+        ([ds.IsNull(("x",))], 5), ([ds.IsNotNull(("x",))], 5), ([ds.LessThan(("x",), 5.0)], 1),
+        ([ds.EqualTo(("day",), datetime.date(2024, 1, 16))], 1), ([ds.EqualTo(("id",), -1)], 0),
+        ([ds.GreaterThanOrEqual(("id",), 30), ds.LessThan(("id",), 50)], 2), ([ds.EqualTo(("unknown",), 1)], 10),
+    ]:
+        assert _batches(spark, path, condition)[0] == batches, condition
+    got = arrow_ipc.read_arrow(spark, path).filter("id between 35 and 44 and name <> 'n040'")
+    assert sorted(r.id for r in got.collect()) == [i for i in range(35, 45) if i != 40]
+
+
+def test_plans_open_no_file(tmp_path, monkeypatch):
+    for name in "ab":
+        _write_file(tmp_path / f"{name}.arrow", _table(1000), 50)
+    monkeypatch.setattr(arrow_ipc, "SPLIT_BYTES", 4096)
+    monkeypatch.setattr(arrow_ipc.ipc, "open_file", None)
+    reader = arrow_ipc.ArrowIpcReader(str(tmp_path), StructType.fromDDL("id bigint"))
+    plans = reader.partitions()
+    monkeypatch.undo()
+    assert len(plans) > 4
+    assert sorted(v for p in plans for b in reader.read(p) for v in b.column(0).to_pylist()) == sorted(2 * list(range(1000)))

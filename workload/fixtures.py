@@ -9,26 +9,20 @@ from evalweave.operators import skew
 # The stages that ``events`` logs.
 STAGES = ("view", "click", "signup", "error", "purchase")
 
-# The problem whose tests are looked up alone.
+# The problem whose tests are looked up alone, and the parts that are.
 ONE_PROBLEM = 1
+SOME_PARTS = (20, 60)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over all cores where the files give fewer partitions than there are cores.
-
-    For expensive row-wise work on small tables; a large table is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Four narrow columns of every line, dealt evenly over the cores for the expensive comparisons."""
     keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return spread_out(table(spark, sf, "lineitem").select(*keys), *keys)
+    rows = table(spark, sf, "lineitem").select(*keys)
+    return rows.repartition(spark.sparkContext.defaultParallelism, *keys)
 
 
 def problems_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,6 +199,54 @@ def treated_attempts(spark: SparkSession, sf: str) -> DataFrame:
     return _treated(first).withColumn("stdout", stdout)
 
 
+def samples_with_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """``samples_orders``, of which every tenth on standard input has a first input that is no text."""
+    samples = samples_orders(spark, sf)
+    listed = F.regexp_replace("input_output", r'^\{"inputs":\[("[^"]*"|\["[^"]*","[^"]*"\])', '{"inputs":[[7]')
+    return samples.withColumn("input_output", F.when(F.col("id") % 10 == 1, listed).otherwise(F.col("input_output")))
+
+
+# Programs recorded for each problem of ``samples_orders``.
+PROGRAMS = 2
+
+
+def _programs(orders: DataFrame) -> DataFrame:
+    return orders.withColumn("gen_idx", F.explode(F.array(*[F.lit(i).cast("long") for i in range(PROGRAMS)])))
+
+
+def problem_generations(spark: SparkSession, sf: str) -> DataFrame:
+    """Two programs for every order as a problem; some second ones did not compile."""
+    return _programs(table(spark, sf, "orders").select("o_orderkey")).select(
+        F.col("o_orderkey").alias("task_id"),
+        "gen_idx",
+        ((F.col("gen_idx") == 0) | (F.col("o_orderkey") % 7 != 3)).alias("compiled"),
+    )
+
+
+def problem_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """One attempt per test, a call-based program's only at the first; no expected output.
+
+    The second program's output is wrong for every third part.
+    """
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    call = F.col("o_orderstatus") == "F"
+    part, supp = F.col("partkey").cast("string"), F.col("suppkey").cast("string")
+    right = F.when(call, F.format_string('{"%s": %s}', part, supp)).otherwise(F.concat(supp, F.lit("\n")))
+    tests = line_tests(spark, sf)
+    rows = orders.join(tests, orders.o_orderkey == tests.l_orderkey).filter(~call | (F.col("test_idx") == 0))
+    return _programs(rows).select(
+        F.col("o_orderkey").alias("task_id"),
+        "gen_idx",
+        F.lit(1).alias("variant"),
+        "test_idx",
+        F.lit(1).alias("attempt"),
+        F.lit(0).alias("exit_code"),
+        F.lit(False).alias("timed_out"),
+        F.lit(False).alias("launch_error"),
+        F.when((F.col("gen_idx") == 0) | (F.col("partkey") % 3 != 0), right).otherwise("x").alias("stdout"),
+    )
+
+
 def pairs_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Expected and actual output; the line number selects the deviation."""
     part, supp = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
@@ -322,5 +364,25 @@ def stage_clock(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def run_clock(spark: SparkSession, sf: str) -> DataFrame:
+    """Logged stages of every run: a user's events are dealt to three treatments by their number."""
+    names = F.array(*[F.lit(t) for t in schemas.TREATMENTS])
+    events = table(spark, sf, "events").select(
+        F.col("user_id").alias("task_id"),
+        F.get(names, (F.col("event_id") % 3).cast("int")).alias("context_type"),
+        F.col("event_type").alias("stage"),
+        "ts",
+    )
+    return events.join(task_groups(spark, sf), "task_id")
+
+
+def group_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer as a target of its group, numbered in order."""
+    rows = task_groups(spark, sf).select("grp", F.col("task_id").alias("target_id"))
+    placed = skew.global_index(rows, ["grp", "target_id"], "place").df
+    first = placed.groupBy("grp").agg(F.min("place").alias("first"))
+    return placed.join(first, "grp").select("grp", "target_id", (F.col("place") - F.col("first")).alias("target_pos"))
+
+
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")

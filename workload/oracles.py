@@ -331,6 +331,22 @@ VIEWS["treated_scores"] = """
           from treated_codes group by all)
     group by all"""
 
+VIEWS["run_sums"] = """
+    select grp, context_type, task_id, count(*) as n, count(*) filter (where ok) as c,
+      sum(hits) / (count(*) * max(len)) as total
+    from (select if(gen_idx % 2 = 0, 'even', 'odd') as grp, context_type, task_id, gen_idx,
+            min(verdict) > 0 as ok, count(*) filter (where verdict = 1) as hits, count(*) as len
+          from treated_codes group by all)
+    group by all"""
+VIEWS["two_ks"] = "select unnest([1, 2]) as k"
+VIEWS["programs"] = """
+    select o_orderkey as id, o_orderstatus as st, g as gen_idx, g = 0 or o_orderkey % 7 <> 3 as compiled
+    from orders cross join range(2) x(g)"""
+VIEWS["program_tests"] = """
+    select p.*, test_idx, count(*) over (partition by id, gen_idx) as n_tests,
+      if(id % 50 <> 0 and (gen_idx = 0 or partkey % 3 <> 0), 1, 0) as verdict
+    from programs p join line_tests on l_orderkey = id where compiled"""
+
 _STAGES = ("view", "click", "signup", "error", "purchase")
 
 
@@ -364,6 +380,7 @@ _PROMPTS = {
 ORACLES = {
     "scan_problems": "select * from problems_docs",
     "scan_arrow_ipc": "select * from part",
+    "scan_arrow_filtered": "select * from part where p_partkey between 20 and 60",
     "scan_solutions": "select * from solutions_docs",
     "scan_tests": "select id, test_idx, input, expected from cases",
     "scan_tests_one_id": "select id, test_idx, input, expected from cases where id = 1",
@@ -377,6 +394,20 @@ ORACLES = {
     "manifest_roundtrip": "select * from contexts_by_lang",
     "manifest_files_nested": "select * from contexts_parts",
     "manifest_files_flat": "select * from contexts_by_lang",
+    "manifest_document_nested": "select * from contexts_parts",
+    "manifest_document_flat": "select * from contexts_by_lang",
+    "generation_files": """
+        select task_id, row_number() over (partition by task_id order by gen_idx) - 1 as gen_idx, generated_text
+        from generations_conv""",
+    "parsed_files": """
+        select task_id, cast(row_number() over (partition by task_id order by gen_idx) - 1 as integer) as gen_idx, code
+        from parsed_conv""",
+    "metrics_files": f"""
+        select task_id, {_pass_columns(1, 10, 100)}, round(passed / n, 9) as total,
+          cast(row_number() over (partition by task_id order by gen_idx) - 1 as integer) as gen_pos,
+          '[' || verdict || ']' as verdicts
+        from event_verdicts join event_totals using (task_id)
+        join (select task_id, count(*) filter (where verdict = 1) as passed from event_verdicts group by all) using (task_id)""",
     "parsed_export": "select * from parsed_conv",
     "metrics_roundtrip": f"""
         select task_id, {_pass_columns(1, 10, 100)}, max_tests as n_tests,
@@ -389,6 +420,36 @@ ORACLES = {
             {" ".join(map(_stage_seconds, _STAGES))}
             (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as total_seconds
           from events group by user_id) on user_id = task_id""",
+    "run_log_again": f"""
+        select {", ".join("s." + c.strip() for c in ("grp", "context_type", "task_id"))},
+          round(pass_at_1, 9) as pass_at_1, round(normalized_sum, 9) as normalized_sum,
+          s.task_id || '_' || s.context_type || '_' || s.grp as run_name,
+          {", ".join(f"{stage}_seconds" for stage in _STAGES)}, total_seconds, run_index
+        from run_scores s
+        left join (
+          select user_id, ['no_context', 'full_problem', 'only_solutions'][event_id % 3 + 1] as context_type,
+            {" ".join(map(_stage_seconds, _STAGES))}
+            (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as total_seconds
+          from events group by all) e on e.user_id = s.task_id and e.context_type = s.context_type
+        join (
+          select row_number() over (order by t, c_mktsegment, c_custkey) - 1 as run_index, context_type, c_custkey
+          from customer, (values (0, 'no_context'), (1, 'full_problem'), (2, 'only_solutions')) x(t, context_type)) g
+        on g.c_custkey = s.task_id and g.context_type = s.context_type""",
+    "scores_from_store": """
+        select context_type, task_id, n, c, cast(hits as bigint) as hits, cast(len as integer) as max_tests,
+          round(hits / (n * len), 9) as total
+        from run_totals""",
+    "quarantined_samples": """
+        select id, cast(null as integer) as test_idx, '{"inputs": [' as input_output, 'bad_json' as reason
+        from (select distinct id from samples) where id % 50 = 0
+        union all
+        select id, test_idx, '{"inputs":[7],"outputs":' || expected || '}', 'not_text'
+        from cases where id % 10 = 1 and st <> 'F' and test_idx = 0""",
+    "staged_tests": """
+        select id, test_idx, test_type,
+          case st when 'F' then input else p || chr(10) || s end as input,
+          case st when 'F' then expected else s end as expected
+        from cases where not (id % 10 = 1 and st <> 'F' and test_idx = 0)""",
     "filter_difficulty": "select * from problems_parts where difficulty = 'MEDIUM'",
     "lookup_input": """
         select p_partkey as id, input, d.id is not null as found
@@ -416,6 +477,8 @@ ORACLES = {
         select p.* from problems_parts p where difficulty = 'MEDIUM'
         and tags in (select grp from groups_parts) order by id limit 5""",
     "sample_targets": "select * from targets_parts",
+    "sample_targets_merged": "select * from targets_parts",
+    "n_tags_sketch": "select count(*) as n_tags from groups_parts",
     "sample_targets_by_difficulty": "select * from targets_by_lang",
     "sample_contexts": "select * from contexts_parts",
     "sample_contexts_cross": """
@@ -489,6 +552,22 @@ ORACLES = {
                 max(test_idx) + 1 as len from coded group by all)
         group by task_id""",
     "experiment_end_to_end": _delta("treated_scores"),
+    "experiment_pass_at_k": f"""
+        select grp, context_type, k, round(avg(v), 9) as pass_at_k
+        from (select grp, context_type, n, k, {_PRODUCT} as v from run_sums cross join two_ks)
+        group by grp, context_type, k having k <= min(n)""",
+    "experiment_detail": """
+        select grp, context_type, task_id, n, c, 1 as k, round(c / n, 9) as pass_at_k, round(total, 9) as total
+        from run_sums""",
+    "judged_problems": """
+        select id as task_id, gen_idx, test_idx, verdict from program_tests where st <> 'F'
+        union all
+        select id, gen_idx, cast(unnest(range(if(id % 50 = 0, 1, n_tests))) as integer), verdict
+        from program_tests where st = 'F' and test_idx = 0
+        union all
+        select id, gen_idx, 0, -2 from programs where not compiled
+        union all
+        select id, gen_idx, 0, -1 from programs where compiled and id not in (select l_orderkey from lineitem)""",
     "compare_exact": _tier("exact"),
     "compare_digits_close": _tier("digits_close"),
     "compare_charset": _tier("charset"),
@@ -547,4 +626,5 @@ ORACLES = {
           (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as seconds
         from events group by grouping sets ((user_id, event_type), (user_id))""",
 }
+ORACLES["context_cosine_index"] = ORACLES["context_cosine"]
 ORACLES = {name: _sql(text) if not text.lstrip().startswith("with") else text for name, text in ORACLES.items()}

@@ -12,6 +12,8 @@ from evalweave.operators import (
     grid,
     judging,
     lookup,
+    nearest,
+    outcomes,
     prompts,
     report,
     sampling,
@@ -28,6 +30,11 @@ PARTS = experiment.by_topic("MEDIUM", n_targets=5)
 DOCS = experiment.by_topic("en", n_targets=5)
 DOCS_BY_LANG = experiment.by_difficulty("src1", n_targets=5)
 SCORE_DIGITS = 9
+# Buckets of stored verdicts.
+BUCKETS = 16
+# Inverted lists of the vectors' index, and how many a target looks into first.
+LISTS = 64
+PROBES = 8
 
 QUERIES: dict[str, Query] = {}
 
@@ -71,6 +78,14 @@ def scan_arrow_ipc(spark, sf):
     return arrow_ipc.read_arrow(spark, path)
 
 
+@query
+def scan_arrow_filtered(spark, sf):
+    """A filter of the scan that most record batches are skipped by: the filter is the feature."""
+    path = scratch.new_path(spark, "part-arrow")
+    arrow_ipc.write_arrow(fx.table(spark, sf, "part").repartitionByRange(8, "p_partkey"), path)
+    return arrow_ipc.read_arrow(spark, path).filter(F.col("p_partkey").between(*fx.SOME_PARTS))
+
+
 @query
 def scan_solutions(spark, sf):
     path = scratch.new_path(spark, "solutions")
@@ -153,6 +168,48 @@ def manifest_files_flat(spark, sf):
     return documents.read_manifest_files(spark, path, nested=False)
 
 
+@query
+def manifest_document_nested(spark, sf):
+    path = scratch.new_path(spark, "manifest-whole")
+    manifest = experiment.manifest(fx.problems_parts(spark, sf), PARTS)
+    documents.write_manifest_document(manifest, path, nested=True)
+    return documents.read_manifest_files(spark, path, nested=True, whole=True)
+
+
+@query
+def manifest_document_flat(spark, sf):
+    path = scratch.new_path(spark, "manifest-whole")
+    manifest = experiment.manifest(fx.problems_docs(spark, sf), DOCS_BY_LANG)
+    documents.write_manifest_document(manifest, path, nested=False)
+    return documents.read_manifest_files(spark, path, nested=False, whole=True)
+
+
+@query
+def generation_files(spark, sf):
+    path = scratch.new_path(spark, "generation-files")
+    documents.write_generation_files(fx.generations_conv(spark, sf), path)
+    return documents.read_generation_files(spark, path)
+
+
+@query
+def parsed_files(spark, sf):
+    path = scratch.new_path(spark, "parsed-files")
+    documents.write_parsed_files(generations.parse_generations(fx.generations_conv(spark, sf)), path)
+    return generations.last_entry_per_task(documents.read_parsed_files(spark, path))
+
+
+@query
+def metrics_files(spark, sf):
+    """A metrics document per user, with the verdicts of all its events."""
+    path = scratch.new_path(spark, "metrics-files")
+    verdicts = scratch.store(fx.events_gens(spark, sf), "verdicts")
+    totals = scoring.normalized_sum(scoring.task_totals(verdicts))
+    positions = scoring.tests_passed_by_position(verdicts)
+    documents.write_metrics_files(totals, positions, scoring.collect_results(verdicts), path)
+    rows = documents.read_metrics_files(spark, path).withColumn("verdicts", F.to_json("verdicts"))
+    return _rounded(rows, *[f"pass_at_{k}" for k in documents.KS], "total")
+
+
 @query
 def parsed_export(spark, sf):
     path = scratch.new_path(spark, "parsed")
@@ -179,6 +236,29 @@ def run_log(spark, sf):
     return _rounded(tables.append_runs(log, path), "pass_at_1", "normalized_sum")
 
 
+@query
+def run_log_again(spark, sf):
+    """Runs with their own seconds and index in the grid, logged a second time over a first."""
+    path = scratch.new_path(spark, "run-log")
+    durations = report.stage_durations(fx.run_clock(spark, sf), report.RUN_IN_GROUP)
+    grid_rows = grid.run_grid(fx.group_targets(spark, sf))
+    log = scratch.store(report.run_log(_run_results(spark, sf), durations, [*fx.STAGES, "total"], grid_rows), "log")
+    early = log.filter(F.col("task_id") % 3 == 0).withColumn("pass_at_1", F.lit(-1.0))
+    tables.log_runs(early, path, report.RUN_IN_GROUP)
+    return _rounded(tables.log_runs(log, path, report.RUN_IN_GROUP), "pass_at_1", "normalized_sum")
+
+
+@query
+def scores_from_store(spark, sf):
+    """Scores per run from stored verdicts, which are aggregated where they lie."""
+    path = scratch.new_path(spark, "stored-verdicts")
+    verdicts = fx.verdicts_orders(spark, sf)
+    tables.write_verdicts(verdicts, path, report.RUN, BUCKETS)
+    stored = tables.read_verdicts(spark, path, verdicts.schema, report.RUN, BUCKETS)
+    scored = scoring.normalized_sum(scoring.task_totals(stored, report.RUN))
+    return _rounded(scored.select(*report.RUN, "n", "c", "hits", "max_tests", "total"), "total")
+
+
 # Filters, joins, lookups
 
 
@@ -276,6 +356,31 @@ def sample_targets_by_difficulty(spark, sf):
     return experiment.targets(fx.problems_docs(spark, sf), DOCS_BY_LANG)
 
 
+def _splits(spark: SparkSession, sf: str) -> list[DataFrame]:
+    problems = fx.problems_parts(spark, sf)
+    return [problems.filter(F.col("id") % 2 == k) for k in range(2)]
+
+
+@query
+def sample_targets_merged(spark, sf):
+    """The same targets from the stored draws of two halves of the problems."""
+    drawn = [
+        scratch.store(sampling.bottom_draws(half, PARTS.group_col, PARTS.fixed, 20, PARTS.seed), "draws")
+        for half in _splits(spark, sf)
+    ]
+    return sampling.merged_targets(drawn, PARTS.min_count, PARTS.n_targets)
+
+
+@query
+def n_tags_sketch(spark, sf):
+    """How many tags are eligible, from stored sketches of two halves of the problems."""
+    sketches = [
+        scratch.store(sampling.group_sketches(half, PARTS.group_col, PARTS.fixed), "sketches")
+        for half in _splits(spark, sf)
+    ]
+    return sampling.n_groups_sketch(sketches, PARTS.min_count)
+
+
 @query
 def sample_contexts(spark, sf):
     problems = fx.problems_parts(spark, sf)
@@ -309,6 +414,15 @@ def context_cosine(spark, sf):
     return sampling.nearest_contexts(rows, chosen, "label", n_contexts=4)
 
 
+@query
+def context_cosine_index(spark, sf):
+    """The same contexts over inverted lists, those that the angles rule out left unread."""
+    rows = fx.vectors(spark, sf)
+    chosen = sampling.sample_targets(rows, "label", {}, min_count=6, n_targets=5, seed=42)
+    index = nearest.fit(rows, lists=LISTS, probes=PROBES)
+    return nearest.indexed_contexts(rows, chosen, "label", 4, index)
+
+
 @query
 def prompts_no_context(spark, sf):
     manifest = _docs_manifest(spark, sf)
@@ -379,6 +493,19 @@ def unreadable_samples(spark, sf):
     return judging.unreadable_samples(fx.samples_orders(spark, sf))
 
 
+@query
+def quarantined_samples(spark, sf):
+    """What no test can be taken from, after the one parse that also gives the tests."""
+    return judging.stage_samples(fx.samples_with_lists(spark, sf)).quarantine
+
+
+@query
+def staged_tests(spark, sf):
+    """The tests of the same parse, as they are run and compared."""
+    tests = judging.stage_samples(fx.samples_with_lists(spark, sf)).tests
+    return tests.select("id", "test_idx", "test_type", "input", "expected")
+
+
 @query
 def normalise_io(spark, sf):
     def listed(column: str):
@@ -393,7 +520,7 @@ def normalise_io(spark, sf):
 
 @query
 def resolve_attempts(spark, sf):
-    return judging.resolve_attempts(fx.attempts_lines(spark, sf))
+    return judging.resolve_attempts(fx.attempts_lines(spark, sf), "effective")
 
 
 @query
@@ -407,36 +534,69 @@ def broadcast_verdict(spark, sf):
     return judging.broadcast_verdict(verdicts, judging.expected_tests(verdicts))
 
 
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    tests = judging.expected_tests(_verdicts(spark, sf))
+    return experiment.judged(
+        fx.generations_orders(spark, sf), fx.attempts_lines(spark, sf), tests, "effective"
+    )
+
+
 @query
 def verdict_codes(spark, sf):
-    tests = judging.expected_tests(_verdicts(spark, sf))
-    return experiment.judge(fx.generations_orders(spark, sf), fx.attempts_lines(spark, sf), tests)
+    return outcomes.verdicts(_judged(spark, sf))
 
 
 @query
 def scores_from_attempts(spark, sf):
-    """The whole evaluation: attempts, verdicts, per-task scores."""
-    scored = experiment.evaluate(verdict_codes(spark, sf), ks=[1]).normalized_sum
+    """The whole evaluation: attempts, results by generation, per-task scores."""
+    scored = scoring.normalized_sum(outcomes.task_totals(_judged(spark, sf)))
     estimate = scoring.passk.pass_at_k(F.col("n"), F.col("c"), F.lit(1))
     scores = scored.withColumn("pass_at_1", estimate).drop("hits", "max_tests")
     return _rounded(scores, "pass_at_1", "total")
 
 
-@query
-def experiment_end_to_end(spark, sf):
-    """From attempts under three treatments to their differences; tasks are in two groups."""
+def _treated(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of every generation under each of three treatments; tasks are in two groups."""
     attempts = fx.treated_attempts(spark, sf)
-    verdicts = experiment.judge(
-        fx.treated_generations(spark, sf),
-        attempts,
-        judging.expected_tests(attempts),
-        "strict",
-        report.RUN_IN_GROUP,
+    return experiment.judged(
+        fx.treated_generations(spark, sf), attempts, judging.expected_tests(attempts), "strict", report.RUN_IN_GROUP
     )
-    delta = report.context_delta(report.run_results(verdicts))
+
+
+@query
+def experiment_end_to_end(spark, sf):
+    """From attempts under three treatments to their differences."""
+    totals = outcomes.task_totals(_treated(spark, sf), report.RUN_IN_GROUP)
+    delta = report.context_delta(report.results_of(totals))
     return _rounded(delta, *[c for c in delta.columns if c != "grp"])
 
 
+@query
+def experiment_pass_at_k(spark, sf):
+    """Mean pass@k of every group and treatment, from the same attempts."""
+    metrics = experiment.evaluate_judged(_treated(spark, sf), [1, 2], report.RUN_IN_GROUP)
+    return _rounded(metrics.pass_at_k, "pass_at_k")
+
+
+@query
+def experiment_detail(spark, sf):
+    """pass@1 and normalised sum of every run, from long verdicts."""
+    verdicts = outcomes.verdicts(_treated(spark, sf), report.RUN_IN_GROUP)
+    metrics = experiment.evaluate(scratch.store(verdicts, "treated"), [1], report.RUN_IN_GROUP)
+    detail = metrics.detail.drop("hits", "max_tests").join(
+        metrics.normalized_sum.select(*report.RUN_IN_GROUP, "total"), list(report.RUN_IN_GROUP)
+    )
+    return _rounded(detail, "pass_at_k", "total")
+
+
+@query
+def judged_problems(spark, sf):
+    """Verdicts from the problems' own tests; the single one of a call-based program is copied."""
+    samples = scratch.store(fx.samples_orders(spark, sf), "samples")
+    generations, attempts = fx.problem_generations(spark, sf), fx.problem_attempts(spark, sf)
+    return outcomes.verdicts(experiment.judge_problems(samples, generations, attempts))
+
+
 def _compare(tier: str) -> Query:
     def build(spark, sf):
         return fx.pairs_lines(spark, sf).withColumn(
