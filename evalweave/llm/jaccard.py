@@ -12,7 +12,7 @@ common n-grams stand out of it at any corpus size, and any order gives the same
 
 import re
 from collections.abc import Iterator, Sequence
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ SHINGLE_WORDS = 3
 PERCENT = 90
 # Buckets that n-grams are counted in, as a power of two: 4 MB sent to every task.
 SKETCH_BITS = 20
-# Rounds that compare a block's documents with one of them before the rest is compared.
+# How many of a block's documents all others are compared with, before the rest is.
 STAR_ROUNDS = 2
 # Bytes of text hashed at a time.
 BUFFER_BYTES = 1 << 18
@@ -130,8 +130,14 @@ def shingles(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
             begin += n
 
 
-def _hashed(docs: DataFrame, size: int, work, schema: str) -> DataFrame:
-    """``work(batches)`` over ``docs``, each batch as ``[(doc_id, set's id, n-grams)]``.
+def _marked(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, mark)``, ``mark`` a hash of id and text by which a row is found again."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("mark", F.xxhash64(F.lit(1), "doc_id", "text"))
+
+
+def _hashed(rows: DataFrame, size: int, work, schema: str) -> DataFrame:
+    """``work(batches)`` over ``_marked`` rows, each batch as ``[(doc_id, set's id, n-grams, mark)]``.
 
     Equal sets have one id, a 64-bit hash; empty sets have none.
     """
@@ -140,13 +146,13 @@ def _hashed(docs: DataFrame, size: int, work, schema: str) -> DataFrame:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             out = []
-            for doc_id, grams in zip(batch.column(0).to_pylist(), shingles(texts, size)):
+            ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for doc_id, grams, mark in zip(ids, shingles(texts, size), marks):
                 doc = xxhash.xxh3_64_intdigest(grams.tobytes()) if len(grams) else None
-                out.append((doc_id, None if doc is None else doc - (1 << 63), grams))
+                out.append((doc_id, None if doc is None else doc - (1 << 63), grams, mark))
             yield out
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(lambda batches: work(read(batches)), schema)
+    return rows.mapInArrow(lambda batches: work(read(batches)), schema)
 
 
 def _fresh(rows: list, seen: set[int]) -> list:
@@ -164,35 +170,35 @@ def _batch(columns: Sequence, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def members(docs: DataFrame, size: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, doc, n)`` per row, ``doc`` the id of its set; and ``(bucket, count)``.
+    """``(doc_id, doc, n, mark)`` per row, ``doc`` the id of its set; and ``(bucket, count)``.
 
     The counts are of all n-grams of the corpus, one for each set a task holds.
     """
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("doc", pa.int64()), ("n", pa.int64())]
+        [("doc_id", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("mark", pa.int64())]
         + [("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))]
     )
 
     def work(batches: Iterator[list]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(1 << SKETCH_BITS, dtype=np.int64), set()
         for rows in batches:
-            fresh = [grams & _LOW for _, _, grams in _fresh(rows, seen)]
+            fresh = [row[2] & _LOW for row in _fresh(rows, seen)]
             if fresh:
                 sketch += np.bincount(np.concatenate(fresh).astype(np.int64), minlength=len(sketch))
             if rows:
-                ids, sets, grams = zip(*rows)
-                yield _batch((ids, sets, [len(g) for g in grams], *[[None] * len(rows)] * 2), schema)
+                ids, sets, grams, marks = zip(*rows)
+                yield _batch((ids, sets, [len(g) for g in grams], marks, *[[None] * len(rows)] * 2), schema)
         used = np.flatnonzero(sketch)
         if len(used):
-            yield _batch(([None], [None], [None], [used], [sketch[used]]), schema)
+            yield _batch(([None], [None], [None], [None], [used], [sketch[used]]), schema)
 
-    ddl = "doc_id long, doc long, n long, buckets array<int>, counts array<long>"
-    table = scratch.store(_hashed(docs, size, work, ddl), "members")
+    ddl = "doc_id long, doc long, n long, mark long, buckets array<int>, counts array<long>"
+    table = scratch.store(_hashed(_marked(docs), size, work, ddl), "members")
     parts = table.filter("buckets is not null").select(
         F.explode(F.arrays_zip("buckets", "counts")).alias("part")
     )
     sketch = parts.groupBy(F.col("part.buckets").alias("bucket")).agg(F.sum("part.counts").alias("count"))
-    return table.filter("n is not null").select("doc_id", "doc", "n"), sketch
+    return table.filter("n is not null").select("doc_id", "doc", "n", "mark"), sketch
 
 
 def ranks(sketch: DataFrame) -> np.ndarray:
@@ -240,7 +246,7 @@ def prefixes(docs: DataFrame, places, size: int, percent: int) -> DataFrame:
         seen = set()
         for rows in batches:
             out = []
-            for _, doc, grams in _fresh(rows, seen):
+            for _, doc, grams, _ in _fresh(rows, seen):
                 keys, n = ordered(grams, places.value), len(grams)
                 head = prefix_size(n, percent)
                 lane = (keys & np.uint64(LANES - 1)).astype(np.int64)
@@ -253,7 +259,7 @@ def prefixes(docs: DataFrame, places, size: int, percent: int) -> DataFrame:
                 columns = (np.concatenate(tokens), np.repeat(sets, heads), np.repeat(sizes, heads), places_in)
                 yield _batch((*columns, *_packed(np.concatenate(lanes))), schema)
 
-    return _hashed(docs, size, work, "token long, doc long, n int, pos int, near long, far long")
+    return _hashed(_marked(docs), size, work, "token long, doc long, n int, pos int, near long, far long")
 
 
 def blocks(docs: DataFrame, places, size: int, percent: int) -> DataFrame:
@@ -286,7 +292,7 @@ def may_link(percent: int) -> Column:
 
 
 def star_pairs(table: DataFrame, percent: int, turn: int) -> DataFrame:
-    """``(a, b)``: every set of a block with one of them, another one each ``turn``."""
+    """``(a, b)``: every set of a block with one of them, another one for each ``turn``."""
     row = F.struct(F.xxhash64("doc", F.lit(turn)).alias("by"), "doc", "n", "pos", "near", "far")
     leaders = table.groupBy("token").agg(F.min(row).alias("y"))
     met = skew.attach(table, leaders, ["token"], ["doc"]).alias("x")
@@ -324,38 +330,44 @@ def block_pairs(table: DataFrame, percent: int, roots: DataFrame | None = None)
     )
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``pairs(a, b)`` whose sets are similar enough, with ``shared`` n-grams."""
-    wanted = scratch.store(pairs, "pairs")
-    partners = sets.join(wanted.select(F.col("b").alias("doc")).distinct(), "doc", "left_semi")
-    held = wanted.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("x")), "a")
-    both = skew.attach(held, partners.select(F.col("doc").alias("b"), F.col("grams").alias("y")), ["b"], ["a"])
-    shared = F.size(F.array_intersect("x", "y"))
-    enough = shared >= least_shared(percent, (F.size("x") + F.size("y")).cast("long"))
-    return both.select("a", "b", shared.alias("shared"), enough.alias("enough")).filter("enough").drop("enough")
-
-
-def _sets(docs: DataFrame, table: DataFrame, size: int) -> DataFrame:
-    """``(doc, grams)`` of the sets that are in a block."""
+def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``(doc, grams)`` of the sets ``wanted(doc)``, from one row each; other rows are not hashed."""
     schema = pa.schema([("doc", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[list]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for rows in batches:
-            fresh = _fresh(rows, seen)
+        for batch in batches:
+            fresh = _fresh(batch, seen)
             if fresh:
                 yield _batch(([r[1] for r in fresh], [r[2].view(np.int64) for r in fresh]), schema)
 
-    every = _hashed(docs, size, work, "doc long, grams array<long>")
-    kept = skew.attach(every, table.select("doc").distinct(), ["doc"], how="left_semi")
-    return scratch.store(kept.groupBy("doc").agg(F.any_value("grams").alias("grams")), "sets")
+    marks = rows.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min("mark").alias("mark")).select("mark")
+    found = skew.fetch(_marked(docs), marks, ["mark"])
+    return scratch.store(_hashed(found, size, work, "doc long, grams array<long>"), "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The rows of ``pairs(a, b)`` whose sets are similar enough, with ``shared`` n-grams.
+
+    A set that very many others are compared with is copied for them.
+    """
+    pairs = scratch.store(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("doc")).unionAll(pairs.select("b")).distinct()
+    sets = _sets(docs, rows, wanted, size)
+    held = skew.spread(pairs, sets.select(F.col("doc").alias("a"), F.col("grams").alias("x")), ["a"], ["b"])
+    hot = skew.hot_keys(pairs, ["b"])
+    both = skew.spread(held, sets.select(F.col("doc").alias("b"), F.col("grams").alias("y")), ["b"], ["a"], hot)
+    shared = F.size(F.array_intersect("x", "y"))
+    enough = shared >= least_shared(percent, (F.size("x") + F.size("y")).cast("long"))
+    # Rows that agree in id and text come twice where they are in two tasks.
+    found = both.select("a", "b", shared.alias("shared"), enough.alias("enough")).filter("enough").drop("enough")
+    return found.distinct()
 
 
-def _prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     rows, sketch = members(docs, size)
     places = docs.sparkSession.sparkContext.broadcast(ranks(sketch))
-    table = blocks(docs, places, size, percent)
-    return rows, table, _sets(docs, table, size)
+    return rows, blocks(docs, places, size, percent)
 
 
 def links(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -364,8 +376,9 @@ def links(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PE
     ``doc`` is the id of a row's set of n-grams, null for an empty one; equal sets are one.
     Every pair of different sets that are similar enough is listed once.
     """
-    rows, table, sets = _prepared(docs, shingle_words, percent)
-    return rows, verified(block_pairs(table, percent), sets, percent)
+    rows, table = _prepared(docs, shingle_words, percent)
+    found = verified(block_pairs(table, percent), docs, rows, shingle_words, percent)
+    return rows.select("doc_id", "doc", "n"), found
 
 
 def connected(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -379,14 +392,11 @@ def connected(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int
     linked; a null doc_id is kept and the component only where no row of it has an id.
     Other columns are not read; no rows give no rows.
     """
-    rows, table, sets = _prepared(docs, shingle_words, percent)
-    found = None
-    for turn in range(STAR_ROUNDS):
-        fresh = verified(star_pairs(table, percent, turn), sets, percent).select("a", "b")
-        found = fresh if found is None else found.unionAll(fresh)
-    known = scratch.store(found, "links")
-    roots = components.connected(known)
-    rest = scratch.store(verified(block_pairs(table, percent, roots), sets, percent).select("a", "b"), "links")
+    rows, table = _prepared(docs, shingle_words, percent)
+    stars = reduce(DataFrame.unionAll, [star_pairs(table, percent, turn) for turn in range(STAR_ROUNDS)]).distinct()
+    known = scratch.store(verified(stars, docs, rows, shingle_words, percent).select("a", "b"), "links")
+    rest = block_pairs(table, percent, components.connected(known))
+    rest = scratch.store(verified(rest, docs, rows, shingle_words, percent).select("a", "b"), "links")
     roots = components.connected(known.unionAll(rest))
     # Sets in several rows, and linked ones; of all others the row's own id is the component.
     classes = rows.filter("doc is not null").groupBy("doc").agg(
