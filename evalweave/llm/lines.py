@@ -14,10 +14,10 @@ this left in different groups, so no link that matters is lost.
 import itertools
 import re
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,36 +31,22 @@ AGREEING = 2
 SIMILAR_PERCENT = 80
 # Lines of fewer words are cut between letters.
 WORDS = 5
-# Word hashes remembered by a task.
-REMEMBERED = 1_000_000
-# Letters of lines hashed at a time, and of lines cut at a time.
-HASHED_LETTERS = 2_000_000
-LOT_LETTERS = 200_000
+# Letters of lines hashed at a time.
+HASHED_LETTERS = 250_000
 # Classes that letters are counted in.
 LANES = 16
-_BETWEEN = re.compile(r"(?:[^\w\n]|_)+")
+_BETWEEN = re.compile(r"[\W_]+")
 _DIGITS = re.compile(r"\d+")
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+# Hashes of words and lines are sums of their letters' numbers, each times a power by its place.
+_BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFFFF)
 
 
 def normalise(line: str) -> str:
     """Lower-case words with single spaces; numbers become 0. A line without a letter
     or digit stays as it is but for the spaces around it."""
-    return _words_of(line).strip() or line.strip()
-
-
-def _words_of(text: str) -> str:
-    """``text`` in lower case, one space for all that is no word, 0 for numbers, lines as they are."""
-    return _DIGITS.sub("0", _BETWEEN.sub(" ", text.lower()))
-
-
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word.encode())
-        return value
+    line = line.lower()
+    return _DIGITS.sub("0", _BETWEEN.sub(" ", line).strip()) or line.strip()
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -69,23 +55,124 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def _units(lines: list[str], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of all lines, or of the letters of those with few; units per line;
-    and hashes that choose the cuts, of a letter with the next."""
-    split = [line.split(" ") for line in lines]
-    parts = [s if len(s) >= WORDS else line for s, line in zip(split, lines)]
-    counts = np.fromiter(map(len, parts), np.int64, len(parts))
-    by_word = np.fromiter((isinstance(p, list) for p in parts), bool, len(parts))
-    is_word = np.repeat(by_word, counts)
-    units = np.empty(int(counts.sum()), dtype=np.uint64)
-    flat = (words[w] for p in parts if isinstance(p, list) for w in p)
-    units[is_word] = np.fromiter(flat, np.uint64, int(is_word.sum()))
-    letters = "".join(p for p in parts if isinstance(p, str))
-    units[~is_word] = _mixed(np.frombuffer(letters.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1))
-    following = np.append(units[1:], np.uint64(0))
-    following[np.cumsum(counts)[counts > 0] - 1] = 0
-    choosing = np.where(is_word, _mixed(units), _mixed(units + following * np.uint64(3)))
-    return units, counts, choosing
+@cache
+def _kinds() -> np.ndarray:
+    """Of every letter: 2 a digit, 1 another part of a word, 0 none."""
+    letters = map(chr, range(0x110000))
+    return np.fromiter((c.isalnum() + c.isdecimal() for c in letters), np.uint8, 0x110000)
+
+
+@cache
+def _numbers() -> np.ndarray:
+    return _mixed(np.arange(1, 0x110001, dtype=np.uint64))
+
+
+@lru_cache(maxsize=2)
+def _powers(base: int, size: int) -> np.ndarray:
+    powers = np.full(size, base, dtype=np.uint64)
+    powers[0] = 1
+    return np.multiply.accumulate(powers)
+
+
+class Lines:
+    """Normalised lines, all letters of which are in one array."""
+
+    def __init__(self, letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        """Lines come in the order of their letters."""
+        self.letters, self.starts, self.sizes = letters, starts, sizes
+        self.numbers = _numbers()[letters]
+        size = 1 << max(16, len(letters).bit_length())
+        sums = np.cumsum(self.numbers * _powers(_BASE, size)[: len(letters)])
+        self._sums = np.concatenate((np.zeros(1, np.uint64), sums))
+        self._back = _powers(pow(_BASE, -1, 1 << 64), size)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of the letters from each start to its end, wherever they stand."""
+        return _mixed((self._sums[ends] - self._sums[starts]) * self._back[starts] + (ends - starts).astype(np.uint64))
+
+    def lines(self) -> np.ndarray:
+        return self.hashes(self.starts, self.starts + self.sizes)
+
+    def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the words of all lines, or of the letters of those with few; units per line;
+        and hashes that choose the cuts, of a letter with the next."""
+        space = self.letters == 32
+        first = np.zeros(len(space) + 1, dtype=bool)
+        first[self.starts[self.sizes > 0]] = first[-1] = True
+        opens = ~space & (first[:-1] | np.roll(space, 1))
+        closes = ~space & (first[1:] | np.roll(space, -1))
+        begins, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        line = np.searchsorted(self.starts, begins, "right") - 1
+        n_words = np.bincount(line, minlength=len(self.starts))
+        by_word = n_words >= WORDS
+        counts = np.where(by_word, n_words, self.sizes)
+        is_word = np.repeat(by_word, counts)
+        units = np.empty(int(counts.sum()), dtype=np.uint64)
+        units[is_word] = self.hashes(begins, ends)[by_word[line]]
+        units[~is_word] = self.numbers[np.repeat(~by_word, self.sizes)]
+        following = np.append(units[1:], np.uint64(0))
+        following[np.cumsum(counts)[counts > 0] - 1] = 0
+        return units, counts, np.where(is_word, _mixed(units), _mixed(units + following * np.uint64(3)))
+
+    def blocks(self, segments: int) -> tuple[np.ndarray, np.ndarray]:
+        """The SimHash of each segment in 32 bits, one row a line, and whether the segment is empty."""
+        units, counts, choosing = self.units()
+        sizes = np.diff(_cuts(counts, choosing, segments), axis=1)
+        found = bits.majorities(units, sizes.reshape(-1)) & _LOW
+        return found.astype(np.uint32).view(np.int32).reshape(sizes.shape), sizes == 0
+
+    def lanes(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often letters of each of sixteen classes occur, modulo 256, in two longs."""
+        lane = (self.numbers >> np.uint64(60)).astype(np.int64)
+        line = np.repeat(np.arange(len(self.starts)), self.sizes)
+        counts = np.bincount(line * LANES + lane, minlength=LANES * len(self.starts))
+        both = counts.astype(np.uint8).reshape(-1, LANES).view("<i8")
+        return both[:, 0], both[:, 1]
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def of_normal(lines: list[str]) -> Lines:
+    """Lines that are in normal form already."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    return Lines(_letters("".join(lines)), np.cumsum(sizes) - sizes, sizes)
+
+
+def normalised(text: str) -> tuple[np.ndarray, Lines]:
+    """``normalise`` of every line of ``text`` with a visible character, all at once, and their places.
+
+    The places are not in order.
+    """
+    text = text.lower()
+    letters = _letters(text)
+    breaks = np.flatnonzero(letters == 10)
+    starts, ends = np.append(0, breaks + 1), np.append(breaks, len(letters))
+    kind = _kinds()[letters]
+    before = np.append(np.uint8(0), kind[:-1])
+    kept = (kind == 1) | (kind == 2) & (before != 2)
+    word_places = np.flatnonzero(kind)
+    n_words = np.searchsorted(word_places, ends) - np.searchsorted(word_places, starts)
+    worded = n_words > 0
+    last = np.zeros(len(starts), dtype=np.int64)
+    last[worded] = word_places[np.searchsorted(word_places, ends[worded]) - 1]
+    # One space after a word, unless the line has no word after it.
+    gaps = np.flatnonzero((kind == 0) & (before > 0) & (letters != 10))
+    kept[gaps[gaps < last[np.searchsorted(starts, gaps, "right") - 1]]] = True
+    places = np.flatnonzero(kept)
+    out = np.where(kind[places] == 2, 48, np.where(kind[places] == 0, 32, letters[places]))
+    first = np.searchsorted(places, starts[worded])
+    sizes = np.searchsorted(places, ends[worded]) - first
+    # Lines without a word stay as they are but for the spaces around them.
+    plain = np.flatnonzero(~worded & (ends > starts))
+    bare = [(i, text[a:b].strip()) for i, a, b in zip(plain.tolist(), starts[plain].tolist(), ends[plain].tolist())]
+    bare = [(i, line) for i, line in bare if line]
+    more = np.array([len(line) for _, line in bare], dtype=np.int64)
+    numbers = np.concatenate((np.flatnonzero(worded), np.array([i for i, _ in bare], dtype=np.int64)))
+    all_letters = np.concatenate((out.astype(np.uint32), _letters("".join(line for _, line in bare))))
+    all_sizes = np.concatenate((sizes, more))
+    return numbers, Lines(all_letters, np.cumsum(all_sizes) - all_sizes, all_sizes)
 
 
 def _cuts(counts: np.ndarray, choosing: np.ndarray, segments: int) -> np.ndarray:
@@ -106,22 +193,16 @@ def _cuts(counts: np.ndarray, choosing: np.ndarray, segments: int) -> np.ndarray
     return np.maximum.accumulate(rows, axis=1)
 
 
-def blocks(lines: list[str], words: _Words, segments: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
-    """The SimHash of each segment in 32 bits, one row a line, and whether the segment is empty."""
-    units, counts, choosing = _units(lines, words)
-    sizes = np.diff(_cuts(counts, choosing, segments), axis=1)
-    found = bits.majorities(units, sizes.reshape(-1)) & _LOW
-    return found.astype(np.uint32).view(np.int32).reshape(sizes.shape), sizes == 0
-
-
-def _lanes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """How often letters of each of sixteen classes occur, modulo 256, in two longs."""
-    letters = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
-    lane = (letters * np.uint32(2654435761)) >> np.uint32(28)
-    line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-    counts = np.bincount(line * LANES + lane, minlength=LANES * len(lines))
-    both = counts.astype(np.uint8).reshape(-1, LANES).view("<i8")
-    return both[:, 0], both[:, 1]
+def _parts(text: str) -> Iterator[str]:
+    """``text`` cut at line ends into parts of about ``HASHED_LETTERS``."""
+    begin = 0
+    while len(text) - begin > HASHED_LETTERS:
+        cut = text.find("\n", begin + HASHED_LETTERS)
+        if cut < 0:
+            break
+        yield text[begin:cut]
+        begin = cut + 1
+    yield text[begin:]
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -142,41 +223,40 @@ def occurrences(docs: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     """
     names = ["doc", "doc_id", "line_no", "line", "size", "near", "far", "blocks"]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        docs, doc_ids, numbers, lines, size = [], [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            hashes = np.fromiter((xxhash.xxh64_intdigest(x.encode()) for x in lines), np.uint64, len(lines))
-            sizes = np.fromiter(map(len, lines), np.int32, len(lines))
-            lot = np.cumsum(sizes, dtype=np.int64) // LOT_LETTERS
-            ends = np.flatnonzero(np.diff(lot, append=-1)) + 1
-            parts = [blocks(lines[a:b], words, segments) for a, b in zip([0, *ends], ends)]
-            values = np.concatenate([p[0] for p in parts] or [np.zeros((0, segments), np.int32)])
-            empty = np.concatenate([p[1] for p in parts] or [np.zeros((0, segments), bool)])
-            offsets = np.arange(len(lines) + 1, dtype=np.int32) * segments
-            columns = [
-                pa.array(docs, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(numbers, pa.int32()),
-                pa.array(bits.as_signed(hashes)), pa.array(sizes), *map(pa.array, _lanes(lines)),
-                pa.ListArray.from_arrays(offsets, pa.array(values.reshape(-1), mask=empty.reshape(-1))),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names)
+    def hashed(parts: list[tuple[int, int | None, int, str]]) -> pa.RecordBatch:
+        """Lines of ``(doc, doc_id, first line's number, text)``."""
+        lines_in = [part[3].count("\n") + 1 for part in parts]
+        numbers, lines = normalised("\n".join(part[3] for part in parts))
+        ends = np.cumsum(lines_in)
+        part = np.searchsorted(ends, numbers, "right")
+        first = np.array([p[2] for p in parts]) - (ends - lines_in)
+        values, empty = lines.blocks(segments)
+        offsets = np.arange(len(numbers) + 1, dtype=np.int32) * segments
+        columns = [
+            pa.array(np.array([p[0] for p in parts])[part]),
+            pa.array([p[1] for p in parts], pa.int64()).take(pa.array(part)),
+            pa.array((numbers + first[part]).astype(np.int32)),
+            pa.array(bits.as_signed(lines.lines())),
+            pa.array(lines.sizes.astype(np.int32)),
+            *map(pa.array, lines.lanes()),
+            pa.ListArray.from_arrays(offsets, pa.array(values.reshape(-1), mask=empty.reshape(-1))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for doc, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                text = text.as_py() or ""
-                plain = text.split("\n")
-                for number, (line, spelled) in enumerate(zip(plain, _words_of(text).split("\n"))):
-                    if line and not line.isspace():
-                        docs.append(doc)
-                        doc_ids.append(doc_id)
-                        numbers.append(number)
-                        lines.append(spelled.strip() or line.strip())
-                        size += len(line)
-                if size >= HASHED_LETTERS:
-                    yield flush()
-                    docs, doc_ids, numbers, lines, size = [], [], [], [], 0
-        yield flush()
+                number = 0
+                for part in _parts(text.as_py() or ""):
+                    held.append((doc, doc_id, number, part))
+                    number += part.count("\n") + 1
+                    size += len(part) + 1
+                    if size >= HASHED_LETTERS:
+                        yield hashed(held)
+                        held, size = [], 0
+        if held:
+            yield hashed(held)
 
     rows = _identified(docs).select("doc", "doc_id", "text")
     return rows.mapInArrow(
@@ -281,9 +361,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
 
     left = spelled.select(F.col("no").alias("a"), F.col("spelled").alias("text_a"))
     right = spelled.select(F.col("no").alias("b"), F.col("spelled").alias("text_b"))
-    # A line that many are compared with is sent to them, or copied.
-    held = skew.attach(pairs, left, ["a"], ["b"])
-    both = skew.attach(held, right, ["b"], ["a"]).select("a", "b", "text_a", "text_b")
+    # A line that very many are compared with is copied for them.
+    held = skew.spread(pairs, left, ["a"], ["b"])
+    both = skew.spread(held, right, ["b"], ["a"], skew.hot_keys(pairs, ["b"])).select("a", "b", "text_a", "text_b")
     return both.mapInArrow(similar, "a long, b long")
 
 

@@ -142,8 +142,17 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+    left = [fps[[t for _, t in TEXTS].index(r.text)] for r in kept.collect()]
+    assert sorted(root[f] for f in left) == sorted(set(root.values()))
+    assert simhash.deduplicate(empty).count() == 0
+
+
+def test_simhash_of_one_id_and_of_none(spark):
+    """Texts that share an id are told apart, a copy without an id goes, a row written twice stays once."""
+    rows = [(1, prose(61, 50)), (1, prose(62, 50)), (1, prose(62, 50)), (2, prose(61, 50)), (None, prose(62, 50))]
+    rows += [(None, prose(63, 50)), (None, prose(63, 50)), (None, prose(64, 50))]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([*rows[:2], *rows[6:]], key=repr)
 
 
 def test_gray_index_finds_all_pairs():
@@ -217,11 +226,29 @@ def test_bpe_is_what_the_library_gives(docs, empty):
 
 def line_keys(line):
     """The pairs of segments' blocks that a line is looked up by."""
-    values, missing = lines.blocks([line], lines._Words())
+    values, missing = lines.of_normal([line]).blocks(lines.SEGMENTS)
     full = [(i, v) for i, (v, m) in enumerate(zip(values[0].tolist(), missing[0].tolist())) if not m]
     return set(itertools.combinations(full, lines.AGREEING))
 
 
+def test_normal_forms_all_at_once():
+    """Lines normalised together are what each is alone, with the same hashes wherever they stand."""
+    texts = [t or "" for _, t in TEXTS] + ["", "\n", " a_b--c \n\n12 3x4\t\n ---\n- -  -\n İß x\n9", "½ ² ٣٤ é\u0301 _ \u2028 z"]
+    seen = {}
+    for text in [*texts, "\n".join(texts)]:
+        want = {i: lines.normalise(x) for i, x in enumerate(text.split("\n")) if x and not x.isspace()}
+        numbers, found = lines.normalised(text)
+        ends = found.starts + found.sizes
+        spelled = ["".join(map(chr, found.letters[a:b])) for a, b in zip(found.starts, ends)]
+        assert dict(zip(numbers.tolist(), spelled)) == want
+        alone = lines.of_normal(spelled)
+        assert (alone.lines() == found.lines()).all() and (alone.lanes()[0] == found.lanes()[0]).all()
+        assert all((x == y).all() for x, y in zip(alone.blocks(6), found.blocks(6)))
+        for line, hashed in zip(spelled, found.lines().tolist()):
+            assert seen.setdefault(line, hashed) == hashed
+    assert len(set(seen.values())) == len(seen)
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_lines(docs, empty, broadcast, request):
     if not broadcast:
