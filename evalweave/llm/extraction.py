@@ -10,6 +10,7 @@ are counts over labelled pages.
 import html
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,12 +23,14 @@ TRAIN_PAGES = 2000
 # Weight of what is assumed of a feature before any page is counted.
 PRIOR = 4.0
 
-# Elements without an end, with raw text, without any text, and inline.
+# Elements without an end, with text that is no markup, of these without text of the page, and inline.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math select option button xmp".split())
+RAW = set("script style textarea title iframe xmp".split())
+UNSEEN = RAW - {"xmp"}
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark math nobr noscript option "
+    "q rp rt ruby s samp select small span strike strong sub sup svg time tt u var "
+    "annotation mfrac mi mn mo mover mroot mrow ms msqrt msub msubsup msup mtext munder semantics tspan".split()
 )
 # An open p ends before these; an open li, td and so on before its like.
 ENDS_P = set(
@@ -54,8 +57,15 @@ OTHER_NAMES = set(
     "sponsor sponsored subscribe subscription tags toolbar widget alert discussion disqus hidden".split()
 )
 
+# Names of reader comments: an article inside is a comment.
+COMMENT_NAMES = set("comment comments reply replies respond discussion disqus".split())
+WHOLE_PAGE = {"html", "body"}
+
+# A quote that is never closed ends with its tag.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z)",
+    re.S,
 )
 _NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -67,9 +77,12 @@ class Node:
     __slots__ = ("tag", "names", "parent", "inside", "linked", "length", "marks")
 
     def __init__(self, tag: str, names: frozenset, parent: int, inside: str):
-        """``inside``: what the nearest name or tag that says anything says, upwards from here."""
+        """``inside``: what the nearest name or tag that says anything says, upwards from here.
+        Reader comments hold whatever is in them."""
         self.tag, self.names, self.parent = tag, names, parent
-        if names & OTHER_NAMES or tag in OTHER_TAGS:
+        if inside == "comments" or names & COMMENT_NAMES and tag not in WHOLE_PAGE:
+            inside = "comments"
+        elif names & OTHER_NAMES or tag in OTHER_TAGS:
             inside = "other"
         elif tag in CONTENT_TAGS or names & CONTENT_NAMES and inside == "none":
             inside = "content"
@@ -94,6 +107,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     def said(text: str) -> None:
         if text:
+            if len(open_) == 1:
+                # Text outside all elements is a paragraph of the page.
+                if text.isspace() and not pending:
+                    return
+                nodes.append(Node("p", frozenset(), 0, "none"))
+                open_.append(len(nodes) - 1)
             pending.append(text)
             node, size = nodes[open_[-1]], len(text)
             node.length += size
@@ -123,7 +142,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
         elif tag in RAW:
             end = re.compile(rf"</{tag}(?:[\s/>]|\Z)", re.I).search(page, at)
-            at = len(page) if end is None else end.start()
+            begin, at = at, len(page) if end is None else end.start()
+            if tag not in UNSEEN:
+                said(page[begin:at].replace("&", "&amp;"))
         else:
             if tag in ENDS_P and nodes[open_[-1]].tag == "p":
                 close(len(open_) - 1)
@@ -133,6 +154,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     close(depth)
                 elif above in SCOPE:
                     break
+            if tag in VOID and tag != "hr":
+                continue
             flush()
             if tag not in VOID:
                 found = " ".join("".join(m) for m in _NAMES.findall(match[3])) if match[3] else ""
@@ -147,12 +170,16 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, blocks
 
 
-def features(node: Node) -> tuple[str, ...]:
+def features(node: Node, blind: bool = False) -> tuple[str, ...]:
+    """What speaks for or against a node. ``blind`` is without the tags and names of content."""
     linked = "none" if not node.linked else "some" if 2 * node.linked < node.length else "most"
     length = "none" if not node.length else "short" if node.length < 40 else "long"
+    tag, inside = node.tag, node.inside
+    if blind and (tag in CONTENT_TAGS or inside == "content"):
+        tag, inside = ("div" if tag in CONTENT_TAGS else tag), ("none" if inside == "content" else inside)
     return (
-        f"tag {node.tag}",
-        f"inside {node.inside}",
+        f"tag {tag}",
+        f"inside {inside}",
         f"links {linked}",
         f"length {length}",
         f"marks {'yes' if node.marks else 'no'}",
@@ -166,7 +193,7 @@ def labelled(nodes: list[Node]) -> list[int] | None:
         return None
     labels = []
     for node in nodes:
-        if node.tag in OTHER_TAGS or node.names & OTHER_NAMES:
+        if node.tag in OTHER_TAGS or node.names & OTHER_NAMES or node.inside == "comments":
             labels.append(0)
         elif node.tag in CONTENT_TAGS:
             labels.append(1)
@@ -184,7 +211,7 @@ def _assumed(feature: str) -> float:
     if kind == "tag":
         return 0.97 if value in CONTENT_TAGS else 0.02 if value in OTHER_TAGS else 0.5
     if kind == "inside":
-        return {"other": 0.01, "content": 0.9}.get(value, 0.3)
+        return {"other": 0.01, "comments": 0.001, "content": 0.9}.get(value, 0.3)
     return {"links most": 0.2, "marks yes": 0.6, "length long": 0.6}.get(feature, 0.5)
 
 
@@ -233,7 +260,8 @@ class Model:
             total = above[0] + above[1]
             inward[parent] = (above[0] / total, above[1] / total)
         belief = list(inward)
-        belief[0] = (1.0, 0.0)  # the page itself is no content
+        # The page itself is no content, unless it is nothing but text.
+        belief[0] = (1.0, 0.0) if any(n.tag not in WHOLE_PAGE | {"", "p"} for n in nodes) else (0.5, 0.5)
         for i in range(1, len(nodes)):
             off, on = belief[nodes[i].parent]
             off, on = off / max(up[i][0], 1e-300), on / max(up[i][1], 1e-300)  # without this child's word
@@ -249,6 +277,25 @@ class Model:
         return "\n".join(text for owner, text in blocks if marginals[owner] >= 0.5)
 
 
+def count(counts: Counter, page: str) -> None:
+    """Add what a page whose markup labels it says about features, labels and edges.
+
+    Every second page, by a hash of it, is counted without the tags and names of content: pages
+    that have none are then told by the rest.
+    """
+    nodes, _ = parse(page)
+    labels = labelled(nodes)
+    if labels is None:
+        return
+    blind = zlib.crc32(page.encode("utf-8", "replace")) % 2 == 1
+    for node, label in zip(nodes[1:], labels[1:]):
+        counts["label", "", label] += 1
+        for feature in features(node, blind):
+            counts["node", feature, label] += 1
+        if node.parent > 0:
+            counts["edge", str(labels[node.parent]), label] += 1
+
+
 def train(pages: DataFrame, rows: int = TRAIN_PAGES) -> Model:
     """Count potentials over at most ``rows`` pages whose markup labels them."""
     drawn = (
@@ -265,16 +312,7 @@ def train(pages: DataFrame, rows: int = TRAIN_PAGES) -> Model:
         counts: Counter = Counter()
         for batch in batches:
             for page in batch.column(0).to_pylist():
-                nodes, _ = parse(page or "")
-                labels = labelled(nodes)
-                if labels is None:
-                    continue
-                for node, label in zip(nodes[1:], labels[1:]):
-                    counts["label", "", label] += 1
-                    for feature in features(node):
-                        counts["node", feature, label] += 1
-                    if node.parent > 0:
-                        counts["edge", str(labels[node.parent]), label] += 1
+                count(counts, page or "")
         rows = [(*key, n) for key, n in counts.items()]
         columns = list(zip(*rows)) or [[], [], [], []]
         types = [pa.string(), pa.string(), pa.int32(), pa.int64()]
@@ -284,9 +322,8 @@ def train(pages: DataFrame, rows: int = TRAIN_PAGES) -> Model:
 
     counted = chosen.mapInArrow(work, "kind string, what string, label int, n long")
     summed = counted.groupBy("kind", "what", "label").agg(F.sum("n").alias("n"))
-    # Tag names make the table; rare ones add nothing to what is assumed of them.
-    common = summed.orderBy(F.desc("n"), "kind", "what", "label").limit(2000).collect()
-    return Model({(r["kind"], r["what"], r["label"]): r["n"] for r in common})
+    # One row per tag name and label of the sample, and a few more.
+    return Model({(r["kind"], r["what"], r["label"]): r["n"] for r in summed.collect()})
 
 
 def extract(pages: DataFrame, model: Model) -> DataFrame:
