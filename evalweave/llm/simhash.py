@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from evalweave import scratch
 from evalweave.llm import bits, components
+from evalweave.operators import skew
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -47,11 +48,12 @@ def shingle_hashes(text: bytes, shingle_words: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp)`` per row of ``docs``, ``fp`` a signed 64-bit SimHash of the whole text."""
+    """``(doc_id, mark, fp)`` per row of ``docs``: ``fp`` a signed 64-bit SimHash of the whole text,
+    ``mark`` a hash of id and text, by which a row is told from others of its id."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
             runs = [shingle_hashes(t or b"", shingle_words) for t in texts]
             sizes = np.fromiter(map(len, runs), np.int64, len(runs))
             flat = np.empty(int(sizes.sum()), dtype=np.uint64)
@@ -60,11 +62,14 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
                 flat[at : at + len(run)] = run
                 at += len(run)
             fps = bits.as_signed(bits.majorities(flat, sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "mark", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        work, "doc_id long, fp long"
-    )
+    doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    return docs.select(doc_id, _mark().alias("mark"), text).mapInArrow(work, "doc_id long, mark long, fp long")
+
+
+def _mark() -> Column:
+    return F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -214,6 +219,19 @@ def links(fps: DataFrame, rows: int, max_bits: int = MAX_BITS, block_rows: int =
     return _routed(blocks, nodes, max_bits).groupBy("block").applyInPandas(block_links, "a long, b long")
 
 
+def _components(known: DataFrame, max_bits: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``known(doc_id, fp)``: the fingerprints ``(fp, first, rows)`` with their smallest id, and the
+    links ``(fp, root)`` of those that others are near."""
+    classes = scratch.write(
+        known.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "classes"
+    )
+    roots = scratch.store(
+        components.connected(links(classes.df, classes.rows, max_bits, block_rows)), "roots"
+    )
+    everyone = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    return classes.df, everyone.withColumnRenamed("node", "fp")
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle_words: int = SHINGLE_WORDS,
@@ -229,28 +247,40 @@ def near_duplicates(
     has an id. Other columns of ``docs`` are not read. An empty table gives no rows.
     """
     known = scratch.store(fingerprints(docs, shingle_words), "fingerprints")
-    classes = scratch.write(known.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = scratch.store(
-        components.connected(links(classes.df, classes.rows, max_bits, block_rows)), "roots"
-    )
-    everyone = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
-    linked = classes.df.join(everyone, F.col("fp") == F.col("node")).select("fp", "first", "root")
-    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    moved = linked.join(smallest, "root").select(F.col("fp").alias("node"), "component_id")
-    named = classes.df.join(moved, F.col("fp") == F.col("node"), "left").select(
-        "fp", F.coalesce("component_id", "first").alias("component_id")
-    )
-    return known.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    classes, everyone = _components(known, max_bits, block_rows)
+    # Fingerprints of several rows, and linked ones; any other row is its own component.
+    shared = classes.join(everyone, "fp", "left").filter("rows > 1 or root is not null")
+    shared = scratch.store(shared.withColumn("root", F.coalesce("root", "fp")), "shared")
+    smallest = shared.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = shared.join(smallest, "root").select("fp", "component_id")
+    return skew.attach(known, named, ["fp"], ["doc_id"], "left").select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
     )
 
 
 def deduplicate(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id.
+    """``docs`` with one row of each group: the one with the smallest id, then hash of its text.
 
-    Rows repeated under one id count once. Rows without an id are kept.
+    Rows are told apart by id and text, so a different text under a repeated id is judged by
+    itself; of rows that agree in both, one stays. Rows without an id take part and come last.
     """
-    found = near_duplicates(docs, shingle_words, max_bits)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(docs.columns).unionAll(docs.filter("doc_id is null"))
+    known = scratch.store(fingerprints(docs, shingle_words), "fingerprints")
+    _, everyone = _components(known, max_bits, BLOCK_ROWS)
+    root = F.coalesce("root", "fp").alias("root")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    kept = (
+        skew.attach(known, everyone, ["fp"], ["mark"], "left")
+        .groupBy(root)
+        .agg(F.min(place).alias("place"))
+        .select("place.mark")
+    )
+    twice = known.groupBy("mark").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("mark")
+    kept, twice = scratch.write(kept, "kept"), scratch.write(twice, "twice")
+    names = [f"`{name}`" for name in docs.columns]
+    marked = docs.select(F.struct(*names).alias("row"), _mark().alias("mark"))
+    found = skew.attach(marked, kept, ["mark"], how="left_semi")
+    # Only rows that are repeated word for word are brought together.
+    repeated = skew.attach(found, twice, ["mark"], how="left_semi").dropDuplicates(["mark"])
+    return skew.attach(found, twice, ["mark"], how="left_anti").unionAll(repeated).select("row.*")
