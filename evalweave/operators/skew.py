@@ -108,18 +108,32 @@ def hot_keys(big: DataFrame, on: Sequence[str]) -> scratch.Written:
 
     There is at most one for every ``HOT_ROWS`` rows.
     """
-    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > HOT_ROWS)
-    return scratch.write(counts.select(*on, F.ceil(F.col("_rows") / HOT_ROWS).cast("int").alias(_COPIES)), "hot")
+    return counted_hot_keys(big.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")), on, "_rows")
+
+
+def counted_hot_keys(counts: DataFrame, on: Sequence[str], rows: str) -> scratch.Written:
+    """``hot_keys`` from the ``rows`` that each key is known to have."""
+    copies = F.ceil(F.col(rows) / HOT_ROWS).cast("int").alias(_COPIES)
+    return scratch.write(counts.filter(F.col(rows) > HOT_ROWS).select(*on, copies), "hot")
 
 
 def spread(
-    big: DataFrame, per_key: DataFrame, on: Sequence[str], by: Sequence[str], hot: scratch.Written | None = None
+    big: DataFrame,
+    per_key: DataFrame | scratch.Written,
+    on: Sequence[str],
+    by: Sequence[str],
+    hot: scratch.Written | None = None,
 ) -> DataFrame:
-    """Join ``big`` to wide rows, one per key, copying only those that many rows ask for.
+    """Join ``big`` to a table of one row per key that grows with it, or is wide.
 
     The row of a key in ``hot`` (``hot_keys`` of ``big``, if not given) is copied, and the
-    rows of ``big`` are dealt among the copies by the columns ``by``.
+    rows of ``big`` are dealt among the copies by the columns ``by``. Other keys are not copied,
+    unlike in ``attach``. A written table below the bound is broadcast.
     """
+    if isinstance(per_key, scratch.Written):
+        if per_key.bytes <= BROADCAST_BYTES:
+            return big.join(F.broadcast(per_key.df), list(on))
+        per_key = per_key.df
     hot = hot_keys(big, on) if hot is None else hot
     if hot.rows == 0:
         return big.join(per_key, list(on))

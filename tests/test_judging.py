@@ -240,3 +240,27 @@ def test_only_call_based_verdicts_are_copied(spark, samples):
     tests = judging.tests_per_task(judging.test_cases(samples))
     got = judging.broadcast_verdict(verdicts, tests).collect()
     assert sorted((r.task_id, r.test_idx) for r in got) == [(1, 0), (2, 0), (2, 1)]
+
+
+def test_one_parse_gives_tests_and_quarantine(spark, samples):
+    odd = {30: {"inputs": [[7], "a", {"k": 1}], "outputs": ["x", "b", "y"]}, 31: {"inputs": ["q"], "outputs": [[1.5]]}}
+    rows = [(i, json.dumps(s)) for i, s in odd.items()]
+    every = samples.unionByName(spark.createDataFrame(rows, samples.schema))
+    staged = judging.stage_samples(every)
+    got = {(r.id, r.test_idx): r.reason for r in staged.quarantine.collect()}
+    whole = {(r.id, None): r.reason for r in judging.unreadable_samples(every).collect()}
+    assert got == whole | {(30, 0): "not_text", (30, 2): "not_text", (31, 0): "not_text", (7, 0): "not_text"}
+    values = {(r.id, r.test_idx): r.input_output for r in staged.quarantine.collect()}
+    assert json.loads(values[30, 2]) == {"inputs": {"k": 1}, "outputs": "y"}
+    tests = {(r.id, r.test_idx): r for r in staged.tests.collect()}
+    plain = {(r.id, r.test_idx): r for r in judging.normalise_io(judging.test_cases(every)).collect()}
+    assert tests == {k: r for k, r in plain.items() if k not in got} and (30, 1) in tests
+    sizes = {r.task_id: r.n_tests for r in staged.sizes.collect()}
+    assert sizes == {r.task_id: r.n_tests for r in judging.tests_per_task(judging.test_cases(every)).collect()}
+
+
+def test_generations_keep_their_run(spark):
+    rows = [("g", t, 1, 0, f"```python\n{t}\n```") for t in ("no_context", "full_problem")]
+    df = spark.createDataFrame(rows, "grp string, context_type string, task_id bigint, gen_idx bigint, generated_text string")
+    got = generations.parse_generations(df, report.RUN_IN_GROUP)
+    assert sorted(map(tuple, got.collect())) == sorted(("g", t, 1, 0, t) for t in ("no_context", "full_problem"))

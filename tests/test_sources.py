@@ -345,3 +345,49 @@ def test_plans_open_no_file(tmp_path, monkeypatch):
     monkeypatch.undo()
     assert len(plans) > 4
     assert sorted(v for p in plans for b in reader.read(p) for v in b.column(0).to_pylist()) == sorted(2 * list(range(1000)))
+
+
+def test_runs_logged_again_replace_themselves(spark, tmp_path):
+    path, key = str(tmp_path / "log"), ["grp", "task_id"]
+    schema = "grp string, task_id bigint, score double"
+    rows = [(g, t, float(t)) for g in "ab" for t in range(100)]
+    first = tables.log_runs(spark.createDataFrame(rows, schema), path, key)
+    assert first.count() == 200
+    again = [("a", 3, -1.0), ("b", 500, 5.0)]
+    for _ in range(2):
+        log = tables.log_runs(spark.createDataFrame(again, schema), path, key)
+        want = {(g, t): s for g, t, s in rows} | {(g, t): s for g, t, s in again}
+        assert sorted(map(tuple, log.collect())) == sorted((*k, s) for k, s in want.items())
+
+
+def test_only_touched_parts_of_the_log_are_written(spark, tmp_path):
+    path = tmp_path / "log"
+    schema = "grp string, task_id bigint, score double"
+    tables.log_runs(spark.createDataFrame([("a", t, 0.0) for t in range(500)], schema), str(path), ["grp", "task_id"])
+    before = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+    tables.log_runs(spark.createDataFrame([("a", 7, 1.0)], schema), str(path), ["grp", "task_id"])
+    after = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+    assert len(before) > 30 and len(set(before.items()) & set(after.items())) == len(before) - 1
+
+
+def test_stored_verdicts_are_aggregated_where_they_lie(spark, tmp_path):
+    by = ("context_type", "task_id")
+    rows = [(c, t, g, i, (t + g + i) % 2) for c in ("x", "y") for t in range(6) for g in range(4) for i in range(3)]
+    verdicts = spark.createDataFrame(
+        rows, "context_type string, task_id bigint, gen_idx bigint, test_idx int, verdict int"
+    )
+    path = str(tmp_path / "verdicts")
+    tables.write_verdicts(verdicts, path, by, 4)
+    stored = tables.read_verdicts(spark, path, verdicts.schema, by, 4)
+    per_generation = scoring.generation_correct(stored, by)
+    assert "Exchange" not in per_generation._jdf.queryExecution().executedPlan().toString()
+    totals = scoring.task_totals(stored, by)
+    # One exchange: of totals, which were combined before it.
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("partial_count")
+    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, scoring.task_totals(verdicts, by).collect()))
+    # Another session finds the table by its path alone.
+    spark.sql(f"drop table {tables._table(path)}")
+    again = tables.read_verdicts(spark, path, verdicts.schema, by, 4)
+    assert sorted(map(tuple, again.select(verdicts.columns).collect())) == sorted(rows)
+    assert "Exchange" not in scoring.generation_correct(again, by)._jdf.queryExecution().executedPlan().toString()
