@@ -266,8 +266,7 @@ def blocks(docs: DataFrame, places, size: int, percent: int) -> DataFrame:
     """The rows of :func:`prefixes` whose n-gram occurs in another row."""
     table = scratch.store(prefixes(docs, places, size, percent), "prefixes")
     shared = table.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("token")
-    kept = skew.attach(table, shared, ["token"], ["doc"], "left_semi")
-    return scratch.store(kept, "blocks")
+    return scratch.store(skew.fetch(table, shared, ["token"]), "blocks")
 
 
 def _apart(x: Column, y: Column) -> Column:
@@ -295,7 +294,7 @@ def star_pairs(table: DataFrame, percent: int, turn: int) -> DataFrame:
     """``(a, b)``: every set of a block with one of them, another one for each ``turn``."""
     row = F.struct(F.xxhash64("doc", F.lit(turn)).alias("by"), "doc", "n", "pos", "near", "far")
     leaders = table.groupBy("token").agg(F.min(row).alias("y"))
-    met = skew.attach(table, leaders, ["token"], ["doc"]).alias("x")
+    met = skew.spread(table, leaders, ["token"], ["doc"]).alias("x")
     return (
         met.filter((F.col("x.doc") != F.col("y.doc")) & may_link(percent))
         .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
@@ -311,7 +310,7 @@ def block_pairs(table: DataFrame, percent: int, roots: DataFrame | None = None)
     if roots is None:
         rows, apart = table, F.lit(True)
     else:
-        placed = skew.attach(table, roots.withColumnRenamed("node", "doc"), ["doc"], ["token"], "left")
+        placed = skew.attach(table, roots.withColumnRenamed("node", "doc"), ["doc"], how="left")
         placed = placed.withColumn("root", F.coalesce("root", "doc"))
         mixed = (
             placed.groupBy("token")
@@ -319,7 +318,7 @@ def block_pairs(table: DataFrame, percent: int, roots: DataFrame | None = None)
             .filter("low <> high")
             .select("token")
         )
-        rows = scratch.store(skew.attach(placed, mixed, ["token"], ["doc"], "left_semi"), "mixed")
+        rows = scratch.store(skew.fetch(placed, mixed, ["token"]), "mixed")
         apart = F.col("x.root") != F.col("y.root")
     met = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") < F.col("y.doc")) & apart
     return (
