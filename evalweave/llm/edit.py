@@ -40,24 +40,62 @@ def within(masks: dict[str, int], size: int, text: str) -> int:
     return _best(masks, size, text, True) if size else 0
 
 
-def distance(a: str, b: str) -> int:
-    """Insertions, deletions and replacements that turn ``a`` into ``b``."""
-    if a == b:
-        return 0
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """Both without the letters they begin and end with alike."""
     start, most = 0, min(len(a), len(b))
     while start < most and a[start] == b[start]:
         start += 1
     end = 0
     while end < most - start and a[-1 - end] == b[-1 - end]:
         end += 1
-    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    return a[start : len(a) - end], b[start : len(b) - end]
+
+
+def distance(a: str, b: str) -> int:
+    """Insertions, deletions and replacements that turn ``a`` into ``b``."""
+    a, b = _trimmed(a, b)
     if not a or not b:
         return len(a) + len(b)
     return _best(letter_masks(a), len(a), b, False)
 
 
+# Words skipped at a time to find where two texts go on alike.
+_AHEAD = 3
+
+
+def _enough(a: str, b: str, budget: int) -> bool:
+    """Whether editing word by word, skipping or replacing what differs, keeps to the budget."""
+    first, second = a.split(" "), b.split(" ")
+    i = j = cost = 0
+    while i < len(first) and j < len(second):
+        if first[i] == second[j]:
+            i, j = i + 1, j + 1
+            continue
+        for step in range(1, _AHEAD + 1):
+            if first[i + step : i + step + 1] == [second[j]]:
+                cost += step + sum(map(len, first[i : i + step]))
+                i += step
+                break
+            if second[j + step : j + step + 1] == [first[i]]:
+                cost += step + sum(map(len, second[j : j + step]))
+                j += step
+                break
+        else:
+            cost += max(len(first[i]), len(second[j]))
+            i, j = i + 1, j + 1
+        if cost > budget:
+            return False
+    rest = first[i:] + second[j:]
+    return cost + len(rest) + sum(map(len, rest)) <= budget
+
+
 def alike(a: str, b: str, percent: int) -> bool:
     """Whether at least ``percent`` of the longer text is left by the edits between both."""
     longer = max(len(a), len(b))
     budget = longer * (100 - percent) // 100
-    return abs(len(a) - len(b)) <= budget and distance(a, b) <= budget
+    if abs(len(a) - len(b)) > budget:
+        return False
+    a, b = _trimmed(a, b)
+    if max(len(a), len(b)) <= budget or _enough(a, b, budget):
+        return True
+    return distance(a, b) <= budget

@@ -7,8 +7,9 @@ pigeonhole keys, a choice of blocks that agree. Pairs are verified by edit simil
 and of each connected group one occurrence stays, the first by document and line.
 
 A large group of near lines is not spelled out in pairs. Every line of a key is first
-compared with the key's first line only; then pairs are made between lines of a key that
-this left in different groups, so no link that matters is lost.
+compared with the key's first line only, then with another one of a group that it is not in yet. In
+the last round all pairs are made between lines of a key that this left in different
+groups, so no link that matters is lost; no pair is compared twice.
 """
 
 import itertools
@@ -33,6 +34,8 @@ SIMILAR_PERCENT = 80
 WORDS = 5
 # Letters of lines hashed at a time.
 HASHED_LETTERS = 250_000
+# Rounds that follow the first: the last one makes all pairs that are left.
+STAR_ROUNDS = 3
 # Classes that letters are counted in.
 LANES = 16
 _BETWEEN = re.compile(r"[\W_]+")
@@ -304,7 +307,9 @@ def _met(classes: DataFrame, segments: int, agreeing: int) -> DataFrame:
     """
     rows = _keyed(classes, segments, agreeing)
     shared = rows.groupBy("key").agg(F.min("no").alias("first"), F.count(F.lit(1)).alias("rows"))
-    met = skew.attach(rows, shared.filter("rows > 1").select("key", "first"), ["key"], ["no"])
+    shared = scratch.store(shared.filter("rows > 1"), "shared")
+    first = scratch.write(shared.select("key", "first"), "first")
+    met = skew.spread(rows, first, ["key"], ["no"], skew.counted_hot_keys(shared, ["key"], "rows"))
     return scratch.store(met, "keys")
 
 
@@ -317,21 +322,36 @@ def _first_pairs(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.filter(may_be_alike(percent)).select(F.col("p.no").alias("a"), F.col("p.first").alias("b"))
 
 
-def _across(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of classes of one key that are still in different groups."""
-    placed = skew.attach(met, roots.withColumnRenamed("node", "no"), ["no"], ["key"], "left")
+def _mixed_keys(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of keys whose classes are still in different groups, with their ``root``."""
+    placed = skew.attach(met, roots.withColumnRenamed("node", "no"), ["no"], how="left")
     placed = placed.withColumn("root", F.coalesce("root", "no"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    rows = skew.attach(placed, mixed.filter("low <> high").select("key"), ["key"], ["no"], "left_semi")
-    rows = scratch.store(rows, "mixed")
+    return scratch.store(skew.fetch(placed, mixed.filter("low <> high").select("key"), ["key"]), "mixed")
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _star_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs of the classes of each mixed key with one of another group, another one each ``turn``."""
+    row = F.struct(F.xxhash64("no", F.lit(turn)).alias("by"), "no", "root", "size", "near", "far")
+    leaders = rows.groupBy("key").agg(F.min(row).alias("y"))
+    met = skew.spread(rows, leaders, ["key"], ["no"]).alias("x")
+    near = (F.col("x.root") != F.col("y.root")) & may_be_alike(percent)
+    return _in_order(met.filter(near).select(F.col("x.no").alias("a"), F.col("y.no").alias("b")))
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs ``(a, b)`` of classes of one mixed key in different groups."""
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.no") < F.col("y.no")) & (F.col("x.root") != F.col("y.root"))
     pairs = rows.alias("x").join(rows.alias("y"), meet & may_be_alike(percent))
-    return pairs.select(F.col("x.no").alias("a"), F.col("y.no").alias("b")).distinct()
+    return _in_order(pairs.select(F.col("x.no").alias("a"), F.col("y.no").alias("b")))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The ``pairs(a, b)`` whose normalised lines are similar; texts are read for these lines only."""
-    pairs = scratch.store(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("no")).unionAll(pairs.select("b")).distinct()
     places = (
         classes.join(wanted, "no")
@@ -389,9 +409,15 @@ def removed_lines(
     # Shorter lines have only equal ones, as no edit is left even to a longer line.
     long_enough = classes.filter((F.col("size") + 1) * (100 - percent) >= 100)
     met = _met(long_enough, segments, agreeing)
-    near = scratch.store(_verified(_first_pairs(met, classes, percent), classes, docs, percent), "links")
-    across = _verified(_across(met, components.connected(near), percent), classes, docs, percent)
-    roots = components.connected(scratch.store(near.unionAll(across), "links"))
+    compared = scratch.store(_in_order(_first_pairs(met, classes, percent)), "compared")
+    links = scratch.store(_verified(compared, classes, docs, percent), "links")
+    for turn in range(1, STAR_ROUNDS + 1):
+        rows = _mixed_keys(met, components.connected(links))
+        pairs = _star_pairs(rows, percent, turn) if turn < STAR_ROUNDS else _across(rows, percent)
+        pairs = scratch.store(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        compared = compared.unionAll(pairs)
+        links = scratch.store(links.unionAll(_verified(pairs, classes, docs, percent)), "links")
+    roots = components.connected(links)
     roots = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
     grouped = classes.join(roots.withColumnRenamed("node", "no"), "no", "left").filter("n > 1 or root is not null")
     grouped = grouped.select(
@@ -404,7 +430,9 @@ def removed_lines(
     )
     gone = (F.col("doc") != F.col("kept_doc")) | (F.col("line_no") != F.col("kept_no"))
     rows = found.select("doc", "line_no", "line")
-    return skew.attach(rows, repeated, ["line"], ["doc", "line_no"]).filter(gone).select("doc", "line_no")
+    hot = skew.counted_hot_keys(classes.select("line", "n"), ["line"], "n")
+    kept_by = scratch.write(repeated, "repeated")
+    return skew.spread(rows, kept_by, ["line"], ["doc", "line_no"], hot).filter(gone).select("doc", "line_no")
 
 
 def deduplicate(

@@ -116,6 +116,10 @@ def test_edit_distance():
 
     for a, b in [("", ""), ("", "ab"), ("kitten", "sitting"), ("abc", "abc"), (prose(1, 9), prose(2, 9)), ("aXb", "ab")]:
         assert edit.distance(a, b) == plain(a, b)
+    lines_ = [prose(i, 20 + i % 3) for i in range(12)] + [prose(1, 20).replace("alpha", "omega"), prose(1, 20)[7:], "a b", "b a"]
+    for a, b in itertools.product(lines_, lines_):
+        for percent in (20, 60, 80, 95):
+            assert edit.alike(a, b, percent) == (plain(a, b) <= max(len(a), len(b)) * (100 - percent) // 100)
     pattern, text = "gamma delta", "alpha gama dolta beta"
     least = min(plain(pattern, text[i:j]) for i in range(len(text)) for j in range(i, len(text) + 1))
     assert edit.within(edit.letter_masks(pattern), len(pattern), text) == least
