@@ -322,12 +322,12 @@ def _first_pairs(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.filter(may_be_alike(percent)).select(F.col("p.no").alias("a"), F.col("p.first").alias("b"))
 
 
-def _mixed_keys(met: DataFrame, roots: DataFrame) -> DataFrame:
+def _mixed_keys(met: DataFrame, roots: DataFrame) -> scratch.Written:
     """The rows of keys whose classes are still in different groups, with their ``root``."""
     placed = skew.attach(met, roots.withColumnRenamed("node", "no"), ["no"], how="left")
     placed = placed.withColumn("root", F.coalesce("root", "no"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    return scratch.store(skew.fetch(placed, mixed.filter("low <> high").select("key"), ["key"]), "mixed")
+    return scratch.write(skew.fetch(placed, mixed.filter("low <> high").select("key"), ["key"]), "mixed")
 
 
 def _in_order(pairs: DataFrame) -> DataFrame:
@@ -411,13 +411,18 @@ def removed_lines(
     met = _met(long_enough, segments, agreeing)
     compared = scratch.store(_in_order(_first_pairs(met, classes, percent)), "compared")
     links = scratch.store(_verified(compared, classes, docs, percent), "links")
-    for turn in range(1, STAR_ROUNDS + 1):
-        rows = _mixed_keys(met, components.connected(links))
-        pairs = _star_pairs(rows, percent, turn) if turn < STAR_ROUNDS else _across(rows, percent)
-        pairs = scratch.store(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        compared = compared.unionAll(pairs)
-        links = scratch.store(links.unionAll(_verified(pairs, classes, docs, percent)), "links")
     roots = components.connected(links)
+    for turn in range(1, STAR_ROUNDS + 1):
+        mixed = _mixed_keys(met, roots)
+        if not mixed.rows:
+            break
+        pairs = _star_pairs(mixed.df, percent, turn) if turn < STAR_ROUNDS else _across(mixed.df, percent)
+        fresh = scratch.write(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        compared = compared.unionAll(fresh.df)
+        found = scratch.write(_verified(fresh.df, classes, docs, percent), "links") if fresh.rows else fresh
+        if found.rows:
+            links = links.unionAll(found.df)
+            roots = components.connected(links)
     roots = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
     grouped = classes.join(roots.withColumnRenamed("node", "no"), "no", "left").filter("n > 1 or root is not null")
     grouped = grouped.select(

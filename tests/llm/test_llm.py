@@ -275,6 +275,9 @@ def test_lines(docs, empty, broadcast, request):
         want[place[2]] += first[root[x]] != place
     found = lines.deduplicate(docs).collect()
     assert {r.row.text: r.n_removed for r in found} == {t: want[t] for _, t in texts}
+
+
+def test_cleaned_lines(docs, empty):
     cleaned = {r.row.doc_id: r for r in lines.deduplicate(docs.filter("doc_id = 2 or doc_id = 1")).collect()}
     assert cleaned[2].cleaned == prose(3, 60) and cleaned[1].n_removed == 0
     assert lines.digests(empty).count() == 0
