@@ -182,7 +182,8 @@ def _blocks(rows: DataFrame, targets: DataFrame, key: Sequence[str], n: int, dig
     wanted = skew.attach(rows, asked, key, ["id"], "left_semi")
     counts = wanted.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     sizes = scratch.write(counts, "blocks")
-    dealt = skew.attach(wanted, sizes, key, ["id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = skew.attach(wanted, sizes, key, ["id"]).withColumn("block", block)
     copied = skew.attach(targets, sizes, key, ["target_id"]).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )

@@ -255,7 +255,9 @@ def metrics_documents(
     )
 
 
-def write_metrics_files(totals: DataFrame, positions: DataFrame, results: DataFrame, path: str, ks: Sequence[int] = KS) -> None:
+def write_metrics_files(
+    totals: DataFrame, positions: DataFrame, results: DataFrame, path: str, ks: Sequence[int] = KS
+) -> None:
     """A file per task: its metrics document with ``results``, the verdicts of every generation.
 
     ``totals`` and ``positions`` are as for ``metrics_documents``; ``results`` has ``task_id``,
