@@ -405,7 +405,8 @@ def agreement(docs: DataFrame, byte_level: str, pieces: str, pattern: str) -> Da
     lists = table.filter("pairs is not null").select(
         "chunk", F.posexplode(F.arrays_zip("pairs", "docs")).alias("slot", "entry")
     )
-    lists = lists.select(F.col("chunk").alias("lot"), "slot", F.col("entry.pairs").alias("pair"), F.col("entry.docs").alias("docs"))
+    entry = [F.col("entry.pairs").alias("pair"), F.col("entry.docs").alias("docs")]
+    lists = lists.select(F.col("chunk").alias("lot"), "slot", *entry)
     size = len(tokenizers(byte_level, pieces, pattern).b_bytes)
     answered = skew.attach(lists, pair_counts(lists, size), ["pair"], ["lot"]).select(
         "lot", "slot", "count", "best"

@@ -3,7 +3,21 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import alignment, bpe, decontamination, extraction, jaccard, lines, lm, pii, quality, runs, simhash, toxicity, warc
+from evalweave.llm import (
+    alignment,
+    bpe,
+    decontamination,
+    extraction,
+    jaccard,
+    lines,
+    lm,
+    pii,
+    quality,
+    runs,
+    simhash,
+    toxicity,
+    warc,
+)
 
 # A rank file every executor can read, and the pattern that goes with it.
 RANKS = "byte_bpe_50k.tiktoken"
