@@ -419,9 +419,9 @@ def removed_lines(
         pairs = _star_pairs(mixed.df, percent, turn) if turn < STAR_ROUNDS else _across(mixed.df, percent)
         fresh = scratch.write(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
         compared = compared.unionAll(fresh.df)
-        found = scratch.write(_verified(fresh.df, classes, docs, percent), "links") if fresh.rows else fresh
-        if found.rows:
-            links = links.unionAll(found.df)
+        linked = scratch.write(_verified(fresh.df, classes, docs, percent), "links") if fresh.rows else fresh
+        if linked.rows:
+            links = links.unionAll(linked.df)
             roots = components.connected(links)
     roots = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
     grouped = classes.join(roots.withColumnRenamed("node", "no"), "no", "left").filter("n > 1 or root is not null")

@@ -294,6 +294,20 @@ def test_lines_of_one_id_and_of_none(spark):
     assert sum(removed[t] for _, t in rows[:2]) == 1 and removed[line] == 1 and removed[rows[3][1]] == 0
 
 
+def test_lines_connected_through_others(spark):
+    """A chain in which each line is like the next only, and lines that share a passage and are not alike."""
+    words_ = prose(43, 40).split()
+    chain = [" ".join(w if k >= 4 * c else w + "q" * 6 for k, w in enumerate(words_)) for c in range(9)]
+    shared = [prose(44, 12) + " " + prose(200 + i, 25) for i in range(12)]
+    rows = [(i, line) for i, line in enumerate(reversed(chain))] + [(50 + i, line) for i, line in enumerate(shared)]
+    found = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    normal = {i: lines.normalise(line) for i, line in rows}
+    keys = {i: line_keys(x) for i, x in normal.items()}
+    root = groups(sorted(normal), lambda a, b: keys[a] & keys[b] and edit.alike(normal[a], normal[b], 80))
+    assert {r.row.doc_id for r in found if not r.n_removed} == set(root.values())
+    assert len(set(root.values())) >= 12 and list(root.values()).count(0) > 2
+
+
 def test_large_groups_of_near_lines(spark):
     """Two large groups of lines that differ in a word or two: one line of each stays."""
     bases = [prose(41, 30).split(), prose(42, 30).split()]
