@@ -17,6 +17,9 @@ MIN_FILTER_BITS = 16
 MAX_FILTER_BITS = 27
 # Rows that one copy of a wide row serves.
 HOT_ROWS = 100_000
+# Buckets of hashes in which the rows of groups are counted, and rows that one task numbers.
+BUCKETS = 1 << 16
+TASK_ROWS = 200_000
 _SALT, _COPIES, _WORD, _PLACE, _BITS = "_salt", "_copies", "_word", "_place", "_bits"
 
 
@@ -123,25 +126,29 @@ def spread(
     on: Sequence[str],
     by: Sequence[str],
     hot: scratch.Written | None = None,
+    how: str = "inner",
+    hot_on: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Join ``big`` to a table of one row per key that grows with it, or is wide.
+    """Join ``big`` (inner or left) to a table of one row per key that grows with it, or is wide.
 
     The row of a key in ``hot`` (``hot_keys`` of ``big``, if not given) is copied, and the
     rows of ``big`` are dealt among the copies by the columns ``by``. Other keys are not copied,
-    unlike in ``attach``. A written table below the bound is broadcast.
+    unlike in ``attach``. A written table below the bound is broadcast. ``hot`` may be known by
+    ``hot_on`` alone, some columns of the key: all keys that agree in them are then copied.
     """
     if isinstance(per_key, scratch.Written):
         if per_key.bytes <= BROADCAST_BYTES:
-            return big.join(F.broadcast(per_key.df), list(on))
+            return big.join(F.broadcast(per_key.df), list(on), how)
         per_key = per_key.df
     hot = hot_keys(big, on) if hot is None else hot
     if hot.rows == 0:
-        return big.join(per_key, list(on))
-    dealt = attach(big, hot, on, by, "left")
+        return big.join(per_key, list(on), how)
+    hot_on = on if hot_on is None else hot_on
+    dealt = attach(big, hot, hot_on, by, "left")
     salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col(_COPIES)), F.lit(0)).cast("int")
     numbers = F.sequence(F.lit(0), F.coalesce(_COPIES, F.lit(1)) - 1)
-    copied = attach(per_key, hot, on, how="left").withColumn(_SALT, F.explode(numbers)).drop(_COPIES)
-    return dealt.withColumn(_SALT, salt).drop(_COPIES).join(copied, [*on, _SALT]).drop(_SALT)
+    copied = attach(per_key, hot, hot_on, how="left").withColumn(_SALT, F.explode(numbers)).drop(_COPIES)
+    return dealt.withColumn(_SALT, salt).drop(_COPIES).join(copied, [*on, _SALT], how).drop(_SALT)
 
 
 def top_n(
@@ -200,3 +207,32 @@ def global_index(df: DataFrame, order: Sequence[str], index: str) -> scratch.Wri
         .drop("_local", "_part", "_row", "_offset")
     )
     return scratch.Written(numbered, sorted_rows.rows, sorted_rows.bytes)
+
+
+def index_within(df: DataFrame, group: Sequence[str], order: Sequence[str], index: str) -> DataFrame:
+    """Number the rows of each group from 0 in ``order``; rows without a group are dropped.
+
+    Rows are dealt by group to as many tasks as ``TASK_ROWS`` rows for each need, so a task's share
+    does not grow with the table, and later steps by group exchange nothing. Rows are counted
+    in buckets of groups first: groups of a bucket of more than ``HOT_ROWS`` rows are numbered by their places
+    among all such rows, so that one with many rows is not sorted in one task.
+    """
+    known = df.dropna(subset=list(group))
+    bucket = F.pmod(F.xxhash64(*group), F.lit(BUCKETS)).alias(_WORD)
+    counts = scratch.store(known.groupBy(bucket).agg(F.count(F.lit(1)).alias("_rows")), "buckets")
+    rows = counts.agg(F.sum("_rows").alias("rows")).first()["rows"] or 0
+    hot = scratch.write(counts.filter(F.col("_rows") > HOT_ROWS).select(_WORD), "hot")
+    few, many = known, None
+    if hot.rows:
+        placed = known.withColumn(_WORD, bucket)
+        few = attach(placed, hot, [_WORD], how="left_anti").select(*df.columns)
+        many = attach(placed, hot, [_WORD], how="left_semi").select(*df.columns)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
+    numbered = few.repartition(tasks, *group).withColumn(index, place.cast("long"))
+    if many is None:
+        return numbered
+    placed = global_index(many, order, _PLACE).df
+    first = placed.groupBy(*group).agg(F.min(_PLACE).alias("_first"))
+    rest = attach(placed, first, group, [_PLACE]).withColumn(index, F.col(_PLACE) - F.col("_first"))
+    return numbered.unionByName(rest.select(*numbered.columns))

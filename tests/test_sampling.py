@@ -132,6 +132,27 @@ def test_global_index(spark, parts):
     assert [tuple(r) for r in numbered.df.orderBy("i").select("x", "i").collect()] == [(i, i) for i in range(1000)]
 
 
+@pytest.mark.parametrize("hot", [100_000, 20])
+@pytest.mark.parametrize("tasks", [200_000, 10])
+def test_index_within(spark, monkeypatch, hot, tasks):
+    """Places in each group, with one group of a third of the rows, repeated rows and some without a group."""
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    monkeypatch.setattr(skew, "TASK_ROWS", tasks)
+    made = [(None if i % 50 == 0 else 0 if i % 3 == 0 else i % 40, i * 7919 % 23, None if i % 9 == 0 else i % 2) for i in range(300)]
+    rows = spark.createDataFrame(made, "g long, x long, y long")
+    got = [tuple(r) for r in skew.index_within(rows, ["g"], ["x", "y"], "i").select("g", "x", "y", "i").collect()]
+    want = []
+    for g in {g for g, *_ in made if g is not None}:
+        inside = sorted((r for r in made if r[0] == g), key=lambda r: (r[1], r[2] is not None, r[2] or 0))
+        want += [(*r, i) for i, r in enumerate(inside)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_index_within_no_rows(spark):
+    rows = spark.createDataFrame([], "g long, x long")
+    assert skew.index_within(rows, ["g"], ["x"], "i").collect() == []
+
+
 def test_grid_slices(problems):
     targets = experiment.targets(problems, DESIGN)
     n = targets.count()

@@ -68,11 +68,7 @@ def generations_conv(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_tests(spark: SparkSession, sf: str) -> DataFrame:
-    """One recorded test per row of ``lineitem``, numbered from 0 within its order.
-
-    The number is the row's place among all rows less that of the order's first row,
-    so an order with many rows is no single group.
-    """
+    """One recorded test per row of ``lineitem``, numbered from 0 within its order."""
     rows = table(spark, sf, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
@@ -81,13 +77,8 @@ def line_tests(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_quantity").alias("quantity"),
         F.ascii("l_returnflag").alias("flag"),
     )
-    placed = skew.global_index(rows, rows.columns, "place").df
-    first = placed.groupBy("l_orderkey").agg(F.min("place").alias("first"))
-    return (
-        placed.join(first, "l_orderkey")
-        .withColumn("test_idx", (F.col("place") - F.col("first")).cast("int"))
-        .drop("place", "first")
-    )
+    numbered = skew.index_within(rows, ["l_orderkey"], rows.columns, "test_idx")
+    return numbered.withColumn("test_idx", F.col("test_idx").cast("int"))
 
 
 def _verdict(quantity: Column) -> Column:
