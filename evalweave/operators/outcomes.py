@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave import schemas
+from evalweave import schemas, scratch
 from evalweave.operators import judging, skew
 from evalweave.operators.scoring import TASK
 
@@ -88,7 +88,11 @@ def _union(columns: Sequence[Column]) -> Column:
 
 
 def by_generation(
-    generations: DataFrame, attempts: DataFrame, mode: str = "effective", by: Sequence[str] = TASK
+    generations: DataFrame,
+    attempts: DataFrame,
+    mode: str = "effective",
+    by: Sequence[str] = TASK,
+    dealt: bool = False,
 ) -> DataFrame:
     """``(by, gen_idx, compiled, words)``: one row per generation listed or attempted.
 
@@ -97,7 +101,8 @@ def by_generation(
     first ended with exit code 1. ``compiled`` is null for a generation that is not listed.
 
     One exchange, by generation: attempts travel as one number each, with the
-    generations' own rows among them instead of a join.
+    generations' own rows among them instead of a join. If attempts come ``dealt`` by generation, they
+    are combined where they lie, and what travels is a row for 64 tests.
     """
     key = [*by, "gen_idx"]
     test = F.col("test_idx")
@@ -109,16 +114,12 @@ def by_generation(
         _said(attempts, mode).cast("int").alias("said"),
         F.lit(None).cast("boolean").alias("compiled"),
     )
-    listed = generations.select(
-        *key,
-        *[F.lit(None).cast(kind).alias(name) for name, kind in (("variant", "int"), ("word", "int"))],
-        F.lit(0).cast("long").alias("bit"),
-        F.lit(len(PRIORITY)).alias("said"),
-        "compiled",
-    )
-    gathered = told.unionByName(listed).repartition(*[F.col(k) for k in key])
     none = F.lit(0).cast("long")
-    planes = gathered.groupBy(*key, "variant", "word").agg(
+    if not dealt:
+        absent = [F.lit(None).cast(kind).alias(name) for name, kind in (("variant", "int"), ("word", "int"))]
+        listed = generations.select(*key, *absent, none.alias("bit"), F.lit(len(PRIORITY)).alias("said"), "compiled")
+        told = told.unionByName(listed).repartition(*[F.col(k) for k in key])
+    planes = told.groupBy(*key, "variant", "word").agg(
         F.bit_or("bit").alias("seen"),
         F.bool_and("compiled").alias("compiled"),
         *[F.bit_or(F.when(F.col("said") == i, F.col("bit")).otherwise(none)).alias(p) for i, p in enumerate(PRIORITY)],
@@ -139,6 +140,9 @@ def by_generation(
         ).alias("tests"),
         (known == failed).alias("all_failed"),
     )
+    if dealt:
+        absent = [F.lit(None).cast(words.schema[c].dataType).alias(c) for c in ("variant", "tests", "all_failed")]
+        words = words.unionByName(generations.select(*key, "compiled", *absent))
     first, other = F.col("variant") == 1, F.col("variant") == 2
     whole = words.groupBy(*key).agg(
         F.bool_and("compiled").alias("compiled"),
@@ -151,7 +155,7 @@ def by_generation(
 
 
 def settled(
-    outcomes: DataFrame, tests: DataFrame, by: Sequence[str] = TASK
+    outcomes: DataFrame, tests: DataFrame, by: Sequence[str] = TASK, listed: DataFrame | None = None
 ) -> DataFrame:
     """Rows of ``by_generation`` with ``fill`` and ``n_fill``: a verdict for tests without a result.
 
@@ -159,10 +163,17 @@ def settled(
     any result has -1 for each test of its task in ``tests`` (task_id, n_tests), and one
     -1 if the task has none there. If ``tests`` has test_type, a call-based generation with a
     single verdict, at position 0, has it for all tests.
+
+    A task's row in ``tests`` is copied only where very many generations need it, counted in
+    ``listed``, a cheaper table of the generations, if it is given.
     """
     called = "test_type" in tests.columns
     counts = tests.select("task_id", "n_tests", *(["test_type"] if called else []))
-    placed = skew.attach(outcomes, counts, ["task_id"], ["gen_idx"], "left")
+    counts = scratch.write(counts, "tests")
+    hot = None
+    if counts.bytes > skew.BROADCAST_BYTES:
+        hot = skew.hot_keys(outcomes if listed is None else listed, ["task_id"])
+    placed = skew.spread(outcomes, counts, ["task_id"], ["gen_idx"], hot, "left")
     broken = F.col("compiled").isNotNull() & ~F.col("compiled")
     silent = F.size("words") == 0
     one = F.get("words", F.lit(0))
