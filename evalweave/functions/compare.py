@@ -53,19 +53,27 @@ def digits_close(actual: Column, expected: Column) -> Column:
     )
 
 
+def _holds_first(actual: Column, expected: Column) -> Column:
+    """Whether the output's first character stands in the expected text too; so for an output without any."""
+    return expected.contains(F.substring(text.strip(actual), 1, 1))
+
+
 def charset(actual: Column, expected: Column) -> Column:
     """Each output token, as a set of characters, is the token set of a line.
 
-    So no expected token may be longer than one character.
+    So no expected token may be longer than one character, and every character of the output is one.
     """
-    return ~expected.rlike(TWO_CHARACTERS) & (
+    return _holds_first(actual, expected) & ~expected.rlike(TWO_CHARACTERS) & (
         _sets_of(text.tokens(actual), text.characters, _set_text)
         == _sets_of(text.filled_lines(expected), text.tokens, _set_text)
     )
 
 
 def charset_rounded(actual: Column, expected: Column) -> Column:
-    """The same on rounded numbers: the output's are its digits, one by one."""
+    """The same on rounded numbers: the output's are its digits, one by one.
+
+    A number spelled in digits alone rounds to no digit but its last.
+    """
 
     def digits(token: Column) -> Column:
         return F.transform(text.characters(token), lambda c: F.concat(c, F.lit(".0")))
@@ -73,6 +81,7 @@ def charset_rounded(actual: Column, expected: Column) -> Column:
     return (
         actual.rlike(DIGITS_AND_BLANKS)
         & expected.rlike(NUMBERS_AND_BLANKS)
+        & (_holds_first(actual, expected) | ~expected.rlike(DIGITS_AND_BLANKS))
         & (
             _sets_of(text.tokens(actual), digits, _set_text)
             == _sets_of(text.filled_lines(expected), text.tokens, _expected_numbers)

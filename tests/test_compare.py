@@ -219,3 +219,20 @@ def test_long_json_strings(spark):
     same = '["' + 'x1.0\\"' * 50_000 + '",1]'
     df = spark.range(1).select(F.lit(value).alias("a"), F.lit(same).alias("e"))
     assert df.select(calls.calls_match(F.col("a"), F.col("e")).alias("m")).first().m
+
+
+def test_first_character_rules_out_no_match(spark):
+    """The tiers of character sets give what they give without the early look at one character."""
+    texts = ["", " ", "3", "3\n", " 03", "2.9999", "3 2", "2\n3", "a b", "ab", "b\na", " a", "30", "_3", "3e0", "é", "٣"]
+    pairs = spark.createDataFrame([(a, e) for a in [*texts, None] for e in [*texts, None]], "a string, e string")
+    tiers = ("charset", "charset_rounded")
+
+    def found():
+        return [tuple(r) for r in pairs.select("a", "e", *[compare.matches(t, F.col("a"), F.col("e")) for t in tiers]).collect()]
+
+    got, look = found(), compare._holds_first
+    compare._holds_first = lambda a, e: F.lit(True)
+    try:
+        assert got == found() and any(r[2] for r in got) and any(r[3] for r in got)
+    finally:
+        compare._holds_first = look
