@@ -1,4 +1,12 @@
-"""Edit distances by Myers' bit-parallel columns, on Python integers of any width."""
+"""Edit distances by Myers' bit-parallel columns, on Python integers of any width or for many pairs at once."""
+
+import numpy as np
+
+# Pairs whose columns are computed together: words of masks that they have, and the fewest worth it.
+MASK_WORDS = 1 << 21
+FEWEST = 64
+# Longer texts are compared one by one.
+WIDEST = 1 << 11
 
 
 def letter_masks(pattern: str) -> dict[str, int]:
@@ -89,8 +97,8 @@ def _enough(a: str, b: str, budget: int) -> bool:
     return cost + len(rest) + sum(map(len, rest)) <= budget
 
 
-def alike(a: str, b: str, percent: int) -> bool:
-    """Whether at least ``percent`` of the longer text is left by the edits between both."""
+def undecided(a: str, b: str, percent: int) -> bool | tuple[str, str, int]:
+    """``alike``, or what is left of both to compare and the edits that they may be apart."""
     longer = max(len(a), len(b))
     budget = longer * (100 - percent) // 100
     if abs(len(a) - len(b)) > budget:
@@ -98,4 +106,71 @@ def alike(a: str, b: str, percent: int) -> bool:
     a, b = _trimmed(a, b)
     if max(len(a), len(b)) <= budget or _enough(a, b, budget):
         return True
-    return distance(a, b) <= budget
+    return a, b, budget
+
+
+def alike(a: str, b: str, percent: int) -> bool:
+    """Whether at least ``percent`` of the longer text is left by the edits between both."""
+    left = undecided(a, b, percent)
+    return left if isinstance(left, bool) else distance(*left[:2]) <= left[2]
+
+
+def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """``distance`` of each pair, of many at once: column by column in words of 64 rows."""
+    sizes = np.array([(len(a), len(b)) for a, b in pairs], dtype=np.int64).reshape(-1, 2)
+    found = np.zeros(len(pairs), dtype=np.int64)
+    order = np.argsort(sizes[:, 0], kind="stable")
+    begin = 0
+    while begin < len(order):
+        rows = order[begin : begin + FEWEST]
+        words = int(-(-sizes[rows[-1], 0] // 64))
+        letters = len({letter for i in rows.tolist() for text in pairs[i] for letter in text})
+        # Twice the letters and words of the first few of them leave room for what the others have.
+        count = max(FEWEST, MASK_WORDS // max(1, 4 * letters * words))
+        rows = order[begin : begin + count]
+        begin += count
+        if len(rows) < FEWEST or sizes[rows].max() > WIDEST:
+            found[rows] = [distance(*pairs[i]) for i in rows.tolist()]
+        else:
+            rows = rows[np.argsort(-sizes[rows, 1], kind="stable")]
+            found[rows] = _columns([pairs[i] for i in rows.tolist()], sizes[rows])
+    return found
+
+
+def _columns(pairs: list[tuple[str, str]], sizes: np.ndarray) -> np.ndarray:
+    """``distances`` of pairs whose second texts come by falling size."""
+    n, (rows, columns) = len(pairs), sizes.T
+    flat = [np.frombuffer("".join(texts).encode("utf-32-le"), "<u4") for texts in zip(*pairs)]
+    used = np.zeros(0x110000, dtype=bool)
+    for letters in flat:
+        used[letters] = True
+    number = np.cumsum(used) - 1
+    width, words = int(number[-1]) + 1, int(-(-rows.max() // 64))
+    pair = [np.repeat(np.arange(n), size) for size in (rows, columns)]
+    place = [np.arange(len(f)) - np.repeat(np.cumsum(s) - s, s) for f, s in zip(flat, (rows, columns))]
+    masks = np.zeros((words, n * width), dtype=np.uint64)
+    bit = np.uint64(1) << (place[0] & 63).astype(np.uint64)
+    np.bitwise_or.at(masks, (place[0] >> 6, pair[0] * width + number[flat[0]]), bit)
+    looked = np.zeros((int(columns.max(initial=0)), n), dtype=np.int64)
+    looked[place[1], pair[1]] = pair[1] * width + number[flat[1]]
+    plus, minus = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), dtype=np.uint64)
+    one, last = np.uint64(1), np.uint64(63)
+    active = np.searchsorted(-columns, -np.arange(len(looked)), "left")
+    for at, many in zip(looked, active.tolist()):
+        at = at[:many]
+        rises, falls = one, np.uint64(0)
+        for word in range(words):
+            equal, up, down = masks[word][at], plus[word, :many], minus[word, :many]
+            vertical = equal | down
+            equal |= falls
+            diagonal = (((equal & up) + up) ^ up) | equal
+            rise, fall = down | ~(diagonal | up), up & diagonal
+            raised, fallen = rise << one | rises, fall << one | falls
+            rises, falls = rise >> last, fall >> last
+            plus[word, :many] = fallen | ~(vertical | raised)
+            minus[word, :many] = raised & vertical
+    # Of the last word only the rows that there are count.
+    inside = np.clip(rows - 64 * np.arange(words)[:, None], 0, 64)
+    valid = np.where(inside == 64, ~np.uint64(0), (one << np.minimum(inside, 63).astype(np.uint64)) - one)
+    steps = np.bitwise_count(plus & valid).astype(np.int64) - np.bitwise_count(minus & valid)
+    return columns + steps.sum(axis=0)

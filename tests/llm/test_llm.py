@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
 import struct
 
@@ -320,6 +321,39 @@ def test_large_groups_of_near_lines(spark):
     assert {r.row.doc_id for r in found if not r.n_removed} == {0, 1}
 
 
+@pytest.mark.parametrize("tile,hot", [(4, 1000), (4, 8)])
+def test_lines_of_keys_dealt_in_tiles(spark, monkeypatch, tile, hot):
+    """Lines that share a passage and are not alike, and near lines among them: as in one tile, with few links."""
+    monkeypatch.setattr(lines, "TILE", tile)
+    monkeypatch.setattr(lines, "HOT", hot)
+    passage = prose(44, 14)
+    texts = [prose(200 + i // 2, 25).replace("a", "e" if i % 2 else "a", 1) + " " + passage for i in range(24)]
+    texts += [passage + " " + prose(300 + i, 3) for i in range(12)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.row.doc_id for r in lines.deduplicate(table).collect() if not r.n_removed}
+    normal = {i: lines.normalise(line) for i, line in enumerate(texts)}
+    keys = {i: line_keys(x) for i, x in normal.items()}
+    root = groups(sorted(normal), lambda a, b: keys[a] & keys[b] and edit.alike(normal[a], normal[b], 80))
+    assert found == set(root.values()) and 12 <= len(found) < 24
+
+
+def test_near_lines_of_a_key_need_few_rows(spark):
+    """What comes out where a key is read grows with its lines, not with their pairs."""
+    base = prose(41, 30).split()
+    rows = [(i, " ".join(w if k != i % 30 else f"changed{chr(97 + i // 30)}" for k, w in enumerate(base))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lines.occurrences(docs).withColumn("n", F.lit(1)).withColumn("no", F.col("doc_id")).drop("doc_id")
+    keys = lines._met(found, lines.SEGMENTS, lines.AGREEING)
+    assert keys.count() > 2000
+    assert lines.links(found, docs, lines.SEGMENTS, lines.AGREEING, 80).count() < 2 * keys.count()
+
+
+def test_distances_of_many_pairs():
+    draw = random.Random(6)
+    pairs = [["".join(draw.choices("abcñ日", k=draw.choice([0, 1, 63, 64, 65, 130, 200]))) for _ in "ab"] for _ in range(150)]
+    assert edit.distances(pairs).tolist() == [edit.distance(a, b) for a, b in pairs] and not len(edit.distances([]))
+
+
 def test_decontamination(docs, empty, spark, monkeypatch):
     item = prose(50, 25)
     changed = item.replace(item[30], "#", 1).replace(item[40:43], "")
