@@ -138,6 +138,7 @@ class Pair:
         self.names = [f"{i}{end}" for i in range(len(self.a_bytes)) for end in (",", "|")]
         self.b_from = len(self.names)
         self.names += [f"{i}{end}" for i in range(len(shown)) for end in (",", ";")]
+        self.names = np.array(self.names, dtype=object)
 
     def pieces(self, text: str) -> list[str]:
         """``text`` in parts that both encode alone as they do in it, less the space at each cut."""
@@ -204,6 +205,13 @@ def _flat(packed: list[bytes], table: _Bytes, pieces: list[bytes]) -> tuple[np.n
     return ids, piece, _same(table.joined(ids), lengths, pieces)
 
 
+def _ending(ends: np.ndarray, size: int) -> np.ndarray:
+    """Whether a token ends before each byte and at the end."""
+    found = np.zeros(size + 1, dtype=bool)
+    found[ends] = True
+    return found
+
+
 def align(pair: Pair, pieces: list[str]) -> Aligned:
     """Align non-empty ``pieces``, by themselves and all at once."""
     spaced = [b" " + p.encode() for p in pieces]
@@ -218,8 +226,9 @@ def align(pair: Pair, pieces: list[str]) -> Aligned:
     everything = np.arange(size)
     a = Csr(np.concatenate(([0], a_ends)), everything, size)
     b = Csr(np.concatenate(([0], b_ends)), everything, size)
-    cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    a_group, b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
+    a_cuts, b_cuts = _ending(b_ends, size)[a_ends], _ending(a_ends, size)[b_ends]
+    cuts = a_ends[a_cuts]
+    a_group, b_group = np.cumsum(a_cuts) - a_cuts, np.cumsum(b_cuts) - b_cuts
     links = product(a, b.transposed())
     return Aligned(good, a_ids, b_ids, a_ends, b_ends, cuts, a_group, b_group, a_piece, b_piece, links)
 
@@ -247,7 +256,7 @@ def _listed(pair: Pair, found: Aligned) -> list[str]:
     codes[np.arange(len(through)) + through] = pair.b_from + 2 * found.b_ids + b_last
     n = len(found.good)
     sizes = np.bincount(found.a_piece, minlength=n) + np.bincount(found.b_piece, minlength=n)
-    names = list(map(pair.names.__getitem__, codes.tolist()))
+    names = pair.names[codes].tolist()
     ends = np.cumsum(sizes).tolist()
     return ["".join(names[end - size : end]) for end, size in zip(ends, sizes.tolist())]
 
