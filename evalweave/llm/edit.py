@@ -2,11 +2,10 @@
 
 import numpy as np
 
-# Pairs whose columns are computed together: words of masks that they have, and the fewest worth it.
+# Pairs whose columns are computed together: words of masks that they have, and the fewest pairs worth it for
+# each word of 64 letters.
 MASK_WORDS = 1 << 21
-FEWEST = 64
-# Longer texts are compared one by one.
-WIDEST = 1 << 11
+FEWEST = 32
 
 
 def letter_masks(pattern: str) -> dict[str, int]:
@@ -19,11 +18,16 @@ def letter_masks(pattern: str) -> dict[str, int]:
     return masks
 
 
-def _best(masks: dict[str, int], size: int, text: str, anywhere: bool) -> int:
-    """Edits from a pattern of ``size`` letters to ``text``, or to its nearest substring."""
+def _best(masks: dict[str, int], size: int, text: str, anywhere: bool, budget: int | None = None) -> int:
+    """Edits from a pattern of ``size`` letters to ``text``, or to its nearest substring.
+
+    With a ``budget``, as soon as the letters left cannot bring the whole text within it, some more than that.
+    """
     every, last = (1 << size) - 1, 1 << (size - 1)
     plus, minus, score, best = every, 0, size, size
     carry = 0 if anywhere else 1
+    # The most edits from which the letters that are left lead back to the budget.
+    most = size + 2 * len(text) if budget is None else budget + len(text)
     for letter in text:
         equal = masks.get(letter, 0)
         vertical = equal | minus
@@ -36,6 +40,9 @@ def _best(masks: dict[str, int], size: int, text: str, anywhere: bool) -> int:
             score -= 1
             if score < best:
                 best = score
+        most -= 1
+        if score > most:
+            return score
         up = (up << 1 | carry) & every
         down = (down << 1) & every
         plus = down | (every & ~(vertical | up))
@@ -59,12 +66,12 @@ def _trimmed(a: str, b: str) -> tuple[str, str]:
     return a[start : len(a) - end], b[start : len(b) - end]
 
 
-def distance(a: str, b: str) -> int:
-    """Insertions, deletions and replacements that turn ``a`` into ``b``."""
+def distance(a: str, b: str, budget: int | None = None) -> int:
+    """Insertions, deletions and replacements that turn ``a`` into ``b``; if over ``budget``, at least that many."""
     a, b = _trimmed(a, b)
     if not a or not b:
         return len(a) + len(b)
-    return _best(letter_masks(a), len(a), b, False)
+    return _best(letter_masks(a), len(a), b, False, budget)
 
 
 # Words skipped at a time to find where two texts go on alike.
@@ -115,37 +122,36 @@ def alike(a: str, b: str, percent: int) -> bool:
     return left if isinstance(left, bool) else distance(*left[:2]) <= left[2]
 
 
-def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
-    """``distance`` of each pair, of many at once: column by column in words of 64 rows."""
-    sizes = np.array([(len(a), len(b)) for a, b in pairs], dtype=np.int64).reshape(-1, 2)
+def distances(pairs: list[tuple[str, str, int]]) -> np.ndarray:
+    """``distance`` of each pair within its budget: of many of like length at once, column by column."""
     found = np.zeros(len(pairs), dtype=np.int64)
-    order = np.argsort(sizes[:, 0], kind="stable")
-    begin = 0
-    while begin < len(order):
-        rows = order[begin : begin + FEWEST]
-        words = int(-(-sizes[rows[-1], 0] // 64))
-        letters = len({letter for i in rows.tolist() for text in pairs[i] for letter in text})
-        # Twice the letters and words of the first few of them leave room for what the others have.
-        count = max(FEWEST, MASK_WORDS // max(1, 4 * letters * words))
-        rows = order[begin : begin + count]
-        begin += count
-        if len(rows) < FEWEST or sizes[rows].max() > WIDEST:
+    words = np.array([-(-len(a) // 64) for a, _, _ in pairs], dtype=np.int64)
+    for count in np.unique(words).tolist():
+        rows = np.flatnonzero(words == count)
+        if len(rows) < FEWEST * max(1, count):
             found[rows] = [distance(*pairs[i]) for i in rows.tolist()]
-        else:
-            rows = rows[np.argsort(-sizes[rows, 1], kind="stable")]
-            found[rows] = _columns([pairs[i] for i in rows.tolist()], sizes[rows])
+            continue
+        rows = np.array(sorted(rows.tolist(), key=lambda i: -len(pairs[i][1])))
+        letters = len({letter for i in rows.tolist() for letter in pairs[i][0] + pairs[i][1]})
+        most = max(1, MASK_WORDS // max(1, letters * count))
+        for begin in range(0, len(rows), most):
+            some = rows[begin : begin + most]
+            found[some] = _columns([pairs[i][:2] for i in some.tolist()])
     return found
 
 
-def _columns(pairs: list[tuple[str, str]], sizes: np.ndarray) -> np.ndarray:
-    """``distances`` of pairs whose second texts come by falling size."""
-    n, (rows, columns) = len(pairs), sizes.T
+def _columns(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """The distance of each pair, whose second texts come by falling size, in words of 64 letters of the first."""
+    n = len(pairs)
+    rows, columns = (np.array([len(text) for text in texts], dtype=np.int64) for texts in zip(*pairs))
     flat = [np.frombuffer("".join(texts).encode("utf-32-le"), "<u4") for texts in zip(*pairs)]
     used = np.zeros(0x110000, dtype=bool)
     for letters in flat:
         used[letters] = True
-    number = np.cumsum(used) - 1
-    width, words = int(number[-1]) + 1, int(-(-rows.max() // 64))
+    alphabet = np.flatnonzero(used)
+    number = np.empty(len(used), dtype=np.int32)
+    number[alphabet] = np.arange(len(alphabet))
+    width, words = max(1, len(alphabet)), int(-(-rows.max() // 64))
     pair = [np.repeat(np.arange(n), size) for size in (rows, columns)]
     place = [np.arange(len(f)) - np.repeat(np.cumsum(s) - s, s) for f, s in zip(flat, (rows, columns))]
     masks = np.zeros((words, n * width), dtype=np.uint64)

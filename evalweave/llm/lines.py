@@ -449,7 +449,7 @@ class _Compared:
         def settle() -> None:
             left = [row for row in open_ if top(roots[row[0]]) != top(roots[row[1]])]
             open_.clear()
-            apart = edit.distances([row[2][:2] for row in left]).tolist()
+            apart = edit.distances([row[2] for row in left]).tolist()
             for (x, y, (_, _, budget)), edits in zip(left, apart):
                 if edits <= budget and top(roots[x]) != top(roots[y]):
                     joined(x, y)

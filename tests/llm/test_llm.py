@@ -348,10 +348,16 @@ def test_near_lines_of_a_key_need_few_rows(spark):
     assert lines.links(found, docs, lines.SEGMENTS, lines.AGREEING, 80).count() < 2 * keys.count()
 
 
-def test_distances_of_many_pairs():
+@pytest.mark.parametrize("count", [30, 600])
+def test_distances_of_many_pairs(count):
+    """Together or one by one; a budget only ends the work on what is beyond it."""
     draw = random.Random(6)
-    pairs = [["".join(draw.choices("abcñ日", k=draw.choice([0, 1, 63, 64, 65, 130, 200]))) for _ in "ab"] for _ in range(150)]
-    assert edit.distances(pairs).tolist() == [edit.distance(a, b) for a, b in pairs] and not len(edit.distances([]))
+    sizes = [0, 1, 63, 64, 65, 130]
+    pairs = [tuple("".join(draw.choices("abcñ日", k=draw.choice(sizes))) for _ in "ab") for _ in range(count)]
+    want = [edit.distance(a, b) for a, b in pairs]
+    assert edit.distances([(a, b, 1000) for a, b in pairs]).tolist() == want
+    found = edit.distances([(a, b, 40) for a, b in pairs]).tolist()
+    assert all(x == y if y <= 40 else x > 40 for x, y in zip(found, want)) and not len(edit.distances([]))
 
 
 def test_decontamination(docs, empty, spark, monkeypatch):
