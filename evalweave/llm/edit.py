@@ -6,10 +6,17 @@ import numpy as np
 # each word of 64 letters.
 MASK_WORDS = 1 << 21
 FEWEST = 32
+# Letters between two looks at whether a budget can still be kept to, and the size from which masks are made in arrays.
+LOOKED = 128
+LONG = 192
 
 
 def letter_masks(pattern: str) -> dict[str, int]:
     """For each letter, the places of ``pattern`` that hold it, as bits."""
+    if len(pattern) >= LONG:
+        letters = np.frombuffer(pattern.encode("utf-32-le", "surrogatepass"), "<u4")
+        packed = ((x, np.packbits(letters == x, bitorder="little")) for x in np.unique(letters))
+        return {chr(x): int.from_bytes(places.tobytes(), "little") for x, places in packed}
     masks: dict[str, int] = {}
     bit = 1
     for letter in pattern:
@@ -18,16 +25,10 @@ def letter_masks(pattern: str) -> dict[str, int]:
     return masks
 
 
-def _best(masks: dict[str, int], size: int, text: str, anywhere: bool, budget: int | None = None) -> int:
-    """Edits from a pattern of ``size`` letters to ``text``, or to its nearest substring.
-
-    With a ``budget``, as soon as the letters left cannot bring the whole text within it, some more than that.
-    """
+def _nearest(masks: dict[str, int], size: int, text: str) -> int:
+    """Edits from a pattern of ``size`` letters to the nearest substring of ``text``."""
     every, last = (1 << size) - 1, 1 << (size - 1)
     plus, minus, score, best = every, 0, size, size
-    carry = 0 if anywhere else 1
-    # The most edits from which the letters that are left lead back to the budget.
-    most = size + 2 * len(text) if budget is None else budget + len(text)
     for letter in text:
         equal = masks.get(letter, 0)
         vertical = equal | minus
@@ -40,30 +41,66 @@ def _best(masks: dict[str, int], size: int, text: str, anywhere: bool, budget: i
             score -= 1
             if score < best:
                 best = score
-        most -= 1
-        if score > most:
-            return score
-        up = (up << 1 | carry) & every
+        up = (up << 1) & every
         down = (down << 1) & every
         plus = down | (every & ~(vertical | up))
         minus = up & vertical
-    return best if anywhere else score
+    return best
+
+
+def _steps(bits: int, size: int) -> np.ndarray:
+    packed = np.frombuffer(bits.to_bytes(-(-size // 8), "little"), np.uint8)
+    return np.unpackbits(packed, bitorder="little")[:size].view(np.int8)
+
+
+def _whole(masks: dict[str, int], size: int, text: str, budget: int | None) -> int:
+    """Edits from a pattern of ``size`` letters to ``text``.
+
+    With a ``budget``, as soon as no way to the end of both can keep to it, some more than that.
+    """
+    every, held = (1 << size) - 1, masks.get
+    plus, minus, left, rest = every, 0, len(text), np.arange(size - 1, -1, -1, dtype=np.int32)
+    for begin in range(0, len(text), LOOKED):
+        some = text[begin : begin + LOOKED]
+        for letter in some:
+            equal = held(letter, 0)
+            diagonal = (((equal & plus) + plus) ^ plus) | equal
+            up = (minus | (every & ~(diagonal | plus))) << 1 | 1
+            vertical = equal | minus
+            plus, minus = ((plus & diagonal) << 1 | ~(vertical | up)) & every, up & vertical
+        left -= len(some)
+        if budget is not None and left and size > LOOKED:
+            # Edits up to here by letters of the pattern, and at least as many more as the rests differ in size.
+            edits = np.cumsum(_steps(plus, size) - _steps(minus, size), dtype=np.int32)
+            least = len(text) - left + min(int((edits + np.abs(rest - left)).min()), abs(size - left))
+            if least > budget:
+                return least
+    return len(text) + plus.bit_count() - minus.bit_count()
 
 
 def within(masks: dict[str, int], size: int, text: str) -> int:
     """The least edits between a pattern, given by its masks, and any substring of ``text``."""
-    return _best(masks, size, text, True) if size else 0
+    return _nearest(masks, size, text) if size else 0
+
+
+def _common(a: str, b: str) -> int:
+    """How many letters both begin with alike."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) >> 1
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def _trimmed(a: str, b: str) -> tuple[str, str]:
     """Both without the letters they begin and end with alike."""
-    start, most = 0, min(len(a), len(b))
-    while start < most and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < most - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    return a[start : len(a) - end], b[start : len(b) - end]
+    start = _common(a, b)
+    a, b = a[start:], b[start:]
+    end = _common(a[::-1], b[::-1])
+    return a[: len(a) - end], b[: len(b) - end]
 
 
 def distance(a: str, b: str, budget: int | None = None) -> int:
@@ -71,7 +108,7 @@ def distance(a: str, b: str, budget: int | None = None) -> int:
     a, b = _trimmed(a, b)
     if not a or not b:
         return len(a) + len(b)
-    return _best(letter_masks(a), len(a), b, False, budget)
+    return _whole(letter_masks(a), len(a), b, budget)
 
 
 # Words skipped at a time to find where two texts go on alike.

@@ -163,7 +163,7 @@ def normalised(text: str) -> tuple[np.ndarray, Lines]:
     kind = _kinds()[letters]
     before = np.append(np.uint8(0), kind[:-1])
     kept = (kind == 1) | (kind == 2) & (before != 2)
-    word_places = np.flatnonzero(kind)
+    word_places = np.flatnonzero(kind != 0)
     n_words = np.searchsorted(word_places, ends) - np.searchsorted(word_places, starts)
     worded = n_words > 0
     last = np.zeros(len(starts), dtype=np.int64)
@@ -290,8 +290,8 @@ def _keyed(classes: DataFrame, segments: int, agreeing: int) -> DataFrame:
     return classes.select("no", F.explode(F.array(*keys)).alias("key")).filter("key is not null").select("key", "no")
 
 
-def _met(classes: DataFrame, segments: int, agreeing: int) -> DataFrame:
-    """``(key, no, slot)``: the rows of ``_keyed`` whose key another class has, numbered within the key.
+def _shared(rows: DataFrame) -> DataFrame:
+    """``(key, no, slot)``: the ``rows(key, no)`` whose key another one has, numbered within the key.
 
     Sorted rows pass by in batches, so a key of very many classes is never held.
     """
@@ -314,10 +314,26 @@ def _met(classes: DataFrame, segments: int, agreeing: int) -> DataFrame:
             columns = [keys[wanted], nos[wanted], slots[wanted]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "no", "slot"])
 
-    rows = _keyed(classes, segments, agreeing).repartition("key").sortWithinPartitions("key")
+    rows = rows.select("key", "no").repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(shared, "key long, no long, slot long")
 
 
+def _met(classes: DataFrame, segments: int, agreeing: int) -> DataFrame:
+    """``(key, no, slot)``: the rows of ``_keyed`` whose key another class has, numbered within the key.
+
+    Only blocks that are another class's too can be in such a key, so these are found first: a class
+    has more keys than blocks.
+    """
+    names = _blocks(segments)
+    held = _keyed(classes, segments, 1)
+    segment = F.expr(f"shiftleft(1, cast(key & {(1 << CHOICE_BITS) - 1} as int))")
+    masks = _shared(held).groupBy("no").agg(F.bit_or(segment).alias("mask"))
+    masks = scratch.write(masks.filter(F.bit_count("mask") >= agreeing), "shared")
+    left = skew.attach(classes.select("no", *names), masks, ["no"])
+    blocks = [F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col(name)).alias(name) for i, name in enumerate(names)]
+    return _shared(_keyed(left.select("no", *blocks), segments, agreeing))
+
+
 def _apart(x: Column, y: Column) -> Column:
     """Sum over eight counters of how far apart they are, at the least."""
     total = F.lit(0)
