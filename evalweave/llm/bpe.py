@@ -115,7 +115,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, keep, schema: str) -> Data
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
         for batch in batches:
-            rows = [keep(bpe, text or "") for text in batch.column(1).to_pylist()]
+            rows = [keep(bpe, text.as_py() or "") for text in batch.column(1)]
             columns = [pa.array(c) for c in zip(*rows)] or [pa.array([])] * (len(names) - 1)
             arrays = [batch.column(0), *columns]
             if rows:

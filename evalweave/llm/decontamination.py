@@ -116,8 +116,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, budget_percent: int = BUDGET_
             matcher = Matcher(block, budget_percent)
             for batch in batches:
                 docs_found, items_found, edits = [], [], []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for item, least in matcher.search(normalise(text or "")).items():
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    for item, least in matcher.search(normalise(text.as_py() or "")).items():
                         docs_found.append(doc_id)
                         items_found.append(matcher.ids[item])
                         edits.append(least)

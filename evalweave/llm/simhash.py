@@ -29,6 +29,8 @@ BLOCK_ROWS = 16_384
 MAX_BLOCKS = 4096
 # Fingerprints searched at a time, which bounds a task's frontier.
 SEARCHED = 2048
+# Rows whose shingles are held at a time.
+HASHED_ROWS = 256
 _FAN = 4
 _LEAF = 16
 
@@ -52,7 +54,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
     ``mark`` a hash of id and text, by which a row is told from others of its id."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, HASHED_ROWS) for b in batches for at in range(0, b.num_rows, HASHED_ROWS)):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             runs = [shingle_hashes(t or b"", shingle_words) for t in texts]
             sizes = np.fromiter(map(len, runs), np.int64, len(runs))
