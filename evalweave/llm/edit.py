@@ -2,10 +2,14 @@
 
 import numpy as np
 
-# Pairs whose columns are computed together: words of masks that they have, and the fewest pairs worth it for
-# each word of 64 letters.
-MASK_WORDS = 1 << 21
-FEWEST = 32
+# Pairs whose columns are computed together: words of masks that they have, the fewest pairs worth it for
+# each word of 64 letters, and the most words; classes of letters that they are told apart by.
+MASK_WORDS = 1 << 17
+FEWEST = 16
+MOST_WORDS = 16
+CLASSES = 32
+# Letters that are looked at beyond one and a half times the budget.
+BEGIN = 32
 # Letters between two looks at whether a budget can still be kept to, and the size from which masks are made in arrays.
 LOOKED = 128
 LONG = 192
@@ -159,43 +163,63 @@ def alike(a: str, b: str, percent: int) -> bool:
     return left if isinstance(left, bool) else distance(*left[:2]) <= left[2]
 
 
-def distances(pairs: list[tuple[str, str, int]]) -> np.ndarray:
-    """``distance`` of each pair within its budget: of many of like length at once, column by column."""
-    found = np.zeros(len(pairs), dtype=np.int64)
-    words = np.array([-(-len(a) // 64) for a, _, _ in pairs], dtype=np.int64)
-    for count in np.unique(words).tolist():
-        rows = np.flatnonzero(words == count)
-        if len(rows) < FEWEST * max(1, count):
-            found[rows] = [distance(*pairs[i]) for i in rows.tolist()]
+def least_edits(pairs: list[tuple[str, str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Edits that each pair is at least apart, and whether it is no more or they are over its budget.
+
+    Many pairs are looked at together, column by column: the begin of their texts, as far as it takes to
+    spend the budget on texts that have little in common, with letters told apart by their class only.
+    """
+    found, sure = np.zeros(len(pairs), dtype=np.int64), np.ones(len(pairs), dtype=bool)
+    sizes = np.array([(len(a), len(b), budget) for a, b, budget in pairs], dtype=np.int64).reshape(-1, 3)
+    rows, columns, budgets = sizes.T
+    # A way to a row further down than the budget spends it on the way.
+    seen = np.minimum(columns, budgets * 3 // 2 + BEGIN)
+    deep = np.minimum(rows, seen + budgets)
+    words = -(-deep // 64)
+    # Of five words and more, such as have at most half as many again are taken together.
+    half = 1 << np.maximum(0, np.frexp(np.maximum(words - 1, 0))[1] - 1)
+    shared = np.where(words < 5, words, np.where(2 * words <= 3 * half, 3 * half // 2, 2 * half))
+    for count in np.unique(shared).tolist():
+        some = np.flatnonzero(shared == count)
+        if count > MOST_WORDS or len(some) < FEWEST * max(1, count):
+            found[some] = [distance(*pairs[i]) for i in some.tolist()]
             continue
-        rows = np.array(sorted(rows.tolist(), key=lambda i: -len(pairs[i][1])))
-        letters = len({letter for i in rows.tolist() for letter in pairs[i][0] + pairs[i][1]})
-        most = max(1, MASK_WORDS // max(1, letters * count))
-        for begin in range(0, len(rows), most):
-            some = rows[begin : begin + most]
-            found[some] = _columns([pairs[i][:2] for i in some.tolist()])
+        some = some[np.argsort(-seen[some], kind="stable")]
+        most = max(1, MASK_WORDS // (CLASSES * max(1, count)))
+        for part in (some[begin : begin + most] for begin in range(0, len(some), most)):
+            begins = [(pairs[i][0][:m], pairs[i][1][:n]) for i, m, n in zip(part.tolist(), deep[part].tolist(), seen[part].tolist())]
+            edits = _columns(begins, (rows - deep)[part], (columns - seen)[part])
+            found[part] = np.where(deep[part] < rows[part], np.minimum(edits, budgets[part] + 1), edits)
+        sure[some] = found[some] > budgets[some]
+    return found, sure
+
+
+def distances(pairs: list[tuple[str, str, int]]) -> np.ndarray:
+    """``distance`` of each pair within its budget."""
+    found, sure = least_edits(pairs)
+    for i in np.flatnonzero(~sure).tolist():
+        found[i] = distance(*pairs[i])
     return found
 
 
-def _columns(pairs: list[tuple[str, str]]) -> np.ndarray:
-    """The distance of each pair, whose second texts come by falling size, in words of 64 letters of the first."""
+def _columns(pairs: list[tuple[str, str]], below: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The least edits of a way through the last column of each pair, were letters of a class equal.
+
+    So many letters of the first texts come ``below`` and of the second ones ``after``; these add what
+    they differ in size. Second texts come by falling size.
+    """
     n = len(pairs)
     rows, columns = (np.array([len(text) for text in texts], dtype=np.int64) for texts in zip(*pairs))
-    flat = [np.frombuffer("".join(texts).encode("utf-32-le"), "<u4") for texts in zip(*pairs)]
-    used = np.zeros(0x110000, dtype=bool)
-    for letters in flat:
-        used[letters] = True
-    alphabet = np.flatnonzero(used)
-    number = np.empty(len(used), dtype=np.int32)
-    number[alphabet] = np.arange(len(alphabet))
-    width, words = max(1, len(alphabet)), int(-(-rows.max() // 64))
-    pair = [np.repeat(np.arange(n), size) for size in (rows, columns)]
+    words = int(-(-rows.max() // 64))
+    flat = [np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4") for texts in zip(*pairs)]
+    first = np.arange(n, dtype=np.int32) * CLASSES
+    kind = [np.repeat(first, size) + (f & (CLASSES - 1)).astype(np.int32) for f, size in zip(flat, (rows, columns))]
     place = [np.arange(len(f)) - np.repeat(np.cumsum(s) - s, s) for f, s in zip(flat, (rows, columns))]
-    masks = np.zeros((words, n * width), dtype=np.uint64)
+    masks = np.zeros((words, n * CLASSES), dtype=np.uint64)
     bit = np.uint64(1) << (place[0] & 63).astype(np.uint64)
-    np.bitwise_or.at(masks, (place[0] >> 6, pair[0] * width + number[flat[0]]), bit)
-    looked = np.zeros((int(columns.max(initial=0)), n), dtype=np.int64)
-    looked[place[1], pair[1]] = pair[1] * width + number[flat[1]]
+    np.bitwise_or.at(masks, (place[0] >> 6, kind[0]), bit)
+    looked = np.zeros((int(columns.max(initial=0)), n), dtype=np.int32)
+    looked[place[1], np.repeat(np.arange(n), columns)] = kind[1]
     plus, minus = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), dtype=np.uint64)
     one, last = np.uint64(1), np.uint64(63)
     active = np.searchsorted(-columns, -np.arange(len(looked)), "left")
@@ -212,8 +236,11 @@ def _columns(pairs: list[tuple[str, str]]) -> np.ndarray:
             rises, falls = rise >> last, fall >> last
             plus[word, :many] = fallen | ~(vertical | raised)
             minus[word, :many] = raised & vertical
-    # Of the last word only the rows that there are count.
-    inside = np.clip(rows - 64 * np.arange(words)[:, None], 0, 64)
-    valid = np.where(inside == 64, ~np.uint64(0), (one << np.minimum(inside, 63).astype(np.uint64)) - one)
-    steps = np.bitwise_count(plus & valid).astype(np.int64) - np.bitwise_count(minus & valid)
-    return columns + steps.sum(axis=0)
+    # Edits to each row of the last column, of those that there are, and from there on.
+    up, down = (np.unpackbits(bits.T.copy().view(np.uint8), axis=1, bitorder="little").view(np.int8) for bits in (plus, minus))
+    place = np.arange(64 * words + 1)
+    edits = np.zeros((n, len(place)), dtype=np.int64)
+    np.cumsum(up - down, axis=1, out=edits[:, 1:])
+    edits += np.abs((rows + below)[:, None] - place - after[:, None])
+    edits[place > rows[:, None]] = np.iinfo(np.int64).max // 2
+    return columns + edits.min(axis=1)

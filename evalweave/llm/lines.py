@@ -40,6 +40,9 @@ TILE = 128
 # Keys of more lines are first compared with one line of a group, so many times.
 HOT = 2048
 STAR_ROUNDS = 3
+# Rows of keys that are read together, and bytes.
+TOGETHER = 40_000
+TOGETHER_BYTES = 1 << 23
 # Pairs looked at together, those that wait for their edit distances, and bits of a key that tell its choice of blocks.
 PAIRS = 1 << 19
 OPEN = 1 << 14
@@ -48,6 +51,8 @@ CHOICE_BITS = 8
 LANES = 16
 _BETWEEN = re.compile(r"[\W_]+")
 _DIGITS = re.compile(r"\d+")
+# What no line of these alone is counted for.
+_BLANKS = " \t\n\x0b\f\r"
 # Hashes of words and lines are sums of their letters' numbers, each times a power by its place.
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFFFF)
@@ -113,24 +118,28 @@ class Lines:
         opens = ~space & (first[:-1] | np.roll(space, 1))
         closes = ~space & (first[1:] | np.roll(space, -1))
         begins, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        line = np.searchsorted(self.starts, begins, "right") - 1
-        n_words = np.bincount(line, minlength=len(self.starts))
+        n_words = np.diff(np.searchsorted(begins, np.append(self.starts, len(space))))
         by_word = n_words >= WORDS
+        words = self.hashes(begins, ends)
+        if by_word.all():
+            return words, n_words, _mixed(words)
         counts = np.where(by_word, n_words, self.sizes)
         is_word = np.repeat(by_word, counts)
         units = np.empty(int(counts.sum()), dtype=np.uint64)
-        units[is_word] = self.hashes(begins, ends)[by_word[line]]
+        units[is_word] = words[np.repeat(by_word, n_words)]
         units[~is_word] = self.numbers[np.repeat(~by_word, self.sizes)]
         following = np.append(units[1:], np.uint64(0))
         following[np.cumsum(counts)[counts > 0] - 1] = 0
-        return units, counts, np.where(is_word, _mixed(units), _mixed(units + following * np.uint64(3)))
+        choosing = units.copy()
+        choosing[~is_word] += following[~is_word] * np.uint64(3)
+        return units, counts, _mixed(choosing)
 
     def blocks(self, segments: int) -> tuple[np.ndarray, np.ndarray]:
         """The SimHash of each segment in 32 bits, one row a line, and whether the segment is empty."""
         units, counts, choosing = self.units()
         sizes = np.diff(_cuts(counts, choosing, segments), axis=1)
-        found = bits.majorities(units, sizes.reshape(-1)) & _LOW
-        return found.astype(np.uint32).view(np.int32).reshape(sizes.shape), sizes == 0
+        found = bits.low_majorities(units, sizes.reshape(-1))
+        return found.view(np.int32).reshape(sizes.shape), sizes == 0
 
     def lanes(self) -> tuple[np.ndarray, np.ndarray]:
         """How often letters of each of sixteen classes occur, modulo 256, in two longs."""
@@ -156,32 +165,31 @@ def normalised(text: str) -> tuple[np.ndarray, Lines]:
 
     The places are not in order.
     """
-    text = text.lower()
+    # Line by line, as texts of plain letters are made small much faster.
+    text = "\n".join([line.lower() for line in text.split("\n")])
     letters = _letters(text)
     breaks = np.flatnonzero(letters == 10)
     starts, ends = np.append(0, breaks + 1), np.append(breaks, len(letters))
     kind = _kinds()[letters]
     before = np.append(np.uint8(0), kind[:-1])
     kept = (kind == 1) | (kind == 2) & (before != 2)
-    word_places = np.flatnonzero(kind != 0)
-    n_words = np.searchsorted(word_places, ends) - np.searchsorted(word_places, starts)
-    worded = n_words > 0
-    last = np.zeros(len(starts), dtype=np.int64)
-    last[worded] = word_places[np.searchsorted(word_places, ends[worded]) - 1]
-    # One space after a word, unless the line has no word after it.
-    gaps = np.flatnonzero((kind == 0) & (before > 0) & (letters != 10))
-    kept[gaps[gaps < last[np.searchsorted(starts, gaps, "right") - 1]]] = True
-    places = np.flatnonzero(kept)
-    out = np.where(kind[places] == 2, 48, np.where(kind[places] == 0, 32, letters[places]))
-    first = np.searchsorted(places, starts[worded])
-    sizes = np.searchsorted(places, ends[worded]) - first
+    begins = np.flatnonzero((kind != 0) & (before == 0))
+    first = np.searchsorted(begins, starts)
+    worded = np.append(first[1:], len(begins)) > first
+    # One space before a word, unless it is the first of its line.
+    later = np.ones(len(begins), dtype=bool)
+    later[first[worded]] = False
+    kept[begins[later] - 1] = True
+    out, kinds = letters[kept], kind[kept]
+    out[kinds == 2], out[kinds == 0] = 48, 32
+    sizes = np.add.reduceat(kept, starts[worded], dtype=np.int64) if len(begins) else np.zeros(0, dtype=np.int64)
     # Lines without a word stay as they are but for the spaces around them.
     plain = np.flatnonzero(~worded & (ends > starts))
     bare = [(i, text[a:b].strip()) for i, a, b in zip(plain.tolist(), starts[plain].tolist(), ends[plain].tolist())]
     bare = [(i, line) for i, line in bare if line]
     more = np.array([len(line) for _, line in bare], dtype=np.int64)
     numbers = np.concatenate((np.flatnonzero(worded), np.array([i for i, _ in bare], dtype=np.int64)))
-    all_letters = np.concatenate((out.astype(np.uint32), _letters("".join(line for _, line in bare))))
+    all_letters = np.concatenate((out, _letters("".join(line for _, line in bare))))
     all_sizes = np.concatenate((sizes, more))
     return numbers, Lines(all_letters, np.cumsum(all_sizes) - all_sizes, all_sizes)
 
@@ -462,9 +470,9 @@ class _Compared:
         def settle() -> None:
             left = [row for row in open_ if top(roots[row[0]]) != top(roots[row[1]])]
             open_.clear()
-            apart = edit.distances([row[2] for row in left]).tolist()
-            for (x, y, (_, _, budget)), edits in zip(left, apart):
-                if edits <= budget and top(roots[x]) != top(roots[y]):
+            apart, sure = edit.least_edits([row[2] for row in left])
+            for (x, y, (a, b, budget)), edits, known in zip(left, apart.tolist(), sure.tolist()):
+                if edits <= budget and top(roots[x]) != top(roots[y]) and (known or edit.distance(a, b, budget) <= budget):
                     joined(x, y)
 
         for x, y in self.pairs(rows, segments, agreeing, percent):
@@ -493,17 +501,21 @@ def _alike(rows: DataFrame, spelled: DataFrame, segments: int, agreeing: int, pe
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, rows, size = [], 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held = batch if held is None else pa.concat_batches([held, batch])
-            compared = _Compared(held, segments)
+            held, rows, size = [*held, batch], rows + batch.num_rows, size + batch.nbytes
+            if rows < TOGETHER and size < TOGETHER_BYTES:
+                continue
+            held = [pa.concat_batches(held)]
+            compared = _Compared(held[0], segments)
             if compared.last:
                 yield compared.links(compared.last, segments, agreeing, percent)
-                held = held.slice(compared.last)
-        if held is not None:
-            yield _Compared(held, segments).links(held.num_rows, segments, agreeing, percent)
+                held = [held[0].slice(compared.last)]
+            rows, size = held[0].num_rows, held[0].nbytes
+        if held:
+            yield _Compared(pa.concat_batches(held), segments).links(rows, segments, agreeing, percent)
 
     texts = rows.join(spelled, "no").repartition("key", "cell").sortWithinPartitions("key", "cell", "no")
     return texts.mapInArrow(work, "a long, b long")
@@ -624,7 +636,7 @@ def deduplicate(
         F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
     )
     n_lines = F.when(F.col("lines").isNull(), 0).otherwise(
-        F.size(F.filter("lines", lambda line: line.rlike(r"\S")))
+        F.size(F.filter("lines", lambda line: F.ltrim(line, F.lit(_BLANKS)) != ""))
     )
     n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
     return rows.select(

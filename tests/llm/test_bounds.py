@@ -3,10 +3,11 @@
 import random
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from evalweave.llm import edit, lines, simhash
+from evalweave.llm import bits, edit, lines, simhash
 
 
 class _Caught:
@@ -114,3 +115,21 @@ def test_budgets_end_with_the_distance_or_more_than_the_budget():
         found = edit.distance(a, b, budget)
         assert edit.distance(a, b) == edits
         assert found == edits if edits <= budget else budget < found <= edits
+
+
+def test_unlike_texts_are_told_apart_by_their_begins(monkeypatch):
+    """No text is read to its end to see that it is over its budget, if many are compared together."""
+    draw = random.Random(8)
+    pairs = [tuple("".join(draw.choices("abcdefghij klñ日", k=draw.randrange(300, 360))) for _ in "ab") for _ in range(200)]
+    near = [(a, a[:150] + "x" + a[151:]) for a, _ in pairs[:50]]
+    monkeypatch.setattr(edit, "distance", None)
+    found, sure = edit.least_edits([(a, b, 60) for a, b in pairs + near])
+    assert sure[:200].all() and (found[:200] > 60).all() and not sure[200:].any() and (found[200:] <= 1).all()
+
+
+def test_low_bits_of_majorities():
+    draw = np.random.default_rng(9)
+    for most in (4, 300, 700):
+        sizes = draw.integers(0, most, 50)
+        hashes = draw.integers(0, 1 << 64, int(sizes.sum()), dtype=np.uint64)
+        assert (bits.low_majorities(hashes, sizes) == bits.majorities(hashes, sizes).astype(np.uint32)).all()
